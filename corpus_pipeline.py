@@ -32,7 +32,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     net = classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.where(classifier.scores(net)(F.col("text")) >= KEEP_SCORE)
+    return classifier.keep(docs, net, KEEP_SCORE)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe_model
-from .common import slices, string_list
+from .common import mapped, ship, slices, string_list
 
 #: Entries of a worker's memo of token pairs, which is emptied when full; the memos of pieces and words have bounds of their own.
 PAIRS = 300_000
@@ -114,7 +114,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
                 ids = c.encode(string_list(batch.column("text")))
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(x) // 4 for x in ids], type=pa.int64()), pa.array(ids, type=pa.binary())], names=["id", "n_tokens", "ids"])
 
-    return source.mapInArrow(run, f"id {kind}, n_tokens long, ids binary").withColumnRenamed("id", id_col)
+    return mapped(source, run, f"id {kind}, n_tokens long, ids binary").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -126,4 +126,4 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         c = codec(path)
         return ids.map(lambda x: c.decode(x or b""))
 
-    return encoded.withColumn("decoded", text_of("ids"))
+    return ship(encoded).withColumn("decoded", text_of("ids"))

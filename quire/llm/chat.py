@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
+
 OPEN, CLOSE = "### ", "\n</turn>\n"
 CONTROL = re.compile(r"(\\*)(###|</turn>)")
 ESCAPED = re.compile(r"\\(\\*)(###|</turn>)")
@@ -146,7 +148,7 @@ def format_chats(conversations: DataFrame, path: str | None = None, trained: str
                     names=["conv_id", "formatted", "input_ids", "loss_mask", "loss_spans"],
                 )
 
-    return grouped.mapInArrow(run, schema)
+    return mapped(grouped, run, schema)
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -167,4 +169,4 @@ def digests(formatted: DataFrame) -> DataFrame:
             cols = list(zip(*out, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=names)
 
-    return formatted.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return mapped(formatted, run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import mapped, ship, slices
 
 WIDTH, STRIDE, DEPTH, FILTERS, CHUNK = 8, 2, 8, 32, 256
 PER_CLASS, PARTS = 400, 4
@@ -189,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array(list(cols[0]), batch.schema.field("lid").type), pa.array(list(cols[1]), pa.int32()), pa.array(list(cols[2]), pa.binary())], names=["lid", "quality", "chunk"])
 
     kind = rows.schema["lid"].dataType.simpleString()
-    got = rows.mapInArrow(run, f"lid {kind}, quality int, chunk binary").distinct().collect()  # 2 * PER_CLASS * PARTS chunks
+    got = mapped(rows, run, f"lid {kind}, quality int, chunk binary").distinct().collect()  # 2 * PER_CLASS * PARTS chunks
     number = {d: i for i, d in enumerate(sorted({r["lid"] for r in got}))}
     return fit(sorted((bytes(r["chunk"]), number[r["lid"]], r["quality"]) for r in got))
 
@@ -205,11 +205,11 @@ def classify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
                 texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(score(net, texts))], names=["id", "score"])
 
-    return source.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return mapped(source, run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
-def scores(net: Network):
-    """The same as a column function of a text column, for filters that keep whole rows."""
+def keep(docs: DataFrame, net: Network, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that score `least` or more."""
 
     @F.pandas_udf("double")
     def of(texts):
@@ -217,4 +217,4 @@ def scores(net: Network):
 
         return pd.Series(score(net, [(t or "").encode() for t in texts]))
 
-    return of
+    return ship(docs).where(of(F.col(text_col)) >= least)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,10 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 CHUNK_CHARS = 1 << 22
 
 
-def session(df: DataFrame) -> SparkSession:
-    return df.sparkSession
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder named by spark.checkpoint.dir.
 
@@ -35,6 +33,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_shipped: set[str] = set()
+
+
+def ship(df: DataFrame) -> DataFrame:
+    """Make sure that Python workers can import this package, wherever the driver found it; returns df."""
+    sc = df.sparkSession.sparkContext
+    if sc.applicationId not in _shipped:
+        top = Path(__file__).resolve().parents[1]
+        name = Path(tempfile.mkdtemp(prefix="quire-")) / f"{top.name}.zip"
+        with zipfile.ZipFile(name, "w") as z:
+            for f in sorted(top.rglob("*.py")):
+                z.write(f, f.relative_to(top.parent))
+        sc.addPyFile(str(name))
+        _shipped.add(sc.applicationId)
+    return df
+
+
+def mapped(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema), with the package at hand in the workers."""
+    return ship(df).mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

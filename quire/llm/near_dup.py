@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, groups, slices, string_list
+from .common import cut, groups, mapped, slices, string_list
 
 SHINGLE = 5
 EMBED = 128
@@ -120,7 +120,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     names=["id", "text_key", "row_id", "n", "digest", "sig"],
                 )
 
-    return source.mapInArrow(run, f"id {kind}, text_key long, row_id long, n long, digest binary, sig binary")
+    return mapped(source, run, f"id {kind}, text_key long, row_id long, n long, digest binary, sig binary")
 
 
 def digest(s: np.ndarray) -> bytes:
@@ -171,7 +171,7 @@ def plausible(classes: DataFrame, leaves: DataFrame) -> DataFrame:
                 nodes, gids = [], []
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(gids, pa.int64())], names=["node", "gid"])
 
-    return node_rows(classes, leaves, ["n", "sig"]).mapInArrow(run, "node long, gid long")
+    return mapped(node_rows(classes, leaves, ["n", "sig"]), run, "node long, gid long")
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -226,7 +226,7 @@ def confirmed(sets: DataFrame, nodes: DataFrame) -> DataFrame:
             b += [gids[y] for _, y in found]
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return node_rows(sets, nodes, ["hashes"]).mapInArrow(run, "a long, b long")
+    return mapped(node_rows(sets, nodes, ["hashes"]), run, "a long, b long")
 
 
 def read_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -243,7 +243,7 @@ def read_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
                 sets = [shingles(t) for t in string_list(batch.column("text"))]
                 yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["digest", "hashes"])
 
-    found = source.select("text").mapInArrow(run, "digest binary, hashes binary")
+    found = mapped(source.select("text"), run, "digest binary, hashes binary")
     return found.join(wanted.select("gid", "digest"), "digest").dropDuplicates(["digest", "gid"]).select("gid", "hashes")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe_model
-from .common import cut, slices, string_list
+from .common import cut, mapped, slices, string_list
 
 WINDOW = 2048
 END = 1
@@ -47,7 +47,7 @@ def tokenise(docs: DataFrame, path: str, end: int = END, id_col: str = "doc_id",
                 at += int(n.sum())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, dtype=np.int64)), pa.array(local), batch.column("id"), pa.array([x.tobytes() for x in ids], type=pa.binary()), pa.array(n)], names=["part", "local", "id", "tokens", "n"])
 
-    return source.mapInArrow(run, f"part long, local long, id {kind}, tokens binary, n long")
+    return mapped(source, run, f"part long, local long, id {kind}, tokens binary, n long")
 
 
 def pack(docs: DataFrame, window: int = WINDOW, end: int = END, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,7 +106,7 @@ def pack(docs: DataFrame, window: int = WINDOW, end: int = END, path: str | None
         if out:
             yield flush()
 
-    made = cut(rows.mapInArrow(run, f"sequence_id long, begun long, n_tokens long, input_ids binary, pieces array<{piece}>"))
+    made = cut(mapped(rows, run, f"sequence_id long, begun long, n_tokens long, input_ids binary, pieces array<{piece}>"))
     full = F.least(F.lit(window), F.lit(total) - F.col("sequence_id") * window)
     whole = made.where(F.col("n_tokens") == full).select("sequence_id", "n_tokens", "input_ids", "pieces")
     bound = made.where(F.col("n_tokens") < full)  # at most `window` records make a sequence

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, string_list
+from .common import mapped, ship, slices, string_list
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "account", "login")
@@ -231,7 +231,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 found = [[{"start": a, "end": b, "kind": k} for a, b, k in find(t)] for t in string_list(batch.column("text"))]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, type=span)], names=["id", "spans"])
 
-    return source.mapInArrow(run, f"id {kind}, spans array<struct<start:bigint,end:bigint,kind:string>>").withColumnRenamed("id", id_col)
+    return mapped(source, run, f"id {kind}, spans array<struct<start:bigint,end:bigint,kind:string>>").withColumnRenamed("id", id_col)
 
 
 def masked(text: str) -> str:
@@ -251,7 +251,7 @@ def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def replaced(texts):
         return texts.map(lambda t: None if t is None else masked(t))
 
-    return docs.withColumn(text_col, replaced(F.col(text_col)))
+    return ship(docs).withColumn(text_col, replaced(F.col(text_col)))
 
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat, classifier, near_dup, packing, pii, quality_rules, sharding, token_count
+from . import bpe_codec, chat, classifier, near_dup, packing, pii, quality_rules, search, sharding, token_count
 from .common import table
 
 
@@ -39,6 +39,11 @@ def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op7_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return search.search(docs, docs.where("doc_id % 100 = 0"))
+
+
 def op8_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = classifier.train(docs, table(spark, sf_dir, "labels"))
@@ -60,9 +65,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_shard, op2_chat, op3_pack, op4_token_counts, op5_pii, op6_near_dup, op8_classifier, op9_bpe, op10_quality)
+    own = (op1_shard, op2_chat, op3_pack, op4_token_counts, op5_pii, op6_near_dup, op7_search, op8_classifier, op9_bpe, op10_quality)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_search": search.SQL}

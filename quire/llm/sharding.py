@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, mapped
 
 SHARDS = 16
 #: Ranges per shard at least; each range is a window partition of about rows / (shards * RANGES).
@@ -81,7 +81,7 @@ def assign(keyed: DataFrame, bounds: list[Key]) -> DataFrame:
             h, i, t = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "i", "t"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(range_of(held, h, i, t))], names=[*batch.schema.names, "rng"])
 
-    return keyed.mapInArrow(run, T.StructType([*keyed.schema.fields, T.StructField("rng", T.LongType())]))
+    return mapped(keyed, run, T.StructType([*keyed.schema.fields, T.StructField("rng", T.LongType())]))
 
 
 def draw(keyed: DataFrame, rows: int, size: int, n: int, seed: int) -> list[tuple[int, int, int, float]]:

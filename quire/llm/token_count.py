@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe_model
-from .common import slices, string_list
+from .common import mapped, slices, string_list
 
 #: Entries of a worker's memo; when full, it keeps what the current batch uses; this bounds memory and changes no result.
 MEMO = 400_000
@@ -67,4 +67,4 @@ def token_counts(docs: DataFrame, limit: int = 2048, path: str | None = None, id
                 sizes = np.array([len(t.encode()) for t in texts], dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), pa.array(n), pa.array(n > limit)], names=["id", "n_bytes", "n_tokens", "over_limit"])
 
-    return source.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
+    return mapped(source, run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
