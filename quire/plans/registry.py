@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-PARTS = ("search",)
+PARTS = ("search", "rules")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
