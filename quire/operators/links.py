@@ -18,10 +18,10 @@ def scan(pages: DataFrame) -> DataFrame:
 
 def classified(links: DataFrame) -> DataFrame:
     """links (uri, and dest_page from 0 or null) with kind and target_page: a destination or an address without a scheme is
-    internal, the latter nowhere."""
+    internal, the latter nowhere; an external link has no page either."""
     dest = F.col("dest_page")
     kind = F.when(dest.isNotNull(), "internal").when(urls.external(F.col("uri")), "external").otherwise("internal")
-    target = F.when(dest.isNotNull(), dest + 1).when(urls.external(F.col("uri")), F.lit(None)).otherwise(NOWHERE).cast("int")
+    target = F.when(dest.isNotNull(), dest + 1).otherwise(NOWHERE).cast("int")
     return links.withColumn("kind", kind).withColumn("target_page", target).withColumn("openable", urls.openable(F.col("uri")))
 
 
