@@ -18,7 +18,7 @@ MAX_CUSTOM = 50
 
 def pattern_list(text: Column) -> Column:
     """The distinct non-empty lines of a text, trimmed, the first of equals staying in place."""
-    return F.array_distinct(F.filter(F.transform(F.split(text, "\n", -1), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != ""))
 
 
 def validate(pattern: str) -> str | None:
