@@ -18,9 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bpe_model
-from .common import mapped, ship, slices, string_list
+from .common import mapped, slices, string_list
 
 #: Entries of a worker's memo of token pairs, which is emptied when full; the memos of pieces and words have bounds of their own.
 PAIRS = 300_000
@@ -121,9 +122,11 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """Adds `decoded`, the text of the binary column `ids`; null ids decode to the empty text."""
     path = path or bpe_model.default_path()
 
-    @F.pandas_udf("string")
-    def text_of(ids):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        return ids.map(lambda x: c.decode(x or b""))
+        for whole in batches:
+            for batch in slices(whole, "ids"):
+                texts = [c.decode(x or b"") for x in batch.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
-    return ship(encoded).withColumn("decoded", text_of("ids"))
+    return mapped(encoded, run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))

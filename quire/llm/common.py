@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters of text handled together inside a Python worker; bounds its memory whatever the Arrow batch holds.
-CHUNK_CHARS = 1 << 22
+CHUNK_CHARS = 1 << 21
 
 
 def cut(df: DataFrame) -> DataFrame:
