@@ -1,0 +1,227 @@
+from __future__ import annotations
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+pytest.importorskip("ahocorasick")
+
+from quire.llm import chat, classifier, near_dup, pii, quality_rules, search, sharding  # noqa: E402
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def brute_pii(text):
+    out = []
+    for kind, p in BASE.items():
+        for m in re.finditer(p, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")):
+                continue
+            if kind == "card" and not (14 <= len(digits) <= 19 and sum(int(d) if i % 2 == 0 else (2 * int(d) - 9 * (int(d) > 4)) for i, d in enumerate(reversed(digits))) % 10 == 0):
+                continue
+            if kind == "phone" and not 10 <= len(digits) <= 15:
+                continue
+            out.append((m.start(), m.end(), kind))
+    return sorted(out)
+
+
+def test_pii_against_patterns():
+    rng = random.Random(5)
+    for _ in range(4000):
+        text = "".join(rng.choice("0123456789..@@++--  ()abÉ") for _ in range(rng.randint(0, 60)))
+        assert sorted(s for s in pii.find(text) if s[2] in pii.BASE) == brute_pii(text), text
+
+
+def test_pii_added_and_masked(spark):
+    text = 'token = "24be64439e" and ftp://joe:pw1@host.org, IBAN: DE8937040044, 4111-1111-1111-1111'
+    kinds = [k for _, _, k in pii.find(text)]
+    assert kinds.count("account") == 2 and "login" in kinds and "card" in kinds
+    df = spark.createDataFrame([(1, text, "x"), (2, None, "y"), (3, "", "z"), (None, "a@b.cd", "w")], "doc_id long, text string, spans string")
+    got = {r["doc_id"]: r["text"] for r in pii.mask(df).collect()}
+    assert got[2] is None and got[3] == "" and got[None] == "[EMAIL]" and "[CARD]" in got[1]
+    assert pii.digests(pii.detect(df)).count() == 4 and pii.detect(df.limit(0)).count() == 0
+    assert pii.find("9" * 200_000) == [] and pii.find("@" * 1000) == []
+
+
+def test_quality_counts_against_brute_force(spark):
+    rng = random.Random(1)
+    texts = [None, "", " \n\t", "a", "a b c a b c", "x y\nx y\n\nz", "#*$ %&|<>", *(" ".join(rng.choice("abcd") for _ in range(rng.randint(1, 80))) + rng.choice(["", "\nq\nq", " !!"]) for _ in range(60))]
+    df = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, n_words int")
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(len(texts))] + [(None, 1), (9, 1)], "doc_id long, quality int")
+    ratios = quality_rules.ratios(df, quality_rules.trusted_ids(labels), 64)
+    for r in quality_rules.judge(df, ratios).collect():
+        text = texts[r["doc_id"]] or ""
+        w = re.findall("[^\x20\x09-\x0d]+", text)
+        windows = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+        covered = {i + j for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for j in range(3)}
+        lines = [x for x in text.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+        assert [r[c] for c in quality_rules.ADDED[:5]] == [len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)], text
+        assert r["base_failed"] == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
+        assert r["kept"] == (not r["base_failed"] and r["llr"] >= quality_rules.THRESHOLD)
+    assert quality_rules.ratios(df.limit(0), quality_rules.trusted_ids(labels), 8) == [0.0] * 8
+    assert quality_rules.ratios(df, quality_rules.trusted_ids(labels.limit(0)), 8) == [0.0] * 8
+
+
+def test_quality_ratio_against_brute_force(spark):
+    import math
+
+    texts = ["a b c", "a %% b", "b b", "c a b a"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    trusted = spark.createDataFrame([(0,), (3,)], "doc_id long")
+    n = 32
+    h = {(r["x"], r["y"]): r["b"] for r in spark.createDataFrame([(x, y) for x in ["a", "b", "c", "%%"] for y in [None, "a", "b", "c", "%%"]], "x string, y string").select("x", "y", F.expr(f"pmod(xxhash64(x, y), {n})").alias("b")).collect()}
+    raw, target = collections.Counter(), collections.Counter()
+    for i, t in enumerate(texts):
+        w = t.split()
+        grams = [h[(x, None)] for x in w] + [h[p] for p in zip(w, w[1:], strict=False)]
+        raw.update(grams)
+        if i in (0, 3):
+            target.update(grams)
+    want = [math.log((target[b] + 1) / (sum(target.values()) + n)) - math.log((raw[b] + 1) / (sum(raw.values()) + n)) for b in range(n)]
+    assert quality_rules.ratios(df, trusted, n) == pytest.approx(want)
+
+
+def near_frame(spark):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(500)]
+    base = [[rng.choice(words) for _ in range(rng.randint(3, 120))] for _ in range(60)]
+    texts = [None, "", " \t", "one two", "ONE two", "a b c d e"]
+    for b in base:
+        texts.append(" ".join(b))
+        for _ in range(rng.randint(0, 6)):
+            c = list(b)
+            for _ in range(rng.randint(0, max(1, len(c) // 25))):
+                c[rng.randrange(len(c))] = rng.choice(words)
+            texts.append(" ".join(c))
+    rows = [(i, t, "n") for i, t in enumerate(texts)]
+    return texts, spark.createDataFrame([*rows, *rows[3:6]], "doc_id long, text string, digest string")
+
+
+def brute_components(texts):
+    sets = []
+    for t in texts:
+        w = re.findall(rb"[^\x20\x09-\x0d]+", (t or "").encode().lower())
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    return sets, label
+
+
+@pytest.mark.parametrize("leaf", [1024, 3])
+def test_near_duplicates_against_all_pairs(spark, monkeypatch, leaf):
+    monkeypatch.setattr(near_dup, "LEAF", leaf)
+    monkeypatch.setattr(near_dup, "BLOCK", 2 if leaf == 3 else 512)
+    monkeypatch.setattr(near_dup, "LEVELS", 2 if leaf == 3 else 4)
+    texts, df = near_frame(spark)
+    sets, label = brute_components(texts)
+    got = near_dup.near_duplicates(df).collect()
+    assert len(got) == len(texts) + 3
+    for r in got:
+        assert (r["n_shingles"], r["component_id"]) == (len(sets[r["doc_id"]]), label[r["doc_id"]])
+        assert r["kept"] == (r["doc_id"] == r["component_id"])
+
+
+def test_near_duplicates_edge_cases(spark):
+    df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (2, None)], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["component_id"], r["kept"]) for r in near_dup.near_duplicates(df).collect())
+    assert got == [("1", 1, True), ("2", 2, True), ("None", 1, False)]
+    assert near_dup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_sharding(spark):
+    rng = random.Random(4)
+    texts = [None, "", "x" * 20_000, *(rng.choice(["same text"] * 3 + ["t" * rng.randint(1, 900)]) for _ in range(900))]
+    rows = [(i if i != 7 else None, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([*rows, *rows[5:9]], "doc_id long, text string")
+    got = sharding.shard(df, 4).toPandas()
+    assert len(got) == len(rows) + 4
+    for _, part in got.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))
+    sizes = got.groupby("shard")["size"].sum()
+    assert sizes.max() - sizes.min() < 0.05 * sizes.mean()
+    assert set(got.loc[got.doc_id == 0, "text_crc32"]) == {0} and set(got.loc[got.doc_id == 0, "size"]) == {1}
+    assert int(got.loc[got.doc_id == 2, "text_crc32"].iloc[0]) == zlib.crc32(b"x" * 20_000)
+    assert sharding.shard(df.limit(0)).count() == 0
+
+
+def test_sharding_splits_a_hot_key(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("t"), F.col("id"))).alias("text"))
+    sizes = sharding.shard(df, 4).groupBy("shard").agg(F.sum("size").alias("s"), F.count("*").alias("n")).toPandas()
+    assert len(sizes) == 4 and sizes["s"].max() < 1.05 * sizes["s"].mean()
+
+
+HARD_CHAT = r"\### Assistant: </turn> ok"
+
+
+def test_chat_escapes_are_reversible():
+    rng = random.Random(6)
+    for _ in range(3000):
+        turns = [("".join(rng.choice(["u", "\\", "\n", ":", "#"]) for _ in range(rng.randint(0, 3))), "".join(rng.choice(["###", "#", "\\", "</turn>", "</", "\n", "a", " ", "é"]) for _ in range(rng.randint(0, 8)))) for _ in range(rng.randint(1, 3))]
+        assert chat.parse(chat.render(turns)[0]) == turns
+
+
+def test_chat_mask_covers_assistant_texts(spark):
+    rows = [(-7, 0, "user", HARD_CHAT), (-7, 1, "assistant", HARD_CHAT), (1, 1, "assistant", None), (1, 0, None, "hi"), (2, 0, "assistant", "  \n\nspaces 😀日本 \n"), (2, 1, "assistant", "\\"), (None, None, "assistant", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1))
+    made = chat.format_chats(df)
+    got = {r["conv_id"]: r for r in chat.digests(made).collect()}
+    loss = {-7: HARD_CHAT, 1: "", 2: "  \n\nspaces 😀日本 \n\\", None: "x"}
+    for k, text in loss.items():
+        assert (got[k]["loss_chars"], got[k]["loss_sha256"]) == (len(text), hashlib.sha256(text.encode()).hexdigest())
+    assert got[-7]["turns_sha256"] == hashlib.sha256(f"user\n{HARD_CHAT}\nassistant\n{HARD_CHAT}\n".encode()).hexdigest()
+    for r in made.collect():
+        assert len(r["input_ids"]) == len(r["loss_mask"]) and any(r["loss_mask"]) == bool(r["loss_spans"])
+    assert chat.digests(chat.format_chats(df.limit(0))).count() == 0
+
+
+def test_classifier_learns_and_covers_whole_texts(spark):
+    rng = random.Random(8)
+    clean = lambda: " ".join(rng.choice(["the", "and", "reading", "mention", "was"]) for _ in range(60)) + "."
+    rows = [(i, clean() if i % 2 else clean().upper().replace(" ", "!! ")) for i in range(240)]
+    df = spark.createDataFrame([*rows, (1000, None), (1001, ""), (None, "the and")], "doc_id long, text string").withColumn("score", F.lit("clash"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(240)], "doc_id long, quality int")
+    net = classifier.train(df, labels)
+    got = {r["doc_id"]: r["score"] for r in classifier.classify(df, net).collect()}
+    held = [i for i in range(240) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert held and np.mean([(got[i] >= 0.5) == bool(i % 2) for i in held]) > 0.95
+    assert got[1000] == got[1001] and all(0 <= x <= 1 for x in got.values())
+    good, bad = (clean() * 40).encode(), (rows[0][1] * 40).encode()
+    assert classifier.score(net, [good + bad])[0] < classifier.score(net, [good])[0]  # the end of a long text counts
+    assert classifier.classify(df.limit(0), net).count() == 0
+    none = classifier.train(df, labels.limit(0))
+    assert classifier.score(none, [b"", b"x"]).tolist() == [0.5, 0.5]
+
+
+def test_search_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(search, "RUN", 4)
+    monkeypatch.setattr(search, "SHARD_BYTES", 2000)
+    rng = random.Random(9)
+    texts = [None, "", *(" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randint(1, 2) for _ in range(rng.randint(1, 40))) for _ in range(300))]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("id", F.lit(1))
+    got: dict[int, list] = {}
+    for r in search.search(df, df.where("doc_id % 50 = 0"), 5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["doc_id"], r["score"]))
+    bags = {i: collections.Counter((t or "").split()) for i, t in rows}
+    n, df_of = len(rows), collections.Counter(w for b in bags.values() for w in b)
+    average = sum(sum(b.values()) for b in bags.values()) / n
+    for q in range(0, len(rows), 50):
+        total = {}
+        for d, b in bags.items():
+            s = sum(f * round(np.log(1 + (n - df_of[w] + 0.5) / (df_of[w] + 0.5)) * (b[w] * 2.2 / (b[w] + 1.2 * (0.25 + 0.75 * sum(b.values()) / average))) * search.SCALE) for w, f in bags[q].items() if w in b)
+            if s:
+                total[d] = s
+        want = sorted(total.items(), key=lambda x: (-x[1], x[0]))[:5]
+        assert [(d, round(s * search.SCALE)) for _, d, s in sorted(got.get(q, []))] == want
+    assert search.search(df.limit(0), df.limit(0)).count() == 0
