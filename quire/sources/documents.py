@@ -23,7 +23,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def binary(spark: SparkSession, path: str, magic: bytes = b"%PDF") -> DataFrame:
-    """Files as bytes, with whether they begin with the magic; a missing path is an error."""
+    """Files as bytes, with whether they begin with the magic; a missing path is an error. Spark
+    skips files without a byte."""
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", "length", "content", (F.substring(F.hex("content"), 1, 2 * len(magic)) == magic.hex().upper()).alias("is_document"))
 
