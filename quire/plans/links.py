@@ -88,7 +88,7 @@ def outline_flatten(spark, d):
 def outline_active(spark, d):
     entries = links.outline(_tree(spark, d))
     places = table(spark, d, "region").select(F.concat(F.lit("r"), F.col("r_regionkey")).alias("root"), F.explode(F.expr("sequence(1L, 50L)")).alias("page"))
-    return links.active(entries, places, "root").select("root", "page", F.col("ord").cast("long").alias("ord"))
+    return links.active(entries, places, "root").select("root", "page", F.coalesce(F.col("ord").cast("long"), F.lit(-1)).alias("ord"))
 
 
 QUERIES = [link_classify, link_areas, url_keys, pdf_like_urls, page_metadata, key_ids, integrity_names, program_ids, zoom_texts, clamps, outline_flatten, outline_active]
@@ -117,7 +117,7 @@ SQL = {
     "clamps": """SELECT c_custkey, least(0.5, greatest(0.05, c_acctbal / 10000)) AS fade, least(12.0, greatest(0.05, c_acctbal / 500)) AS zoom, cast(floor(c_acctbal / 1000 * 100 + 0.5) AS BIGINT) AS percent, least(1.0, c_acctbal / 5000.0::DOUBLE) AS progress,
       cast(least(50, greatest(1, floor(c_acctbal / 100 + 0.5))) AS INTEGER) AS page, round(c_acctbal / 7, 2) AS r FROM customer""",
     "outline_flatten": f"WITH {OUTLINE} SELECT root, id, ord, depth, page FROM o",
-    "outline_active": f"WITH {OUTLINE}, p AS (SELECT 'r' || r_regionkey AS root, unnest(range(1, 51)) AS page FROM region) SELECT p.root, p.page, max(o.ord) AS ord FROM p LEFT JOIN o ON o.root = p.root AND o.page > 0 AND o.page <= p.page GROUP BY p.root, p.page",
+    "outline_active": f"WITH {OUTLINE}, p AS (SELECT 'r' || r_regionkey AS root, unnest(range(1, 51)) AS page FROM region) SELECT p.root, p.page, coalesce(max(o.ord), -1) AS ord FROM p LEFT JOIN o ON o.root = p.root AND o.page > 0 AND o.page <= p.page GROUP BY p.root, p.page",
     "program_ids": """WITH u AS (SELECT page_id, url, list_transform(string_split(url, ''), lambda c: cast(unicode(c) AS BIGINT)) AS b FROM pages),
       f AS (SELECT page_id, url, b, list_reduce(list_prepend(2166136261::BIGINT, b), lambda a, x: (xor(a, x) * 16777619) & 4294967295) AS h, list_concat(b, list_transform(range(0, (4 - len(b) % 4) % 4), lambda i: 0::BIGINT)) AS w FROM u)
       SELECT page_id, page_id || '|' || len(b) || '|' || lower(to_base(h, 16)) AS id, lower(to_base(h, 36)) AS base36, cast(list_sum(list_transform(w, lambda x, i: x << (8 * (3 - (i - 1) % 4)))) % 4294967296 AS BIGINT) AS words FROM f""",
