@@ -26,12 +26,15 @@ KEEP_SCORE = 0.5
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    judged = quality_rules.judge(docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns}), quality_rules.ratios(docs, quality_rules.trusted_ids(labels)), text_col="in_text")
-    return judged.where("kept").select(*(F.col(f"`in_{c}`").alias(c) for c in docs.columns))
+    ratios = quality_rules.ratios(docs, quality_rules.trusted_ids(labels))
+    plain = [f"in{k}" for k in range(len(docs.columns))]  # no name that the rules' own columns could have
+    judged = quality_rules.judge(docs.toDF(*plain), ratios, text_col=plain[docs.columns.index("text")])
+    return judged.where("kept").select(*plain).toDF(*docs.columns)
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    net = classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    # earlier stages drop most documents of label 0, so the network learns from the corpus as it came
+    net = classifier.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return classifier.keep(docs, net, KEEP_SCORE)
 
 
