@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import unicodedata
@@ -31,7 +32,13 @@ def _plain_pattern() -> re.Pattern:
         elif c in "\t\n\x0b\x0c\r \x85\xa0":
             kinds["S"].append(c)
     letters, digits, spaces = (re.escape("".join(kinds[k])) for k in "LNS")
-    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{spaces}{letters}{digits}]+")
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{spaces}{letters}{digits}]+|\n")
+
+
+def _beyond_plain() -> re.Pattern:
+    """Characters that the class pattern can't be used for, in upper or lower case."""
+    grow = "".join(c for c in map(chr, range(PLAIN_BELOW)) if ord(max(c.lower())) >= PLAIN_BELOW)
+    return re.compile(f"[^\x00-{chr(PLAIN_BELOW - 1)}]|[{re.escape(grow)}]")
 
 
 class BpeModel:
@@ -76,7 +83,7 @@ class BpeModel:
         self.final = {bytes(self.to_byte[c] for c in t[:-4]): i for t, i in self.vocab.items() if t.endswith("</w>")}
         self.longest = max(map(len, [*self.inner, *self.final]))
         self.spell: dict[int, tuple[bytes, bool]] = {i: (b, False) for b, i in self.inner.items()} | {i: (b, True) for b, i in self.final.items()}
-        self.pattern = _plain_pattern()
+        self.pattern, self.beyond = _plain_pattern(), _beyond_plain()
         self.cut_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
     # -- pre-tokens ---------------------------------------------------------------------------------------------
@@ -97,16 +104,28 @@ class BpeModel:
             return [x for x in BLANKS.split(text) if x]
         return text.split()
 
-    def words(self, piece: str) -> list[bytes]:
-        """The pre-tokens of a piece, as UTF-8."""
-        if piece.isascii():
-            return [w.encode() for w in self.pattern.findall(piece.lower())]
-        if ord(max(piece)) < PLAIN_BELOW:
-            low = piece.lower()
-            if ord(max(low)) < PLAIN_BELOW:
-                return [w.encode() for w in self.pattern.findall(low)]
-        normal = self.library.normalizer.normalize_str(piece)
-        return [bytes(self.to_byte[c] for c in w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+    def words(self, pieces: list[str]) -> tuple[list[str], list[str], list[int]]:
+        """The pre-tokens of pieces, all at once: the pieces in some order, their pre-tokens, flat, and each piece's end
+        among them."""
+        text = "\n".join(pieces)
+        other: list[str] = []
+        if not text.isascii() and self.beyond.search(text):
+            other = [p for p in pieces if self.beyond.search(p)]
+            pieces = [p for p in pieces if not self.beyond.search(p)]
+            text = "\n".join(pieces)
+        flat, ends = [], []
+        if pieces:
+            for w in self.pattern.findall(text.lower()):
+                if w == "\n":
+                    ends.append(len(flat))
+                else:
+                    flat.append(w)
+            ends.append(len(flat))
+        for p in other:
+            normal = self.library.normalizer.normalize_str(p)
+            flat += [bytes(self.to_byte[c] for c in w).decode() for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+            ends.append(len(flat))
+        return [*pieces, *other], flat, ends
 
     # -- merging ------------------------------------------------------------------------------------------------
 
@@ -189,17 +208,16 @@ class Encoder:
     """Encodes texts by merging each new pre-token; bounded memos of pieces and words keep what was merged."""
 
     #: Entries of a memo; when full, it keeps what the current batch uses.
-    MEMO = 300_000
+    MEMO = 400_000
 
     def __init__(self, model: BpeModel):
         self.model = model
-        self.memo: dict[str, bytes] = {}
-        self.known: dict[bytes, bytes] = {}
+        self.special = {p: np.array([i], dtype="<u4").tobytes() for p, i in model.special.items()}
+        self.memo: dict[str, bytes] = dict(self.special)
+        self.known: dict[str, bytes] = {}
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, as little-endian unsigned 32-bit integers."""
-        if not words:
-            return []
         merged, counts = self.model.merge_words(words)
         raw, ends = merged.astype("<u4").tobytes(), np.cumsum(counts) * 4
         return [raw[a:b] for a, b in zip((ends - counts * 4).tolist(), ends.tolist(), strict=True)]
@@ -208,18 +226,20 @@ class Encoder:
         """The ids of each text, in that form."""
         m, memo = self.model, self.memo
         cut = [m.pieces(t) for t in texts]
-        new = list({p for ps in cut for p in ps if p not in memo})
+        used = set(itertools.chain.from_iterable(cut))
+        new = list(used.difference(memo))
         if new:
             if len(memo) + len(new) > self.MEMO:
-                memo = self.memo = {p: memo[p] for ps in cut for p in ps if p in memo}
-            found = [[] if p in m.special else m.words(p) for p in new]
-            known = self.known
-            if len(known) > self.MEMO:
-                known.clear()
-            missing = list({w for ws in found for w in ws if w not in known})
-            known.update(zip(missing, self.encode_words(missing), strict=True))
-            for p, ws in zip(new, found, strict=True):
-                memo[p] = np.array([m.special[p]], dtype="<u4").tobytes() if p in m.special else b"".join(map(known.__getitem__, ws))
+                memo = self.memo = {p: memo[p] for p in used if p in memo} | self.special
+            new, flat, ends = m.words(new)
+            missing = list(set(flat).difference(self.known))
+            if missing:
+                if len(self.known) + len(missing) > self.MEMO:
+                    self.known.clear()
+                    missing = list(set(flat))
+                self.known.update(zip(missing, self.encode_words([w.encode() for w in missing]), strict=True))
+            ids = list(map(self.known.__getitem__, flat))
+            memo.update(zip(new, [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends, strict=False)], strict=True))
         return [b"".join(map(memo.__getitem__, ps)) for ps in cut]
 
     def decode(self, ids: bytes) -> str:

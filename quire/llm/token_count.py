@@ -11,6 +11,7 @@ their names, are not read. An empty table gives an empty result. No shuffle: one
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,33 +23,28 @@ from . import bpe_model
 from .common import mapped, slices, string_list
 
 #: Entries of a worker's memo; when full, it keeps what the current batch uses; this bounds memory and changes no result.
-MEMO = 400_000
+MEMO = 600_000
 
 _memo: dict[str, dict[str, int]] = {}
 
 
-def piece_counts(model: bpe_model.BpeModel, pieces: set[str]) -> dict[str, int]:
-    """Tokens of each blank-free piece."""
-    pieces_ = list(pieces)
-    found = [[] if p in model.special else model.words(p) for p in pieces_]
-    distinct = list({w for ws in found for w in ws})
-    count: dict[bytes, int] = {}
-    if distinct:
-        _, sizes = model.merge_words(distinct)
-        count = dict(zip(distinct, sizes.tolist(), strict=True))
-    return {p: 1 if p in model.special else sum(map(count.__getitem__, ws)) for p, ws in zip(pieces_, found, strict=True)}
-
-
 def count_texts(model: bpe_model.BpeModel, texts: list[str]) -> list[int]:
-    memo = _memo.setdefault(model.path, {})
+    special = dict.fromkeys(model.special, 1)
+    memo = _memo.setdefault(model.path, special)
     cut = [model.pieces(t) for t in texts]
-    new = {p for ps in cut for p in ps if p not in memo}
+    used = set(itertools.chain.from_iterable(cut))
+    new = list(used.difference(memo))
     if new:
         if len(memo) + len(new) > MEMO:
-            kept = {p: memo[p] for ps in cut for p in ps if p in memo}
-            memo.clear()
-            memo.update(kept)
-        memo.update(piece_counts(model, new))
+            memo = _memo[model.path] = {p: memo[p] for p in used if p in memo} | special
+        new, flat, ends = model.words(new)
+        words = list(set(flat))
+        size: dict[str, int] = {}
+        if words:
+            _, sizes = model.merge_words([w.encode() for w in words])
+            size = dict(zip(words, sizes.tolist(), strict=True))
+        total = [0, *itertools.accumulate(map(size.__getitem__, flat))]
+        memo.update(zip(new, [total[b] - total[a] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
     return [sum(map(memo.__getitem__, ps)) for ps in cut]
 
 
