@@ -5,8 +5,8 @@ shorter document's whole sequence is its one shingle). Two documents are linked
 
 1. Documents with equal sets form a class (one row per class from here on); each class has EMBED minwise values.
 2. TREES independent trees branch the classes: a node's children are keyed by the minwise value at positions that the
-   tree and level choose - one child at the root, BRANCHES below it, so that similar pairs survive deep paths. A node of
-   LEAF classes or fewer is compared exhaustively; only larger nodes are branched again, up to LEVELS times.
+   tree and level choose, BRANCHES of them below the root. A node of LEAF classes or fewer is compared exhaustively; only
+   larger nodes are branched again, up to LEVELS times.
 3. In a small node, one byte of each minwise value gives estimates that discard classes without any plausible partner
    (EMBED bytes a row; at similarity 0.75 a pair is lost with a probability under 1e-5). The full sets of the others
    are read again from their documents, once, and the links of a node are confirmed on them by exact counting; a
@@ -14,10 +14,12 @@ shorter document's whole sequence is its one shingle). Two documents are linked
 4. What is still too large after the last level - classes that share a value on every chosen level - is split into
    blocks that each hold the node's least class; nodes whose blocks are not linked to one component are then compared
    block by block, so nothing is capped.
-5. Components come from min-label propagation with pointer jumping on the spanning links, in the cluster.
+5. Components come from min-label propagation, hooks among labels followed several steps a round, in the cluster.
 
-Recall: a pair at similarity 0.75 meets in a tree with probability 0.75 at the root and 0.94 per further level; with ten
-trees all of them miss it with probability 1e-6 at depth 1 and 2e-5 at depth 3.
+Recall: a pair at similarity 0.75 stays together with probability 0.75 per level, so ten trees all miss it with probability
+1e-6 where root nodes are small, and 2.5e-4 where two levels are needed; more similar pairs are lost far more rarely, and a
+component only needs a spanning forest of its links. A pair that stays in large nodes to the last level is compared
+exactly there.
 
 Defined results: a null, empty or blank text has an empty set, no links, and is its own component; repeated rows (equal
 id and text) are one class and share a component; a null id is never the component of a class that has other ids; an
@@ -42,10 +44,12 @@ from .common import cut, groups, mapped, slices, string_list
 
 SHINGLE = 5
 EMBED = 128
-TREES, LEVELS, BRANCHES, LEAF = 10, 8, 2, 100
+TREES, LEVELS, BRANCHES, LEAF = 10, 4, 2, 1024
 #: Agreement of minwise values below which a pair is not looked at: 0.75 less 4.4 standard deviations.
 PLAUSIBLE = 0.58
-BLOCK = 50
+BLOCK = 512
+#: Hooks that a round of the components follows beyond the first.
+JUMPS = 2
 #: Ids of documents whose sets are read again are broadcast up to so many, and joined by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
 
@@ -99,7 +103,8 @@ def minwise(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text_key, row_id, n, digest, sig (binary: EMBED 32-bit minwise values) of every row; empty sets have no sig."""
+    """id, text_key, row_id, n, digest, sig (binary: EMBED 32-bit minwise values) and low (a byte of each) of every row;
+    empty sets have neither."""
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
 
@@ -109,18 +114,20 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for batch in slices(whole, "text", 1 << 20):
                 sets = [shingles(t) for t in string_list(batch.column("text"))]
                 full = [s for s in sets if len(s)]
-                sigs = iter(minwise(full) if full else ())
+                sigs = minwise(full) if full else np.empty((0, EMBED), dtype=np.uint32)
+                made, low = iter(sigs), iter(sigs.astype(np.uint8))
                 rows = np.arange(at, at + len(sets))
                 at += len(sets)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id"), batch.column("text_key"), pa.array(rows), pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([digest(s) for s in sets], pa.binary()), pa.array([next(sigs).tobytes() if len(s) else None for s in sets], pa.binary()),
+                        pa.array([digest(s) for s in sets], pa.binary()), pa.array([next(made).tobytes() if len(s) else None for s in sets], pa.binary()),
+                        pa.array([next(low).tobytes() if len(s) else None for s in sets], pa.binary()),
                     ],
-                    names=["id", "text_key", "row_id", "n", "digest", "sig"],
+                    names=["id", "text_key", "row_id", "n", "digest", "sig", "low"],
                 )
 
-    return mapped(source, run, f"id {kind}, text_key long, row_id long, n long, digest binary, sig binary")
+    return mapped(source, run, f"id {kind}, text_key long, row_id long, n long, digest binary, sig binary, low binary")
 
 
 def digest(s: np.ndarray) -> bytes:
@@ -154,12 +161,12 @@ def plausible(classes: DataFrame, leaves: DataFrame) -> DataFrame:
         for t in groups(batches, "node"):
             if t.num_rows < 2:
                 continue
-            sig = np.frombuffer(b"".join(t["sig"].to_pylist()), dtype=np.uint32).reshape(t.num_rows, EMBED).astype(np.uint8)
+            low = np.frombuffer(b"".join(t["low"].to_pylist()), dtype=np.uint8).reshape(t.num_rows, EMBED)
             n = np.asarray(t["n"], dtype=np.int64)
             near = np.zeros(t.num_rows, dtype=bool)
             for k in range(t.num_rows - 1):
-                same = (sig[k + 1 :] == sig[k]).mean(axis=1) >= PLAUSIBLE
-                same &= (100 * np.minimum(n[k], n[k + 1 :]) >= 75 * np.maximum(n[k], n[k + 1 :]))
+                same = np.count_nonzero(low[k + 1 :] == low[k], axis=1) >= PLAUSIBLE * EMBED
+                same &= 100 * np.minimum(n[k], n[k + 1 :]) >= 75 * np.maximum(n[k], n[k + 1 :])
                 if same.any():
                     near[k] = True
                     near[k + 1 :] |= same
@@ -171,25 +178,33 @@ def plausible(classes: DataFrame, leaves: DataFrame) -> DataFrame:
                 nodes, gids = [], []
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(gids, pa.int64())], names=["node", "gid"])
 
-    return mapped(node_rows(classes, leaves, ["n", "sig"]), run, "node long, gid long")
+    return mapped(node_rows(classes, leaves, ["n", "low"]), run, "node long, gid long")
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """Exact sizes of all intersections, in slices of the shingles so that memory is bounded."""
+    """Exact sizes of all intersections. Shingles of one set alone are in none, so only shared ones are counted, in slices
+    that bound memory."""
     m = len(sets)
     owner = np.repeat(np.arange(m), [len(s) for s in sets])
     flat = np.concatenate(sets)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
-    number = np.cumsum(np.r_[True, flat[1:] != flat[:-1]]) - 1
-    out = np.zeros((m, m))
-    step = 1 << 14
+    fresh = np.r_[True, flat[1:] != flat[:-1]]
+    shared = ~fresh | ~np.r_[fresh[1:], True]
+    number, owner = (np.cumsum(fresh) - 1)[shared], owner[shared]
+    out = np.diag(np.array([len(s) for s in sets], dtype=np.float64))
+    if not len(number):
+        return out
+    number = np.cumsum(np.r_[True, number[1:] != number[:-1]]) - 1
+    off = np.zeros((m, m))
+    step = max(1 << 10, (1 << 22) // m)
     for a in range(0, int(number[-1]) + 1, step):
         lo, hi = np.searchsorted(number, [a, a + step])
         dense = np.zeros((m, min(step, int(number[hi - 1]) - a + 1)), dtype=np.float32)
         dense[owner[lo:hi], number[lo:hi] - a] = 1
-        out += dense @ dense.T
-    return out
+        off += dense @ dense.T
+    np.fill_diagonal(off, 0)
+    return out + off
 
 
 def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
@@ -254,24 +269,21 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         # the least label on either side of a link goes to both classes and to the classes that their labels name
         seen = edges.join(labels.select(F.col("gid").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("gid").alias("b"), F.col("label").alias("lb")), "b")
-        open_ = cut(seen.where("la <> lb").select(F.greatest("la", "lb").alias("from"), F.least("la", "lb").alias("to")).groupBy("from").agg(F.min("to").alias("to")))
-        if open_.isEmpty():
+        hooks = cut(seen.where("la <> lb").select(F.greatest("la", "lb").alias("label"), F.least("la", "lb").alias("to")).groupBy("label").agg(F.min("to").alias("to")))
+        if hooks.isEmpty():
             return labels
-        # follow the hooks among labels to their ends by pointer jumping; hooks only ever go down
-        while True:
-            jump = open_.alias("x").join(open_.select(F.col("from").alias("f"), F.col("to").alias("t")), F.col("to") == F.col("f"), "left")
-            far = cut(jump.select("from", F.coalesce("t", "to").alias("to"), F.col("t").isNotNull().alias("moved")))
-            open_ = far.select("from", "to")
-            if far.where("moved").isEmpty():
-                break
-        labels = cut(labels.join(open_.withColumnRenamed("from", "label"), "label", "left").select("gid", F.coalesce("to", "label").alias("label")))
+        # hooks go down only; following them twice doubles the reach of a round
+        far = labels.join(hooks, "label", "left").select("gid", F.coalesce("to", "label").alias("label"))
+        for _ in range(JUMPS):
+            far = far.join(hooks, "label", "left").select("gid", F.coalesce("to", "label").alias("label"))
+        labels = cut(far)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: the id, n_shingles, component_id, kept, and for joins back text_key (xxhash64 of the text)."""
     rows = cut(sketch(docs, id_col, text_col))
     classes = cut(
-        rows.where("n > 0").groupBy("digest").agg(F.min("row_id").alias("gid"), F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+        rows.where("n > 0").groupBy("digest").agg(F.min("row_id").alias("gid"), F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("low").alias("low"))
     )
 
     # the trees, level by level; only rows of nodes that are too large go on
