@@ -44,7 +44,7 @@ from .common import cut, groups, mapped, slices, string_list
 
 SHINGLE = 5
 EMBED = 128
-TREES, LEVELS, BRANCHES, LEAF = 10, 4, 2, 1024
+TREES, LEVELS, BRANCHES, LEAF = 10, 4, 1, 1024
 #: Agreement of minwise values below which a pair is not looked at: 0.75 less 4.4 standard deviations.
 PLAUSIBLE = 0.58
 BLOCK = 512
