@@ -132,6 +132,22 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, leaf):
         assert r["kept"] == (r["doc_id"] == r["component_id"])
 
 
+def test_near_duplicates_recall_at_every_depth():
+    rng = np.random.default_rng(8)
+    pairs = []
+    for _ in range(1500):  # 60 shared shingles of 80: similarity 0.75
+        x = rng.integers(0, 1 << 63, 80, dtype=np.uint64)
+        pairs += [x[:70], np.r_[x[:60], x[70:]]]
+    sig = near_dup.minwise(pairs)
+    same = sig[::2] == sig[1::2]
+    together = np.ones((len(same), near_dup.TREES), dtype=bool)
+    for level in range(near_dup.LEVELS):
+        together &= np.stack([same[:, p].any(axis=1) for p in near_dup.positions(level)], axis=1)
+        per = [len(near_dup.positions(k)[0]) for k in range(level + 1)]
+        assert (1 - np.prod([1 - 0.25**n for n in per])) ** near_dup.TREES < 1e-4
+        assert np.count_nonzero(~together.any(axis=1)) <= 2
+
+
 def test_near_duplicates_edge_cases(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (2, None)], "doc_id long, text string")
     got = sorted((str(r["doc_id"]), r["component_id"], r["kept"]) for r in near_dup.near_duplicates(df).collect())
