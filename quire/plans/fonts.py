@@ -1,4 +1,7 @@
-"""Queries of codes, glyphs and fonts: documents' characters stand for glyph uses, the language for the font."""
+"""Queries of codes, glyphs and fonts: documents' characters stand for glyph uses, the language for the font.
+
+The queries of these with a SQL twin read conversations, the role for the font, as their twins do; those named _documents
+read all characters of all documents."""
 
 from __future__ import annotations
 
@@ -13,7 +16,17 @@ def _uses(spark, d):
     """Characters of conversations: the role is the font, the glyph the code modulo 211, seq counts over each turn."""
     rows = table(spark, d, "conversations").select(F.col("role").alias("font_key"), F.col("conv_id").alias("page_no"), "turn", "text")
     each = rows.select("font_key", "page_no", "turn", F.posexplode(F.split("text", "")).alias("pos", "ch")).where("ch <> ''")
-    seq = (F.col("page_no") * 1000 + F.col("turn")) * 1000000 + F.col("pos")
+    return _coded(each, (F.col("page_no") * 1000 + F.col("turn")) * 1000000 + F.col("pos"))
+
+
+def _document_uses(spark, d):
+    """Characters of documents: the language is the font, seq counts over each whole text."""
+    rows = table(spark, d, "documents").select(F.col("lang").alias("font_key"), F.col("doc_id").alias("page_no"), "text")
+    each = rows.select("font_key", "page_no", F.posexplode(F.split("text", "")).alias("pos", "ch")).where("ch <> ''")
+    return _coded(each, F.col("page_no").cast("long") * (1 << 31) + F.col("pos"))
+
+
+def _coded(each, seq):
     code = F.conv(F.hex(F.encode("ch", "UTF-32")), 16, 10).cast("int")
     return each.select("font_key", "page_no", seq.alias("seq"), code.alias("ucs"), F.pmod(code * 7, F.lit(211)).cast("int").alias("gid"))
 
@@ -38,11 +51,40 @@ def glyph_codes(spark, d):
 
 
 def code_ranges(spark, d):
-    codes = _uses(spark, d).select("font_key", F.col("ucs").alias("code")).distinct()
+    return _ranges(_uses(spark, d))
+
+
+def _ranges(uses):
+    codes = uses.select("font_key", F.col("ucs").alias("code")).distinct()
     rank = F.dense_rank().over(Window.partitionBy("font_key").orderBy("code"))
     return fonts.ranges(codes.withColumn("gid", (F.col("code") + F.floor(rank / 20)).cast("int")))
 
 
+def first_code_wins_documents(spark, d):
+    return fonts.first_codes(_document_uses(spark, d), ["font_key", "gid"])
+
+
+def font_pairs_documents(spark, d):
+    return fonts.pairs(_document_uses(spark, d))
+
+
+def font_coverage_documents(spark, d):
+    """What other languages use beyond the characters of English, and all of English."""
+    uses = _document_uses(spark, d)
+    known = uses.where("font_key = 'en'").select(F.col("ucs").alias("code")).distinct()
+    other = table(spark, d, "documents").where("lang <> 'en'").select(F.col("lang").alias("font_key")).distinct()
+    found = fonts.coverage(uses, other.crossJoin(known))
+    return found.select("font_key", "total", "missing", F.array_join(F.transform("codes", lambda c: c.cast("string")), ",").alias("codes"))
+
+
+def glyph_codes_documents(spark, d):
+    return fonts.codes_of(_document_uses(spark, d)).select("font_key", "gid", F.array_join(F.transform("codes", lambda c: c.cast("string")), ",").alias("codes"))
+
+
+def code_ranges_documents(spark, d):
+    return _ranges(_document_uses(spark, d))
+
+
 def list_expansion(spark, d):
     kind = F.col("event_type")
     number = F.when(kind == "signup", F.col("event_id"))
@@ -65,7 +107,7 @@ def page_letters(spark, d):
 
 
 def glyph_assign(spark, d):
-    uses = _uses(spark, d).select("font_key", F.col("seq").alias("ord"), F.col("ucs").alias("code"), "gid")
+    uses = _document_uses(spark, d).select("font_key", F.col("seq").alias("ord"), F.col("ucs").alias("code"), "gid")
     return fonts.assign(uses.withColumn("letters", F.when(F.col("gid") == 5, "fi")))
 
 
@@ -84,7 +126,7 @@ def outline_deltas(spark, d):
     return fonts.deltas(points, ["user_id"], "event_id", 2.0)
 
 
-QUERIES = [first_code_wins, font_pairs, font_coverage, glyph_codes, code_ranges, list_expansion, first_registrations, named_glyphs, page_letters, glyph_assign, outline_boxes, face_metrics, outline_deltas]
+QUERIES = [first_code_wins, font_pairs, font_coverage, glyph_codes, code_ranges, first_code_wins_documents, font_pairs_documents, font_coverage_documents, glyph_codes_documents, code_ranges_documents, list_expansion, first_registrations, named_glyphs, page_letters, glyph_assign, outline_boxes, face_metrics, outline_deltas]
 USES = """raw AS (SELECT role AS font_key, conv_id AS page_no, turn, string_split(text, '') AS cs FROM conversations WHERE text <> ''),
 e AS (SELECT font_key, page_no, (page_no * 1000 + turn) * 1000000 + i AS seq, cast(unicode(cs[i + 1]) AS INTEGER) AS ucs FROM (SELECT *, unnest(range(0, len(cs))) AS i FROM raw)),
 uses AS (SELECT *, cast(ucs * 7 % 211 AS INTEGER) AS gid FROM e)"""
