@@ -106,6 +106,50 @@ def with_segments(rows: DataFrame, text: str = "text", scope: Scope = Scope(), b
     return ship(rows).withColumn("segments", of(F.col(text)))
 
 
+#: Segments of one batch from a worker, beyond which only the text at hand is finished.
+SLICE = 1 << 15
+
+
+def segment_rows(rows: DataFrame, key: str, text: str = "text", scope: Scope = Scope(), bounds: tuple[int, ...] = BOUNDS) -> DataFrame:
+    """(key, n, fixation, text, chars): the segments of each whole text, a row each, n from 0; null texts have none. A batch
+    holds few segments besides those of one text, however long the texts are."""
+    source = rows.select(key, F.col(text).alias("text"))
+    kind = source.schema[key].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        names = [key, "n", "fixation", "text", "chars"]
+        for batch in batches:
+            ids, at, n, fixed, parts = batch.column(0), [], [], [], []
+
+            def made(ids=ids):
+                return pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(n, pa.int32()), pa.array(fixed, pa.bool_()), pa.array(parts, pa.string()), pa.array([len(p) for p in parts], pa.int32())], names=names)
+
+            for own in range(batch.num_rows):
+                for k, (f, part) in enumerate(segments(batch.column(1)[own].as_py() or "", scope, bounds)):
+                    at.append(own)
+                    n.append(k)
+                    fixed.append(f)
+                    parts.append(part)
+                if len(parts) >= SLICE:
+                    yield made()
+                    at, n, fixed, parts = [], [], [], []
+            yield made()
+
+    return ship(source).mapInArrow(run, f"{key} {kind}, n int, fixation boolean, text string, chars int")
+
+
+def counts(rows: DataFrame, key: str, text: str = "text", scope: Scope = Scope(), bounds: tuple[int, ...] = BOUNDS) -> DataFrame:
+    """(key, fixed, chars) of each whole text; a null text counts as empty."""
+
+    @F.pandas_udf("long")
+    def of(texts):
+        return texts.map(lambda t: sum(marks(t or "", scope, bounds)))
+
+    return ship(rows).select(key, of(F.col(text)).alias("fixed"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("chars"))
+
+
 def with_joined_segments(runs: DataFrame, keys: list[str], scope: Scope = Scope(), bounds: tuple[int, ...] = BOUNDS) -> DataFrame:
     """(keys, first, parts): runs (keys, run_no, text, joins) of which each says whether it carries on the run before; the
     runs of one island are marked together."""

@@ -32,7 +32,9 @@ def space_marks(chars: DataFrame, page: list[str]) -> DataFrame:
     chars: page, seq, line, ch, seq ascending over the page."""
     w = Window.partitionBy(*page).orderBy("seq")
     space = is_space(F.col("ch"))
-    after = F.first(F.when(~space, F.col("seq")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    # seen from the end: a frame that begins at the row and has no end is read anew for each row
+    back = Window.partitionBy(*page).orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    after = F.last(F.when(~space, F.col("seq")), ignorenulls=True).over(back)
     marked = chars.select(
         *page, "seq", space.alias("_space"), after.alias("_after"), (F.lag("line").over(w) != F.col("line")).alias("_turn"), F.lag(space).over(w).alias("_before"),
     )

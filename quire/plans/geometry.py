@@ -39,13 +39,15 @@ def fixation_summary(spark, d):
     return rows.select("conv_id", "turn", fixed.cast("long").alias("fixed"), F.aggregate("segments", F.lit(0), lambda a, s: a + s["chars"]).cast("long").alias("chars"))
 
 
+def fixation_summary_documents(spark, d):
+    return fixation.counts(table(spark, d, "documents"), "doc_id")
+
+
 def fixation_segments(spark, d):
-    rows = table(spark, d, "pages").select("page_id", F.regexp_extract("html", "(?is)<h1[^>]*>(.*?)</h1>", 1).alias("text"))
-    scope = fixation.Scope("short")
-    return fixation.with_segments(rows, scope=scope).select("page_id", F.posexplode("segments").alias("n", "s")).select("page_id", "n", "s.fixation", "s.text", "s.chars")
+    return fixation.segment_rows(table(spark, d, "documents"), "doc_id", scope=fixation.Scope("short"))
 
 
-QUERIES = [eps_neighbours, eps_unique, eps_conflicts, script_safety, fixation_summary, fixation_segments]
+QUERIES = [eps_neighbours, eps_unique, eps_conflicts, script_safety, fixation_summary, fixation_summary_documents, fixation_segments]
 NEAR = "near AS (SELECT s_suppkey AS probe, c_custkey AS point, c_mktsegment AS code FROM supplier JOIN customer ON abs(s_acctbal / 100 - c_acctbal / 100) <= 0.05 AND abs(s_nationkey * 0.04::DOUBLE - c_nationkey * 0.04::DOUBLE) <= 0.05)"
 SQL = {
     "eps_neighbours": f"WITH {NEAR} SELECT probe, point FROM near",

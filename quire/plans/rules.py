@@ -67,33 +67,54 @@ def styled_spans(spark, d):
 
 
 def _chars(spark, d):
-    rows = table(spark, d, "conversations").select("conv_id", "turn", "text")
-    lines = rows.select("conv_id", "turn", F.posexplode(F.split("text", "\n", -1)).alias("l", "t"))
-    before = F.sum(F.length("t")).over(src_window())
+    return _placed(table(spark, d, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"])
+
+
+def _document_chars(spark, d):
+    return _placed(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"])
+
+
+def _placed(rows, keys):
+    lines = rows.select(*keys, F.posexplode(F.split("text", "\n", -1)).alias("l", "t"))
+    before = F.sum(F.length("t")).over(src_window(keys))
     placed = lines.withColumn("before", F.coalesce(before, F.lit(0)))
-    each = placed.select("conv_id", "turn", (F.col("l") + 1).alias("line"), "before", F.posexplode(F.filter(F.split("t", ""), lambda c: c != "")).alias("col", "ch"))
-    return each.select("conv_id", "turn", "line", (F.col("before") + F.col("col")).alias("seq"), "ch")
+    each = placed.select(*keys, (F.col("l") + 1).alias("line"), "before", F.posexplode(F.filter(F.split("t", ""), lambda c: c != "")).alias("col", "ch"))
+    return each.select(*keys, "line", (F.col("before") + F.col("col")).alias("seq"), "ch")
 
 
-def src_window():
+def src_window(keys):
     from pyspark.sql import Window
 
-    return Window.partitionBy("conv_id", "turn").orderBy("l").rowsBetween(Window.unboundedPreceding, -1)
+    return Window.partitionBy(*keys).orderBy("l").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _marks(chars, keys):
+    return spans.space_marks(chars, keys).groupBy(*keys, "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("targets"))
+
+
+def _joins(chars, keys):
+    pairs = chars.select(*keys, F.col("seq").alias("from"), (F.col("seq") + 3).alias("to"))
+    found = spans.joins(chars, pairs, keys)
+    return found.groupBy(*keys).agg(F.count_if("joins").alias("n"), F.coalesce(F.sum(F.when(F.col("joins"), F.col("from"))), F.lit(0)).alias("places"))
 
 
 def space_marks(spark, d):
-    marks = spans.space_marks(_chars(spark, d), ["conv_id", "turn"])
-    return marks.groupBy("conv_id", "turn", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("targets"))
+    return _marks(_chars(spark, d), ["conv_id", "turn"])
 
 
 def char_joins(spark, d):
-    chars = _chars(spark, d)
-    pairs = chars.select("conv_id", "turn", F.col("seq").alias("from"), (F.col("seq") + 3).alias("to"))
-    found = spans.joins(chars, pairs, ["conv_id", "turn"])
-    return found.groupBy("conv_id", "turn").agg(F.count_if("joins").alias("n"), F.coalesce(F.sum(F.when(F.col("joins"), F.col("from"))), F.lit(0)).alias("places"))
+    return _joins(_chars(spark, d), ["conv_id", "turn"])
+
+
+def space_marks_documents(spark, d):
+    return _marks(_document_chars(spark, d), ["doc_id"])
+
+
+def char_joins_documents(spark, d):
+    return _joins(_document_chars(spark, d), ["doc_id"])
 
 
-QUERIES = [rule_filter_lines, rule_match_counts, pattern_lists, title_patterns, rule_adoption, content_boxes, padded_boxes, styled_spans, space_marks, char_joins]
+QUERIES = [rule_filter_lines, rule_match_counts, pattern_lists, title_patterns, rule_adoption, content_boxes, padded_boxes, styled_spans, space_marks, char_joins, space_marks_documents, char_joins_documents]
 CHARS = """lines AS (SELECT conv_id, turn, string_split(text, '\n') AS l FROM conversations),
 chars AS (SELECT conv_id, turn, unnest(flatten(list_transform(range(0, len(l)), lambda i: list_transform(range(0, length(l[i + 1])), lambda j: {'line': i, 'ch': l[i + 1][j + 1]})))) AS c, unnest(range(0, cast(list_sum(list_transform(l, lambda x: length(x))) AS BIGINT))) AS seq FROM lines),
 ch AS (SELECT conv_id, turn, seq, c.line AS line, c.ch IN (' ', '\t', chr(160)) AS sp FROM chars)"""

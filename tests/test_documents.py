@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from quire.operators import fixation
 from quire.plans import registry
 
 TEXTS = [(0, "en", "fib fi\u00e9 the end"), (1, "de", "\u00fcber \U0001f600 caf\u00e9\nzwei"), (2, "en", ""), (3, "fr", None), (4, "de", "ab " * 40_000 + "\u4e2d"), (5, "es", "ni\u00f1o\t \nab  c\u00a0d")]
@@ -41,3 +42,37 @@ def test_font_queries(spark, folder):
     inside = {(f, c) for f, a, z, _ in collected(spark, folder, "code_ranges_documents") for c in range(a, z + 1)}
     assert inside == {(u[0], u[2]) for u in uses()}
     assert {(f, g) for f, g, _ in collected(spark, folder, "glyph_assign")} == {(u[0], u[3]) for u in uses()}
+
+
+def chars(text):
+    return [(line, c) for line, t in enumerate((text or "").split("\n")) for c in t]
+
+
+def test_fixation_queries(spark, folder):
+    scope = fixation.Scope("short")
+    want = [(i, n, f, s, len(s)) for i, _, t in TEXTS for n, (f, s) in enumerate(fixation.segments(t or "", scope))]
+    assert collected(spark, folder, "fixation_segments") == sorted(want)
+    assert collected(spark, folder, "fixation_summary_documents") == [(i, sum(fixation.marks(t or "")), len(t or "")) for i, _, t in TEXTS]
+
+
+def test_space_marks_and_joins(spark, folder):
+    marks, joins = {}, []
+    for i, _, t in TEXTS:
+        found, blank, after = chars(t), " \t\u00a0", None
+        hits = []
+        for k in range(len(found) - 1, -1, -1):
+            line, c = found[k]
+            if c in blank:
+                hits += [("space", after)] * (after is not None)
+            else:
+                if k and found[k - 1][0] != line and found[k - 1][1] not in blank:
+                    hits.append(("break", k))
+                after = k
+        for kind, at in hits:
+            n, total = marks.get((i, kind), (0, 0))
+            marks[i, kind] = n + 1, total + at
+        ok = [k for k in range(len(found) - 3) if found[k][0] == found[k + 3][0] and not any(c in blank for _, c in found[k : k + 4])]
+        if found:
+            joins.append((i, len(ok), sum(ok)))
+    assert collected(spark, folder, "space_marks_documents") == sorted((*k, *v) for k, v in marks.items())
+    assert collected(spark, folder, "char_joins_documents") == joins
