@@ -96,8 +96,17 @@ def first_registrations(spark, d):
 
 
 def named_glyphs(spark, d):
-    glyphs = table(spark, d, "part").select(F.col("p_brand").alias("font"), F.col("p_type").alias("name"), F.col("p_partkey").alias("gid"))
-    uses = table(spark, d, "part").where("p_size < 5").select("p_partkey", F.col("p_brand").alias("font"), F.col("p_type").alias("name"))
+    return _named(table(spark, d, "part").where("p_size < 5"), table(spark, d, "part"))
+
+
+def named_glyphs_whole(spark, d):
+    """named_glyphs for every part."""
+    return _named(table(spark, d, "part"), table(spark, d, "part"))
+
+
+def _named(parts, known):
+    glyphs = known.select(F.col("p_brand").alias("font"), F.col("p_type").alias("name"), F.col("p_partkey").alias("gid"))
+    uses = parts.select("p_partkey", F.col("p_brand").alias("font"), F.col("p_type").alias("name"))
     return fonts.named_glyph(uses, glyphs).select("p_partkey", "gid", fonts.entry_key(F.when(F.col("p_partkey") % 2 == 0, F.col("font")), F.col("name")).alias("entry"))
 
 
@@ -126,7 +135,7 @@ def outline_deltas(spark, d):
     return fonts.deltas(points, ["user_id"], "event_id", 2.0)
 
 
-QUERIES = [first_code_wins, font_pairs, font_coverage, glyph_codes, code_ranges, first_code_wins_documents, font_pairs_documents, font_coverage_documents, glyph_codes_documents, code_ranges_documents, list_expansion, first_registrations, named_glyphs, page_letters, glyph_assign, outline_boxes, face_metrics, outline_deltas]
+QUERIES = [first_code_wins, font_pairs, font_coverage, glyph_codes, code_ranges, first_code_wins_documents, font_pairs_documents, font_coverage_documents, glyph_codes_documents, code_ranges_documents, list_expansion, first_registrations, named_glyphs, named_glyphs_whole, page_letters, glyph_assign, outline_boxes, face_metrics, outline_deltas]
 USES = """raw AS (SELECT role AS font_key, conv_id AS page_no, turn, string_split(text, '') AS cs FROM conversations WHERE text <> ''),
 e AS (SELECT font_key, page_no, (page_no * 1000 + turn) * 1000000 + i AS seq, cast(unicode(cs[i + 1]) AS INTEGER) AS ucs FROM (SELECT *, unnest(range(0, len(cs))) AS i FROM raw)),
 uses AS (SELECT *, cast(ucs * 7 % 211 AS INTEGER) AS gid FROM e)"""

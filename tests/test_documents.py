@@ -76,3 +76,12 @@ def test_space_marks_and_joins(spark, folder):
             joins.append((i, len(ok), sum(ok)))
     assert collected(spark, folder, "space_marks_documents") == sorted((*k, *v) for k, v in marks.items())
     assert collected(spark, folder, "char_joins_documents") == joins
+
+
+def test_named_glyphs_of_all_parts(spark):
+    d = "/root/testdata/sf0.001"
+    parts = [(r["p_partkey"], r["p_brand"], r["p_type"]) for r in spark.read.parquet(f"{d}/part.parquet").collect()]
+    first = {}
+    for key, brand, kind in parts:
+        first[brand, kind] = min(first.get((brand, kind), key), key)
+    assert collected(spark, d, "named_glyphs_whole") == sorted((k, first[b, t], b if k % 2 == 0 else f"named\0{t}") for k, b, t in parts)
