@@ -5,8 +5,9 @@ and read again as the next one's docs. Each works on every row its predecessor k
 of documents (doc_id, text, lang, source, n_chars, and any others, as they came).
 
 Defined results: rows with a null or empty text fail the quality rules and go; of repeated rows (equal id and text) one
-stays; of each group of near-duplicates the document with the least id stays, and if that id names several texts of the
-group, one row of it; n_chars follows the text that the personal-data stage rewrites; an empty table stays empty and
+stays; of each group of near-duplicates the document with the least id stays (a null id only where the group has no other), and
+if that id names several texts of the group, one row of it; unrelated texts of one id all stay; rows without words are no
+copies; n_chars follows the text that the personal-data stage rewrites; an empty table stays empty and
 gives no sequence; columns of other names are carried along untouched, whatever they are called.
 """
 
@@ -40,12 +41,15 @@ def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_dup.near_duplicates(docs.select("doc_id", "text"))
-    # one (id, text) stays of each component; rows without an id or without words are components of their own
-    chosen = found.where("kept").groupBy("component_id").agg(F.min("text_key").alias("text_key")).select(F.col("component_id").alias("__id"), F.col("text_key").alias("__key"))
+    # one (id, text) stays of each component, a null id only where there is no other; a text without words is its own component
+    pair = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("p")
+    chosen = found.where("label is not null").groupBy("label").agg(pair).select("p.doc_id", "p.text_key")
+    chosen = chosen.unionByName(found.where("label is null and doc_id is not null").select("doc_id", "text_key")).distinct().toDF("__id", "__key")
     keyed = docs.withColumn("__key_of", F.xxhash64("text"))
-    one = keyed.join(chosen, (F.col("doc_id") == F.col("__id")) & (F.col("__key_of") == F.col("__key")), "left_semi")
+    alone = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
+    one = keyed.where(~alone).join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key_of") == F.col("__key")), "left_semi")
     named = one.dropDuplicates(["doc_id", "__key_of"]).select(*docs.columns)
-    return named.unionByName(docs.where("doc_id is null"))
+    return named.unionByName(docs.where(alone))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -280,7 +280,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: the id, n_shingles, component_id, kept, and for joins back text_key (xxhash64 of the text)."""
+    """One row per row of docs: the id, n_shingles, component_id, kept, and for joins back text_key (xxhash64 of the text)
+    and label, which tells components apart that one id names (null for a text without words)."""
     rows = cut(sketch(docs, id_col, text_col))
     classes = cut(
         rows.where("n > 0").groupBy("digest").agg(F.min("row_id").alias("gid"), F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("low").alias("low"))
@@ -334,7 +335,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(links)
     of_class = cut(classes.select("digest", "gid", "id").join(labels, "gid", "left").withColumn("label", F.coalesce("label", "gid")))
     least = cut(of_class.groupBy("label").agg(F.min("id").alias("component_id")))
-    lead = of_class.join(least, "label").select("digest", "component_id")
+    lead = of_class.join(least, "label").select("digest", "component_id", "label")
     out = rows.select("id", "text_key", "row_id", "n", "digest").join(lead, "digest", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"), "text_key")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"), "text_key", "label")

@@ -36,7 +36,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key", "label")
 
 
 def op7_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,3 +88,13 @@ def test_null_ids_survive(spark, folder):
     out = corpus_pipeline.near_dup_stage(spark, docs.where("doc_id < 20").unionByName(unnamed), folder)
     assert sorted(r["doc_id"] for r in out.where("doc_id is not null").collect()) == [*range(20)]
     assert out.where("doc_id is null").count() == 1
+
+
+def test_near_duplicates_of_shared_and_missing_ids(spark):
+    rng = random.Random(9)
+    a, b, c, e = (" ".join(f"{name}{rng.randrange(90)}" for _ in range(40)) for name in "abce")
+    rows = [(1, a), (1, b), (1, b), (2, a), (None, a), (None, c), (None, c), (None, e), (4, e), (None, ""), (None, ""), (3, " "), (3, c + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.near_dup_stage(spark, docs, "").collect()
+    want = [(1, a), (1, b), (4, e), (None, ""), (None, ""), (3, " "), (3, c + " more")]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
