@@ -24,23 +24,24 @@ def joined(runs: Column) -> Column:
     return F.array_join(F.transform(runs, tx.normalise), "")
 
 
-def starts(norm: Column, query: str, most: int = MAX_HITS) -> Column:
-    """Offsets of non-overlapping occurrences, left to right, `most` at most; none for an empty query."""
+def starts(norm: Column, query: str, most: int | None = MAX_HITS) -> Column:
+    """Offsets of non-overlapping occurrences, left to right, `most` at most or all; none for an empty query."""
     q = normal(query)
     if not q:
         return F.array().cast("array<int>")
     literal = "\\Q" + q.replace("\\E", "\\E\\\\E\\Q") + "\\E"
-    parts = F.slice(F.split(norm, literal, -1), 1, most + 1)
+    parts = F.split(norm, literal, -1)
+    parts = parts if most is None else F.slice(parts, 1, most + 1)
     sizes = F.transform(parts, F.length)
     step = lambda s, x: F.struct((s["at"] + x + len(q)).alias("at"), F.concat(s["out"], F.array(s["at"] + x)).alias("out"))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
     return F.aggregate(F.slice(sizes, 1, F.greatest(F.size(sizes) - 1, F.lit(0))), zero, step, lambda s: s["out"])
 
 
-def page_hits(runs: DataFrame, query: str, key: str = "page_id") -> DataFrame:
-    """(key, norm, starts): the hits of each page, capped per page."""
+def page_hits(runs: DataFrame, query: str, key: str = "page_id", most: int | None = MAX_HITS) -> DataFrame:
+    """(key, norm, starts): the hits of each page, capped per page unless `most` is None."""
     norm = runs.select(key, joined(F.col("runs")).alias("norm"))
-    return norm.withColumn("starts", starts(F.col("norm"), query))
+    return norm.withColumn("starts", starts(F.col("norm"), query, most))
 
 
 def hits(runs: DataFrame, query: str, key: str = "page_id", most: int = MAX_HITS) -> DataFrame:
@@ -67,9 +68,9 @@ def run_spans(runs: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def hit_runs(runs: DataFrame, query: str, key: str = "page_id") -> DataFrame:
-    """(key, start, run_no) for every run that a hit touches."""
+    """(key, start, run_no) for every run that a hit touches, of all hits of a page."""
     n = len(normal(query))
-    both = run_spans(runs, key).join(page_hits(runs, query, key).select(key, "starts"), key)
+    both = run_spans(runs, key).join(page_hits(runs, query, key, None).select(key, "starts"), key)
     each = both.select(key, "spans", F.explode("starts").alias("start"))
     touched = F.filter("spans", lambda s: (s["start"] < F.col("start") + n) & (s["end"] > F.col("start")))
     return each.select(key, "start", F.explode(touched).alias("r")).select(key, "start", F.col("r.run_no").alias("run_no"))

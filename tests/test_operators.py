@@ -99,6 +99,12 @@ def chars(spark, text):
     return spark.createDataFrame([(p, i, 1 + sum(i >= b for b in breaks), c) for p, i, c in out], "p int, seq int, line int, ch string"), line
 
 
+def test_hit_runs_of_all_hits(spark):
+    runs = spark.createDataFrame([(1, ["the "] * 1200)], "page_id long, runs array<string>")
+    got = sorted(map(tuple, search.hit_runs(runs, "the").collect()))
+    assert got == [(1, 3 * k, k) for k in range(1200)]
+
+
 def test_space_marks(spark):
     got = spans.space_marks(chars(spark, "a  b\nc d \ne ")[0], ["p"]).collect()
     assert sorted((r["seq"], r["kind"], r["target"]) for r in got) == [(1, "space", 3), (2, "space", 3), (4, "break", 4), (5, "space", 6), (7, "space", 8)]
