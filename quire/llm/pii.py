@@ -36,8 +36,6 @@ PHONE = DIGITS | frozenset(" ().-")
 VALUE = DIGITS | LETTERS | frozenset("-_./+")
 CUES = ("account", "acct", "iban", "passport", "ssn", "token", "api_key", "api key", "apikey", "secret", "password")
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "postgres://", "mysql://")
-#: Code points of a URL's authority that are looked at for user information; longer ones hold none.
-AUTHORITY = 256
 
 Span = tuple[int, int, str]
 
@@ -169,8 +167,8 @@ def account_after(text: str, end: int) -> Span | None:
 
 def login_after(text: str, end: int) -> Span | None:
     """The user information of a URL whose scheme ends at `end`."""
-    stop = min(len(text), end + AUTHORITY)
-    at = end
+    stop = len(text)
+    at = end  # every scheme holds a slash, so scans of one text never overlap
     while at < stop and not text[at].isspace() and text[at] not in "/?#@\"'<>":
         at += 1
     return (end, at, "login") if at < stop and text[at] == "@" and ":" in text[end:at] else None

@@ -50,6 +50,12 @@ def test_pii_added_and_masked(spark):
     assert pii.find("9" * 200_000) == [] and pii.find("@" * 1000) == []
 
 
+def test_pii_login_of_any_length():
+    text = "see https://jo:" + "k" * 5000 + "@host/x"
+    assert (12, 5015, "login") in pii.find(text) and "k" * 10 not in pii.masked(text)
+    assert not any(kind == "login" for _, _, kind in pii.find("ftp://" + "a:" * 40_000))
+
+
 def test_quality_counts_against_brute_force(spark):
     rng = random.Random(1)
     texts = [None, "", " \n\t", "a", "a b c a b c", "x y\nx y\n\nz", "#*$ %&|<>", *(" ".join(rng.choice("abcd") for _ in range(rng.randint(1, 80))) + rng.choice(["", "\nq\nq", " !!"]) for _ in range(60))]
