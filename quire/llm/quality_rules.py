@@ -43,16 +43,8 @@ def _tokens(text: str) -> str:
     return _words(f"regexp_replace({text}, '{SYMBOLS}', ' $0 ')")
 
 
-def _let(value: str, name: str, body: str) -> str:
-    """body with `name` bound to value, which is evaluated once."""
-    return f"transform(array({value}), {name} -> {body})[0]"
-
-
-def buckets_expr(words: str, buckets: int) -> str:
-    """The buckets of all unigrams and bigrams of an array of words."""
-    one = f"transform({words}, x -> cast(pmod(xxhash64(x), {buckets}) as int))"
-    two = f"transform({words}, (x, i) -> cast(pmod(xxhash64(x, get({words}, i + 1)), {buckets}) as int))"
-    return f"concat({one}, slice({two}, 1, greatest(size({words}) - 1, 0)))"
+def _bucket(buckets: int, *args: str) -> str:
+    return f"cast(pmod(xxhash64({', '.join(args)}), {buckets}) as int)"
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -65,8 +57,11 @@ def ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, id_col:
     ids = trusted.select(F.col(trusted.columns[0]).alias("tid")).where("tid is not null").distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, F.col("id") == F.col("tid"), "left")
-    grams = rows.select(F.col("tid").isNotNull().cast("long").alias("t"), F.explode(F.expr(_let(_tokens("text"), "g", buckets_expr("g", buckets)))).alias("b"))
+    rows = docs.select(F.col(named(id_col)).alias("id"), F.col(named(text_col)).alias("text")).join(ids, F.col("id") == F.col("tid"), "left")
+    # a row per token with its follower, then one per unigram and bigram; both are generated code
+    tokens = rows.select(F.col("tid").isNotNull().cast("long").alias("t"), F.expr(_tokens("text")).alias("g"))
+    paired = tokens.select("t", F.explode(F.arrays_zip(F.col("g").alias("a"), F.expr("slice(g, 2, greatest(size(g), 1))").alias("b"))).alias("p"))
+    grams = paired.select("t", F.explode(F.expr(f"array({_bucket(buckets, 'p.a')}, if(p.b is null, null, {_bucket(buckets, 'p.a', 'p.b')}))")).alias("b")).where("b is not null")
     found = {r["b"]: (r["raw"], r["target"]) for r in grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target")).collect()}  # at most `buckets` rows
     n_raw, n_target = (sum(x[k] for x in found.values()) for k in (0, 1))
     if not n_target:
@@ -78,40 +73,55 @@ def ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, id_col:
     return out
 
 
-def repeat_expr(words: str) -> str:
-    """Words in 3-word windows that occur twice or more, the first occurrence included."""
-    hashes = f"transform(sequence(0, size({words}) - 3), i -> xxhash64({words}[i], {words}[i + 1], {words}[i + 2]))"
-    again = "exists(sequence(1, size(s) - 1), j -> s[j] = s[j - 1])"
-    pairs = "array_sort(transform(h, (x, i) -> struct(x as x, i as i)))"
-    twice = "filter(p, (e, j) -> e.x = get(p, j - 1).x or e.x = get(p, j + 1).x)"
-    cover = f"size(array_distinct(flatten(transform({twice}, e -> array(e.i, e.i + 1, e.i + 2)))))"
-    count = f"case when size(h) < 2 then 0 when {_let('sort_array(h)', 's', again)} then {_let(pairs, 'p', cover)} else 0 end"
-    return f"case when size({words}) < 3 then 0L else cast({_let(hashes, 'h', count)} as bigint) end"
+def windows_expr(words: str) -> str:
+    """Hashes of the 3-word windows of an array of words."""
+    return f"case when size({words}) < 3 then cast(array() as array<bigint>) else transform(sequence(0, size({words}) - 3), i -> xxhash64({words}[i], {words}[i + 1], {words}[i + 2])) end"
+
+
+def repeat_expr(hashes: str) -> str:
+    """Words in windows that occur twice or more, the first occurrence included; hashes: of windows, in order."""
+    pairs = f"sort_array(transform({hashes}, (x, i) -> struct(x as x, i as i)))"
+    near = "zip_with(p, slice(p, 2, greatest(size(p), 1)), (d, e) -> if(d.x = e.x, array(d.i, e.i), null))"
+    cover = f"size(array_distinct(flatten(transform(flatten(filter({near}, e -> e is not null)), i -> array(i, i + 1, i + 2)))))"
+    return f"case when size(array_distinct({hashes})) = size({hashes}) then 0L else cast(transform(array({pairs}), p -> {cover})[0] as bigint) end"
+
+
+def unused(columns: list[str]) -> str:
+    """A prefix that begins no name of columns, whatever its case."""
+    prefix = "quire_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
+def named(column: str) -> str:
+    """A column's name as a plain reference, dots and backticks included."""
+    return "`" + column.replace("`", "``") + "`"
 
 
 def judge(docs: DataFrame, llr: list[float], threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """docs with the columns ADDED."""
-    table = F.split(F.lit(",".join(repr(x) for x in llr)), ",").cast("array<double>")  # folded to one literal
+    table = f"cast(split('{','.join(map(repr, llr))}', ',') as array<double>)"  # folded to one literal
     docs = docs.drop(*(c for c in ADDED if c != text_col))
-    # columns inside the lambda get names that no input column can clash with
-    held = docs.select("*", F.struct(F.col(text_col).alias("text"), table.alias("t")).alias("__quire"))
-    lines = f"filter(split(coalesce(__quire.text, ''), '\\n'), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')"
-    total = f"aggregate({buckets_expr('g', len(llr))}, 0D, (a, b) -> a + __quire.t[b]) / (2 * size(g) - 1)"
-    mean = _let(_tokens("__quire.text"), "g", f"case when size(g) = 0 then 0D else {total} end")
-    made = _let(
-        _words("__quire.text"),
-        "w",
-        f"""named_struct(
-            'n_words', cast(size(w) as bigint),
-            'word_chars', cast(length(array_join(w, '')) as bigint),
-            'n_symbols', cast(length(coalesce(__quire.text, '')) - length(translate(coalesce(__quire.text, ''), '#*$%&|<>', '')) as bigint),
-            'n_dup_lines', cast({_let(lines, 'l', 'size(l) - size(array_distinct(l))')} as bigint),
-            'n_repeat_words', {repeat_expr('w')},
-            'llr', {mean})""",
-    )
-    out = held.select(*docs.columns, F.expr(made).alias("__quire"))
-    failed: Column = F.expr("__quire.n_words < 50 or 100 * __quire.n_repeat_words > 50 * __quire.n_words")
-    return out.select(
-        *(F.col(f"`{c}`") for c in docs.columns), *(F.col(f"__quire.{c}").alias(c) for c in ADDED[:5]),
-        failed.alias("base_failed"), F.col("__quire.llr").alias("llr"), (~failed & (F.col("__quire.llr") >= threshold)).alias("kept"),
-    )
+    kept = [F.col(named(c)) for c in docs.columns]
+    p = unused(docs.columns)
+    text, w, g, h = f"coalesce({named(text_col)}, '')", f"{p}w", f"{p}g", f"{p}h"
+    split = docs.select(*kept, F.expr(_words(text)).alias(w), F.expr(_tokens(text)).alias(g))
+    hashed = split.select(*kept, w, g, F.expr(windows_expr(w)).alias(h))
+    n = len(llr)
+    ratio = f"zip_with({g}, slice({g}, 2, greatest(size({g}), 1)), (x, y) -> get({table}, {_bucket(n, 'x')}) + if(y is null, 0D, get({table}, {_bucket(n, 'x', 'y')})))"
+    mean = f"case when size({g}) = 0 then 0D else aggregate({ratio}, 0D, (a, b) -> a + b) / (2 * size({g}) - 1) end"
+    lines = f"filter(split({text}, '\\n'), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')"
+    made = {
+        "n_words": f"cast(size({w}) as bigint)",
+        "word_chars": f"cast(length(array_join({w}, '')) as bigint)",
+        "n_symbols": f"cast(regexp_count({text}, '[#*$%&|<>]') as bigint)",
+        "lines": lines,
+        "n_repeat_words": repeat_expr(h),
+        "llr": mean,
+    }
+    out = hashed.select(*kept, *(F.expr(e).alias(p + c) for c, e in made.items()))
+    failed: Column = F.expr(f"{p}n_words < 50 or 100 * {p}n_repeat_words > 50 * {p}n_words")
+    dup = F.expr(f"cast(size({p}lines) - size(array_distinct({p}lines)) as bigint)")
+    counts = [dup.alias(c) if c == "n_dup_lines" else F.col(p + c).alias(c) for c in ADDED[:5]]
+    return out.select(*kept, *counts, failed.alias("base_failed"), F.col(f"{p}llr").alias("llr"), (~failed & (F.col(f"{p}llr") >= threshold)).alias("kept"))
