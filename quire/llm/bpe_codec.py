@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe_model
-from .common import mapped, slices, string_list
+from .common import forgets, mapped, slices, string_list
 
 #: Entries of a worker's memo of token pairs, which is emptied when full; the memos of pieces and words have bounds of their own.
-PAIRS = 300_000
+PAIRS = 200_000
 
 
 class Codec(bpe_model.Encoder):
@@ -32,7 +32,6 @@ class Codec(bpe_model.Encoder):
 
     def __init__(self, model: bpe_model.BpeModel):
         super().__init__(model)
-        self.pairs: dict[tuple[int, int], bool] = {}
         self.exact = self.proposed = 0
         # a token may only be proposed if merging its own symbols builds it
         own = [(i, b, end) for i, (b, end) in model.spell.items()]
@@ -41,6 +40,10 @@ class Codec(bpe_model.Encoder):
         at = np.cumsum(counts) - counts
         self.built = {i for (i, _, _), n, first in zip(own, counts.tolist(), merged[at].tolist(), strict=True) if n == 1 and first == i}
 
+    def forget(self) -> None:
+        super().forget()
+        self.pairs: dict[tuple[int, int], bool] = {}
+
     def _symbols(self, spelled: list[tuple[bytes, bool]]) -> tuple[np.ndarray, np.ndarray]:
         m = self.model
         flat, sizes = m.symbols([b for b, _ in spelled])
@@ -102,6 +105,12 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
+@forgets
+def _forget() -> None:
+    for c in _CODECS.values():
+        c.forget()
+
+
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: the id, n_tokens, ids (binary, little-endian unsigned 32-bit)."""
     path = path or bpe_model.default_path()
@@ -123,10 +132,10 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or bpe_model.default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        token = bpe_model.tokens(path).__getitem__
         for whole in batches:
             for batch in slices(whole, "ids"):
-                texts = [c.decode(x or b"") for x in batch.column("ids").to_pylist()]
+                texts = [" ".join(map(token, np.frombuffer(x or b"", dtype="<u4").tolist())) for x in batch.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return mapped(encoded, run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))

@@ -6,9 +6,12 @@ import itertools
 import json
 import re
 import unicodedata
+from functools import cached_property
 
 import numpy as np
 
+from .common import MEMO_KEY, forgets
+
 NO_RANK = np.int64(1 << 40)
 #: Below this code point the pre-tokeniser is a character-class pattern built from Unicode categories; texts with
 #: characters from here on are normalised and split by the library's own components.
@@ -51,7 +54,8 @@ class BpeModel:
         if model["type"] != "BPE" or model.get("end_of_word_suffix") != "</w>":
             raise ValueError("expected a BPE vocabulary with word ends")
         self.path = path
-        self.library = Tokenizer.from_file(path)
+        # the library's normaliser and pre-tokeniser, without its vocabulary
+        self.splitter = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "post_processor": None, "decoder": None, "model": model | {"vocab": {}, "merges": [], "unk_token": None}}))
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.size = max([*self.vocab.values(), *self.special.values()]) + 1
@@ -78,14 +82,34 @@ class BpeModel:
         np.minimum.at(least, keys // self.size, self.ranks)
         np.minimum.at(least, keys % self.size, self.ranks)
         self.together = least[self.made] > np.arange(len(self.made))
-        # Greedy proposals look tokens up by their bytes.
-        self.inner = {bytes(self.to_byte[c] for c in t): i for t, i in self.vocab.items() if not t.endswith("</w>")}
-        self.final = {bytes(self.to_byte[c] for c in t[:-4]): i for t, i in self.vocab.items() if t.endswith("</w>")}
-        self.longest = max(map(len, [*self.inner, *self.final]))
-        self.spell: dict[int, tuple[bytes, bool]] = {i: (b, False) for b, i in self.inner.items()} | {i: (b, True) for b, i in self.final.items()}
         self.pattern, self.beyond = _plain_pattern(), _beyond_plain()
         self.cut_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
+    @cached_property
+    def library(self):
+        """The library's own tokenizer, to compare with."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    # -- tokens by their bytes, for greedy proposals ---------------------------------------------------------------
+
+    @cached_property
+    def inner(self) -> dict[bytes, int]:
+        return {bytes(self.to_byte[c] for c in t): i for t, i in self.vocab.items() if not t.endswith("</w>")}
+
+    @cached_property
+    def final(self) -> dict[bytes, int]:
+        return {bytes(self.to_byte[c] for c in t[:-4]): i for t, i in self.vocab.items() if t.endswith("</w>")}
+
+    @cached_property
+    def longest(self) -> int:
+        return max(map(len, [*self.inner, *self.final]))
+
+    @cached_property
+    def spell(self) -> dict[int, tuple[bytes, bool]]:
+        return {i: (b, False) for b, i in self.inner.items()} | {i: (b, True) for b, i in self.final.items()}
+
     # -- pre-tokens ---------------------------------------------------------------------------------------------
 
     def pieces(self, text: str) -> list[str]:
@@ -122,8 +146,8 @@ class BpeModel:
                     flat.append(w)
             ends.append(len(flat))
         for p in other:
-            normal = self.library.normalizer.normalize_str(p)
-            flat += [bytes(self.to_byte[c] for c in w).decode() for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+            normal = self.splitter.normalizer.normalize_str(p)
+            flat += [bytes(self.to_byte[c] for c in w).decode() for w, _ in self.splitter.pre_tokenizer.pre_tokenize_str(normal)]
             ends.append(len(flat))
         return [*pieces, *other], flat, ends
 
@@ -205,14 +229,17 @@ class BpeModel:
 
 
 class Encoder:
-    """Encodes texts by merging each new pre-token; bounded memos of pieces and words keep what was merged."""
+    """Encodes texts by merging each new pre-token; bounded memos of short pieces and words keep what was merged."""
 
-    #: Entries of a memo; when full, it keeps what the current batch uses.
-    MEMO = 400_000
+    #: Entries of a memo; when full, it keeps what the current batch uses. Long keys go with their batch.
+    MEMO = 250_000
 
     def __init__(self, model: BpeModel):
         self.model = model
         self.special = {p: np.array([i], dtype="<u4").tobytes() for p, i in model.special.items()}
+        self.forget()
+
+    def forget(self) -> None:
         self.memo: dict[str, bytes] = dict(self.special)
         self.known: dict[str, bytes] = {}
 
@@ -240,11 +267,13 @@ class Encoder:
                 self.known.update(zip(missing, self.encode_words([w.encode() for w in missing]), strict=True))
             ids = list(map(self.known.__getitem__, flat))
             memo.update(zip(new, [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends, strict=False)], strict=True))
-        return [b"".join(map(memo.__getitem__, ps)) for ps in cut]
-
-    def decode(self, ids: bytes) -> str:
-        """The text of ids in that form, special tokens included."""
-        return " ".join(map(self.model.token.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        out = [b"".join(map(memo.__getitem__, ps)) for ps in cut]
+        if new:
+            for held, keys in ((memo, new), (self.known, missing)):
+                for k in keys:
+                    if len(k) > MEMO_KEY:
+                        held.pop(k, None)
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -257,6 +286,12 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+@forgets
+def _forget() -> None:
+    for e in _ENCODERS.values():
+        e.forget()
+
+
 _MODELS: dict[str, BpeModel] = {}
 
 
@@ -267,6 +302,22 @@ def load(path: str) -> BpeModel:
     return _MODELS[path]
 
 
+_TOKENS: dict[str, list[str]] = {}
+
+
+def tokens(path: str) -> list[str]:
+    """The token of each id, without the rest of the model."""
+    if path not in _TOKENS:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        named = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        out = [""] * (max(named.values()) + 1)
+        for t, i in named.items():
+            out[i] = t
+        _TOKENS[path] = out
+    return _TOKENS[path]
+
+
 def default_path() -> str:
     import public_tokenizers
 

@@ -2,34 +2,47 @@
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Characters of text handled together inside a Python worker; bounds its memory whatever the Arrow batch holds.
+#: Bytes of text handled together inside a Python worker; bounds its memory whatever the Arrow batch holds.
 CHUNK_CHARS = 1 << 21
+#: Longer keys are never kept in a worker's memo, so a bound on entries bounds the bytes.
+MEMO_KEY = 64
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Only a run inside one process (local master: tests, trials) may leave it
+    unset, and gets a temporary one; a cluster without the setting is an error."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    held = sc._jsc.sc().getCheckpointDir()
+    if not held.isEmpty():
+        return held.get()
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="quire-checkpoint-")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder named by spark.checkpoint.dir.
+    """Cut the lineage with a reliable checkpoint in the shared folder.
 
     Spark deletes the files when the frame is no longer referenced and
-    spark.cleaner.referenceTracking.cleanCheckpoints is set. Only where the setting is unset (tests,
-    local runs) a temporary folder is taken.
+    spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if sc._jsc.sc().getCheckpointDir().isEmpty():
-            sc.setCheckpointDir(named)
-    elif sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quire-checkpoint-"))
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -50,9 +63,70 @@ def ship(df: DataFrame) -> DataFrame:
     return df
 
 
+_memos: list[Callable[[], None]] = []
+
+
+def forgets(empty: Callable[[], None]) -> Callable[[], None]:
+    """Register what empties a module's memos at the end of a task."""
+    _memos.append(empty)
+    return empty
+
+
+_hashes: dict[bytes, int] = {}
+_HASHES = 300_000
+forgets(_hashes.clear)
+
+
+def word_hashes(words: list[bytes]) -> list[int]:
+    """A 64-bit hash of each word, below 2**63; a bounded memo keeps those of short words."""
+    try:
+        return list(map(_hashes.__getitem__, words))
+    except KeyError:
+        pass
+    if len(_hashes) > _HASHES:
+        _hashes.clear()
+    made = {w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") >> 1 for w in set(words) if w not in _hashes}
+    found = [made[w] if w in made else _hashes[w] for w in words]
+    _hashes.update((w, h) for w, h in made.items() if len(w) <= MEMO_KEY)
+    return found
+
+
+def release() -> None:
+    """Empty the memos and hand freed memory back, for workers are kept for other stages."""
+    for empty in _memos:
+        empty()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def mapped(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow(run, schema), with the package at hand in the workers."""
-    return ship(df).mapInArrow(run, schema)
+    """df.mapInArrow(run, schema), with the package at hand in the workers, whose memos end with the task."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return ship(df).mapInArrow(whole, schema)
+
+
+def arrow_type(batch: pa.RecordBatch, name: str) -> pa.DataType:
+    return batch.schema.field(name).type
+
+
+def rewritten(df: DataFrame, text: int, change: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    """df with every bounded slice of its batches changed to one of the same columns; text: the text column's place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, text):
+                yield change(batch)
+
+    return mapped(df, run, df.schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,7 +138,7 @@ def string_list(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str | int, limit: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about `limit` bytes of text (one row at least)."""
     import pyarrow.compute as pc
 

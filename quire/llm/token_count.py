@@ -20,17 +20,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe_model
-from .common import mapped, slices, string_list
+from .common import MEMO_KEY, forgets, mapped, slices, string_list
 
 #: Entries of a worker's memo; when full, it keeps what the current batch uses; this bounds memory and changes no result.
-MEMO = 600_000
+MEMO = 400_000
 
 _memo: dict[str, dict[str, int]] = {}
+forgets(_memo.clear)
 
 
 def count_texts(model: bpe_model.BpeModel, texts: list[str]) -> list[int]:
     special = dict.fromkeys(model.special, 1)
-    memo = _memo.setdefault(model.path, special)
+    memo = _memo.setdefault(model.path, dict(special))
     cut = [model.pieces(t) for t in texts]
     used = set(itertools.chain.from_iterable(cut))
     new = list(used.difference(memo))
@@ -45,7 +46,11 @@ def count_texts(model: bpe_model.BpeModel, texts: list[str]) -> list[int]:
             size = dict(zip(words, sizes.tolist(), strict=True))
         total = [0, *itertools.accumulate(map(size.__getitem__, flat))]
         memo.update(zip(new, [total[b] - total[a] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
-    return [sum(map(memo.__getitem__, ps)) for ps in cut]
+    out = [sum(map(memo.__getitem__, ps)) for ps in cut]
+    for p in new:
+        if len(p) > MEMO_KEY:
+            memo.pop(p, None)
+    return out
 
 
 def token_counts(docs: DataFrame, limit: int = 2048, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
