@@ -4,49 +4,58 @@ Terms are the words between ASCII blanks after lower-casing A-Z, a query is the
 sums of integer impacts (BM25 contributions times SCALE, rounded), so they do not depend on the order of additions; ties
 go to the lower id.
 
-Queries are handled in blocks of bounded size (BLOCK_TERMS distinct-term entries, so what is broadcast is bounded
-whatever the corpus holds). For a block, one pass over the documents counts the global statistics (documents, words,
-document frequencies), and one pass runs the search: every task cuts its part of the scan into shards of SHARD_BYTES of
-text, inverts each, and keeps the postings of a term in runs of RUN documents with the run's greatest impact. For each
-query the runs' upper bounds are summed; runs are scored best bound first, and a run whose bound is below the k-th best
-score so far - carried from shard to shard - is skipped. The tasks' top k are merged exactly, as all use global statistics.
+One pass over the documents inverts shards of SHARD_BYTES of text and writes them, one row each, to the shared folder.
+The global statistics (documents, words, document frequencies of the queries' terms) are sums over the shards. Queries
+are handled in blocks of BLOCK_TERMS distinct-term entries, so what is collected and broadcast is bounded whatever the
+corpus holds; a block is searched first in a few shards, whose k-th best scores are lower bounds everywhere, then in the
+rest. For a query in a shard:
+1. its terms are ordered by their greatest contribution there; the pivot is the term at which the sum of these, from the
+   least on, reaches the k-th best score so far. A document that holds no term from the pivot on can't enter the result,
+   and a shard without a pivot is skipped whole;
+2. the postings from the pivot on are scored;
+3. to each document's sum the block maxima (blocks of RUN documents) of the terms before the pivot are added; only
+   where the k-th best score is still in reach, these terms are looked up and scored too.
+The shards' top k are merged exactly, as all use global statistics.
 
 Defined results: a query without terms, or whose terms no document holds, has no rows; documents without terms are never
-found; a document finds itself; fewer than k matching documents give fewer rows; repeated rows are documents of their own;
-rows with a null id are counted in the statistics, but neither queries nor results; an empty table gives an empty result;
-other columns are not read.
+found; a document finds itself; fewer than k matching documents give fewer rows; repeated rows are documents of their own,
+but rows of one query id are asked once, with the least of their texts; ids are integers of any width (another type is an
+error); rows with a null id are counted in the statistics, but neither queries nor results; very long texts make shards of
+their own; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, mapped, slices, string_list
+from .common import cut, mapped, slices, string_list, word_hashes
 
 K, K1, B = 10, 1.2, 0.75
 SCALE = 1_000_000
-BLOCK_TERMS = 2_000_000
-SHARD_BYTES, RUN, FIRST_RUNS = 1 << 24, 32, 8
+BLOCK_TERMS = 1_000_000
+#: RUN: documents of a block with maxima of its own.
+SHARD_BYTES, RUN = 1 << 25, 256
+#: Share of the shards that a block of queries is searched in first.
+SEEDS = 1 / 16
+#: A lookup of one posting costs about as much as scoring so many in a row.
+LOOKUP = 8
 
-_known: dict[bytes, int] = {}
-_KNOWN = 400_000
+#: Stands for a null id in a shard.
+NO_ID = np.iinfo(np.int64).min
+
+INDEX = "shard long, n long, length long, ids binary, lengths binary, terms binary, firsts binary, docs binary, counts binary, wide boolean"
 
 
 def terms(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The distinct terms of a text, as sorted 64-bit hashes, and their counts."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    if len(_known) > _KNOWN:
-        _known.clear()
-    for w in words:
-        if w not in _known:
-            _known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True)
-    return np.unique(np.fromiter(map(_known.__getitem__, words), dtype=np.int64, count=len(words)), return_counts=True)
+    return np.unique(np.array(word_hashes(words), dtype=np.int64), return_counts=True)
 
 
 def ranges(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -58,145 +67,225 @@ def ranges(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
 
 
+def invert(shard: int, n: int, docs: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple:
+    """An index row of documents (id, terms, counts); n: all documents read for it, those without id or terms too."""
+    sizes = np.array([len(t) for _, t, _ in docs], dtype=np.int64)
+    term = np.concatenate([t for _, t, _ in docs]) if docs else np.empty(0, np.int64)
+    count = np.concatenate([c for _, _, c in docs]) if docs else np.empty(0, np.int64)
+    doc = np.repeat(np.arange(len(docs)), sizes)
+    order = np.argsort(term, kind="stable")
+    term, count, doc = term[order], count[order], doc[order]
+    first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.empty(0, np.int64)
+    wide = len(docs) > 1 << 16 or (len(count) > 0 and int(count.max()) >= 1 << 16)
+    small = np.uint32 if wide else np.uint16
+    lengths = np.array([c.sum() for _, _, c in docs], dtype=np.int64)
+    ids = np.array([d for d, _, _ in docs], dtype=np.int64)
+    arrays = (ids, lengths, term[first], np.r_[first, len(term)].astype(np.int64), doc.astype(small), count.astype(small))
+    return (shard, n, *(a.tobytes() for a in arrays), wide)
+
+
 class Shard:
-    """An inverted index of some documents over the terms of a query block."""
-
-    def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, average: float, docs: list[tuple[int, np.ndarray, np.ndarray]]):
-        self.ids = np.array([d for d, _, _ in docs], dtype=np.int64)
-        sizes = np.array([len(t) for _, t, _ in docs])
-        doc = np.repeat(np.arange(len(docs)), sizes)
-        length = np.repeat(np.array([c.sum() for _, _, c in docs], dtype=np.float64), sizes)
-        term = np.concatenate([t for _, t, _ in docs])
-        count = np.concatenate([c for _, _, c in docs]).astype(np.float64)
+    """An index row, as far as the terms of a query block go."""
+
+    def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, average: float, row: dict):
+        small = np.uint32 if row["wide"] else np.uint16
+        self.ids, lengths, term, first = (np.frombuffer(row[c], dtype=np.int64) for c in ("ids", "lengths", "terms", "firsts"))
         at = np.minimum(np.searchsorted(vocabulary, term), len(vocabulary) - 1)
-        own = vocabulary[at] == term
-        at, doc, count, length = at[own], doc[own], count[own], length[own]
-        impact = np.rint(idf[at] * (count * (K1 + 1) / (count + K1 * (1 - B + B * length / average))) * SCALE).astype(np.int64)
-        order = np.lexsort((doc, at))
-        at, self.doc, self.impact = at[order], doc[order], impact[order]
-        # entries: runs of a term's postings that lie in the same run of documents
-        runs = len(docs) // RUN + 1
-        key = at * runs + self.doc // RUN
-        self.begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, dtype=np.int64)
-        self.end = np.r_[self.begin[1:], len(key)] if len(key) else self.begin
-        self.run = key[self.begin] % runs
-        self.most = np.maximum.reduceat(self.impact, self.begin) if len(key) else self.impact
-        self.first = np.searchsorted(key[self.begin] // runs, np.arange(len(vocabulary) + 1))
-        self.runs = runs
-
-    def search(self, query: np.ndarray, weight: np.ndarray, scores: np.ndarray, found: np.ndarray) -> int:
-        """Update one query's best scores and ids, in place; returns how many postings were scored."""
-        entry = ranges(self.first[query], self.first[query + 1])
-        if not len(entry):
+        own = np.flatnonzero(vocabulary[at] == term)
+        self.absent = np.flatnonzero(self.ids == NO_ID)  # counted, never found
+        self.n, self.term = len(self.ids), at[own]  # the numbers in the vocabulary of the terms held, ascending
+        sizes = first[own + 1] - first[own]
+        posting = ranges(first[own], first[own + 1])
+        self.first = np.r_[0, np.cumsum(sizes)]
+        self.doc = np.frombuffer(row["docs"], dtype=small)[posting].astype(np.int64)
+        count = np.frombuffer(row["counts"], dtype=small)[posting].astype(np.float64)
+        length = lengths[self.doc].astype(np.float64)
+        self.impact = np.rint(np.repeat(idf[self.term], sizes) * (count * (K1 + 1) / (count + K1 * (1 - B + B * length / average))) * SCALE)
+        number = np.repeat(np.arange(len(own)), sizes)
+        self.key = number * self.n + self.doc
+        # maxima by block of documents, for terms with more postings than there are blocks
+        self.blocks = self.n // RUN + 1
+        self.block_of = np.arange(self.n) // RUN
+        self.most = np.maximum.reduceat(self.impact, self.first[:-1]) if len(own) else np.empty(0)
+        many = sizes > self.blocks
+        self.row = np.where(many, np.cumsum(many) - 1, -1)
+        self.table = np.zeros((int(many.sum()), self.blocks))
+        held = many[number]
+        np.maximum.at(self.table, (self.row[number[held]], self.doc[held] // RUN), self.impact[held])
+
+    def search(self, query: np.ndarray, weight: np.ndarray, floor: float, scores: np.ndarray, found: np.ndarray) -> int:
+        """Update one query's best scores and ids, in place; returns how many postings were scored or looked up. No score
+        below `floor` is wanted."""
+        at = np.searchsorted(self.term, query)
+        held = at < len(self.term)
+        held[held] = self.term[at[held]] == query[held]
+        at, weight = at[held], weight[held]
+        if not len(at):
             return 0
-        weights = np.repeat(weight, self.first[query + 1] - self.first[query])
-        run = self.run[entry]
-        bound = np.bincount(run, weights * self.most[entry], minlength=self.runs)
-        best = np.argsort(-bound, kind="stable")
-        best = best[bound[best] > 0]
-        done, step, seen = 0, FIRST_RUNS, 0
-        chosen = np.zeros(self.runs, dtype=bool)
-        while done < len(best):
-            # bounds are sums of integers below 2**53, hence exact; equal bounds may still win a tie
-            part = best[done : done + step]
-            part = part[bound[part] >= scores[-1]]
-            if not len(part):
-                break
-            chosen[:] = False
-            chosen[part] = True
-            own = chosen[run]
-            posting = ranges(self.begin[entry[own]], self.end[entry[own]])
-            seen += len(posting)
-            w = np.repeat(weights[own], self.end[entry[own]] - self.begin[entry[own]])
-            total = np.bincount(self.doc[posting], w * self.impact[posting], minlength=len(self.ids)).astype(np.int64)
-            hit = np.flatnonzero((total > 0) & (total >= scores[-1]))
-            s, d = np.r_[scores, total[hit]], np.r_[found, self.ids[hit]]
-            order = np.lexsort((d, -s))[: len(scores)]
-            scores[:], found[:] = s[order], d[order]
-            done += step
-            step *= 4
+        floor = max(floor, scores[-1])
+        most = weight * self.most[at]
+        order = np.argsort(most, kind="stable")
+        at, weight, most = at[order], weight[order], most[order]
+        # sums of integers below 2**53 are exact; equal scores may still win a tie
+        pivot = int(np.searchsorted(np.cumsum(most), floor, side="left"))
+        if pivot == len(at):
+            return 0
+        begin, end = self.first[at], self.first[at + 1]
+        sizes = end - begin
+        posting = ranges(begin[pivot:], end[pivot:])
+        total = np.bincount(self.doc[posting], np.repeat(weight[pivot:], sizes[pivot:]) * self.impact[posting], minlength=self.n)
+        total[self.absent] = 0
+        seen = len(posting)
+        if pivot:
+            row = self.row[at[:pivot]]
+            tabled = row >= 0
+            reach = weight[:pivot][tabled] @ self.table[row[tabled]] + most[:pivot][~tabled].sum()
+            hit = np.flatnonzero((total > 0) & (total + reach[self.block_of] >= floor))
+            rest = int(sizes[:pivot].sum())
+            if len(hit) * pivot * LOOKUP < rest:
+                key = (at[:pivot, None] * self.n + hit).ravel()
+                place = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+                there = self.key[place] == key
+                gain = np.where(there, self.impact[place], 0).reshape(pivot, len(hit))
+                own = total[hit] + weight[:pivot] @ gain
+                seen += len(key)
+            elif len(hit):
+                posting = ranges(begin[:pivot], end[:pivot])
+                total += np.bincount(self.doc[posting], np.repeat(weight[:pivot], sizes[:pivot]) * self.impact[posting], minlength=self.n)
+                own = total[hit]
+                seen += len(posting)
+            else:
+                return seen
+        else:
+            hit = np.flatnonzero(total)
+            own = total[hit]
+        k = len(scores)
+        if len(own) > k:
+            floor = max(floor, np.partition(own, -k)[-k])
+        good = own >= floor
+        s, d = np.r_[scores, own[good].astype(np.int64)], np.r_[found, self.ids[hit[good]]]
+        order = np.lexsort((d, -s))[:k]
+        scores[:], found[:] = s[order], d[order]
         return seen
 
 
-def _vectors(rows: DataFrame, kind: str) -> DataFrame:
-    """(id, terms, counts) of rows (id, text)."""
+def _vectors(rows: DataFrame) -> DataFrame:
+    """(id, terms, counts, n) of rows (id, text); terms and counts as 64-bit integers in binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 made = [terms(t) for t in string_list(batch.column("text"))]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([t for t, _ in made], pa.list_(pa.int64())), pa.array([c for _, c in made], pa.list_(pa.int64()))], names=["id", "terms", "counts"])
+                cols = [pa.array([t.tobytes() for t, _ in made], pa.binary()), pa.array([c.astype(np.int64).tobytes() for _, c in made], pa.binary()), pa.array([len(t) for t, _ in made], pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *cols], names=["id", "terms", "counts", "n"])
+
+    return mapped(rows, run, "id long, terms binary, counts binary, n long")
+
+
+def index(source: DataFrame) -> DataFrame:
+    """One row (INDEX) per shard of rows (id, text), in the shared folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = TaskContext.get().partitionId() << 32
+        held: list[tuple[int, np.ndarray, np.ndarray]] = []
+        size, n, length = 0, 0, 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal shard, size, n, length
+            made = invert(shard, n, held)
+            made = (*made[:2], length, *made[2:])
+            shard, size, n, length = shard + 1, 0, 0, 0
+            held.clear()
+            types = [pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 6, pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(made, types, strict=True)], names=[c.split()[0] for c in INDEX.split(", ")])
+
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                for d, t in zip(batch.column("id").to_pylist(), string_list(batch.column("text")), strict=True):
+                    h, c = terms(t)
+                    n, size, length = n + 1, size + len(t), length + int(c.sum())
+                    if len(h):
+                        held.append((NO_ID if d is None else d, h, c))
+                if size >= SHARD_BYTES:
+                    yield flush()
+        if n:
+            yield flush()
 
-    return mapped(rows, run, f"id {kind}, terms array<long>, counts array<long>")
+    return cut(mapped(source, run, INDEX))
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (query_id, rank, id, score) of the k best docs for each row of queries (same columns as docs); ids are integers."""
+def search(docs: DataFrame, queries: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text", tally=None) -> DataFrame:
+    """Rows (query_id, rank, id, score) of the k best docs for each row of queries (same columns as docs); ids are integers.
+
+    tally: an accumulator that gets the number of postings scored or looked up."""
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    asked = cut(_vectors(queries.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null"), "long").where("size(terms) > 0"))
-    total = asked.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // BLOCK_TERMS))
+    for frame in (docs, queries):
+        if frame.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+            raise ValueError(f"ids must be integers: {id_col}")
+    shards = index(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
+    asking = queries.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    asked = cut(_vectors(asking.groupBy("id").agg(F.min("text").alias("text"))).where("n > 0"))
+    entries = asked.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n, words, count = shards.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("length"), F.lit(0)), F.count(F.lit(1))).first()
+    average = max(words, 1) / max(n, 1)
+    share = max(SEEDS, 1.5 / max(count, 1))
+    first = F.xxhash64("shard") / F.lit(2.0**64) + F.lit(0.5) < share
+    blocks = max(1, -(-entries // BLOCK_TERMS))
+    none = np.iinfo(np.int64).max
     out = None
     for block in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).orderBy("id").collect()  # about BLOCK_TERMS terms
+        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).orderBy("id").collect()  # about BLOCK_TERMS entries
         if not part:
             continue
-        vocabulary = np.unique(np.concatenate([np.array(r["terms"], dtype=np.int64) for r in part]))
-        words = spark.sparkContext.broadcast(vocabulary)
-
-        def count(batches: Iterator[pa.RecordBatch], words=words) -> Iterator[pa.RecordBatch]:
-            own = words.value
-            seen, n, length = np.zeros(len(own), dtype=np.int64), 0, 0
-            for whole in batches:
-                for batch in slices(whole, "text"):
-                    for t in string_list(batch.column("text")):
-                        h, c = terms(t)
-                        n, length = n + 1, length + int(c.sum())
-                        at = np.minimum(np.searchsorted(own, h), len(own) - 1)
-                        seen[at[own[at] == h]] += 1
+        own = [(r["id"], np.frombuffer(r["terms"], np.int64), np.frombuffer(r["counts"], np.int64)) for r in part]
+        vocabulary = np.unique(np.concatenate([t for _, t, _ in own]))
+        known = spark.sparkContext.broadcast(vocabulary)
+
+        def df_of(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+            wanted = known.value
+            seen = np.zeros(len(wanted), dtype=np.int64)
+            for batch in batches:
+                for t, f in zip(batch.column("terms").to_pylist(), batch.column("firsts").to_pylist(), strict=True):
+                    t = np.frombuffer(t, dtype=np.int64)
+                    at = np.minimum(np.searchsorted(wanted, t), len(wanted) - 1)
+                    held = wanted[at] == t
+                    seen[at[held]] += np.diff(np.frombuffer(f, dtype=np.int64))[held]
             held = np.flatnonzero(seen)
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[held, -1, -2]), pa.array(np.r_[seen[held], n, length])], names=["term", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(seen[held])], names=["term", "n"])
 
-        sums = {r["term"]: r["n"] for r in mapped(source, count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # a row per term of the block
-        n, average = sums.pop(-1, 0), max(sums.pop(-2, 0), 1)
-        average /= max(n, 1)
+        sums = mapped(shards.select("terms", "firsts"), df_of, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row per term of the block
         df = np.zeros(len(vocabulary))
-        df[np.fromiter(sums, dtype=np.int64, count=len(sums))] = np.fromiter(sums.values(), dtype=np.float64, count=len(sums))
+        df[sums["term"].to_numpy()] = sums["n"].to_numpy()
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        ask = spark.sparkContext.broadcast((vocabulary, idf, average, [(r["id"], np.searchsorted(vocabulary, np.array(r["terms"], dtype=np.int64)), np.array(r["counts"], dtype=np.float64)) for r in part]))
-
-        def find(batches: Iterator[pa.RecordBatch], ask=ask) -> Iterator[pa.RecordBatch]:
-            vocabulary, idf, average, asks = ask.value
-            scores = np.zeros((len(asks), k), dtype=np.int64)
-            found = np.full((len(asks), k), np.iinfo(np.int64).max)
-            held: list[tuple[int, np.ndarray, np.ndarray]] = []
-            size = 0
-
-            def flush() -> None:
-                nonlocal size
-                if held:
-                    shard = Shard(vocabulary, idf, average, held)
-                    for q, (_, query, weight) in enumerate(asks):
-                        shard.search(query, weight, scores[q], found[q])
-                held.clear()
-                size = 0
-
-            for whole in batches:
-                for batch in slices(whole, "text"):
-                    for d, t in zip(batch.column("id").to_pylist(), string_list(batch.column("text")), strict=True):
-                        size += len(t)
-                        h, c = terms(t)
-                        if d is not None and len(h):
-                            held.append((d, h, c))
-                    if size >= SHARD_BYTES:
-                        flush()
-            flush()
-            q, r = np.nonzero(scores)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([a for a, _, _ in asks], dtype=np.int64)[q]), pa.array(found[q, r]), pa.array(scores[q, r])], names=["query_id", "id", "s"])
-
-        own = mapped(source, find, "query_id long, id long, s long")
-        out = own if out is None else out.unionByName(own)
+        asks = [(i, np.searchsorted(vocabulary, t), c.astype(np.float64)) for i, t, c in own]
+        ask = spark.sparkContext.broadcast((vocabulary, idf, asks))
+
+        def find(floors):
+            def run(batches: Iterator[pa.RecordBatch], ask=ask) -> Iterator[pa.RecordBatch]:
+                vocabulary, idf, asks = ask.value
+                least = floors.value if floors is not None else np.zeros(len(asks))
+                scores = np.zeros((len(asks), k), dtype=np.int64)
+                found = np.full((len(asks), k), none)
+                seen = 0
+                for batch in batches:
+                    for at in range(batch.num_rows):
+                        shard = Shard(vocabulary, idf, average, batch.slice(at, 1).to_pylist()[0])
+                        for q, (_, query, weight) in enumerate(asks):
+                            seen += shard.search(query, weight, least[q], scores[q], found[q])
+                if tally is not None:
+                    tally.add(seen)
+                q, r = np.nonzero(scores)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([a for a, _, _ in asks], dtype=np.int64)[q]), pa.array(found[q, r]), pa.array(scores[q, r])], names=["query_id", "id", "s"])
+
+            return run
+
+        schema = "query_id long, id long, s long"
+        seeds = cut(mapped(shards.where(first), find(None), schema))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "id"))
+        kth = {r["query_id"]: r["s"] for r in seeds.withColumn("r", rank).where(F.col("r") == k).collect()}  # a row per query of the block
+        floors = spark.sparkContext.broadcast(np.array([kth.get(i, 0) for i, _, _ in asks], dtype=np.float64))
+        got = seeds.unionByName(mapped(shards.where(~first), find(floors), schema))
+        out = got if out is None else out.unionByName(got)
     if out is None:
         return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "id"))

@@ -247,3 +247,38 @@ def test_search_against_brute_force(spark, monkeypatch):
         want = sorted(total.items(), key=lambda x: (-x[1], x[0]))[:5]
         assert [(d, round(s * search.SCALE)) for _, d, s in sorted(got.get(q, []))] == want
     assert search.search(df.limit(0), df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("run", [2, 256])
+def test_search_prunes_without_loss(spark, monkeypatch, run):
+    """Repeated query rows, null ids, equal scores, several query blocks and pruned shards against scoring everything."""
+    monkeypatch.setattr(search, "RUN", run)
+    monkeypatch.setattr(search, "SHARD_BYTES", 6000)
+    monkeypatch.setattr(search, "BLOCK_TERMS", 300)
+    rng = random.Random(19)
+    common, rare = [f"c{i}" for i in range(12)], [f"r{i}" for i in range(900)]
+    texts = [" ".join([rng.choice(common) for _ in range(30)] + [rng.choice(rare) for _ in range(rng.randint(0, 12))]) for _ in range(400)]
+    texts[7] = texts[6] = texts[0]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (3, texts[3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    tally = spark.sparkContext.accumulator(0)
+    asked = df.where("doc_id % 20 = 0 or doc_id = 3")
+    got: dict[int, list] = {}
+    for r in search.search(df, asked, 4, tally=tally).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["doc_id"], round(r["score"] * search.SCALE)))
+    bags = [(i, collections.Counter(t.split())) for i, t in rows]
+    n, df_of = len(rows), collections.Counter(w for _, b in bags for w in b)
+    average = sum(sum(b.values()) for _, b in bags) / n
+    postings = 0
+    for q in sorted({i for i in range(400) if i % 20 == 0} | {3}):
+        own = collections.Counter(texts[q].split())
+        postings += sum(df_of[w] for w in own)
+        total = []
+        for d, b in bags:
+            s = sum(f * round(np.log(1 + (n - df_of[w] + 0.5) / (df_of[w] + 0.5)) * (b[w] * 2.2 / (b[w] + 1.2 * (0.25 + 0.75 * sum(b.values()) / average))) * search.SCALE) for w, f in own.items() if w in b)
+            if s and d is not None:
+                total.append((-s, d))
+        assert sorted(got[q]) == [(k + 1, d, -s) for k, (s, d) in enumerate(sorted(total)[:4])], q
+    assert 0 < tally.value < postings
+    with pytest.raises(ValueError, match="integers"):
+        search.search(df.withColumn("doc_id", F.lit("x")), df)
