@@ -67,6 +67,7 @@ def round2(x: Column) -> Column:
 
 def shortest(x: Column) -> Column:
     """The shortest decimal text of a number without an exponent; -0 and what is not finite print as 0."""
+    x = x.cast("double")
     plain = F.regexp_replace(F.format_string("%.6f", F.round(x, 6)), r"\.?0+$", "")
     return F.when(F.isnan(x) | x.isNull() | (F.abs(x) == float("inf")) | (F.round(x, 6) == 0), F.lit("0")).otherwise(plain)
 

@@ -164,71 +164,3 @@ def with_joined_segments(runs: DataFrame, keys: list[str], scope: Scope = Scope(
         return texts.map(lambda ts: [[{"fixation": f, "text": s, "chars": len(s)} for f, s in own] for own in across(ts, scope, bounds)])
 
     return ship(grouped).select(*keys, "first", of(F.col("r.text")).alias("parts"))
-
-
-def simplify(stops: list[tuple[float, tuple[float, ...]]], tolerance: float = 1.0) -> list[tuple[float, tuple[float, ...]]]:
-    """Gradient stops without those that a line between kept ones gives within the tolerance per channel, greedily."""
-    if len(stops) < 3:
-        return list(stops)
-    out, begin = [stops[0]], 0
-    while begin < len(stops) - 1:
-        end = begin + 1
-        while end + 1 < len(stops):
-            (x0, a), (x1, b) = stops[begin], stops[end + 1]
-            span = x1 - x0
-            inside = all(
-                abs(a[k] + (b[k] - a[k]) * ((x - x0) / span if span else 0) - c[k]) <= tolerance for x, c in stops[begin + 1 : end + 1] for k in range(len(c))
-            )
-            if not inside:
-                break
-            end += 1
-        out.append(stops[end])
-        begin = end
-    return out
-
-
-#: Codes of one character map at most, and codes of one range; fixed values.
-MAX_CODES, MAX_RANGE = 65_536, 65_535
-
-
-def character_map(text: str) -> dict[int, str]:
-    """Codes and their texts from the bfchar and bfrange sections of a character map; comments are skipped, a range ends at
-    its section's end, the last unit of a range's text counts up."""
-    import re
-
-    out: dict[int, str] = {}
-    tokens = re.findall(r"%[^\r\n]*|\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|\[|\]|[^\s\[\]<>()%]+", text)
-    tokens = [t for t in tokens if t[0] not in "%("]
-    hexed = lambda t: re.sub(r"\s", "", t[1:-1])
-    spell = lambda h: bytes.fromhex(h if len(h) % 4 == 0 else h.zfill(-(-len(h) // 4) * 4)).decode("utf-16-be", "replace")
-
-    def put(code: int, value: str) -> None:
-        if value and len(out) < MAX_CODES:
-            out.setdefault(code, value)
-
-    at = 0
-    while at < len(tokens):
-        if tokens[at] == "beginbfchar":
-            at += 1
-            while at + 1 < len(tokens) and tokens[at].startswith("<") and tokens[at + 1].startswith("<"):
-                put(int(hexed(tokens[at]) or "0", 16), spell(hexed(tokens[at + 1])))
-                at += 2
-        elif tokens[at] == "beginbfrange":
-            at += 1
-            while at + 2 < len(tokens) and tokens[at].startswith("<") and tokens[at + 1].startswith("<"):
-                low, high = (int(hexed(t) or "0", 16) for t in tokens[at : at + 2])
-                high = min(high, low + MAX_RANGE)
-                if tokens[at + 2] == "[":
-                    end = tokens.index("]", at) if "]" in tokens[at:] else len(tokens)
-                    for code, t in zip(range(low, high + 1), tokens[at + 3 : end], strict=False):
-                        put(code, spell(hexed(t)))
-                    at = end + 1
-                else:
-                    first = spell(hexed(tokens[at + 2]))
-                    for code in range(low, high + 1):
-                        if first and ord(first[-1]) + code - low <= 0x10FFFF:
-                            put(code, first[:-1] + chr(ord(first[-1]) + code - low))
-                    at += 3
-        else:
-            at += 1
-    return out

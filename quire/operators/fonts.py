@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.workers import cut
 
 #: The private-use area; fixed values.
 PRIVATE_FIRST, PRIVATE_LAST = 0xE000, 0xF8FF
@@ -33,6 +34,15 @@ def letters(uses: DataFrame, font: str = "font_key") -> DataFrame:
     return by_page.groupBy(font, "gid").agg(F.min_by("letters", "page_no").alias("letters"))
 
 
+def letters_by_name(uses: DataFrame, names: DataFrame, font: str = "font_key") -> DataFrame:
+    """letters, where a glyph that a page draws without any takes those that the document's own names (font, gid, letters)
+    give it; the first page with either wins."""
+    by_page = uses.groupBy(font, "gid", "page_no").agg(F.max_by("letters", F.when(F.col("letters").isNotNull(), F.col("seq"))).alias("own"))
+    named = names.groupBy(font, "gid").agg(F.min("letters").alias("named"))
+    either = by_page.join(named, [font, "gid"], "left").withColumn("letters", F.coalesce("own", "named")).where("letters is not null")
+    return either.groupBy(font, "gid").agg(F.min_by("letters", "page_no").alias("letters"))
+
+
 def coverage(uses: DataFrame, known: DataFrame, font: str = "font_key") -> DataFrame:
     """(font, total, missing, codes): uses of each font, those whose (font, code) is not known, and the missing codes,
     sorted; most used first."""
@@ -93,8 +103,9 @@ def assign(seen: DataFrame, font: str = "font_key") -> DataFrame:
 
     seen: font, ord, code, gid, letters (null for most). Pairs in first-seen order take free codes, glyphs with letters
     aside, a later pair replacing a glyph's earlier code; letters take their ligature's code if it is free; the rest, by
-    glyph, take private-use codes until they run out. What is taken depends on all that came before, so a font's glyphs,
-    of which there are 65,536 at most, are assigned together in Python."""
+    glyph, take private-use codes until they run out. A glyph that has neither a usable code nor letters gets none. What is
+    taken depends on all that came before, so a font's distinct (glyph, code, letters) are assigned together in Python;
+    glyphs number 65,536 at most."""
     kind = seen.schema[font].dataType.simpleString()
 
     def one(pdf):
@@ -115,7 +126,8 @@ def assign(seen: DataFrame, font: str = "font_key") -> DataFrame:
                 code_of[gid] = code
                 taken.add(code)
         spare = (c for c in range(PRIVATE_FIRST, PRIVATE_LAST + 1) if c not in taken)
-        for gid in sorted({*pdf["gid"]} - {*code_of}):
+        named = {*letters_of, *(g for c, g in zip(pdf["code"], pdf["gid"], strict=True) if 0 < c <= 0x10FFFF and c != 0xFFFD)}
+        for gid in sorted(named - {*code_of}):
             code = next(spare, None)
             if code is None:
                 break
@@ -153,3 +165,63 @@ def deltas(points: DataFrame, keys: list[str], order: str, scale: float) -> Data
     w = Window.partitionBy(*keys).orderBy(order)
     x, y = (F.round(F.col(c) * scale).cast("long") for c in ("x", "y"))
     return points.select(*keys, order, (x - F.coalesce(F.lag(x).over(w), F.lit(0))).alias("dx"), (y - F.coalesce(F.lag(y).over(w), F.lit(0))).alias("dy"))
+
+
+#: How deep resources may be nested; a fixed value.
+MAX_NESTING = 6
+
+
+def resource_fonts(roots: DataFrame, inner: DataFrame, entries: DataFrame) -> DataFrame:
+    """(page, resource, depth, font): font entries (resource, font) of all resources that pages reach.
+
+    roots: page, resource; inner: resource, child. A resource is read once a page, at its least depth, so circles end; one
+    equi-join a level, MAX_NESTING levels at most."""
+    level = cut(roots.select("page", "resource").where("resource is not null").distinct().withColumn("depth", F.lit(0)))
+    seen = level
+    for depth in range(1, MAX_NESTING + 1):
+        below = level.select("page", "resource").join(inner, "resource").select("page", F.col("child").alias("resource")).where("resource is not null").distinct()
+        level = cut(below.join(seen.select("page", "resource"), ["page", "resource"], "left_anti").withColumn("depth", F.lit(depth)))
+        if level.isEmpty():
+            break
+        seen = seen.unionByName(level)
+    return seen.join(entries, "resource").select("page", "resource", "depth", "font")
+
+
+def rule_assets(sheets: DataFrame, key: str) -> DataFrame:
+    """(key, n, family, css): a stylesheet (key, css) as one asset per rule; a rule is a line that is not blank, its family
+    the quoted name, or the whole rule where there is none."""
+    rules = F.filter(F.split("css", "\n", -1), lambda r: ~r.rlike(r"(?U)^\s*$"))
+    each = sheets.select(key, F.posexplode(rules).alias("n", "css"))
+    family = F.regexp_extract("css", r"font-family:\s*'([^']+)'", 1)
+    return each.select(key, "n", F.when(family == "", F.col("css")).otherwise(family).alias("family"), "css")
+
+
+def served(assets: DataFrame, faces: DataFrame, key: str) -> DataFrame:
+    """(key, n, family, css, format, bytes, glyphs): assets with their face (key, ord, family, uri, url, format, bytes,
+    glyphs) - the last of a name - whose address takes the place of the quoted name in the rule, once; an asset without a
+    face stays as it is."""
+    columns = ("uri", "url", "format", "bytes", "glyphs")
+    last = faces.groupBy(key, "family").agg(F.max_by(F.struct(*columns), "ord").alias("face"))
+    both = assets.join(last, [key, "family"], "left")
+    quoted = F.concat(F.lit('"'), F.col("face.uri"), F.lit('"'))
+    at = F.instr("css", quoted)
+    put = F.concat(F.substring("css", F.lit(1), at - 1), F.lit('"'), F.col("face.url"), F.lit('"'), F.substring("css", at + F.length(quoted), F.length("css")))
+    return both.select(
+        key, "n", "family", F.when(at > 0, put).otherwise(F.col("css")).alias("css"), F.coalesce("face.format", F.lit("woff")).alias("format"),
+        F.coalesce("face.bytes", F.lit(0)).cast("long").alias("bytes"), F.coalesce("face.glyphs", F.lit(0)).cast("long").alias("glyphs"),
+    )
+
+
+def directory(tables: DataFrame, font: str = "font_key") -> DataFrame:
+    """(font, tag, ord, offset, length, tables, search_range, selector, shift): a font file's tables (font, tag, length) sorted
+    by tag, each behind the header and those before it, padded to four bytes. A font has a few dozen tables."""
+    w = Window.partitionBy(font).orderBy("tag")
+    n = F.count(F.lit(1)).over(Window.partitionBy(font))
+    selector = F.length(F.bin(n)) - 1
+    padded = F.ceil(F.col("length") / 4) * 4
+    before = F.coalesce(F.sum(padded).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    span = F.lit(16) * F.pow(F.lit(2), selector).cast("long")
+    return tables.select(
+        font, "tag", (F.row_number().over(w) - 1).alias("ord"), (F.lit(12) + n * 16 + before).cast("long").alias("offset"), F.col("length").cast("long").alias("length"), n.alias("tables"),
+        span.alias("search_range"), selector.alias("selector"), (n * 16 - span).alias("shift"),
+    )

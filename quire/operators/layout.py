@@ -27,29 +27,47 @@ def place(pages: DataFrame, doc: str, gap: float = 14.0, padding: float = 16.0,
     return sized.join(tops, [doc, "row"]).select(doc, "index", "row", left.alias("left"), (F.col("row_top") + (F.col("row_height") - F.col("height")) / 2).alias("top"), "width", "height")
 
 
+#: Height of a cell in which pages and views meet.
+CELL = 1024.0
+
+
+def _celled(frame: DataFrame, low: Column, high: Column) -> DataFrame:
+    """frame with a row for each cell from low to high."""
+    return frame.withColumn("cell", F.explode(F.sequence(F.floor(low / CELL), F.floor(high / CELL))))
+
+
+def _sides(boxes: DataFrame, doc: str) -> DataFrame:
+    return boxes.select(doc, F.col("index").cast("long").alias("index"), "top", (F.col("top") + F.col("height")).alias("bottom"))
+
+
 def visible(boxes: DataFrame, views: DataFrame, doc: str, overscan: float = 0.0) -> DataFrame:
     """(doc, view, first, last): pages that meet each view (doc, view, top, height), widened by overscan; where none does,
-    the page nearest to its middle."""
-    low, high = F.col("v.top") - overscan, F.col("v.top") + F.col("v.height") + overscan
-    b, v = boxes.alias("b"), views.alias("v")
-    meet = (F.col("b.top") + F.col("b.height") >= low) & (F.col("b.top") <= high)
-    middle = F.col("v.top") + F.col("v.height") / 2
-    both = b.join(v, F.col(f"b.{doc}") == F.col(f"v.{doc}"))
-    out = both.groupBy(F.col(f"v.{doc}").alias(doc), F.col("v.view").alias("view")).agg(
-        F.min(F.when(meet, F.col("b.index"))).alias("a"), F.max(F.when(meet, F.col("b.index"))).alias("z"), F.min(F.struct(_distance(middle, "b."), F.col("b.index"))).alias("n")
+    the page nearest to its middle. Pages and views meet in cells of a fixed height, so a view meets its surroundings alone."""
+    asked = views.dropDuplicates([doc, "view"]).select(
+        doc, "view", (F.col("top") - overscan).alias("low"), (F.col("top") + F.col("height") + overscan).alias("high"), (F.col("top") + F.col("height") / 2).alias("middle")
     )
-    return out.select(doc, "view", F.coalesce("a", F.col("n.index")).alias("first"), F.coalesce("z", F.col("n.index")).alias("last"))
-
-
-def _distance(y: Column, side: str = "") -> Column:
-    top, height = F.col(f"{side}top"), F.col(f"{side}height")
-    return F.greatest(top - y, y - top - height, F.lit(0.0)).alias("d")
+    b, v = _celled(_sides(boxes, doc), F.col("top"), F.col("bottom")), _celled(asked, F.col("low"), F.col("high"))
+    meet = b.join(v, [doc, "cell"]).where("bottom >= low and top <= high").groupBy(doc, "view").agg(F.min("index").alias("a"), F.max("index").alias("z"))
+    found = asked.join(meet, [doc, "view"], "left")
+    near = nearest(boxes, found.where("a is null").select(doc, F.col("view").alias("point"), F.col("middle").alias("y")), doc).select(doc, F.col("point").alias("view"), F.col("index").alias("n"))
+    out = found.join(near, [doc, "view"], "left").select(doc, "view", F.coalesce("a", "n").alias("first"), F.coalesce("z", "n").alias("last"))
+    return out.where("first is not null")
 
 
 def nearest(boxes: DataFrame, points: DataFrame, doc: str) -> DataFrame:
-    """(doc, point, index): the page closest to each height (doc, point, y); the lower index wins ties."""
-    both = boxes.join(points, doc)
-    return both.groupBy(doc, "point").agg(F.min(F.struct(_distance(F.col("y")), "index")).alias("n")).select(doc, "point", F.col("n.index").alias("index"))
+    """(doc, point, index): the page closest to each height (doc, point, y); the lower index wins ties. Pages around a point
+    meet it in its cell; the next top below and the last bottom above come from running minima, sorted once each."""
+    sides = _sides(boxes, doc)
+    asked = points.dropDuplicates([doc, "point"]).select(doc, "point", F.col("y").cast("double").alias("y"))
+    inside = _celled(sides, F.col("top"), F.col("bottom")).join(asked.withColumn("cell", F.floor(F.col("y") / CELL)), [doc, "cell"]).where("top <= y and bottom >= y")
+    found = inside.select(doc, "point", F.lit(0.0).alias("d"), "index")
+    for side, sign in (("top", -1), ("bottom", 1)):
+        ends = sides.select(doc, (F.col(side) * sign).alias("at"), F.lit(0).alias("probe"), F.struct((F.col(side) * -sign).alias("far"), "index").alias("best"))
+        probes = asked.select(doc, (F.col("y") * sign).alias("at"), F.lit(1).alias("probe"), "point", "y")
+        w = Window.partitionBy(doc).orderBy("at", "probe").rowsBetween(Window.unboundedPreceding, 0)
+        seen = ends.unionByName(probes, allowMissingColumns=True).withColumn("best", F.min("best").over(w)).where("probe = 1 and best is not null")
+        found = found.unionByName(seen.select(doc, "point", (F.col("y") * sign + F.col("best.far")).alias("d"), F.col("best.index").alias("index")))
+    return found.groupBy(doc, "point").agg(F.min(F.struct("d", "index")).alias("n")).select(doc, "point", F.col("n.index").alias("index"))
 
 
 def at_offset(boxes: DataFrame, offsets: DataFrame, doc: str, padding: float = 16.0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..functions.workers import cut
 
 NOWHERE = -1
 
@@ -44,17 +45,24 @@ def anchor_target(tag: Column) -> Column:
     return F.when(href.isNotNull() | page.isNotNull(), made)
 
 
-def outline(nodes: DataFrame, max_depth: int = 32) -> DataFrame:
+def outline(nodes: DataFrame) -> DataFrame:
     """(root, id, ord, depth, title, page): nodes (id, parent, pos, title, page) of a forest in pre-order, ord from 0 within
-    each root. One equi-join per level, as deep as the forest goes; paths carry the order."""
+    each root. One equi-join per level, as deep as the forest goes; paths carry the order. A node that is its own ancestor
+    is an error."""
     step = F.struct(F.col("pos").alias("pos"), F.col("id").alias("id"))
-    level = nodes.where("parent is null").select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"), "title", "page", F.array(step).alias("path"))
-    out = level
-    for depth in range(1, max_depth + 1):
+    level = cut(nodes.where("parent is null").select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"), "title", "page", F.array(step).alias("path")))
+    out, depth = level, 0
+    while True:
+        depth += 1
         up = level.select("root", F.col("id").alias("parent"), F.col("path").alias("above"))
-        level = nodes.join(up, "parent").select("root", "id", F.lit(depth).alias("depth"), "title", "page", F.concat("above", F.array(step)).alias("path"))
-        if level.isEmpty():
+        again = F.array_contains(F.col("above.id"), F.col("id"))
+        level = cut(nodes.join(up, "parent").select("root", "id", F.lit(depth).alias("depth"), "title", "page", F.concat("above", F.array(step)).alias("path"), again.alias("again")))
+        n, circles = level.agg(F.count(F.lit(1)), F.count_if("again")).first()
+        if circles:
+            raise ValueError("a node of the outline is its own ancestor")
+        if not n:
             break
+        level = level.drop("again")
         out = out.unionByName(level)
     place = F.row_number().over(Window.partitionBy("root").orderBy("path")) - 1
     return out.withColumn("ord", place).select("root", "id", "ord", "depth", "title", "page")

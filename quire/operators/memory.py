@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.workers import cut
+
 #: Documents remembered, and entries kept of each kind of store; fixed values.
 LIMIT = 100
 KEEP = {"documents": 8, "engines": 2, "ages": 16, "shells": 2}
@@ -57,12 +61,43 @@ def settle(moves: DataFrame, key: str, at: str, gap: str) -> DataFrame:
     return moves.groupBy(key, F.session_window(at, gap).alias("w")).agg(F.min(at).alias("first"), F.max(at).alias("settled"), F.count(F.lit(1)).alias("n")).drop("w")
 
 
+#: Buckets of a running sum at most, so that the one window over their sums is of bounded size.
+BUCKETS = 10_000
+
+
 def running_offset(rows: DataFrame, order: str, size: str, width: int) -> DataFrame:
-    """rows with `offset`, the sum of sizes before each in `order` (an integer). Buckets of `width` orders are summed first,
-    their prefix sums joined back, and a window runs inside each bucket alone: no task sees all rows."""
-    bucket = F.floor(F.col(order) / width)
-    marked = rows.withColumn("_bucket", bucket)
+    """rows with `offset`, the sum of sizes before each in `order` (an integer). Buckets of `width` orders or more, BUCKETS of
+    them at most, are summed first, their prefix sums joined back, and a window runs inside each bucket alone: no task sees
+    all rows."""
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    if low is None:
+        return rows.where(F.lit(False)).withColumn("offset", F.lit(0).cast("long"))
+    width = max(width, -(-(high - low + 1) // BUCKETS))
+    marked = rows.withColumn("_bucket", F.floor((F.col(order) - F.lit(low)) / width))
     sums = marked.groupBy("_bucket").agg(F.sum(size).alias("_sum"))
-    base = sums.select("_bucket", F.coalesce(F.sum("_sum").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # a row per bucket
+    base = sums.select("_bucket", F.coalesce(F.sum("_sum").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # BUCKETS rows at most
     inner = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return marked.join(base, "_bucket").withColumn("offset", F.col("_base") + F.coalesce(F.sum(size).over(inner), F.lit(0))).drop("_bucket", "_base")
+    return marked.join(F.broadcast(base), "_bucket").withColumn("offset", F.col("_base") + F.coalesce(F.sum(size).over(inner), F.lit(0))).drop("_bucket", "_base")
+
+
+def memoised(wanted: DataFrame, memo: DataFrame, keys: list[str], measure: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """What measure gives for the wanted keys, and the memo with it: what the memo holds is taken, only the rest is measured.
+
+    measure: (keys) -> (keys, values); keys without a result are remembered too, with nulls."""
+    asked = wanted.select(*keys).distinct()
+    fresh = asked.join(memo.select(*keys), keys, "left_anti")
+    made = cut(fresh.join(measure(fresh), keys, "left"))
+    known = memo.unionByName(made)
+    return known.join(asked, keys, "left_semi"), known
+
+
+def trimmed(memo: DataFrame, keep: DataFrame, keys: list[str]) -> DataFrame:
+    """The memo without what is no longer of use: keys that are not among `keep`."""
+    return memo.join(keep.select(*keys).distinct(), keys, "left_semi")
+
+
+def listed(cached: DataFrame, known: DataFrame, order: str, note: str = "cached locally") -> DataFrame:
+    """(ord, and the columns of known): entries that are cached first, with a note of their own, then all that are known."""
+    both = cached.withColumn("note", F.lit(note)).withColumn("_part", F.lit(0)).unionByName(known.withColumn("_part", F.lit(1)))
+    columns = [c for c in known.columns if c != order]
+    return both.select(F.struct(F.col("_part").alias("part"), F.col(order).alias("n")).alias("ord"), *columns)

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FOLD_UP_TO = 64
+#: Rules broadcast at a time; a larger table goes in parts.
+BROADCAST_RULES = 1024
 #: Rules that a reader may add at most; a fixed value.
 MAX_CUSTOM = 50
 
@@ -76,8 +78,23 @@ def keep(lines: DataFrame, patterns: list[str], text: str = "text") -> DataFrame
 
 
 def matches(lines: DataFrame, rules: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(id, n_lines, n_docs) of each rule of a small rule table (id, pattern), rules without a match included."""
-    found = lines.join(F.broadcast(rules), F.expr(f"`{text}` rlike pattern"))
+    """(id, n_lines, n_docs) of each rule of a rule table (id, pattern), rules without a match included.
+
+    A few dozen rules are tried together, in one pass over the lines; more are counted first and broadcast in parts of a
+    fixed size, a pass each."""
+    n = rules.count()
+    if n <= FOLD_UP_TO:
+        given = [r for r in rules.select("id", "pattern").collect() if r["pattern"] is not None]  # at most FOLD_UP_TO
+        kind = rules.schema["id"].dataType
+        tried = [F.when(F.col(text).rlike(r["pattern"]), F.lit(r["id"]).cast(kind)) for r in given] or [F.lit(None).cast(kind)]
+        found = lines.select(key, F.explode(F.array_compact(F.array(*tried))).alias("id"))
+    else:
+        parts = -(-n // BROADCAST_RULES)
+        found = None
+        for part in range(parts):
+            own = rules.where(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == part)
+            each = lines.join(F.broadcast(own), F.expr(f"`{text}` rlike pattern")).select(key, "id")  # about BROADCAST_RULES rows
+            found = each if found is None else found.unionByName(each)
     counts = found.groupBy("id").agg(F.count(F.lit(1)).alias("n_lines"), F.countDistinct(key).alias("n_docs"))
     return rules.select("id").join(counts, "id", "left").fillna(0, ["n_lines", "n_docs"])
 
@@ -95,6 +112,17 @@ def in_order(built_in: DataFrame, custom: DataFrame, adopted: DataFrame) -> Data
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def select_all(rules: DataFrame, title: Column, on: bool = True) -> DataFrame:
+    """(id) of the rules that are checked after all were switched on - those alone that this title lets be used - or off."""
+    return rules.where(usable(F.col("needs_title"), title) & F.lit(on)).select("id")
+
+
+def all_selected(rules: DataFrame, chosen: DataFrame, title: Column) -> DataFrame:
+    """One row: whether every rule (id, needs_title) that can be used is among the chosen ids."""
+    left = rules.where(usable(F.col("needs_title"), title)).join(chosen.select("id"), "id", "left_anti")
+    return left.agg((F.count(F.lit(1)) == 0).alias("all_selected"))
+
+
 def add_custom(rules: list[dict], pattern: str, label: str | None = None) -> tuple[list[dict], str | None]:
     """A list with one more custom rule, or the list as it was and the reason; ids are the least free custom-n."""
     text = pattern.strip()

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.arrays import prefix_sums
 
 #: Hits listed at most, per page and in all; bands painted at most. Fixed values.
 MAX_HITS, MAX_BANDS = 1000, 400
@@ -32,10 +33,8 @@ def starts(norm: Column, query: str, most: int | None = MAX_HITS) -> Column:
     literal = "\\Q" + q.replace("\\E", "\\E\\\\E\\Q") + "\\E"
     parts = F.split(norm, literal, -1)
     parts = parts if most is None else F.slice(parts, 1, most + 1)
-    sizes = F.transform(parts, F.length)
-    step = lambda s, x: F.struct((s["at"] + x + len(q)).alias("at"), F.concat(s["out"], F.array(s["at"] + x)).alias("out"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(F.slice(sizes, 1, F.greatest(F.size(sizes) - 1, F.lit(0))), zero, step, lambda s: s["out"])
+    before = prefix_sums(F.transform(parts, F.length))  # of each part but the first, a hit goes before it
+    return F.transform(F.filter(before, lambda _, i: i > 0), lambda at, i: at + i * len(q))
 
 
 def page_hits(runs: DataFrame, query: str, key: str = "page_id", most: int | None = MAX_HITS) -> DataFrame:
@@ -61,16 +60,23 @@ def state(runs: DataFrame, query: str, key: str = "page_id") -> DataFrame:
 
 def run_spans(runs: DataFrame, key: str = "page_id") -> DataFrame:
     """(key, spans): (run_no, start, end) of each run in the page's searchable text."""
-    sizes = F.transform("runs", lambda r: F.length(tx.normalise(r)))
-    step = lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), (s["at"] + x).alias("end")))).alias("out"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    return runs.select(key, F.transform(F.aggregate(sizes, zero, step, lambda s: s["out"]), lambda s, i: F.struct(i.alias("run_no"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
+    return _normal_runs(runs, key).select(key, _spans(F.col("norms")).alias("spans"))
+
+
+def _normal_runs(runs: DataFrame, key: str) -> DataFrame:
+    return runs.select(key, F.transform("runs", tx.normalise).alias("norms"))
+
+
+def _spans(norms: Column) -> Column:
+    sizes = F.transform(norms, F.length)
+    both = F.zip_with(prefix_sums(sizes), sizes, lambda at, n: F.struct(at.alias("start"), (at + n).alias("end")))
+    return F.transform(both, lambda s, i: F.struct(i.alias("run_no"), s["start"].alias("start"), s["end"].alias("end")))
 
 
 def hit_runs(runs: DataFrame, query: str, key: str = "page_id") -> DataFrame:
-    """(key, start, run_no) for every run that a hit touches, of all hits of a page."""
+    """(key, start, run_no) for every run that a hit touches, of all hits of a page; all in the page's row."""
     n = len(normal(query))
-    both = run_spans(runs, key).join(page_hits(runs, query, key, None).select(key, "starts"), key)
+    both = _normal_runs(runs, key).select(key, _spans(F.col("norms")).alias("spans"), starts(F.array_join("norms", ""), query, None).alias("starts"))
     each = both.select(key, "spans", F.explode("starts").alias("start"))
     touched = F.filter("spans", lambda s: (s["start"] < F.col("start") + n) & (s["end"] > F.col("start")))
     return each.select(key, "start", F.explode(touched).alias("r")).select(key, "start", F.col("r.run_no").alias("run_no"))

@@ -74,3 +74,15 @@ def broken_runs(items: DataFrame, page: list[str]) -> DataFrame:
     cut = (F.row_number().over(inner) == 1) | (F.col("letters") > 1) | (F.lag("letters").over(inner) > 1) | ~F.lag("faded").over(inner).eqNullSafe(F.col("faded"))
     marked = runs.withColumn("cut", cut)
     return marked.withColumn("group_no", F.sum(F.col("cut").cast("int")).over(inner.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("fresh", "cut")
+
+
+def page_stats(items: DataFrame, page: list[str]) -> DataFrame:
+    """Counters of each page from what it draws: items (page, kind, face, run_no, faded), kind being glyph, space, image or
+    shade. A glyph with a face is text, one without an outline; faded counts text alone."""
+    kind = lambda k: F.col("kind") == k
+    text = kind("glyph") & F.col("face").isNotNull()
+    return items.groupBy(*page).agg(
+        F.count_if(kind("glyph")).alias("glyphs"), F.count_if(text).alias("as_text"), F.count_if(kind("glyph") & F.col("face").isNull()).alias("as_outlines"),
+        F.countDistinct(F.when(text, F.col("run_no"))).alias("runs"), F.count_if(kind("space")).alias("spaces"), F.countDistinct(F.when(text, F.col("face"))).alias("fonts"),
+        F.count_if(kind("image")).alias("images"), F.count_if(kind("shade")).alias("shades"), F.count_if(text & F.col("faded")).alias("faded"),
+    )

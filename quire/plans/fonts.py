@@ -13,10 +13,10 @@ from ..sources.documents import table
 
 
 def _uses(spark, d):
-    """Characters of conversations: the role is the font, the glyph the code modulo 211, seq counts over each turn."""
+    """Characters of conversations: the role is the font, the glyph the code modulo 211, seq is conversation, turn and place."""
     rows = table(spark, d, "conversations").select(F.col("role").alias("font_key"), F.col("conv_id").alias("page_no"), "turn", "text")
     each = rows.select("font_key", "page_no", "turn", F.posexplode(F.split("text", "")).alias("pos", "ch")).where("ch <> ''")
-    return _coded(each, (F.col("page_no") * 1000 + F.col("turn")) * 1000000 + F.col("pos"))
+    return _coded(each, F.struct("page_no", "turn", "pos"))
 
 
 def _document_uses(spark, d):
@@ -31,12 +31,17 @@ def _coded(each, seq):
     return each.select("font_key", "page_no", seq.alias("seq"), code.alias("ucs"), F.pmod(code * 7, F.lit(211)).cast("int").alias("gid"))
 
 
+def _spelled(found):
+    """found with the place where it was first seen as text."""
+    return found.withColumn("ord", F.concat_ws(":", "ord.page_no", "ord.turn", "ord.pos"))
+
+
 def first_code_wins(spark, d):
-    return fonts.first_codes(_uses(spark, d), ["font_key", "gid"])
+    return _spelled(fonts.first_codes(_uses(spark, d), ["font_key", "gid"]))
 
 
 def font_pairs(spark, d):
-    return fonts.pairs(_uses(spark, d))
+    return _spelled(fonts.pairs(_uses(spark, d)))
 
 
 def font_coverage(spark, d):
@@ -96,16 +101,8 @@ def first_registrations(spark, d):
 
 
 def named_glyphs(spark, d):
-    return _named(table(spark, d, "part").where("p_size < 5"), table(spark, d, "part"))
-
-
-def named_glyphs_whole(spark, d):
-    """named_glyphs for every part."""
-    return _named(table(spark, d, "part"), table(spark, d, "part"))
-
-
-def _named(parts, known):
-    glyphs = known.select(F.col("p_brand").alias("font"), F.col("p_type").alias("name"), F.col("p_partkey").alias("gid"))
+    parts = table(spark, d, "part")
+    glyphs = parts.select(F.col("p_brand").alias("font"), F.col("p_type").alias("name"), F.col("p_partkey").alias("gid"))
     uses = parts.select("p_partkey", F.col("p_brand").alias("font"), F.col("p_type").alias("name"))
     return fonts.named_glyph(uses, glyphs).select("p_partkey", "gid", fonts.entry_key(F.when(F.col("p_partkey") % 2 == 0, F.col("font")), F.col("name")).alias("entry"))
 
@@ -135,13 +132,13 @@ def outline_deltas(spark, d):
     return fonts.deltas(points, ["user_id"], "event_id", 2.0)
 
 
-QUERIES = [first_code_wins, font_pairs, font_coverage, glyph_codes, code_ranges, first_code_wins_documents, font_pairs_documents, font_coverage_documents, glyph_codes_documents, code_ranges_documents, list_expansion, first_registrations, named_glyphs, named_glyphs_whole, page_letters, glyph_assign, outline_boxes, face_metrics, outline_deltas]
+QUERIES = [first_code_wins, font_pairs, font_coverage, glyph_codes, code_ranges, first_code_wins_documents, font_pairs_documents, font_coverage_documents, glyph_codes_documents, code_ranges_documents, list_expansion, first_registrations, named_glyphs, page_letters, glyph_assign, outline_boxes, face_metrics, outline_deltas]
 USES = """raw AS (SELECT role AS font_key, conv_id AS page_no, turn, string_split(text, '') AS cs FROM conversations WHERE text <> ''),
-e AS (SELECT font_key, page_no, (page_no * 1000 + turn) * 1000000 + i AS seq, cast(unicode(cs[i + 1]) AS INTEGER) AS ucs FROM (SELECT *, unnest(range(0, len(cs))) AS i FROM raw)),
+e AS (SELECT font_key, page_no, {'p': page_no, 't': turn, 'i': i} AS seq, cast(unicode(cs[i + 1]) AS INTEGER) AS ucs FROM (SELECT *, unnest(range(0, len(cs))) AS i FROM raw)),
 uses AS (SELECT *, cast(ucs * 7 % 211 AS INTEGER) AS gid FROM e)"""
 SQL = {
-    "first_code_wins": f"WITH {USES} SELECT font_key, gid, arg_min(ucs, seq) AS code, min(seq) AS ord FROM uses GROUP BY font_key, gid",
-    "font_pairs": f"WITH {USES} SELECT font_key, ucs AS code, gid, min(seq) AS ord FROM uses GROUP BY font_key, ucs, gid",
+    "first_code_wins": f"WITH {USES}, m AS (SELECT font_key, gid, arg_min(ucs, seq) AS code, min(seq) AS o FROM uses GROUP BY font_key, gid) SELECT font_key, gid, code, o.p || ':' || o.t || ':' || o.i AS ord FROM m",
+    "font_pairs": f"WITH {USES}, m AS (SELECT font_key, ucs AS code, gid, min(seq) AS o FROM uses GROUP BY font_key, ucs, gid) SELECT font_key, code, gid, o.p || ':' || o.t || ':' || o.i AS ord FROM m",
     "font_coverage": f"""WITH {USES}, k AS (SELECT DISTINCT ucs FROM uses WHERE font_key = 'user'), m AS (SELECT u.font_key, u.ucs, u.font_key = 'user' OR k.ucs IS NULL AS gone FROM uses u LEFT JOIN k ON u.ucs = k.ucs),
       t AS (SELECT font_key, count(*) AS total, cast(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS missing FROM m GROUP BY font_key),
       g AS (SELECT font_key, string_agg(cast(ucs AS VARCHAR), ',' ORDER BY ucs) AS codes FROM (SELECT DISTINCT font_key, ucs FROM m WHERE gone) GROUP BY font_key)
@@ -155,7 +152,7 @@ SQL = {
     "first_registrations": """WITH e AS (SELECT p_brand AS name, p_retailprice, 0 AS k, p_partkey FROM part UNION ALL SELECT p_type, p_retailprice, 1, p_partkey FROM part),
       r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY p_retailprice, k, p_partkey) AS n FROM e WHERE name IS NOT NULL) SELECT name, p_partkey FROM r WHERE n = 1""",
     "named_glyphs": """WITH g AS (SELECT p_brand AS font, p_type AS name, min(p_partkey) AS gid FROM part GROUP BY 1, 2)
-      SELECT p_partkey, g.gid, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'named' || chr(0) || p_type END AS entry FROM part JOIN g ON p_brand = font AND p_type = name WHERE p_size < 5""",
+      SELECT p_partkey, g.gid, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'named' || chr(0) || p_type END AS entry FROM part JOIN g ON p_brand = font AND p_type = name""",
     "page_letters": """WITH u AS (SELECT l_returnflag AS font_key, cast(l_partkey % 97 AS INTEGER) AS gid, l_orderkey % 50 AS page_no, l_orderkey * 10 + l_linenumber AS seq, cast(l_suppkey AS VARCHAR) AS letters FROM lineitem WHERE l_quantity > 40),
       p AS (SELECT font_key, gid, page_no, arg_max(letters, seq) AS letters FROM u GROUP BY 1, 2, 3) SELECT font_key, gid, arg_min(letters, page_no) AS letters FROM p GROUP BY 1, 2""",
     "outline_boxes": "SELECT l_orderkey, coalesce(min(l_quantity - 25), 0) AS min_x, coalesce(max(l_quantity - 25), 0) AS max_x, coalesce(min(CASE WHEN l_tax > 0.01 THEN l_discount END), 0) AS min_y, coalesce(max(CASE WHEN l_tax > 0.01 THEN l_discount END), 0) AS max_y FROM lineitem GROUP BY l_orderkey",

@@ -20,7 +20,9 @@ def _boxes(spark, d):
 
 
 def _tops(spark, d):
-    return table(spark, d, "documents").select("source").distinct().select("source", F.explode(F.sequence(F.lit(-500), F.lit(12000), F.lit(1370))).alias("view"))
+    """Views down each document, from above its first page to below its last."""
+    ends = _boxes(spark, d).groupBy("source").agg((F.floor(F.max(F.col("top") + F.col("height"))) + 1000).cast("int").alias("end"))
+    return ends.select("source", F.explode(F.sequence(F.lit(-500), "end", F.lit(1370))).alias("view"))
 
 
 def page_layout(spark, d):
@@ -92,7 +94,7 @@ rows_ AS (SELECT source, "row", max(height) AS rh, sum(width) + 14.0 * (count(*)
 tops AS (SELECT source, "row", rh, nat, max(w) OVER (PARTITION BY source) AS most, 16.0 + coalesce(sum(rh + 14) OVER (PARTITION BY source ORDER BY "row" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rt FROM rows_),
 boxes AS (SELECT r.source, r."index", r."row", cast(16.0 + greatest(0, (most - nat) / 2) + coalesce(sum(r.width + 14) OVER (PARTITION BY r.source, r."row" ORDER BY r."index" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS "left",
   cast(rt + (rh - r.height) / 2 AS DOUBLE) AS top, r.width, r.height FROM r JOIN tops ON r.source = tops.source AND r."row" = tops."row")"""
-VIEWS = """views AS (SELECT source, cast(unnest(range(-500, 12001, 1370)) AS INTEGER) AS view FROM (SELECT DISTINCT source FROM documents))"""
+VIEWS = """views AS (SELECT source, cast(unnest(range(-500, cast(floor(max(top + height)) AS BIGINT) + 1001, 1370)) AS INTEGER) AS view FROM boxes GROUP BY source)"""
 NEAREST = """(SELECT b.source, v.view, arg_min(b."index", greatest(b.top - (v.view + {0}), v.view + {0} - b.top - b.height, 0) * 100000 + b."index") AS i FROM boxes b JOIN views v ON b.source = v.source GROUP BY b.source, v.view)"""
 PRIORITY = 'CASE WHEN greatest({a} - "index", "index" - {z}) <= 0 THEN 0 ELSE greatest({a} - "index", "index" - {z}) * 2 + CASE WHEN {behind} THEN 1 ELSE 0 END END'
 LADDER = """l AS (SELECT DISTINCT c_mktsegment AS doc, round(c_acctbal / 10000, 3) AS level FROM customer WHERE round(c_acctbal / 10000, 3) > 0), g AS (SELECT doc, level, level - lag(level) OVER (PARTITION BY doc ORDER BY level) AS gap FROM l), ladder AS (SELECT doc, level FROM g WHERE gap IS NULL OR gap > 0.0015)"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-PARTS = ("search", "rules", "geometry", "links", "fonts", "layout", "state")
+PARTS = ("search", "rules", "geometry", "links", "fonts", "layout", "state", "scalars", "assets")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

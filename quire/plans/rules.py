@@ -41,7 +41,8 @@ def title_patterns(spark, d):
 
 def rule_adoption(spark, d):
     stored = table(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.col("p_brand").alias("pattern"))
-    known = table(spark, d, "part").where("p_size <= 10").groupBy(F.col("p_brand").alias("pattern")).agg(F.min("p_partkey").alias("id"))
+    brands = table(spark, d, "part").groupBy(F.col("p_brand").alias("pattern")).agg(F.min("p_partkey").alias("id"), F.count(F.lit(1)).alias("n"))
+    known = brands.where("n % 2 = 0").drop("n")
     explained, own = rules.adopt(stored, known)
     return explained.select("ord", "id").unionByName(own.select("ord", F.lit(-1).cast("long").alias("id")))
 
@@ -67,25 +68,11 @@ def styled_spans(spark, d):
 
 
 def _chars(spark, d):
-    return _placed(table(spark, d, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"])
+    return src.characters(table(spark, d, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"])
 
 
 def _document_chars(spark, d):
-    return _placed(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"])
-
-
-def _placed(rows, keys):
-    lines = rows.select(*keys, F.posexplode(F.split("text", "\n", -1)).alias("l", "t"))
-    before = F.sum(F.length("t")).over(src_window(keys))
-    placed = lines.withColumn("before", F.coalesce(before, F.lit(0)))
-    each = placed.select(*keys, (F.col("l") + 1).alias("line"), "before", F.posexplode(F.filter(F.split("t", ""), lambda c: c != "")).alias("col", "ch"))
-    return each.select(*keys, "line", (F.col("before") + F.col("col")).alias("seq"), "ch")
-
-
-def src_window(keys):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys).orderBy("l").rowsBetween(Window.unboundedPreceding, -1)
+    return src.characters(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"])
 
 
 def _marks(chars, keys):
@@ -125,7 +112,7 @@ SQL = {
       p AS (SELECT conv_id, turn, list_filter(l, lambda x, i: list_position(l, x) = i) AS p FROM l) SELECT conv_id, turn, cast(len(p) AS INTEGER) AS n, array_to_string(p, '\n') AS patterns FROM p""",
     "title_patterns": r"""WITH t AS (SELECT page_id, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS title FROM pages)
       SELECT page_id, CASE WHEN title = '' THEN '^{title}$' ELSE '^' || regexp_replace(title, '([.*+?^${}()|\[\]\\])', '\\\1', 'g') || '$' END AS pattern, title <> '' AS usable FROM t""",
-    "rule_adoption": "WITH k AS (SELECT p_brand, min(p_partkey) AS id FROM part WHERE p_size <= 10 GROUP BY p_brand) SELECT p_partkey AS ord, coalesce(id, -1) AS id FROM part LEFT JOIN k ON part.p_brand = k.p_brand",
+    "rule_adoption": "WITH k AS (SELECT p_brand, min(p_partkey) AS id FROM part GROUP BY p_brand HAVING count(*) % 2 = 0) SELECT p_partkey AS ord, coalesce(id, -1) AS id FROM part LEFT JOIN k ON part.p_brand = k.p_brand",
     "content_boxes": f"WITH {SPAN} SELECT * FROM box",
     "padded_boxes": f"WITH {SPAN}, p AS (SELECT doc_id, page_no, greatest(x - 6, 0) AS l, greatest(y - 6, 0) AS t, least(x + width + 6, 612) AS r, least(y + height + 6, 864) AS b FROM box) SELECT doc_id, page_no, l AS x, t AS y, r - l AS width, b - t AS height FROM p",
     "styled_spans": """WITH l AS (SELECT conv_id, turn, unnest(range(0, len(l))) AS ix, l FROM (SELECT conv_id, turn, string_split(text, '\n') AS l FROM conversations)),

@@ -87,6 +87,10 @@ SQL = {
     "settle_points": """WITH f AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 90 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
       i AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM f) SELECT user_id, epoch_us(min(ts)) AS first, epoch_us(max(ts)) AS settled, count(*) AS n FROM i GROUP BY user_id, island""",
     "payload_offsets": "SELECT page_id, cast(strlen(html) AS BIGINT) AS bytes, cast(coalesce(sum(strlen(html)) OVER (ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM pages",
+    "throttle_commits": """WITH RECURSIVE o(user_id, opened) AS (SELECT user_id, min(ts) FROM events GROUP BY user_id
+        UNION ALL SELECT o.user_id, min(e.ts) FROM o JOIN events e ON e.user_id = o.user_id AND e.ts > o.opened + INTERVAL 90 MINUTE GROUP BY o.user_id),
+      b AS (SELECT user_id, opened, lead(opened) OVER (PARTITION BY user_id ORDER BY opened) AS closed FROM o)
+      SELECT b.user_id, epoch_us(b.opened) AS opened, count(*) AS n FROM b JOIN events e ON e.user_id = b.user_id AND e.ts >= b.opened AND (b.closed IS NULL OR e.ts < b.closed) GROUP BY 1, 2""",
     "timing_median": "SELECT event_type, median(value) AS median, max(value) AS most, count(*) AS n FROM events GROUP BY event_type",
     "progress_counts": "SELECT user_id, count(*) FILTER (WHERE event_type IN ('purchase', 'signup')) AS done, count(*) AS total FROM events GROUP BY user_id",
     "stream_latest": "SELECT user_id, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id",

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.arrays import prefix_sums
 
 ADVANCE, LEADING, LINES_PER_PAGE, MARGIN = 6.0, 12.0, 60, 72.0
 PAGE_WIDTH, PAGE_HEIGHT = 612.0, 864.0
@@ -54,10 +55,13 @@ def lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def characters(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, seq, line, ch): every character but line feeds; seq counts from 0, lines from 1."""
-    chars = rows.select(*keys, F.posexplode(F.split("text", "\n", -1)).alias("p", "t"))
-    each = chars.select(*keys, (F.col("p") + 1).alias("line"), F.posexplode(F.filter(F.split("t", ""), lambda c: c != "")).alias("col", "ch"))
-    return each.select(*keys, "line", "col", "ch")
+    """(keys, line, seq, ch): every character but line feeds; seq counts from 0 over the text, lines from 1. All of it is
+    read inside the text's row, without a shuffle."""
+    cut = rows.select(*keys, F.split("text", "\n", -1).alias("l"))
+    placed = cut.select(*keys, F.posexplode(F.arrays_zip(F.col("l").alias("t"), prefix_sums(F.transform("l", F.length)).alias("before"))).alias("p", "z"))
+    chars = F.filter(F.split("z.t", ""), lambda c: c != "")
+    each = placed.select(*keys, (F.col("p") + 1).alias("line"), F.col("z.before").alias("before"), F.posexplode(chars).alias("col", "ch"))
+    return each.select(*keys, "line", (F.col("before") + F.col("col")).cast("long").alias("seq"), "ch")
 
 
 def grid_spans(docs: DataFrame) -> DataFrame:

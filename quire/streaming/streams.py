@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
+from ..functions.workers import shared_folder
+
 #: Input files a batch; a fixed value.
 SLICE = 8
 
@@ -34,33 +36,73 @@ class Progress(StreamingQueryListener):
         pass
 
 
-def shared_folder(spark: SparkSession) -> str:
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{named or tempfile.mkdtemp(prefix='quire-stream-')}/{uuid.uuid4().hex}"
+def fresh_folder(spark: SparkSession) -> str:
+    """A folder of its own in the shared one."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+#: The file a row came from, while a slice is walked.
+FILE = "__walked_file"
 
 
 def walk(spark: SparkSession, folder: str, name: str, schema, step, files: int = SLICE, checkpoint: str | None = None) -> str:
-    """Run `step` (frame -> frame) over a table in slices of `files` files until nothing is left, appending to Parquet; returns
-    the output's path. With the same checkpoint a later call takes up where this one ended."""
-    root = checkpoint or shared_folder(spark)
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name}.parquet")
-    query = step(source).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    """Run `step` (frame -> frame) over a table in slices of `files` files until nothing is left, writing Parquet by slice and
+    part; returns the output's path. With the same checkpoint a later call takes up where this one ended.
+
+    A slice that fails is gone through file by file; a file that fails then is a warning (see warnings), and the walk goes
+    on. A slice that runs again after a loss replaces what it wrote before."""
+    root = checkpoint or fresh_folder(spark)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/[{name[0]}]{name[1:]}.parquet")
+
+    def one(batch: DataFrame, number: int) -> None:
+        put = lambda rows, part: step(rows.drop(FILE)).write.mode("overwrite").parquet(f"{root}/out/slice={number}/part={part}")
+        try:
+            put(batch, 0)
+            return
+        except Exception as error:  # whatever a step may raise; each file says below whether it was the one
+            reason = error
+        failed = []
+        for part, file in enumerate(sorted(r[0] for r in batch.select(FILE).distinct().collect())):  # at most `files`
+            try:
+                put(batch.where(F.col(FILE) == file), part)
+            except Exception as error:
+                reason = error
+                failed.append((number, file, str(reason).strip().splitlines()[0][:500]))
+        if failed:
+            spark.createDataFrame(failed, WARNING).write.mode("overwrite").json(f"{root}/warnings/{number}")
+
+    query = source.withColumn(FILE, F.col("_metadata.file_path")).writeStream.foreachBatch(one).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return f"{root}/out"
 
 
+WARNING = "slice int, file string, reason string"
+
+
+def warnings(spark: SparkSession, out: str) -> DataFrame:
+    """(slice, file, reason) of the files that a walk went past; out: what walk returned."""
+    root = out.removesuffix("/out")
+    try:
+        return spark.read.schema(WARNING).json(f"{root}/warnings/*")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], WARNING)
+
+
 def remember(spark: SparkSession, changes: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """The latest value of each key of a stream, as a table that a batch reads when the stream is drained."""
-    out = f"{shared_folder(spark)}/latest"
+    """The latest value of each key of a stream, as a table that a batch reads when the stream is drained. Each micro-batch
+    writes the keys that it changed alone."""
+    out = f"{fresh_folder(spark)}/latest"
     state = changes.groupBy(key).agg(F.max(F.struct(order, value)).alias("last"))
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/{number}")
 
-    query = state.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+    query = state.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
     query.awaitTermination()
-    last = max((p["batchId"] for p in query.recentProgress if p["numInputRows"]), default=0)
-    return spark.read.parquet(f"{out}/{last}").select(key, f"last.{order}", f"last.{value}")
+    changed = spark.read.schema(state.schema).parquet(f"{out}/*")
+    return changed.groupBy(key).agg(F.max("last").alias("last")).select(key, f"last.{order}", f"last.{value}")
 
 
 def throttle(changes: DataFrame, key: str, at: str, wait_ms: int) -> DataFrame:

@@ -84,4 +84,4 @@ def test_named_glyphs_of_all_parts(spark):
     first = {}
     for key, brand, kind in parts:
         first[brand, kind] = min(first.get((brand, kind), key), key)
-    assert collected(spark, d, "named_glyphs_whole") == sorted((k, first[b, t], b if k % 2 == 0 else f"named\0{t}") for k, b, t in parts)
+    assert collected(spark, d, "named_glyphs") == sorted((k, first[b, t], b if k % 2 == 0 else f"named\0{t}") for k, b, t in parts)

@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import crop, fixation, fonts, layout, links, memory, rules, search, spans, spatial
+from quire.functions import arrays
+from quire.operators import charmaps, crop, fixation, fonts, gradients, layout, links, memory, rules, search, spans, spatial
 
 PAGE = (612.0, 792.0)
 
@@ -163,10 +164,10 @@ def test_cross_run_words(spark):
 
 def test_simplify_and_character_map():
     line = [(i / 10, (i * 10.0,)) for i in range(11)]
-    assert fixation.simplify(line) == [line[0], line[-1]]
+    assert gradients.simplify(line) == [line[0], line[-1]]
     bent = [(0.0, (0.0,)), (0.5, (50.0,)), (1.0, (0.0,))]
-    assert fixation.simplify(bent) == bent
-    got = fixation.character_map("% c\n1 beginbfchar <01> <0041> endbfchar 2 beginbfrange <02> <04> <0061> <05> <06> [<0066> <00660069>] endbfrange")
+    assert gradients.simplify(bent) == bent
+    got = charmaps.character_map("% c\n1 beginbfchar <01> <0041> endbfchar 2 beginbfrange <02> <04> <0061> <05> <06> [<0066> <00660069>] endbfrange")
     assert got == {1: "A", 2: "a", 3: "b", 4: "c", 5: "f", 6: "fi"}
 
 
@@ -224,3 +225,76 @@ def test_numbered_and_ranges(spark):
     assert got == [("a", 5), ("b", 7), ("c", 9)]
     codes = spark.createDataFrame([("f", 1, 11), ("f", 2, 12), ("f", 3, 20), ("f", 5, 22)], "font_key string, code int, gid int")
     assert sorted(tuple(r)[1:] for r in fonts.ranges(codes).collect()) == [(1, 2, 11), (3, 3, 20), (5, 5, 22)]
+
+
+def test_prefix_sums(spark):
+    for n in (0, 1, 2, 7, 1300):
+        sizes = [(7 * i) % 5 for i in range(n)]
+        df = spark.createDataFrame([(sizes,)], "a array<int>")
+        for width in (3, 512):
+            got = df.select(arrays.prefix_sums(F.col("a"), width).alias("s")).first()["s"]
+            assert got == [sum(sizes[:i]) for i in range(n)]
+    assert spark.sql("select cast(null as array<int>) a").select(arrays.prefix_sums(F.col("a")).alias("s")).first()["s"] is None
+
+
+def test_glyphs_without_a_usable_code_get_none(spark):
+    seen = spark.createDataFrame([("f", 0, 0xFFFD, 3, None), ("f", 1, 0, 4, None), ("f", 2, 0x41, 5, None), ("f", 3, 0, 6, "xyz"), ("f", 4, 0x41, 7, None)], "font_key string, ord int, code int, gid int, letters string")
+    assert {r["gid"]: r["code"] for r in fonts.assign(seen).collect()} == {5: 0x41, 6: 0xE000, 7: 0xE001}
+
+
+def test_deep_outline_and_circles(spark):
+    rows = [(f"n{i}", f"n{i - 1}" if i else None, 0, "t", 1) for i in range(40)]
+    schema = "id string, parent string, pos int, title string, page int"
+    tree = links.outline(spark.createDataFrame(rows, schema))
+    assert sorted((r["depth"], r["id"]) for r in tree.collect()) == [(i, f"n{i}") for i in range(40)]
+    with pytest.raises(ValueError, match="ancestor"):
+        links.outline(spark.createDataFrame([("a", None, 0, "t", 1), ("b", "a", 0, "t", 1), ("a", "b", 0, "t", 1)], schema))
+
+
+@pytest.mark.parametrize("fold", [64, 1])
+def test_rule_counts(spark, monkeypatch, fold):
+    monkeypatch.setattr(rules, "FOLD_UP_TO", fold)
+    monkeypatch.setattr(rules, "BROADCAST_RULES", 1)
+    lines = spark.createDataFrame([(1, "a b"), (1, "b"), (2, "b c"), (3, None)], "d int, text string")
+    given = spark.createDataFrame([("r1", "b"), ("r2", "^a"), ("r3", "z"), ("r4", None)], "id string, pattern string")
+    got = {r["id"]: (r["n_lines"], r["n_docs"]) for r in rules.matches(lines, given, "d").collect()}
+    assert got == {"r1": (3, 2), "r2": (1, 1), "r3": (0, 0), "r4": (0, 0)}
+
+
+def test_characters_and_their_places(spark):
+    from quire.sources import documents as src
+
+    rows = spark.createDataFrame([(1, "ab\n\nc"), (2, ""), (3, None)], "k int, text string")
+    got = sorted((r["k"], r["seq"], r["line"], r["ch"]) for r in src.characters(rows, ["k"]).collect())
+    assert got == [(1, 0, 1, "a"), (1, 1, 1, "b"), (1, 2, 3, "c")]
+
+
+def test_memo_measures_once(spark):
+    asked = []
+
+    def measure(keys):
+        asked.append(sorted(r["k"] for r in keys.collect()))
+        return keys.where("k <> 3").withColumn("v", F.col("k") * 10)
+
+    frame = lambda *ks: spark.createDataFrame([(k,) for k in ks], "k int")
+    empty = spark.createDataFrame([], "k int, v int")
+    _, memo = memory.memoised(frame(1, 3, 3), empty, ["k"], measure)
+    found, memo = memory.memoised(frame(1, 2, 3), memo, ["k"], measure)
+    assert asked == [[1, 3], [2]]
+    assert sorted((r["k"], r["v"]) for r in found.collect()) == [(1, 10), (2, 20), (3, None)]
+    assert [r["k"] for r in memory.trimmed(memo, frame(2), ["k"]).collect()] == [2]
+
+
+def test_resources_in_circles(spark):
+    roots = spark.createDataFrame([(0, 1), (1, None), (2, 9)], "page int, resource int")
+    inner = spark.createDataFrame([(1, 2), (2, 3), (3, 1), *[(i, i + 1) for i in range(9, 20)]], "resource int, child int")
+    entries = spark.createDataFrame([(i, f"f{i}") for i in range(1, 21)], "resource int, font string")
+    got = sorted((r["page"], r["depth"], r["font"]) for r in fonts.resource_fonts(roots, inner, entries).collect())
+    assert got == [(0, 0, "f1"), (0, 1, "f2"), (0, 2, "f3"), *((2, i, f"f{9 + i}") for i in range(7))]
+
+
+def test_served_faces_replace_once(spark):
+    sheet = spark.createDataFrame([(1, "\n a { font-family:  'X'; src: \"u\" \"u\" }\n\t\nplain")], "k int, css string")
+    faces = spark.createDataFrame([(1, 0, "X", "u", "old", "woff2", 5, 2), (1, 1, "X", "u", "new", "woff2", 7, 3)], "k int, ord int, family string, uri string, url string, format string, bytes long, glyphs long")
+    got = sorted((r["n"], r["family"], r["css"], r["format"], r["bytes"], r["glyphs"]) for r in fonts.served(fonts.rule_assets(sheet, "k"), faces, "k").collect())
+    assert got == [(0, "X", " a { font-family:  'X'; src: \"new\" \"u\" }", "woff2", 7, 3), (1, "plain", "plain", "woff", 0, 0)]

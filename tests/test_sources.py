@@ -110,3 +110,20 @@ def test_layout_rows(spark):
     assert layout.retain_nearest(pages, "doc", F.lit(1), 2).select("index").distinct().count() == 2
     ahead = layout.lookahead(pages, F.lit(1), F.lit(1), F.lit(-1), 2)
     assert [r["index"] for r in ahead.collect()] == [0]
+
+
+def test_walk_goes_past_a_bad_file(spark, tmp_path):
+    for i, value in enumerate(["1", "2", "bad", "4"]):
+        spark.createDataFrame([(i, value)], "id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "rows.parquet"))
+    step = lambda s: s.select("id", F.col("text").cast("int").alias("n"))
+    spark.conf.set("spark.sql.ansi.enabled", "true")
+    out = streams.walk(spark, str(tmp_path), "rows", "id long, text string", step, checkpoint=str(tmp_path / "state"))
+    assert sorted(r["n"] for r in spark.read.parquet(out).collect()) == [1, 2, 4]
+    warned = streams.warnings(spark, out).collect()
+    assert len(warned) == 1 and "rows.parquet" in warned[0]["file"] and warned[0]["reason"]
+
+
+def test_walk_without_warnings(spark, tmp_path):
+    events(spark).write.parquet(str(tmp_path / "events.parquet"))
+    out = streams.walk(spark, str(tmp_path), "events", spark.read.parquet(str(tmp_path / "events.parquet")).schema, lambda s: s, checkpoint=str(tmp_path / "state"))
+    assert streams.warnings(spark, out).count() == 0
