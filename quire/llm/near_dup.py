@@ -5,16 +5,20 @@ shorter document's whole sequence is its one shingle). Two documents are linked
 
 1. Documents with equal sets form a class (one row per class from here on); each class has EMBED minwise values.
 2. TREES independent trees branch the classes: a node's children are keyed by the minwise value at positions that the
-   tree and level choose, BRANCHES of them below the root. A node of LEAF classes or fewer is compared exhaustively; only
-   larger nodes are branched again, up to LEVELS times.
-3. In a small node, one byte of each minwise value gives estimates that discard classes without any plausible partner
+   tree and level choose, BRANCHES of them below the root. A node of LEAF classes or fewer is compared exhaustively.
+3. Larger nodes are settled as far as one component goes, at the root and after the last level: a node is cut into blocks
+   of BLOCK classes that each hold PIVOTS of its classes too, links inside the blocks are confirmed, and the classes that
+   hang together with one pivot are one component. A node that is all one component is done: no link in it could join
+   anything more. Where FEW classes or fewer stand outside, these meet every block and one another, which compares
+   every pair that could matter (rows grow to three times the node's at most). Only nodes that are neither are branched, up to
+   LEVELS times. So a great group of copies ends at the root.
+4. In a node or block, one byte of each minwise value gives estimates that discard classes without any plausible partner
    (EMBED bytes a row; at similarity 0.75 a pair is lost with a probability under 1e-5). The full sets of the others
-   are read again from their documents, once, and the links of a node are confirmed on them by exact counting; a
-   spanning forest of the links leaves the node.
-4. What is still too large after the last level - classes that share a value on every chosen level - is split into
-   blocks that each hold the node's least class; nodes whose blocks are not linked to one component are then compared
+   are read again from their documents, and the links are confirmed on them by exact counting; a spanning forest of the
+   links leaves the node.
+5. What is still too large after the last level - unlike classes that share a value on every chosen level - is compared
    block by block, so nothing is capped.
-5. Components come from min-label propagation, hooks among labels followed several steps a round, in the cluster.
+6. Components come from min-label propagation, hooks among labels followed several steps a round, in the cluster.
 
 Recall: a pair at similarity s stays together in a tree with probability s at the root and 1 - (1 - s) ** BRANCHES per
 further level, for a level's positions are the same in all nodes of a tree. At 0.75 ten trees all miss it with probability
@@ -40,21 +44,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, groups, mapped, slices, string_list
+from .common import cut, groups, mapped, slices, string_list, word_hashes
 
 SHINGLE = 5
 EMBED = 128
 TREES, LEVELS, BRANCHES, LEAF = 10, 4, 2, 1024
 #: Agreement of minwise values below which a pair is not looked at: 0.75 less 4.4 standard deviations.
 PLAUSIBLE = 0.58
-BLOCK = 512
+BLOCK, PIVOTS, FEW = 512, 4, 1024
 #: Hooks that a round of the components follows beyond the first.
 JUMPS = 2
 #: Ids of documents whose sets are read again are broadcast up to so many, and joined by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
 
-_words: dict[bytes, int] = {}
-_WORDS = 400_000
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _seed = np.random.default_rng(20240229)
 _MULTIPLY = _seed.integers(0, 1 << 63, EMBED, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -73,16 +75,7 @@ def shingles(text: str) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, dtype=np.uint64)
-    try:
-        hashes = list(map(_words.__getitem__, words))
-    except KeyError:
-        if len(_words) > _WORDS:
-            _words.clear()
-        for w in words:
-            if w not in _words:
-                _words[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-        hashes = list(map(_words.__getitem__, words))
-    h = np.array(hashes, dtype=np.uint64)
+    h = np.array(word_hashes(words), dtype=np.uint64)
     n = min(SHINGLE, len(h))
     rows = len(h) - n + 1
     total = np.full(rows, n, dtype=np.uint64)
@@ -207,9 +200,9 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out + off
 
 
-def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of a symmetric link matrix."""
-    m, seen, out = len(linked), np.zeros(len(linked), dtype=bool), []
+def spanning(linked: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """A spanning forest of a symmetric link matrix, and the root of each row's tree."""
+    m, seen, out, tree = len(linked), np.zeros(len(linked), dtype=bool), [], np.arange(len(linked))
     for root in range(m):
         if seen[root]:
             continue
@@ -219,29 +212,43 @@ def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
             k = stack.pop()
             new = np.flatnonzero(linked[k] & ~seen)
             seen[new] = True
+            tree[new] = root
             out += [(k, x) for x in new.tolist()]
             stack += new.tolist()
-    return out
+    return out, tree
 
 
 def confirmed(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links (a, b) between classes of a node, confirmed on full sets: a spanning forest of each node's links."""
+    """(a, b, node): links between classes of a node, confirmed on full sets - a spanning forest of each node's links, node
+    null - and, where nodes (node, gid, pivot) name pivots, for each class a that hangs together with some in its node the
+    least of them, b."""
+    named = "pivot" in nodes.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
+        a, b, where = [], [], []
         for t in groups(batches, "node"):
             if t.num_rows < 2:
                 continue
             own = [np.frombuffer(x, dtype=np.uint64) for x in t["hashes"].to_pylist()]
             sizes = np.array([len(s) for s in own], dtype=np.float64)
             both = common_counts(own)
-            found = spanning(100 * both >= 75 * (sizes[:, None] + sizes[None, :] - both))
+            found, tree = spanning(100 * both >= 75 * (sizes[:, None] + sizes[None, :] - both))
             gids = t["gid"].to_pylist()
             a += [gids[x] for x, _ in found]
             b += [gids[y] for _, y in found]
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            where += [None] * len(found)
+            if named:
+                least: dict[int, int] = {}
+                for root, gid, pivot in zip(tree.tolist(), gids, t["pivot"].to_pylist(), strict=True):
+                    if pivot:
+                        least[root] = min(gid, least.get(root, gid))
+                held = [(gid, least[root]) for root, gid in zip(tree.tolist(), gids, strict=True) if root in least]
+                a += [x for x, _ in held]
+                b += [y for _, y in held]
+                where += [t["node"][0].as_py()] * len(held)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(where, pa.int64())], names=["a", "b", "node"])
 
-    return mapped(node_rows(sets, nodes, ["hashes"]), run, "a long, b long")
+    return mapped(node_rows(sets, nodes, ["hashes"]), run, "a long, b long, node long")
 
 
 def read_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -279,6 +286,47 @@ def components(links: DataFrame) -> DataFrame:
         labels = cut(far)
 
 
+def compared(docs: DataFrame, classes: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """What confirmed gives for all pairs of classes that share a node (node, gid, and pivot where there are any)."""
+    active = cut(plausible(classes, nodes))
+    wanted = cut(active.select("gid").distinct().join(classes.select("gid", "digest", "id"), "gid"))
+    sets = cut(read_sets(docs, wanted, id_col, text_col))
+    return cut(confirmed(sets, active.join(nodes, ["node", "gid"]) if "pivot" in nodes.columns else active))
+
+
+def block():
+    """The block of a class in a node of c classes."""
+    return F.pmod(F.xxhash64("gid", F.lit(5)), F.ceil(F.col("c") / BLOCK).cast("long"))
+
+
+def settle(docs: DataFrame, classes: DataFrame, large: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) found in large nodes (node, gid, tree, c), and the rows of nodes that are not settled by them."""
+    rows = cut(large.withColumn("block", block()).withColumn("sub", F.xxhash64("node", "block")))
+    # pivots are least by as many hashes; counted before rows meet
+    pivots = rows.groupBy("node").agg(F.array_distinct(F.array(*(F.min_by("gid", F.xxhash64("gid", F.lit(50 + k))) for k in range(PIVOTS)))).alias("gid"))
+    held = cut(rows.select("sub", "node").distinct().join(pivots, "node").select(F.col("sub").alias("node"), F.explode("gid").alias("gid"), F.lit(True).alias("pivot")))
+    plain = rows.select(F.col("sub").alias("node"), "gid").join(held, ["node", "gid"], "left_anti").withColumn("pivot", F.lit(False))
+    found = compared(docs, classes, cut(held.unionByName(plain)), id_col, text_col)
+    links = found.where("node is null").select("a", "b")
+
+    # of each node, the pivot that most classes hang together with, and how many do not
+    anchors = found.where("node is not null").select(F.col("node").alias("sub"), F.col("a").alias("gid"), F.col("b").alias("anchor"))
+    named = cut(rows.join(anchors, ["sub", "gid"], "left"))
+    parts = named.where("anchor is not null").groupBy("node", "anchor").agg(F.count(F.lit(1)).alias("m"))
+    main = parts.groupBy("node").agg(F.max(F.struct("m", "anchor")).alias("top")).select("node", F.col("top.anchor").alias("main"), F.col("top.m").alias("m"))
+    state = cut(named.select("node", "c").distinct().join(main, "node", "left").withColumn("others", F.col("c") - F.coalesce("m", F.lit(0))).where("others > 0"))
+    if state.isEmpty():
+        return links, large.limit(0)
+    rest = cut(named.join(state.select("node", "main", "others"), "node"))
+    few = rest.where(F.col("others") <= FEW)
+    if not few.isEmpty():
+        inside = F.col("anchor").eqNullSafe(F.col("main"))
+        blocks = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("c") / BLOCK).cast("long") - 1)
+        met = few.where(inside).select("sub", "gid").unionByName(few.where(~inside).select("node", "gid", F.explode(blocks).alias("block")).select(F.xxhash64("node", "block").alias("sub"), "gid"))
+        links = links.unionByName(compared(docs, classes, cut(met.withColumnRenamed("sub", "node")), id_col, text_col).select("a", "b"))
+    return cut(links), cut(rest.where(F.col("others") > FEW).select("node", "gid", "tree", "c"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: the id, n_shingles, component_id, kept, and for joins back text_key (xxhash64 of the text)
     and label, which tells components apart that one id names (null for a text without words)."""
@@ -287,8 +335,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows.where("n > 0").groupBy("digest").agg(F.min("row_id").alias("gid"), F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("low").alias("low"))
     )
 
-    # the trees, level by level; only rows of nodes that are too large go on
-    leaves, large = None, None
+    # the trees, level by level; only rows of large nodes that could not be settled go on
+    leaves, large, links = None, None, None
     for level in range(LEVELS):
         chosen = positions(level)
         if level == 0:
@@ -300,37 +348,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             paths = wide.select("gid", "tree", F.explode(F.get(each, F.col("tree"))).alias("node")).select("gid", "tree", "node")
             paths = cut(paths)
         sizes = cut(paths.groupBy("node").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
-        sized = paths.join(sizes, "node")
-        here = cut(sized.select("node", "gid", "tree", "c"))
+        here = cut(paths.join(sizes, "node").select("node", "gid", "tree", "c"))
         small = here.where(F.col("c") <= LEAF).select("node", "gid")
         leaves = small if leaves is None else leaves.unionByName(small)
-        large = here.where(F.col("c") > LEAF).select("node", "gid", "tree", "c")
+        large = here.where(F.col("c") > LEAF)
+        if not large.isEmpty() and level in (0, LEVELS - 1):
+            found, large = settle(docs, classes, large, id_col, text_col)
+            links = found if links is None else links.unionByName(found)
         if large.isEmpty():
             large = None
             break
-    active = cut(plausible(classes, leaves))
-
-    if large is not None:
-        large = cut(large.select("node", "gid", "c").withColumn("block", F.pmod(F.xxhash64("gid", F.lit(5)), F.ceil(F.col("c") / BLOCK).cast("long"))))
-        least = large.groupBy("node").agg(F.min("gid").alias("least"))
-        blocks = large.select(F.xxhash64("node", "block").alias("sub"), "node", "gid")
-        pivots = blocks.select("sub", "node").distinct().join(least, "node").select("sub", F.col("least").alias("gid"))
-        starred = blocks.select("sub", "gid").unionByName(pivots).distinct().withColumnRenamed("sub", "node")
-        active = cut(active.unionByName(starred))
-
-    wanted = cut(active.select("gid").distinct().join(classes.select("gid", "digest", "id"), "gid"))
-    sets = cut(read_sets(docs, wanted, id_col, text_col))
-    links = cut(confirmed(sets, active))
+    found = compared(docs, classes, leaves, id_col, text_col).select("a", "b")
+    links = found if links is None else cut(links.unionByName(found))
 
     if large is not None:
-        labels = components(links)
-        held = large.join(labels, "gid", "left").withColumn("label", F.coalesce("label", "gid"))
-        split = held.groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("node")
-        rest = large.join(split, "node")
-        pairs = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("c") / BLOCK).cast("long") - 1)))
+        last = F.ceil(F.col("c") / BLOCK).cast("long") - 1
+        pairs = large.withColumn("block", block()).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
         pairs = cut(pairs.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("node"), "gid"))
-        if not pairs.isEmpty():
-            links = cut(links.unionByName(confirmed(sets, cut(plausible(classes, pairs)))))
+        links = cut(links.unionByName(compared(docs, classes, pairs, id_col, text_col).select("a", "b")))
 
     labels = components(links)
     of_class = cut(classes.select("digest", "gid", "id").join(labels, "gid", "left").withColumn("label", F.coalesce("label", "gid")))
