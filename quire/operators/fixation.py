@@ -3,6 +3,9 @@
 The length table and the dictionaries are parameters. BOUNDS is the documented default: a word of more than BOUNDS[i] and
 at most BOUNDS[i + 1] letters keeps all but i + 1; past the last bound it keeps all but as many as there are bounds. The
 bounds from 12 to 42 are a choice; tests pin the others.
+
+Words are marked in Python, many texts at a time: a ligature counts as its letters, a mark may carry over a run's border and
+depends on the words on both sides, and Spark's functions of arrays would copy a text for every character folded in.
 """
 
 from __future__ import annotations

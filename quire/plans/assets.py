@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import fonts, memory, rules, spans
+from ..operators import fonts, memory, rules, search, spans
 from ..sources.documents import run_rows, table
 from ..streaming import streams
 from .search import RUNS_SQL
@@ -79,6 +79,14 @@ def page_counters(spark, d):
     return spans.page_stats(items, ["page"])
 
 
+def merged_bands(spark, d):
+    """The items of an order as boxes of one hit, merged into lines."""
+    box = F.struct((F.col("l_quantity") * 1.0).alias("x"), (F.col("l_linenumber") * 3.0).alias("y"), (F.col("l_quantity") % 7 + 1.0).alias("w"), (F.col("l_linenumber") % 3 * 4.0 + 2.0).alias("h"))
+    hits = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(box).alias("boxes"))
+    each = hits.select("l_orderkey", F.posexplode(search.bands(F.col("boxes"))).alias("n", "b"))
+    return each.select("l_orderkey", "n", "b.x", "b.y", "b.w", "b.h")
+
+
 def example_list(spark, d):
     nation = table(spark, d, "nation").select("n_nationkey", "n_name", F.lit("known").alias("note"))
     both = memory.listed(nation.where("n_nationkey % 4 = 0"), nation, "n_nationkey")
@@ -122,7 +130,7 @@ def walked_runs(spark, d):
 
 
 QUERIES = [
-    stylesheet_assets, served_faces, font_directories, resource_walk, ligature_orders, page_letter_names, run_breaks, page_counters, example_list, memo_measures, rule_selection, rule_all_selected,
+    stylesheet_assets, served_faces, font_directories, resource_walk, ligature_orders, page_letter_names, run_breaks, page_counters, merged_bands, example_list, memo_measures, rule_selection, rule_all_selected,
     rules_in_order, walked_runs,
 ]
 SHEET = """sheet AS (SELECT n_regionkey, n_nationkey AS k, n_name, cast(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER) AS n,
@@ -153,6 +161,13 @@ SQL = {
     "page_counters": """WITH i AS (SELECT l_orderkey % 500 AS page, CASE l_suppkey % 6 WHEN 0 THEN 'image' WHEN 1 THEN 'shade' WHEN 2 THEN 'space' ELSE 'glyph' END AS kind, CASE WHEN l_linestatus = 'O' THEN l_returnflag END AS face, l_linenumber AS run_no, l_discount > 0.05 AS faded FROM lineitem)
       SELECT page, count(*) FILTER (WHERE kind = 'glyph') AS glyphs, count(*) FILTER (WHERE kind = 'glyph' AND face IS NOT NULL) AS as_text, count(*) FILTER (WHERE kind = 'glyph' AND face IS NULL) AS as_outlines, count(DISTINCT CASE WHEN kind = 'glyph' AND face IS NOT NULL THEN run_no END) AS runs,
         count(*) FILTER (WHERE kind = 'space') AS spaces, count(DISTINCT CASE WHEN kind = 'glyph' THEN face END) AS fonts, count(*) FILTER (WHERE kind = 'image') AS images, count(*) FILTER (WHERE kind = 'shade') AS shades, count(*) FILTER (WHERE kind = 'glyph' AND face IS NOT NULL AND faded) AS faded FROM i GROUP BY page""",
+    "merged_bands": """WITH RECURSIVE i AS (SELECT l_orderkey, cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY y, x, w, h) AS INTEGER) AS k, x, y, w, h FROM
+        (SELECT l_orderkey, cast(l_quantity AS DOUBLE) AS x, l_linenumber * 3.0::DOUBLE AS y, cast(l_quantity % 7 + 1.0 AS DOUBLE) AS w, l_linenumber % 3 * 4.0::DOUBLE + 2.0 AS h FROM lineitem)),
+      s(l_orderkey, k, n, x, y, w, h) AS (SELECT l_orderkey, k, 0, x, y, w, h FROM i WHERE k = 1
+        UNION ALL SELECT l_orderkey, k, CASE WHEN j THEN n ELSE n + 1 END, CASE WHEN j THEN least(sx, x) ELSE x END, CASE WHEN j THEN least(sy, y) ELSE y END,
+          CASE WHEN j THEN greatest(sx + sw, x + w) - least(sx, x) ELSE w END, CASE WHEN j THEN greatest(sy + sh, y + h) - least(sy, y) ELSE h END
+        FROM (SELECT i.*, s.n, s.x AS sx, s.y AS sy, s.w AS sw, s.h AS sh, abs(i.y - s.y) < s.h * 0.5 AND i.x <= s.x + s.w + s.h * 0.4 AS j FROM s JOIN i ON i.l_orderkey = s.l_orderkey AND i.k = s.k + 1)),
+      l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, n ORDER BY k DESC) AS r FROM s) SELECT l_orderkey, n, x, y, w, h FROM l WHERE r = 1""",
     "example_list": "SELECT 0 AS part, n_nationkey AS n, n_name, 'cached locally' AS note FROM nation WHERE n_nationkey % 4 = 0 UNION ALL SELECT 1, n_nationkey, n_name, 'known' FROM nation",
     "memo_measures": "WITH k AS (SELECT DISTINCT user_id, event_type FROM events), m AS (SELECT user_id, event_type, count(*) AS n, max(value) AS most FROM events WHERE value > 60 GROUP BY 1, 2) SELECT k.user_id, k.event_type, coalesce(n, 0) AS n, coalesce(most, -1.0) AS most FROM k LEFT JOIN m ON k.user_id = m.user_id AND k.event_type = m.event_type",
     "rule_selection": "SELECT p_partkey AS id FROM part WHERE p_size % 2 <> 0",
