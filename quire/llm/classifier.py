@@ -4,9 +4,10 @@ Bytes are embedded; learned filters, WIDTH bytes wide, slide by STRIDE over the
 are max-pooled in chunks of CHUNK bytes, whose windows reach over into the next chunk, so chunks overlap and no byte is
 left out; the pooled vectors, averaged by their windows, are combined into one probability by a logistic layer.
 
-The network is fitted on the driver by Adam on a bounded sample: at most PER_CLASS labelled documents of each class,
-chosen by a hash of the id, and of each of them PARTS chunks spread evenly over the text. Scoring reads every byte of
-every document. Scores depend on the text's bytes alone.
+The network is fitted on the driver by Adam on a bounded sample: the whole texts of at most PER_CLASS labelled documents
+of each class, chosen by a hash of the id (of a repeated id, the least text); a step takes a text whole or, more
+often, some chunks from anywhere in it, drawn anew each time, and looks at SLICE chunks at a time, so long texts cost time,
+not memory. The labels weigh the same in training; their shares among all labelled rows then shift the last layer. Scoring reads every byte of every document. Scores depend on the text's bytes alone.
 
 Defined results: a null text scores as the empty text, which is one window of padding; equal texts get equal scores;
 repeated rows are scored each; where a label has only one class or none, every score is the share of label 1 (0.5 without
@@ -24,10 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, ship, slices
+from .common import mapped, rewritten, slices
 
 WIDTH, STRIDE, DEPTH, FILTERS, CHUNK = 8, 2, 8, 32, 256
-PER_CLASS, PARTS = 400, 4
+PER_CLASS = 700
+#: Chunks that a training step looks at together.
+SLICE = 1024
+#: How often a step takes a sampled text whole; else DRAWN chunks from anywhere in it, so that short texts are learned too.
+WHOLE, DRAWN = 0.25, 2
 PAD = 256
 EPOCHS, BATCH, RATE, SEED = 12, 64, 0.02, 7
 #: Bytes that are scored together.
@@ -50,73 +55,97 @@ def fresh() -> Network:
     return Network(embed, rng.normal(0, 1 / np.sqrt(WIDTH * DEPTH), (WIDTH * DEPTH, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), np.zeros(FILTERS, np.float32), 0.0)
 
 
-def spread(text: bytes, parts: int = PARTS) -> list[bytes]:
-    """`parts` chunks at most, evenly spread, each with the bytes its last window reaches."""
-    last = max(0, len(text) - CHUNK)
-    starts = sorted({int(s) // STRIDE * STRIDE for s in np.linspace(0, last, parts)})
-    return [text[s : s + CHUNK + WIDTH - STRIDE] for s in starts]
+def chunks_of(text: bytes) -> list[bytes]:
+    """All chunks of a text, each with the bytes its last window reaches."""
+    return [text[s : s + CHUNK + WIDTH - STRIDE] for s in range(0, max(1, len(text)), CHUNK)]
 
 
-def windows(chunk: bytes) -> np.ndarray:
-    """Byte numbers under each of a chunk's windows, padded."""
-    n = CHUNK // STRIDE
-    row = np.full((n - 1) * STRIDE + WIDTH, PAD, dtype=np.int16)
+def windows_in(text: bytes) -> np.ndarray:
+    """How many windows begin in each chunk of a text; one at least."""
+    n = max(1, -(-len(text) // STRIDE))
+    per = CHUNK // STRIDE
+    return np.array([min(per, n - a) for a in range(0, n, per)])
+
+
+def cut_up(text: bytes) -> list[tuple[bytes, int]]:
+    """The chunks of a text, each with the number of its windows."""
+    return list(zip(chunks_of(text), windows_in(text).tolist(), strict=True))
+
+
+def drawn(text: bytes, rng: np.random.Generator) -> list[tuple[bytes, int]]:
+    """DRAWN chunks that begin anywhere in a text; all of a text that has fewer."""
+    if len(text) <= DRAWN * CHUNK:
+        return cut_up(text)
+    starts = rng.integers(0, (len(text) - CHUNK) // STRIDE + 1, DRAWN) * STRIDE
+    return [(text[s : s + CHUNK + WIDTH - STRIDE], CHUNK // STRIDE) for s in starts.tolist()]
+
+
+def windows(chunk: bytes, n: int) -> np.ndarray:
+    """Byte numbers under each of a chunk's n windows, padded, and the first window again in the place of those it lacks."""
+    per = CHUNK // STRIDE
+    row = np.full((per - 1) * STRIDE + WIDTH, PAD, dtype=np.int16)
     row[: len(chunk)] = np.frombuffer(chunk, dtype=np.uint8)[: len(row)]
-    return np.lib.stride_tricks.sliding_window_view(row, WIDTH)[::STRIDE]
+    out = np.lib.stride_tricks.sliding_window_view(row, WIDTH)[::STRIDE]
+    return out if n == per else np.concatenate([out[:n], np.repeat(out[:1], per - n, axis=0)])
 
 
-def fit(samples: list[tuple[bytes, int, int]]) -> Network:
-    """samples: chunk, document, label. A document's chunks are pooled one by one and averaged."""
+def fit(samples: list[tuple[bytes, int]], odds: float = 0.0) -> Network:
+    """samples: text, label. A text's chunks are pooled one by one and averaged by their windows, as score does. Both labels
+    weigh the same; odds: the logarithm of how much likelier label 1 is among all rows."""
     net = fresh()
-    label = {d: y for _, d, y in samples}
-    docs = sorted(label)
-    share = np.mean([label[d] for d in docs]) if docs else 0.5
-    if not docs or share in (0, 1):
+    share = np.mean([y for _, y in samples]) if samples else 0.5
+    if not samples or share in (0, 1):
         share = float(np.clip(share, 1e-6, 1 - 1e-6))
         net.offset = float(np.log(share / (1 - share)))
         return net
     rng = np.random.default_rng(SEED)
-    chunks: dict[int, list[np.ndarray]] = {}
-    for c, d, _ in samples:
-        chunks.setdefault(d, []).append(windows(c))
-    weigh = {1: 0.5 / share, 0: 0.5 / (1 - share)}
+    whole = [cut_up(t) for t, _ in samples]
+    label = np.array([y for _, y in samples], np.float32)
+    weigh = np.where(label == 1, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
     params = [net.embed, net.filters, net.bias, net.weight, np.zeros(1, np.float32)]
     moment, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
+    f_of = np.arange(FILTERS)
     for _ in range(EPOCHS):
-        order = rng.permutation(len(docs))
+        order = rng.permutation(len(samples))
         for begin in range(0, len(order), BATCH):
-            own = [docs[i] for i in order[begin : begin + BATCH]]
-            doc_of = np.repeat(np.arange(len(own)), [len(chunks[d]) for d in own])
-            idx = np.stack([w for d in own for w in chunks[d]])  # chunks x windows x WIDTH
-            k, n, _ = idx.shape
-            x = params[0][idx].reshape(k * n, WIDTH * DEPTH)
-            answer = (x @ params[1]).reshape(k, n, FILTERS)
-            best = answer.argmax(axis=1)  # chunks x FILTERS
-            top = np.take_along_axis(answer, best[:, None, :], 1)[:, 0] + params[2]
-            pooled = np.maximum(top, 0)
-            counts = np.bincount(doc_of, minlength=len(own)).astype(np.float32)
+            own = order[begin : begin + BATCH]
+            chunks = [whole[d] if rng.random() < WHOLE else drawn(samples[d][0], rng) for d in own]
+            held = [c for cs in chunks for c in cs]
+            doc_of = np.repeat(np.arange(len(own)), [len(cs) for cs in chunks])
+            part = np.array([n for _, n in held], np.float32)
+            part /= np.bincount(doc_of, part).astype(np.float32)[doc_of]  # of its text's windows
+            # forward: of each chunk and filter, the bytes under its best window, and the answer there
+            best, tops = [], []
+            for a in range(0, len(held), SLICE):
+                idx = np.stack([windows(c, n) for c, n in held[a : a + SLICE]])  # chunks x windows x WIDTH
+                k, n, _ = idx.shape
+                answer = (params[0][idx].reshape(k * n, WIDTH * DEPTH) @ params[1]).reshape(k, n, FILTERS)
+                at = answer.argmax(axis=1)  # chunks x FILTERS
+                best.append(idx[np.arange(k)[:, None], at])  # chunks x FILTERS x WIDTH
+                tops.append(np.take_along_axis(answer, at[:, None, :], 1)[:, 0] + params[2])
+            top = np.concatenate(tops)
             vec = np.zeros((len(own), FILTERS), np.float32)
-            np.add.at(vec, doc_of, pooled)
-            vec /= counts[:, None]
-            y = np.array([label[d] for d in own], np.float32)
+            np.add.at(vec, doc_of, np.maximum(top, 0) * part[:, None])
             p = 1 / (1 + np.exp(-np.clip(vec @ params[3] + params[4], -30, 30)))
-            err = (p - y) * np.array([weigh[int(v)] for v in y], np.float32) / len(own)
-            d_pooled = (err[:, None] * params[3] / counts[:, None])[doc_of] * (top > 0)
-            flat = (np.arange(k)[:, None] * n + best).ravel()  # chunk, filter -> window
-            f_of = np.tile(np.arange(FILTERS), k)
-            d_filters = np.zeros((FILTERS, WIDTH * DEPTH), np.float32)
-            np.add.at(d_filters, f_of, x[flat] * d_pooled.ravel()[:, None])
-            d_embed = np.zeros_like(params[0])
-            back = (params[1].T[f_of] * d_pooled.ravel()[:, None]).reshape(-1, DEPTH)
-            np.add.at(d_embed, idx.reshape(k * n, WIDTH)[flat].ravel(), back)
+            err = (p - label[own]) * weigh[own] / len(own)
+            d_pooled = (err[:, None] * params[3])[doc_of] * part[:, None] * (top > 0)
+            d_filters, d_embed = np.zeros_like(params[1]), np.zeros_like(params[0])
+            for a, rows in zip(range(0, len(held), SLICE), best, strict=True):
+                d = d_pooled[a : a + SLICE]
+                x = params[0][rows].reshape(len(rows), FILTERS, WIDTH * DEPTH)
+                d_filters += np.einsum("kfw,kf->wf", x, d)
+                back = (params[1].T[f_of][None] * d[:, :, None]).reshape(-1, DEPTH)
+                flat = rows.ravel()
+                for j in range(DEPTH):
+                    d_embed[:, j] += np.bincount(flat, back[:, j], minlength=PAD + 1).astype(np.float32)
             d_embed[PAD] = 0
-            grads = [d_embed + 1e-4 * params[0], d_filters.T + 1e-4 * params[1], d_pooled.sum(0), vec.T @ err + 1e-3 * params[3], err.sum(keepdims=True)]
+            grads = [d_embed + 1e-4 * params[0], d_filters + 1e-4 * params[1], d_pooled.sum(0), vec.T @ err + 1e-3 * params[3], err.sum(keepdims=True)]
             step += 1
             for q, g, m, s in zip(params, grads, moment, second, strict=True):
                 m += 0.1 * (g - m)
                 s += 0.001 * (g * g - s)
                 q -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-    return Network(params[0], params[1], params[2], params[3], float(params[4][0]))
+    return Network(params[0], params[1], params[2], params[3], float(params[4][0]) + odds)
 
 
 def score(net: Network, texts: list[bytes]) -> np.ndarray:
@@ -182,16 +211,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         chosen = own if chosen is None else chosen.unionByName(own)
     rows = docs.select(F.col(id_col).alias("lid"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "lid")  # 2 * PER_CLASS rows
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [(i, y, c) for i, y, t in zip(*(batch.column(k).to_pylist() for k in ("lid", "quality", "text")), strict=True) for c in spread((t or "").encode())]
-            cols = list(zip(*parts, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(list(cols[0]), batch.schema.field("lid").type), pa.array(list(cols[1]), pa.int32()), pa.array(list(cols[2]), pa.binary())], names=["lid", "quality", "chunk"])
-
-    kind = rows.schema["lid"].dataType.simpleString()
-    got = mapped(rows, run, f"lid {kind}, quality int, chunk binary").distinct().collect()  # 2 * PER_CLASS * PARTS chunks
-    number = {d: i for i, d in enumerate(sorted({r["lid"] for r in got}))}
-    return fit(sorted((bytes(r["chunk"]), number[r["lid"]], r["quality"]) for r in got))
+    got = rows.groupBy("lid").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("quality").alias("quality")).collect()  # 2 * PER_CLASS texts
+    of = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
+    odds = float(np.log(of[1] / of[0])) if len(of) == 2 else 0.0
+    return fit([(r["text"].encode(), r["quality"]) for r in sorted(got, key=lambda r: r["lid"])], odds)
 
 
 def classify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,10 +234,9 @@ def classify(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: st
 def keep(docs: DataFrame, net: Network, least: float, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that score `least` or more."""
 
-    @F.pandas_udf("double")
-    def of(texts):
-        import pandas as pd
+    at = docs.columns.index(text_col)
 
-        return pd.Series(score(net, [(t or "").encode() for t in texts]))
+    def change(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(score(net, [(t or "").encode() for t in batch.column(at).to_pylist()]) >= least))
 
-    return ship(docs).where(of(F.col(text_col)) >= least)
+    return rewritten(docs, at, change)

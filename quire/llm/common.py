@@ -1,68 +1,25 @@
-"""Shared helpers: shared-folder checkpoints, bounded batches of texts, grouped reading of sorted Arrow streams."""
+"""Shared helpers: bounded memos and batches of texts, grouped reading of sorted Arrow streams."""
 
 from __future__ import annotations
 
 import ctypes
 import hashlib
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.workers import cut, shared_folder, ship
+
+__all__ = ["arrow_type", "cut", "forgets", "groups", "mapped", "release", "rewritten", "shared_folder", "slices", "string_list", "table", "word_hashes"]
+
 #: Bytes of text handled together inside a Python worker; bounds its memory whatever the Arrow batch holds.
 CHUNK_CHARS = 1 << 21
 #: Longer keys are never kept in a worker's memo, so a bound on entries bounds the bytes.
 MEMO_KEY = 64
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. Only a run inside one process (local master: tests, trials) may leave it
-    unset, and gets a temporary one; a cluster without the setting is an error."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    held = sc._jsc.sc().getCheckpointDir()
-    if not held.isEmpty():
-        return held.get()
-    if sc.master != "local" and not sc.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return tempfile.mkdtemp(prefix="quire-checkpoint-")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder.
-
-    Spark deletes the files when the frame is no longer referenced and
-    spark.cleaner.referenceTracking.cleanCheckpoints is set.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
-_shipped: set[str] = set()
-
-
-def ship(df: DataFrame) -> DataFrame:
-    """Make sure that Python workers can import this package, wherever the driver found it; returns df."""
-    sc = df.sparkSession.sparkContext
-    if sc.applicationId not in _shipped:
-        top = Path(__file__).resolve().parents[1]
-        name = Path(tempfile.mkdtemp(prefix="quire-")) / f"{top.name}.zip"
-        with zipfile.ZipFile(name, "w") as z:
-            for f in sorted(top.rglob("*.py")):
-                z.write(f, f.relative_to(top.parent))
-        sc.addPyFile(str(name))
-        _shipped.add(sc.applicationId)
-    return df
-
-
 _memos: list[Callable[[], None]] = []
 
 
@@ -126,7 +83,8 @@ def rewritten(df: DataFrame, text: int, change: Callable[[pa.RecordBatch], pa.Re
             for batch in slices(whole, text):
                 yield change(batch)
 
-    return mapped(df, run, df.schema)
+    plain = df.toDF(*(f"in{k}" for k in range(len(df.columns))))  # names with dots can't be passed
+    return mapped(plain, run, plain.schema).toDF(*df.columns)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
