@@ -99,6 +99,12 @@ def named(column: str) -> str:
     return "`" + column.replace("`", "``") + "`"
 
 
+def _held(expression: str) -> str:
+    """The expression, marked so that the optimiser computes it once, here: a filter on a column that was pushed below it
+    would copy it into lambdas, where a split is read anew for every word."""
+    return f"if(monotonically_increasing_id() < 0, null, {expression})"
+
+
 def judge(docs: DataFrame, llr: list[float], threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """docs with the columns ADDED."""
     table = f"cast(split('{','.join(map(repr, llr))}', ',') as array<double>)"  # folded to one literal
@@ -106,8 +112,8 @@ def judge(docs: DataFrame, llr: list[float], threshold: float = THRESHOLD, text_
     kept = [F.col(named(c)) for c in docs.columns]
     p = unused(docs.columns)
     text, w, g, h = f"coalesce({named(text_col)}, '')", f"{p}w", f"{p}g", f"{p}h"
-    split = docs.select(*kept, F.expr(_words(text)).alias(w), F.expr(_tokens(text)).alias(g))
-    hashed = split.select(*kept, w, g, F.expr(windows_expr(w)).alias(h))
+    split = docs.select(*kept, F.expr(_held(_words(text))).alias(w), F.expr(_held(_tokens(text))).alias(g))
+    hashed = split.select(*kept, w, g, F.expr(_held(windows_expr(w))).alias(h))
     n = len(llr)
     ratio = f"zip_with({g}, slice({g}, 2, greatest(size({g}), 1)), (x, y) -> get({table}, {_bucket(n, 'x')}) + if(y is null, 0D, get({table}, {_bucket(n, 'x', 'y')})))"
     mean = f"case when size({g}) = 0 then 0D else aggregate({ratio}, 0D, (a, b) -> a + b) / (2 * size({g}) - 1) end"
@@ -120,7 +126,7 @@ def judge(docs: DataFrame, llr: list[float], threshold: float = THRESHOLD, text_
         "n_repeat_words": repeat_expr(h),
         "llr": mean,
     }
-    out = hashed.select(*kept, *(F.expr(e).alias(p + c) for c, e in made.items()))
+    out = hashed.select(*kept, *(F.expr(_held(e)).alias(p + c) for c, e in made.items()))
     failed: Column = F.expr(f"{p}n_words < 50 or 100 * {p}n_repeat_words > 50 * {p}n_words")
     dup = F.expr(f"cast(size({p}lines) - size(array_distinct({p}lines)) as bigint)")
     counts = [dup.alias(c) if c == "n_dup_lines" else F.col(p + c).alias(c) for c in ADDED[:5]]
