@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat, classifier, near_dup, packing, pii, quality_rules, search, sharding, token_count
+from . import bpe_codec, chat, classifier, near_dup, packing, pii, pipeline, quality_rules, search, sharding, token_count
 from .common import table
 
 
@@ -63,10 +63,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
-
     own = (op1_shard, op2_chat, op3_pack, op4_token_counts, op5_pii, op6_near_dup, op7_search, op8_classifier, op9_bpe, op10_quality)
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in own} | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
