@@ -1,41 +1,54 @@
 """Personal data by anchor expansion.
 
 One Aho-Corasick automaton finds anchors in a text: at-signs, plus-signs before a digit, a full stop before a digit,
-two digits with at most a blank or hyphen between, URL schemes, and identifier cues. From each anchor a deterministic
-local parser expands the boundaries to both sides and validates what it holds.
+two digits with at most a blank or hyphen between, a bracket before a digit, colons, URL schemes, prefixes of keys, and
+identifier cues. From each anchor a deterministic local parser expands the boundaries to both sides and validates what it holds.
 
 Kinds. The base kinds are those of fixed patterns, leftmost and non-overlapping per kind; a failing match is dropped:
-email, ip (parts at most 255), card (14 to 19 digits, Luhn), phone (10 to 15 digits). The method adds:
-`account`: a value of 6 characters or more with a digit after an identifier cue (account, iban, passport, ssn, token,
-api key, secret, password) and `=`, `:`, `#` or `is`; `login`: user information in a URL, `scheme://user:secret@`.
+email, ip (parts at most 255), card (14 to 19 digits, Luhn), phone (10 to 15 digits). The method adds, by cue:
+`account`: after a cue and `=`, `:`, `#` or `is` a value of 6 characters or more - for secrets (password, secret, token,
+api key) up to the closing quote or the next blank, with a digit or, behind a sign, a symbol, and no cue inside it; for iban
+the longest one, blanks included, whose check digits are right, else as for account; for ssn nine digits, also after a
+blank alone; for account and passport one with a digit;
+`login`: user information in a URL, `scheme://user:secret@`; `key`: keys of a known form (AKIA, ghp_, sk_live_, xoxb-) and
+private-key blocks; `ipv6`: an IPv6 address of three groups or more; `local`: a number written `(ddd) ddd-dddd`.
 Added spans may overlap base spans; neither replaces the other.
 
 Defined results: a null or empty text has no spans; repeated rows are read each; offsets are code points, end
-exclusive; ties of start are ordered by kind as listed in KINDS; other columns are kept by `mask` and not read. The
-parsers take time linear in the text. One pass, no shuffle.
+exclusive; ties of start are ordered by kind as listed in KINDS; other columns are kept by `mask` and not read; an empty
+table gives an empty result. Texts of any length are read whole; the parsers take time linear in them, and a worker holds
+about CHUNK_CHARS of text or one row at a time. One pass, no shuffle.
 """
 
 from __future__ import annotations
 
+import ipaddress
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, ship, slices, string_list
+from .common import mapped, rewritten, slices, string_list
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "account", "login")
+KINDS = (*BASE, "account", "login", "key", "ipv6", "local")
 
 DIGITS = frozenset("0123456789")
 LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 LOCAL = DIGITS | LETTERS | frozenset("._%+-")
 LABEL = DIGITS | LETTERS | frozenset("-")
 PHONE = DIGITS | frozenset(" ().-")
+HEX = DIGITS | frozenset("abcdefABCDEF:")
 VALUE = DIGITS | LETTERS | frozenset("-_./+")
-CUES = ("account", "acct", "iban", "passport", "ssn", "token", "api_key", "api key", "apikey", "secret", "password")
+NUMBERED = ("account", "acct", "passport")
+SECRET = ("token", "api_key", "api key", "apikey", "secret", "password")
+CUES = (*NUMBERED, "iban", "ssn", *SECRET)
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "postgres://", "mysql://")
+#: Public forms of keys: a prefix, the characters behind it, and how many there are at least.
+KEYS = {"AKIA": (DIGITS | LETTERS, 16), "ghp_": (DIGITS | LETTERS, 36), "sk_live_": (DIGITS | LETTERS, 16), "xoxb-": (LABEL, 10)}
+BLOCK_BEGIN, BLOCK_END = "-----BEGIN ", "-----END "
 
 Span = tuple[int, int, str]
 
@@ -57,10 +70,15 @@ def automaton():
             for e in digits:
                 for sep in ("", " ", "-"):
                     a.add_word(d + sep + e, ("digits", 2 + len(sep)))
+            a.add_word("(" + d, ("bracket", 2))
+        a.add_word(":", ("colon", 1))
         for s in SCHEMES:
             a.add_word(s, ("scheme", len(s)))
         for c in CUES:
             a.add_word(c, ("cue", len(c)))
+        for k in KEYS:
+            a.add_word(k.lower(), ("key", len(k)))
+        a.add_word(BLOCK_BEGIN.lower(), ("block", len(BLOCK_BEGIN)))
         a.make_automaton()
         _automaton = a
     return _automaton
@@ -143,26 +161,94 @@ def phone_at(text: str, plus: int) -> tuple[int, Span | None]:
     return end, (plus, end, "phone") if 10 <= sum(c in DIGITS for c in text[plus:end]) <= 15 else None
 
 
-def account_after(text: str, end: int) -> Span | None:
-    """The value named by a cue that ends at `end`."""
+def iban_at(text: str, at: int) -> int:
+    """The end of the longest account number with right check digits that begins at `at`, or `at`."""
+    end, ends, digits = at, [], ""
+    while end < len(text) and len(digits) < 34 and (text[end] in DIGITS or text[end] in LETTERS or text[end] == " "):
+        if text[end] == " ":
+            ends.append((end, digits))
+            if end + 1 >= len(text) or text[end + 1] == " ":
+                break
+        else:
+            digits += text[end].upper()
+        end += 1
+    ends.append((end, digits))
+    for stop, own in reversed(ends):
+        if len(own) >= 15 and own[:2].isalpha() and own[2:4].isdigit() and int("".join(str(int(c, 36)) for c in own[4:] + own[:4])) % 97 == 1:
+            return stop
+    return at
+
+
+def account_after(text: str, end: int, cue: str) -> tuple[int, Span | None]:
+    """The value named by a cue that ends at `end`: how far it was read, and the span if it is one."""
     n, at = len(text), end
     if at < n and text[at] in LETTERS:
-        return None
+        return end, None
     while at < n and text[at] in " \t\"'" and at < end + 4:
         at += 1
-    if text.startswith("is ", at):
-        at += 3
-    elif at < n and text[at] in "=:#":
+    sign = at < n and text[at] in "=:#"
+    if sign:
         at += 1
-    else:
-        return None
+    elif text.startswith("is ", at):
+        at += 3
+    elif cue != "ssn":
+        return end, None
     stop = at + 4
     while at < min(n, stop) and text[at] in " \t\"'":
         at += 1
+    if cue == "iban" and (close := iban_at(text, at)) > at:
+        return close, (at, close, "account")
+    if cue == "ssn":
+        close = run_right(text, at, LABEL)
+        own = text[at:close]
+        fits = own.replace("-", "").isdigit() and [len(p) for p in own.split("-")] in ([9], [3, 2, 4])
+        return end, (at, close, "account") if fits else None
+    if cue in SECRET:
+        quote = text[at - 1] if sign and text[at - 1] in "\"'" else ""
+        close = at
+        while close < n and not text[close].isspace() and text[close] != quote:
+            close += 1
+        read = close
+        if not quote:
+            while close > at and text[close - 1] in ".,;:!?)]}>\"'/+-":
+                close -= 1
+        own = text[at:close]
+        strong = any(c in DIGITS for c in own) or (sign and any(c not in LETTERS for c in own))
+        return read, (at, close, "account") if len(own) >= 6 and strong else None
     close = run_right(text, at, VALUE)
     while close > at and text[close - 1] in "./+-":
         close -= 1
-    return (at, close, "account") if close - at >= 6 and any(c in DIGITS for c in text[at:close]) else None
+    return end, (at, close, "account") if close - at >= 6 and any(c in DIGITS for c in text[at:close]) else None
+
+
+def key_at(text: str, at: int, size: int) -> Span | None:
+    """A key of a known form that begins at `at` with a prefix of `size` characters."""
+    form = KEYS.get(text[at : at + size])
+    if form is None or (at and (text[at - 1] in LABEL or text[at - 1] == "_")):
+        return None
+    end = run_right(text, at + size, form[0])
+    return (at, end, "key") if end - at - size >= form[1] else None
+
+
+def ipv6_at(text: str, colon: int, floor: int) -> tuple[int, Span | None]:
+    """The run of hexadecimal digits and colons around a colon: its end, and the span if it is an address."""
+    begin, end = run_left(text, colon, HEX, floor), run_right(text, colon, HEX)
+    outside = LABEL | {"_", "."}
+    while end > begin and text[end - 1] == ":" and not text.endswith("::", begin, end):
+        end -= 1
+    after = max(end, colon + 1)
+    own = text[begin:end]
+    groups = [g for g in own.split(":") if g]
+    if len(own) > 39 or own.count(":") < 2 or len(groups) < 3 or (begin and text[begin - 1] in outside) or (end < len(text) and text[end] in LABEL):
+        return after, None
+    try:
+        ipaddress.IPv6Address(own)
+    except ValueError:
+        return after, None
+    return after, (begin, end, "ipv6")
+
+
+LOCAL_NUMBER = re.compile(r"\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])")
 
 
 def login_after(text: str, end: int) -> Span | None:
@@ -177,8 +263,10 @@ def login_after(text: str, end: int) -> Span | None:
 def find(text: str) -> list[Span]:
     """All spans, by start and then kind."""
     spans: list[Span] = []
-    floor = dict.fromkeys(BASE, 0)
-    for last, (what, size) in automaton().iter(_lower(text)):
+    floor = dict.fromkeys((*BASE, "account", "ipv6", "block"), 0)
+    last_end = None
+    low = _lower(text)
+    for last, (what, size) in automaton().iter(low):
         at = last + 1 - size
         if what == "digits":
             if at >= floor["card"]:
@@ -200,8 +288,31 @@ def find(text: str) -> list[Span]:
                 if span:
                     spans.append(span)
         elif what == "cue":
-            if (at == 0 or text[at - 1] not in LETTERS) and (span := account_after(text, last + 1)):
+            if at >= floor["account"] and (at == 0 or text[at - 1] not in LETTERS):
+                floor["account"], span = account_after(text, last + 1, low[at : last + 1])
+                if span:
+                    spans.append(span)
+        elif what == "colon":
+            if at >= floor["ipv6"]:
+                floor["ipv6"], span = ipv6_at(text, at, floor["ipv6"])
+                if span:
+                    spans.append(span)
+        elif what == "bracket":
+            if m := LOCAL_NUMBER.match(text, at):
+                spans.append((at, m.end(), "local"))
+        elif what == "key":
+            if span := key_at(text, at, size):
                 spans.append(span)
+        elif what == "block":
+            if at < floor["block"] or not text.startswith(BLOCK_BEGIN, at):
+                continue
+            last_end = text.rfind(BLOCK_END) if last_end is None else last_end
+            if at < last_end:  # so a search for the end is never in vain
+                close = text.index(BLOCK_END, at)
+                tail = text.find("-----", close + len(BLOCK_END), close + 80)
+                floor["block"] = close = tail + 5 if tail > 0 else close + len(BLOCK_END)
+                if "PRIVATE KEY" in text[at : min(at + 60, close)]:
+                    spans.append((at, close, "key"))
         elif span := login_after(text, last + 1):
             spans.append(span)
     order = {k: i for i, k in enumerate(KINDS)}
@@ -245,16 +356,18 @@ def masked(text: str) -> str:
 def mask(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with spans in the text column replaced; null stays null, other columns stay."""
 
-    @F.pandas_udf("string")
-    def replaced(texts):
-        return texts.map(lambda t: None if t is None else masked(t))
+    at = docs.columns.index(text_col)
+
+    def change(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = pa.array([None if t is None else masked(t) for t in batch.column(at).to_pylist()], pa.string())
+        return pa.RecordBatch.from_arrays([*batch.columns[:at], made, *batch.columns[at + 1 :]], names=batch.schema.names)
 
-    return ship(docs).withColumn(text_col, replaced(F.col(text_col)))
+    return rewritten(docs, at, change)
 
 
 def digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts of the base kinds, base_sha256 over kind:start:end of the base spans, and spans as text over all."""
+    """Counts of the base kinds and, n_spans, of all spans, base_sha256 over kind:start:end of the base spans, and spans as text over all."""
     line = "array_join(transform({}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
     base = "filter(spans, s -> s.kind in ({}))".format(", ".join(f"'{k}'" for k in BASE))
     counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in BASE]
-    return found.select(id_col, *counts, F.expr(f"sha2({line.format(base)}, 256)").alias("base_sha256"), F.expr(line.format("spans")).alias("spans"))
+    return found.select(id_col, *counts, F.expr(f"sha2({line.format(base)}, 256)").alias("base_sha256"), F.expr(line.format("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
