@@ -1,15 +1,17 @@
 """Sharding by sampled splitters.
 
-Law: `bytes`, sizes near equal. Records have the key (hash of the text, id, tie), so equal texts are neighbours.
+Law: `bytes`, sizes near equal. Records have the key (hash of the text, id, tie), so equal texts are neighbours, and
+splitters lie between texts: a group of equal texts stays in one shard, unless it is so large that several quantiles fall
+into it (about a RANGES-th of a shard, or for heavy records a GROUP-th), and only then is it split, by id.
 1. Every record is drawn into the sample with a probability proportional to its weight, half its share of the bytes and
    half its share of the rows; heavy records are drawn always. The expected sample is bounded by `sample`.
 2. Weighted quantiles of the sample are the splitters of the key space; records are assigned to ranges by binary search.
 3. The ranges' rows and bytes are counted. A range that holds more than `OVERFULL` times its share of either is
-   subdivided at splitters drawn from inside it, again until none is left or a single key remains.
+   subdivided at splitters drawn from inside it, again until none is left that a new splitter divides.
 4. Runs of ranges form the shards, cut where the prefix sum of bytes is nearest to each quantile; a record's slot is its
    range's prefix of rows plus its rank in the range.
-Records larger than a `HEAVY`-th of a shard are not cut around but placed first, largest to the emptiest shard; there
-are fewer of them than shards times HEAVY.
+Records larger than a `HEAVY`-th of a shard are not cut around but placed first, the largest group of equal texts to the
+emptiest shard; there are fewer of them than shards times HEAVY.
 
 Defined results: a null text has size 1 and checksum 0 and sorts by the hash of the empty text; an empty table gives an
 empty result; repeated rows, null ids and ties are told apart by their place in the scan, which a checkpoint fixes;
@@ -20,6 +22,8 @@ by parameters. Shuffles: one of narrow rows by range, a range being a bounded sh
 from __future__ import annotations
 
 import heapq
+import itertools
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,19 +43,23 @@ RANGE_ROWS = 1_000_000
 PER_RANGE = 16
 OVERFULL = 2.5
 HEAVY = 64
-ROUNDS = 4
+#: Heavy records of equal texts stay together up to this part of a shard.
+GROUP = 4
+FIRST = -(1 << 63)
 
 Key = tuple[int, int, int]
 
 
 def splitters(sample: list[tuple[int, int, int, float]], n: int) -> list[Key]:
-    """n - 1 quantiles at most of weighted keys."""
+    """n - 1 quantiles at most of weighted keys, moved to where their text begins unless several fall into one text."""
     if not sample:
         return []
     sample = sorted(sample)
     reach = np.cumsum([s[3] for s in sample])
     at = np.searchsorted(reach, reach[-1] * np.arange(1, n) / n)
-    return sorted({sample[min(int(i), len(sample) - 1)][:3] for i in at})
+    chosen = sorted({sample[min(int(i), len(sample) - 1)][:3] for i in at})
+    held = Counter(h for h, _, _ in chosen)
+    return sorted({k if held[k[0]] > 1 else (k[0], FIRST, FIRST) for k in chosen} | {(h, FIRST, FIRST) for h in held})
 
 
 def range_of(bounds: np.ndarray, h: np.ndarray, i: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -112,21 +120,28 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     load = [0.0] * shards
     place: dict[int, int] = {}
     queue = [(0.0, s) for s in range(shards)]
-    for r in sorted(keyed.where(F.col("size") > heavy_floor).select("size", "h", "i", "t").collect(), key=lambda r: (-r["size"], r["h"], r["i"], r["t"])):
+    alike: dict[int, list] = defaultdict(list)
+    for r in sorted(keyed.where(F.col("size") > heavy_floor).select("size", "h", "i", "t").collect(), key=lambda r: (r["i"], r["t"])):
+        alike[r["h"]].append(r)
+    together = []
+    for own in alike.values():
+        together += [own] if sum(r["size"] for r in own) <= target / GROUP else [[r] for r in own]
+    for own in sorted(together, key=lambda own: (-sum(r["size"] for r in own), own[0]["h"], own[0]["i"], own[0]["t"])):
         filled, s = heapq.heappop(queue)
-        place[r["t"]] = s
-        load[s] = filled + r["size"]
+        for r in own:
+            place[r["t"]] = s
+        load[s] = filled + sum(r["size"] for r in own)
         heapq.heappush(queue, (load[s], s))
     light = keyed.where(F.col("size") <= heavy_floor)
 
     n = max(shards * RANGES, rows // RANGE_ROWS)
     bounds = splitters(draw(light, rows, size, n * PER_RANGE, 0), n)
     totals: dict[int, tuple[int, int]] = {}
-    for seed in range(1, ROUNDS + 1):
+    for seed in itertools.count(1):
         ranged = assign(light, bounds)
         totals = {r["rng"]: (r["n"], r["b"]) for r in ranged.groupBy("rng").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b")).collect()}
         full = [k for k, (a, b) in totals.items() if a > max(1, OVERFULL * rows / n) or b > max(heavy_floor, OVERFULL * size / n)]
-        if not full or seed == ROUNDS:
+        if not full:
             break
         more = draw(ranged.where(F.col("rng").isin(full)), sum(totals[k][0] for k in full), sum(totals[k][1] for k in full), PER_RANGE * 4 * len(full), seed)
         inner = splitters(more, 4 * len(full))
