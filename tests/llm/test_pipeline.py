@@ -98,3 +98,33 @@ def test_near_duplicates_of_shared_and_missing_ids(spark):
     got = corpus_pipeline.near_dup_stage(spark, docs, "").collect()
     want = [(1, a), (1, b), (4, e), (None, ""), (None, ""), (3, " "), (3, c + " more")]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_columns_of_any_name(spark, folder):
+    rows, _ = corpus()
+    more = "doc_id long, text string, lang string, source string, n_chars long, __key_of int, __id int, __quire int, `a.b` string, in1 int, kept int"
+    docs = spark.createDataFrame([(r[0], r[1], "en", "s", r[4], 77, 78, 79, "dot", 80, 81) for r in rows], more)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        kept = out.collect()
+        assert kept and all(tuple(r)[5:] == (77, 78, 79, "dot", 80, 81) for r in kept)
+
+
+@pytest.mark.parametrize("kind", ["smallint", "decimal(9,2)", "string", "int"])
+def test_packing_ids_of_any_type(spark, kind):
+    from quire.llm import packing
+
+    docs = spark.createDataFrame([(i, "a few words " * (i * 40)) for i in range(9)], "doc_id long, text string").repartition(3).selectExpr(f"cast(doc_id as {kind}) as doc_id", "text", "doc_id as id")
+    got = packing.pieces(packing.pack(docs, window=64)).collect()
+    assert {str(r["doc_id"]).split(".")[0] for r in got} == {str(i) for i in range(9)}
+    at, spans = {}, {}
+    for r in got:
+        at.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        spans.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["doc_tokens"]))
+    assert sorted(at) == list(range(len(at)))
+    for k, own in [*at.items(), *((None, [(s, n) for s, n, _ in v]) for v in spans.values())]:  # sequences without gaps, pieces disjoint
+        own.sort()
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:], strict=False))
+        assert k is None or k == len(at) - 1 or sum(n for _, n in own) == 64
+    assert all(sum(n for _, n, _ in v) == v[0][2] for v in spans.values())
