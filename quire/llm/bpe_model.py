@@ -139,11 +139,9 @@ class BpeModel:
             text = "\n".join(pieces)
         flat, ends = [], []
         if pieces:
-            for w in self.pattern.findall(text.lower()):
-                if w == "\n":
-                    ends.append(len(flat))
-                else:
-                    flat.append(w)
+            found = self.pattern.findall(text.lower())
+            flat = [w for w in found if w != "\n"]
+            ends = [i - k for k, i in enumerate([i for i, w in enumerate(found) if w == "\n"])]
             ends.append(len(flat))
         for p in other:
             normal = self.splitter.normalizer.normalize_str(p)
@@ -232,11 +230,11 @@ class Encoder:
     """Encodes texts by merging each new pre-token; bounded memos of short pieces and words keep what was merged."""
 
     #: Entries of a memo; when full, it keeps what the current batch uses. Long keys go with their batch.
-    MEMO = 250_000
+    MEMO = 400_000
 
-    def __init__(self, model: BpeModel):
-        self.model = model
-        self.special = {p: np.array([i], dtype="<u4").tobytes() for p, i in model.special.items()}
+    def __init__(self, model: BpeModel, width: int = 4):
+        self.model, self.width = model, width
+        self.special = {p: i.to_bytes(width, "little") for p, i in model.special.items()}
         self.forget()
 
     def forget(self) -> None:
@@ -244,10 +242,10 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word, as little-endian unsigned 32-bit integers."""
+        """The ids of each word, as little-endian unsigned integers of `width` bytes."""
         merged, counts = self.model.merge_words(words)
-        raw, ends = merged.astype("<u4").tobytes(), np.cumsum(counts) * 4
-        return [raw[a:b] for a, b in zip((ends - counts * 4).tolist(), ends.tolist(), strict=True)]
+        raw, ends = merged.astype(f"<u{self.width}").tobytes(), np.cumsum(counts) * self.width
+        return [raw[a:b] for a, b in zip((ends - counts * self.width).tolist(), ends.tolist(), strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, in that form."""
@@ -266,24 +264,25 @@ class Encoder:
                     missing = list(set(flat))
                 self.known.update(zip(missing, self.encode_words([w.encode() for w in missing]), strict=True))
             ids = list(map(self.known.__getitem__, flat))
-            memo.update(zip(new, [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+            memo.update(zip(new, [ids[a] if b - a == 1 else b"".join(ids[a:b]) for a, b in zip([0, *ends], ends, strict=False)], strict=True))
         out = [b"".join(map(memo.__getitem__, ps)) for ps in cut]
         if new:
             for held, keys in ((memo, new), (self.known, missing)):
-                for k in keys:
-                    if len(k) > MEMO_KEY:
-                        held.pop(k, None)
+                if max(map(len, keys), default=0) > MEMO_KEY:
+                    for k in keys:
+                        if len(k) > MEMO_KEY:
+                            held.pop(k, None)
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(load(path))
-    return _ENCODERS[path]
+def encoder(path: str, width: int = 4) -> Encoder:
+    """One encoder per Python worker and width."""
+    if (path, width) not in _ENCODERS:
+        _ENCODERS[path, width] = Encoder(load(path), width)
+    return _ENCODERS[path, width]
 
 
 @forgets

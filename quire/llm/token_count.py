@@ -47,9 +47,10 @@ def count_texts(model: bpe_model.BpeModel, texts: list[str]) -> list[int]:
         total = [0, *itertools.accumulate(map(size.__getitem__, flat))]
         memo.update(zip(new, [total[b] - total[a] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
     out = [sum(map(memo.__getitem__, ps)) for ps in cut]
-    for p in new:
-        if len(p) > MEMO_KEY:
-            memo.pop(p, None)
+    if max(map(len, new), default=0) > MEMO_KEY:
+        for p in new:
+            if len(p) > MEMO_KEY:
+                memo.pop(p, None)
     return out
 
 
