@@ -135,7 +135,7 @@ def test_spatial_against_all_pairs(spark):
     assert {r["i"] for r in spatial.conflicts(A, B, "i", "j", "c").collect()} == {i for i, j in want if b[j][3] == "y"}
 
 
-@pytest.mark.parametrize(("text", "want"), [("Hello, world!", "Helwor"), ("Bionic Reading is a new method facilitating the reading process.", "BionReadiinemethfacilitatithreadiproce"), ("x <b>hello</b> y", "hel"), ("oﬁce", "oﬁ"), ("2024", "")])
+@pytest.mark.parametrize(("text", "want"), [("Hello, world!", "Helwor"), ("Silent Reading is a new method facilitating the reading process.", "SileReadiinemethfacilitatithreadiproce"), ("x <b>hello</b> y", "hel"), ("oﬁce", "oﬁ"), ("2024", "")])
 def test_fixation(text, want):
     got = fixation.segments(text)
     assert "".join(s for _, s in got) == text
