@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat, classifier, near_dup, packing, pii, pipeline, quality_rules, search, sharding, token_count
+from . import bpe_codec, chat, classifier, divergence, near_dup, packing, patterns, pii, pipeline, quality_rules, search, secret_scan, sharding, token_count
 from .common import table
 
 
@@ -62,10 +62,24 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, ratios).drop("text")
 
 
+def op11_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = patterns.mine(patterns.click_events(table(spark, sf_dir, "clicks")))
+    return found.select(F.concat_ws(">", "types").alias("pattern"), "length", "support", "clients_crc", "n_wider", "closed")
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.digests(secret_scan.detect(docs, secret_scan.train(secret_scan.samples(docs))))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_shard, op2_chat, op3_pack, op4_token_counts, op5_pii, op6_near_dup, op7_search, op8_classifier, op9_bpe, op10_quality)
+    own = (op1_shard, op2_chat, op3_pack, op4_token_counts, op5_pii, op6_near_dup, op7_search, op8_classifier, op9_bpe, op10_quality, op11_patterns, op12_secrets, op13_divergence)
     return {f.__name__: f for f in own} | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_search": search.SQL}
+    return {"op7_search": search.SQL, "op11_patterns": patterns.SQL, "op13_divergence": divergence.SQL}
