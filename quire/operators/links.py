@@ -47,25 +47,34 @@ def anchor_target(tag: Column) -> Column:
 
 def outline(nodes: DataFrame) -> DataFrame:
     """(root, id, ord, depth, title, page): nodes (id, parent, pos, title, page) of a forest in pre-order, ord from 0 within
-    each root. One equi-join per level, as deep as the forest goes; paths carry the order. A node that is its own ancestor
-    is an error."""
+    each root.
+
+    By path doubling: each node holds the path from an ancestor, first its parent, down to itself; a round joins it to that
+    ancestor's own path, so that a node of depth d is done after log2(d) rounds. What is no forest is an error that names
+    nodes: an id that is repeated or null, a parent that is not there, and circles - nodes that no root reaches, which show
+    when a round ends with as many open nodes as it began with."""
+    _none(nodes.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null"), "ids of the outline are repeated or null, so that a node may be its own ancestor")
+    child = nodes.select("id", F.col("parent").alias("up"))
+    _none(child.where("up is not null").join(nodes.select(F.col("id").alias("up")), "up", "left_anti"), "nodes of the outline have a parent that is not there")
     step = F.struct(F.col("pos").alias("pos"), F.col("id").alias("id"))
-    level = cut(nodes.where("parent is null").select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"), "title", "page", F.array(step).alias("path")))
-    out, depth = level, 0
-    while True:
-        depth += 1
-        up = level.select("root", F.col("id").alias("parent"), F.col("path").alias("above"))
-        again = F.array_contains(F.col("above.id"), F.col("id"))
-        level = cut(nodes.join(up, "parent").select("root", "id", F.lit(depth).alias("depth"), "title", "page", F.concat("above", F.array(step)).alias("path"), again.alias("again")))
-        n, circles = level.agg(F.count(F.lit(1)), F.count_if("again")).first()
-        if circles:
-            raise ValueError("a node of the outline is its own ancestor")
-        if not n:
-            break
-        level = level.drop("again")
-        out = out.unionByName(level)
+    paths = cut(nodes.select("id", F.col("parent").alias("up"), "title", "page", F.array(step).alias("path")))
+    left = paths.where("up is not null").count()
+    while left:
+        above = paths.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("above"))
+        joined = paths.where("up is not null").join(above, "up").select("id", F.col("next").alias("up"), "title", "page", F.concat("above", "path").alias("path"))
+        paths = cut(joined.unionByName(paths.where("up is null")))
+        before, left = left, paths.where("up is not null").count()
+        if left == before:
+            _none(paths.where("up is not null"), "nodes of the outline are their own ancestors or under such nodes")
     place = F.row_number().over(Window.partitionBy("root").orderBy("path")) - 1
-    return out.withColumn("ord", place).select("root", "id", "ord", "depth", "title", "page")
+    return paths.withColumn("root", F.col("path")[0]["id"]).select("root", "id", place.alias("ord"), (F.size("path") - 1).alias("depth"), "title", "page")
+
+
+def _none(wrong: DataFrame, what: str) -> None:
+    """An error that names some of the nodes, if there are any."""
+    named = [r["id"] for r in wrong.select("id").orderBy("id").limit(10).collect()]
+    if named:
+        raise ValueError(f"{what}: {', '.join(map(repr, named))}")
 
 
 def active(entries: DataFrame, places: DataFrame, key: str) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,32 +70,43 @@ BUCKETS = 10_000
 def running_offset(rows: DataFrame, order: str, size: str, width: int) -> DataFrame:
     """rows with `offset`, the sum of sizes before each in `order` (an integer). Buckets of `width` orders or more, BUCKETS of
     them at most, are summed first, their prefix sums joined back, and a window runs inside each bucket alone: no task sees
-    all rows."""
+    all rows. A row without an order has no place: it is kept, its offset is null, and its size is in no other's offset; a
+    null size counts as nothing. Rows of equal order follow each other in any order."""
     low, high = rows.agg(F.min(order), F.max(order)).first()
+    lost = rows.where(F.col(order).isNull()).withColumn("offset", F.lit(None).cast("long"))
     if low is None:
-        return rows.where(F.lit(False)).withColumn("offset", F.lit(0).cast("long"))
+        return lost
     width = max(width, -(-(high - low + 1) // BUCKETS))
-    marked = rows.withColumn("_bucket", F.floor((F.col(order) - F.lit(low)) / width))
+    marked = rows.where(F.col(order).isNotNull()).withColumn("_bucket", F.floor((F.col(order) - F.lit(low)) / width))
     sums = marked.groupBy("_bucket").agg(F.sum(size).alias("_sum"))
     base = sums.select("_bucket", F.coalesce(F.sum("_sum").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # BUCKETS rows at most
     inner = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return marked.join(F.broadcast(base), "_bucket").withColumn("offset", F.col("_base") + F.coalesce(F.sum(size).over(inner), F.lit(0))).drop("_bucket", "_base")
+    placed = marked.join(F.broadcast(base), "_bucket").withColumn("offset", (F.col("_base") + F.coalesce(F.sum(size).over(inner), F.lit(0))).cast("long"))
+    return placed.drop("_bucket", "_base").unionByName(lost)
+
+
+def alike(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """left joined to right on the keys, nulls equal to nulls: left's columns, then right's that are no keys."""
+    other = right.select(*(F.col(k).alias(f"_of_{k}") if k in keys else k for k in right.columns))
+    on = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys))
+    return left.join(other, on, how).drop(*(f"_of_{k}" for k in keys))
 
 
 def memoised(wanted: DataFrame, memo: DataFrame, keys: list[str], measure: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """What measure gives for the wanted keys, and the memo with it: what the memo holds is taken, only the rest is measured.
 
-    measure: (keys) -> (keys, values); keys without a result are remembered too, with nulls."""
+    measure: (keys) -> (keys, values); keys without a result are remembered too, with nulls;
+    null is a key like others."""
     asked = wanted.select(*keys).distinct()
-    fresh = asked.join(memo.select(*keys), keys, "left_anti")
-    made = cut(fresh.join(measure(fresh), keys, "left"))
+    fresh = alike(asked, memo.select(*keys), keys, "left_anti")
+    made = cut(alike(fresh, measure(fresh), keys, "left"))
     known = memo.unionByName(made)
-    return known.join(asked, keys, "left_semi"), known
+    return alike(known, asked, keys, "left_semi"), known
 
 
 def trimmed(memo: DataFrame, keep: DataFrame, keys: list[str]) -> DataFrame:
-    """The memo without what is no longer of use: keys that are not among `keep`."""
-    return memo.join(keep.select(*keys).distinct(), keys, "left_semi")
+    """The memo without what is no longer of use: keys that are not among `keep`; null is a key like others."""
+    return alike(memo, keep.select(*keys).distinct(), keys, "left_semi")
 
 
 def listed(cached: DataFrame, known: DataFrame, order: str, note: str = "cached locally") -> DataFrame:

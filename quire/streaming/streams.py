@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -82,17 +82,22 @@ WARNING = "slice int, file string, reason string"
 def warnings(spark: SparkSession, out: str) -> DataFrame:
     """(slice, file, reason) of the files that a walk went past; out: what walk returned."""
     root = out.removesuffix("/out")
+    return found_or_empty(spark, lambda: spark.read.schema(WARNING).json(f"{root}/warnings/*"), WARNING)
+
+
+def found_or_empty(spark: SparkSession, read: Callable[[], DataFrame], schema) -> DataFrame:
+    """What read gives, or an empty frame where nothing has been written."""
     try:
-        return spark.read.schema(WARNING).json(f"{root}/warnings/*")
+        return read()
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], WARNING)
+        return spark.createDataFrame([], schema)
 
 
 def remember(spark: SparkSession, changes: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """The latest value of each key of a stream, as a table that a batch reads when the stream is drained. Each micro-batch
-    writes the keys that it changed alone."""
+    writes the keys that it changed alone. A stream without rows gives an empty table."""
     out = f"{fresh_folder(spark)}/latest"
     state = changes.groupBy(key).agg(F.max(F.struct(order, value)).alias("last"))
 
@@ -101,7 +106,7 @@ def remember(spark: SparkSession, changes: DataFrame, key: str, order: str, valu
 
     query = state.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
     query.awaitTermination()
-    changed = spark.read.schema(state.schema).parquet(f"{out}/*")
+    changed = found_or_empty(spark, lambda: spark.read.schema(state.schema).parquet(f"{out}/*"), state.schema)
     return changed.groupBy(key).agg(F.max("last").alias("last")).select(key, f"last.{order}", f"last.{value}")
 
 
