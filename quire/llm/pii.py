@@ -6,12 +6,13 @@ identifier cues. From each anchor a deterministic local parser expands the bound
 
 Kinds. The base kinds are those of fixed patterns, leftmost and non-overlapping per kind; a failing match is dropped:
 email, ip (parts at most 255), card (14 to 19 digits, Luhn), phone (10 to 15 digits). The method adds, by cue:
-`account`: after a cue and `=`, `:`, `#` or `is` a value of 6 characters or more - for secrets (password, secret, token,
-api key) up to the closing quote or the next blank, with a digit or, behind a sign, a symbol, and no cue inside it; for iban
-the longest one, blanks included, whose check digits are right, else as for account; for ssn nine digits, also after a
-blank alone; for account and passport one with a digit;
-`login`: user information in a URL, `scheme://user:secret@`; `key`: keys of a known form (AKIA, ghp_, sk_live_, xoxb-) and
-private-key blocks; `ipv6`: an IPv6 address of three groups or more; `local`: a number written `(ddd) ddd-dddd`.
+`account`: after a cue and `=`, `:`, `#` or `is` a value of 6 characters or more - for secrets (password, passwd, pwd, secret,
+token, api, access or private key, each also as a part of a longer name) up to the closing quote or the next blank, with a
+digit or, behind a sign, a symbol; a cue inside such a value begins no other; for iban the longest one, blanks included,
+whose check digits are right, else as for account; for ssn nine digits, also after a blank alone; for account and passport
+one with a digit; without a cue an IBAN in capitals of its country's length whose check digits are right;
+`login`: user information in a URL, `scheme://user:secret@`; `key`: keys of a known form (AKIA, ghp_, sk_live_, xoxb-, AIza),
+signed web tokens and private-key blocks; `ipv6`: an IPv6 address of three groups or more; `local`: a number written `(ddd) ddd-dddd`.
 Added spans may overlap base spans; neither replaces the other.
 
 Defined results: a null or empty text has no spans; repeated rows are read each; offsets are code points, end
@@ -41,13 +42,24 @@ LOCAL = DIGITS | LETTERS | frozenset("._%+-")
 LABEL = DIGITS | LETTERS | frozenset("-")
 PHONE = DIGITS | frozenset(" ().-")
 HEX = DIGITS | frozenset("abcdefABCDEF:")
+NAME = DIGITS | LETTERS | frozenset("_")
 VALUE = DIGITS | LETTERS | frozenset("-_./+")
 NUMBERED = ("account", "acct", "passport")
-SECRET = ("token", "api_key", "api key", "apikey", "secret", "password")
+SECRET = ("token", "api_key", "api key", "apikey", "access_key", "private_key", "secret", "password", "passwd", "pwd")
 CUES = (*NUMBERED, "iban", "ssn", *SECRET)
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "postgres://", "mysql://")
 #: Public forms of keys: a prefix, the characters behind it, and how many there are at least.
-KEYS = {"AKIA": (DIGITS | LETTERS, 16), "ghp_": (DIGITS | LETTERS, 36), "sk_live_": (DIGITS | LETTERS, 16), "xoxb-": (LABEL, 10)}
+KEYS = {"AKIA": (DIGITS | LETTERS, 16), "ghp_": (DIGITS | LETTERS, 36), "sk_live_": (DIGITS | LETTERS, 16), "xoxb-": (LABEL, 10), "AIza": (LABEL | {"_"}, 35)}
+#: Lengths of international account numbers by country; fixed values.
+IBAN = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29,
+    "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30,
+    "KZ": 20, "LB": 28, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PT": 25, "QA": 29,
+    "RO": 24, "RS": 22, "SA": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29, "VG": 24, "XK": 20,
+}
+#: A web token: header and payload begin with an encoded brace.
+JWT = "eyJ"
+TOKEN = LABEL | {"_"}
 BLOCK_BEGIN, BLOCK_END = "-----BEGIN ", "-----END "
 
 Span = tuple[int, int, str]
@@ -78,14 +90,19 @@ def automaton():
             a.add_word(c, ("cue", len(c)))
         for k in KEYS:
             a.add_word(k.lower(), ("key", len(k)))
+        for c in IBAN:
+            for d in digits:
+                a.add_word(c.lower() + d, ("iban", 3))
+        a.add_word(JWT.lower(), ("jwt", len(JWT)))
         a.add_word(BLOCK_BEGIN.lower(), ("block", len(BLOCK_BEGIN)))
         a.make_automaton()
         _automaton = a
     return _automaton
 
 
-def run_right(text: str, at: int, allowed: frozenset[str]) -> int:
-    n = len(text)
+def run_right(text: str, at: int, allowed: frozenset[str], most: int | None = None) -> int:
+    """The end of the run of allowed characters at `at`, of which `most` are read."""
+    n = len(text) if most is None else min(len(text), at + most)
     while at < n and text[at] in allowed:
         at += 1
     return at
@@ -179,14 +196,54 @@ def iban_at(text: str, at: int) -> int:
     return at
 
 
+def free_iban(text: str, at: int) -> Span | None:
+    """An account number in capitals that begins at `at`, of its country's length, its check digits right; groups may be parted
+    by one blank each."""
+    need = IBAN.get(text[at : at + 2])
+    if need is None or (at and (text[at - 1] in LABEL or text[at - 1] == "_")):
+        return None
+    end, own = at, []
+    while end < len(text) and len(own) < need:
+        if text[end] in DIGITS or "A" <= text[end] <= "Z":
+            own.append(text[end])
+        elif text[end] != " " or text[end - 1] == " ":
+            return None
+        end += 1
+    if len(own) < need or (end < len(text) and (text[end] in LABEL or text[end] == "_")) or own[3] not in DIGITS:
+        return None
+    return (at, end, "account") if int("".join(str(int(c, 36)) for c in own[4:] + own[:4])) % 97 == 1 else None
+
+
+def jwt_at(text: str, at: int) -> tuple[int, Span | None]:
+    """A signed web token that begins at `at`, three parts between full stops; how far it was read, and the span if it is one."""
+    if at and text[at - 1] in TOKEN:
+        return at + 1, None
+    end = run_right(text, at, TOKEN)
+    if not text.startswith("." + JWT, end):
+        return end, None
+    end = run_right(text, end + 1, TOKEN)
+    if end >= len(text) or text[end] != "." or (last := run_right(text, end + 1, TOKEN)) == end + 1:
+        return end, None
+    return last, (at, last, "key")
+
+
+#: Characters of a name behind a cue, as in secret_access_key.
+NAME_REST = 32
+
+
 def account_after(text: str, end: int, cue: str) -> tuple[int, Span | None]:
     """The value named by a cue that ends at `end`: how far it was read, and the span if it is one."""
     n, at = len(text), end
     if at < n and text[at] in LETTERS:
         return end, None
-    while at < n and text[at] in " \t\"'" and at < end + 4:
+    named = end
+    if cue in SECRET and at < n and text[at] == "_":
+        named = at = run_right(text, at, NAME, NAME_REST)
+    while at < n and text[at] in " \t\"'" and at < named + 4:
         at += 1
     sign = at < n and text[at] in "=:#"
+    if named > end and not sign:
+        return end, None
     if sign:
         at += 1
     elif text.startswith("is ", at):
@@ -199,7 +256,7 @@ def account_after(text: str, end: int, cue: str) -> tuple[int, Span | None]:
     if cue == "iban" and (close := iban_at(text, at)) > at:
         return close, (at, close, "account")
     if cue == "ssn":
-        close = run_right(text, at, LABEL)
+        close = run_right(text, at, LABEL, 12)  # one more than the longest form
         own = text[at:close]
         fits = own.replace("-", "").isdigit() and [len(p) for p in own.split("-")] in ([9], [3, 2, 4])
         return end, (at, close, "account") if fits else None
@@ -263,7 +320,7 @@ def login_after(text: str, end: int) -> Span | None:
 def find(text: str) -> list[Span]:
     """All spans, by start and then kind."""
     spans: list[Span] = []
-    floor = dict.fromkeys((*BASE, "account", "ipv6", "block"), 0)
+    floor = dict.fromkeys((*BASE, "account", "ipv6", "block", "jwt"), 0)
     last_end = None
     low = _lower(text)
     for last, (what, size) in automaton().iter(low):
@@ -303,6 +360,14 @@ def find(text: str) -> list[Span]:
         elif what == "key":
             if span := key_at(text, at, size):
                 spans.append(span)
+        elif what == "iban":
+            if span := free_iban(text, at):
+                spans.append(span)
+        elif what == "jwt":
+            if at >= floor["jwt"] and text.startswith(JWT, at):
+                floor["jwt"], span = jwt_at(text, at)
+                if span:
+                    spans.append(span)
         elif what == "block":
             if at < floor["block"] or not text.startswith(BLOCK_BEGIN, at):
                 continue
