@@ -5,9 +5,11 @@ from __future__ import annotations
 from ..functions import text as tx
 from ..operators import search
 from ..sources.documents import page_runs, run_rows, table
+from ..streaming.growing import GrowingIndex
+from ..streaming.streams import fresh_folder
 from pyspark.sql import functions as F
 
-PHRASE = "The "
+PHRASE, RARE = "The ", "Tion and"
 
 NORM = "lower(regexp_replace({}, '[ \\t\\n\\r\\f\\x0B]', '', 'g'))"
 RUNS_SQL = """runs AS (
@@ -62,8 +64,17 @@ def escaped_runs(spark, d):
     return rows.select("page_id", "run_no", tx.escape_text(F.col("text")).alias("t"), tx.escape_attribute(F.col("text")).alias("a"))
 
 
-QUERIES = [page_run_rows, search_hits, search_truncated, search_per_page, search_documents, hit_run_overlap, run_offsets, painted_hits, escaped_runs]
+def search_growing(spark, d):
+    """A rarer phrase on an index that a common one has begun."""
+    index = GrowingIndex(page_runs(table(spark, d, "pages")), f"{fresh_folder(spark)}/index")
+    index.search(PHRASE)
+    return index.search(RARE)[0]
+
+
+QUERIES = [search_growing, page_run_rows, search_hits, search_truncated, search_per_page, search_documents, hit_run_overlap, run_offsets, painted_hits, escaped_runs]
+RARE_SQL = RUNS_SQL.replace("'the'", "'tionand'").replace("(i - 1) * 3", "(i - 1) * 7")
 SQL = {
+    "search_growing": f"WITH {RARE_SQL} SELECT page_id, start, start + 7 AS \"end\" FROM hits ORDER BY page_id, start LIMIT 1000",
     "page_run_rows": f"WITH {RUNS_SQL} SELECT page_id, cast(i AS INTEGER) AS run_no, runs[i + 1] AS text FROM (SELECT page_id, runs, unnest(range(0, len(runs))) AS i FROM runs)",
     "search_hits": f"WITH {RUNS_SQL} SELECT page_id, start, start + 3 AS \"end\" FROM hits ORDER BY page_id, start LIMIT 1000",
     "search_truncated": f"WITH {RUNS_SQL}, n AS (SELECT least(len(p) - 1, 1000) AS n FROM parts) SELECT least(cast(sum(n) AS BIGINT), 1000) AS listed, count(*) AS pages, sum(n) > 1000 AS truncated FROM n",
