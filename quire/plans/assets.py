@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import fonts, memory, rules, search, spans
+from ..operators import fonts, memory, programs, rules, search, spans
 from ..sources.documents import run_rows, table
 from ..streaming import streams
 from .search import RUNS_SQL
@@ -129,7 +129,14 @@ def walked_runs(spark, d):
     return spark.read.parquet(out).select("page_id", "run_no", "text")
 
 
-QUERIES = [
+def program_names(spark, d):
+    """A font program for each part, its glyphs named by the words of the part's name, and the names read back from the bytes."""
+    words = table(spark, d, "part").select("p_partkey", F.array_distinct(F.split("p_name", " ")).alias("words"))
+    found = programs.glyph_names(programs.made_programs(words, "p_partkey", "words"), "p_partkey")
+    return found.select("p_partkey", "gid", "name", F.coalesce(F.get("codes", F.lit(0)), F.lit(-1)).alias("code"))
+
+
+QUERIES = [program_names, 
     stylesheet_assets, served_faces, font_directories, resource_walk, ligature_orders, page_letter_names, run_breaks, page_counters, merged_bands, example_list, memo_measures, rule_selection, rule_all_selected,
     rules_in_order, walked_runs,
 ]
@@ -137,6 +144,8 @@ SHEET = """sheet AS (SELECT n_regionkey, n_nationkey AS k, n_name, cast(row_numb
   CASE WHEN n_nationkey % 5 = 0 THEN '@media p' || n_nationkey || ' {}' ELSE '@font-face { font-family: ''' || n_name || '''; src: url("face-' || n_nationkey || '"); }' END AS css FROM nation WHERE n_nationkey % 7 <> 0),
 asset AS (SELECT n_regionkey, k, n_name, n, CASE WHEN k % 5 = 0 THEN css ELSE n_name END AS family, css FROM sheet)"""
 SQL = {
+    "program_names": """WITH w AS (SELECT p_partkey, list_filter(string_split(p_name, ' '), lambda x, i: list_position(string_split(p_name, ' '), x) = i) AS words FROM part)
+      SELECT p_partkey, cast(i AS INTEGER) AS gid, CASE WHEN i = 0 THEN '.notdef' ELSE words[i] END AS name, cast(CASE WHEN i = 0 THEN -1 ELSE 64 + i END AS INTEGER) AS code FROM (SELECT p_partkey, words, unnest(range(0, len(words) + 1)) AS i FROM w)""",
     "stylesheet_assets": f"WITH {SHEET} SELECT n_regionkey, n, family, css FROM asset",
     "served_faces": f"""WITH {SHEET} SELECT n_regionkey, n, family, CASE WHEN k % 3 <> 0 AND k % 5 <> 0 THEN replace(css, '"face-' || k || '"', '"blob:' || k || '"') ELSE css END AS css,
       CASE WHEN k % 3 <> 0 AND k % 5 <> 0 THEN 'woff2' ELSE 'woff' END AS format, cast(CASE WHEN k % 3 <> 0 AND k % 5 <> 0 THEN k * 100 ELSE 0 END AS BIGINT) AS bytes, cast(CASE WHEN k % 3 <> 0 AND k % 5 <> 0 THEN k ELSE 0 END AS BIGINT) AS glyphs FROM asset""",
