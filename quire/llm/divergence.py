@@ -20,6 +20,7 @@ the tasks in blocks of languages with about GROUPS groups each, so its size is b
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -36,7 +37,7 @@ from .common import cut, mapped, shared_folder, slices
 DOCUMENTS, RANKS = 3, 200
 SCALE = 1_000_000_000
 #: Counters of a worker's tries at most, and different words that are counted before they go into them.
-LEAVES, WORDS = 400_000, 150_000
+LEAVES, WORDS = 800_000, 250_000
 #: Groups that one traversal knows, about; cells of one dense array of counts.
 GROUPS, CELLS = 50_000, 1 << 20
 
@@ -44,11 +45,15 @@ GROUPS, CELLS = 50_000, 1 << 20
 FOLD = bytes(c if 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
+#: What is below a node without children; never written to.
+NOTHING: dict = {}
+
+
 class Node:
     __slots__ = ("below", "counts", "documents", "label")
 
     def __init__(self, label: bytes):
-        self.label, self.below, self.counts, self.documents = label, {}, None, 0
+        self.label, self.below, self.counts, self.documents = label, NOTHING, None, 0
 
 
 class Trie:
@@ -63,7 +68,11 @@ class Trie:
         while at < n:
             below = here.below.get(term[at])
             if below is None:
-                here.below[term[at]] = made = Node(term[at:])
+                made = Node(term[at:])
+                if here.below is NOTHING:
+                    here.below = {term[at]: made}
+                else:
+                    here.below[term[at]] = made
                 return made
             label = below.label
             if term.startswith(label, at):
@@ -74,7 +83,7 @@ class Trie:
                 same += 1
             fork = Node(label[:same])
             below.label = label[same:]
-            fork.below[label[same]] = below
+            fork.below = {label[same]: below}
             here.below[term[at]] = fork
             here, at = fork, at + same
         return here
@@ -126,14 +135,27 @@ class Counting:
             self.pour()
 
     def pour(self) -> None:
-        for (lang, source), words in self.words.items():
-            trie = self.tries.setdefault(lang, Trie())
-            for term, n in words.items():
-                trie.add(term, source, n)
+        """Each waiting term is looked up in its language's trie once, for all sources."""
+        own: dict[str, dict[bytes, Node]] = {}
         for lang, documents in self.documents.items():
-            node = self.tries[lang].node
+            node = self.tries.setdefault(lang, Trie()).node
+            places = own[lang] = {}
             for term, n in documents.items():
-                node(term).documents += n
+                places[term] = here = node(term)
+                here.documents += n
+        for (lang, source), words in self.words.items():
+            places, made = own[lang], 0
+            for term, n in words.items():
+                counts = places[term].counts
+                if counts is None:
+                    places[term].counts = {source: n}
+                    made += 1
+                elif source in counts:
+                    counts[source] += n
+                else:
+                    counts[source] = n
+                    made += 1
+            self.tries[lang].size += made
         self.words, self.documents, self.waiting = {}, {}, 0
 
     @property
@@ -173,13 +195,17 @@ def counted(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries = Counting()
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                    tries.read(lang, source, text)
-                if tries.full:
-                    yield from tries.emptied()
-        yield from tries.emptied()
+        gc.disable()  # tries hold many nodes and no circles
+        try:
+            for whole in batches:
+                for batch in slices(whole, "text"):
+                    for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                        tries.read(lang, source, text)
+                    if tries.full:
+                        yield from tries.emptied()
+            yield from tries.emptied()
+        finally:
+            gc.enable()
 
     return mapped(docs.select("lang", "source", "text"), run, LEAF)
 
