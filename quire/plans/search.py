@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from ..functions import text as tx
 from ..operators import search
+from ..sources.corpus import read_corpus
 from ..sources.documents import page_runs, run_rows, table
+from ..sources.page_files import write_pages
 from ..streaming.growing import GrowingIndex
 from ..streaming.streams import fresh_folder
 from pyspark.sql import functions as F
@@ -71,9 +73,21 @@ def search_growing(spark, d):
     return index.search(RARE)[0]
 
 
-QUERIES = [search_growing, page_run_rows, search_hits, search_truncated, search_per_page, search_documents, hit_run_overlap, run_offsets, painted_hits, escaped_runs]
+def page_text_files(spark, d):
+    """A text file for each page, the files listed, and read back as a corpus that is fetched once."""
+    folder = fresh_folder(spark)
+    texts = page_runs(table(spark, d, "pages")).select("page_id", F.array_join("runs", "\n").alias("text"))
+    write_pages(texts, "page_id", "text", f"{folder}/pages")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(f"{folder}/pages")
+    files.select(F.concat(F.regexp_extract("path", r"([^/]*)\.txt$", 1), F.lit("\t"), "path").alias("value")).write.text(f"{folder}/list")
+    found = read_corpus(spark, f"{folder}/list", f"{folder}/cache", "")
+    return found.select(F.col("name").cast("long").alias("page_id"), F.length("content").cast("long").alias("bytes"), F.md5("content").alias("digest"))
+
+
+QUERIES = [page_text_files, search_growing, page_run_rows, search_hits, search_truncated, search_per_page, search_documents, hit_run_overlap, run_offsets, painted_hits, escaped_runs]
 RARE_SQL = RUNS_SQL.replace("'the'", "'tionand'").replace("(i - 1) * 3", "(i - 1) * 7")
 SQL = {
+    "page_text_files": f"WITH {RUNS_SQL} SELECT page_id, cast(strlen(array_to_string(runs, chr(10))) AS BIGINT) AS bytes, md5(array_to_string(runs, chr(10))) AS digest FROM runs WHERE array_to_string(runs, chr(10)) <> ''",
     "search_growing": f"WITH {RARE_SQL} SELECT page_id, start, start + 7 AS \"end\" FROM hits ORDER BY page_id, start LIMIT 1000",
     "page_run_rows": f"WITH {RUNS_SQL} SELECT page_id, cast(i AS INTEGER) AS run_no, runs[i + 1] AS text FROM (SELECT page_id, runs, unnest(range(0, len(runs))) AS i FROM runs)",
     "search_hits": f"WITH {RUNS_SQL} SELECT page_id, start, start + 3 AS \"end\" FROM hits ORDER BY page_id, start LIMIT 1000",

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import memory
+from ..operators import gradients, memory, places
 from ..sources.documents import table
 from ..streaming import streams
+from ..streaming.store import VersionedStore
 
 
 def _changes(spark, d):
@@ -74,11 +75,49 @@ def stream_latest(spark, d):
     return streams.remember(spark, events, "user_id", "event_id", "value")
 
 
-QUERIES = [lru_memory, inherit_settings, retain_newest, tolerant_memory, current_results, settle_points, throttle_commits, payload_offsets, timing_median, progress_counts, stream_latest]
+def stored_latest(spark, d):
+    """The latest event of each user, kept in a store that each third of the events updates."""
+    events = table(spark, d, "events")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    store = VersionedStore(spark, f"{streams.fresh_folder(spark)}/store")
+    step = (high - low) // 3 + 1 if low is not None else 1
+    for k in range(3):
+        own = events.where((F.col("event_id") >= (low or 0) + k * step) & (F.col("event_id") < (low or 0) + (k + 1) * step)).select("user_id", "event_id", "value")
+        store.update(lambda old, own=own: (own if old is None else old.unionByName(own)).groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.max_by("value", "event_id").alias("value")))
+    return store.current()
+
+
+def place_history(spark, d):
+    """Views and clicks as jumps, purchases as steps back, errors as steps forward, sign-ups as another document."""
+    kind = F.when(F.col("event_type").isin("view", "click"), "jump").when(F.col("event_type") == "purchase", "back").when(F.col("event_type") == "error", "forward").when(F.col("event_type") == "signup", "open")
+    moves = table(spark, d, "events").select("user_id", "ts", "event_id", kind.alias("kind"), F.col("event_id").alias("place"), (-F.col("event_id")).alias("left"))
+    found = places.history(moves, "user_id", ["ts", "event_id"], 8)
+    return found.select("user_id", "n", F.coalesce("shown", F.lit(0)).alias("shown"), "at", "size")
+
+
+def gradient_stops(spark, d):
+    """A ramp for each user: colours that drift with the events' numbers and jump with their values."""
+    n = F.col("event_id")
+    samples = table(spark, d, "events").select("user_id", n.alias("at"), F.abs(F.floor(n / 40) % 256 - 128).cast("int").alias("r"), (F.floor(F.col("value") / 60) % 256).cast("int").alias("g"), F.floor(n / 100 % 200).cast("int").alias("b"))
+    return gradients.stops(samples, "user_id", "at", ["r", "g", "b"])
+
+
+QUERIES = [stored_latest, place_history, gradient_stops, lru_memory, inherit_settings, retain_newest, tolerant_memory, current_results, settle_points, throttle_commits, payload_offsets, timing_median, progress_counts, stream_latest]
 STATE = """c AS (SELECT user_id, ts, event_id, cast(event_id % 500 AS INTEGER) AS page, event_type <> 'error' AS sp, CASE WHEN event_type <> 'purchase' THEN props END AS settings, event_type IN ('click', 'purchase') AS ss FROM events),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n, row_number() OVER (PARTITION BY user_id, sp ORDER BY ts DESC, event_id DESC) AS np, row_number() OVER (PARTITION BY user_id, ss ORDER BY ts DESC, event_id DESC) AS ns FROM c),
 s AS (SELECT user_id, max(CASE WHEN sp AND np = 1 THEN page END) AS page, max(CASE WHEN ss AND ns = 1 THEN settings END) AS settings, max(CASE WHEN n = 1 THEN ts END) AS ts, max(CASE WHEN n = 1 THEN event_id END) AS last FROM r GROUP BY user_id ORDER BY ts DESC, last DESC LIMIT 100)"""
 SQL = {
+    "stored_latest": "SELECT user_id, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id",
+    "place_history": """WITH RECURSIVE m AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, event_id AS place,
+        CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 WHEN 'error' THEN 3 WHEN 'signup' THEN 4 ELSE 0 END AS kind FROM events),
+      w AS (SELECT user_id, cast(0 AS BIGINT) AS i, [cast(NULL AS BIGINT)] AS held, [cast(0 AS BIGINT)] AS docs, 1 AS spot, cast(0 AS BIGINT) AS doc, cast(NULL AS BIGINT) AS shown FROM (SELECT DISTINCT user_id FROM m)
+        UNION ALL SELECT user_id, i, CASE WHEN len(h) > 8 THEN h[2:] ELSE h END, CASE WHEN len(h) > 8 THEN g[2:] ELSE g END, CASE WHEN len(h) > 8 THEN a - 1 ELSE a END, CASE WHEN kind = 4 THEN doc + 1 ELSE doc END,
+          CASE WHEN kind = 1 THEN place WHEN kind IN (2, 3) AND a <> spot AND g[a] = doc THEN h[a] END
+        FROM (SELECT w.user_id, m.i, m.kind, m.place, w.doc, w.spot,
+          CASE WHEN m.kind = 1 THEN list_concat(w.held[1:w.spot - 1], [-m.place, m.place]) ELSE w.held END AS h, CASE WHEN m.kind = 1 THEN list_concat(w.docs[1:w.spot - 1], [w.doc, w.doc]) ELSE w.docs END AS g,
+          CASE WHEN m.kind = 1 THEN w.spot + 1 WHEN m.kind = 2 AND w.spot > 1 THEN w.spot - 1 WHEN m.kind = 3 AND w.spot < len(w.held) THEN w.spot + 1 ELSE w.spot END AS a
+          FROM w JOIN m ON w.user_id = m.user_id AND m.i = w.i + 1))
+      SELECT user_id, i - 1 AS n, coalesce(shown, 0) AS shown, cast(spot - 1 AS INTEGER) AS "at", cast(len(held) AS INTEGER) AS size FROM w WHERE i > 0""",
     "lru_memory": f"WITH {STATE} SELECT user_id, coalesce(page, -1) AS page, coalesce(settings, '') AS settings, last FROM s",
     "inherit_settings": f"WITH {STATE} SELECT arg_max(settings, ts) AS settings FROM s WHERE settings IS NOT NULL",
     "retain_newest": "WITH r AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT event_type, event_id FROM r WHERE n <= 8",
