@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import gradients, memory, places
 from ..sources.documents import table
-from ..streaming import streams
+from ..streaming import debounce, streams
 from ..streaming.store import VersionedStore
 
 
@@ -102,11 +102,27 @@ def gradient_stops(spark, d):
     return gradients.stops(samples, "user_id", "at", ["r", "g", "b"])
 
 
-QUERIES = [stored_latest, place_history, gradient_stops, lru_memory, inherit_settings, retain_newest, tolerant_memory, current_results, settle_points, throttle_commits, payload_offsets, timing_median, progress_counts, stream_latest]
+WAIT_MINUTES = 90
+
+
+def debounced_queries(spark, d):
+    """Views and clicks type a query, a purchase sends one, errors and sign-ups drop what waits."""
+    schema = table(spark, d, "events").schema
+    kind = F.when(F.col("event_type").isin("view", "click"), "type").when(F.col("event_type") == "purchase", "enter").otherwise("escape")
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/[e]vents.parquet")
+    events = stream.select(F.col("user_id").cast("string").alias("key"), F.col("ts").alias("at"), F.col("event_id").alias("n"), kind.alias("kind"), F.col("event_id").cast("string").alias("text"))
+    sent, root = debounce.sent_queries(spark, events, WAIT_MINUTES * 60_000)
+    return sent.unionByName(debounce.pending(spark, root))
+
+
+QUERIES = [debounced_queries, stored_latest, place_history, gradient_stops, lru_memory, inherit_settings, retain_newest, tolerant_memory, current_results, settle_points, throttle_commits, payload_offsets, timing_median, progress_counts, stream_latest]
 STATE = """c AS (SELECT user_id, ts, event_id, cast(event_id % 500 AS INTEGER) AS page, event_type <> 'error' AS sp, CASE WHEN event_type <> 'purchase' THEN props END AS settings, event_type IN ('click', 'purchase') AS ss FROM events),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n, row_number() OVER (PARTITION BY user_id, sp ORDER BY ts DESC, event_id DESC) AS np, row_number() OVER (PARTITION BY user_id, ss ORDER BY ts DESC, event_id DESC) AS ns FROM c),
 s AS (SELECT user_id, max(CASE WHEN sp AND np = 1 THEN page END) AS page, max(CASE WHEN ss AND ns = 1 THEN settings END) AS settings, max(CASE WHEN n = 1 THEN ts END) AS ts, max(CASE WHEN n = 1 THEN event_id END) AS last FROM r GROUP BY user_id ORDER BY ts DESC, last DESC LIMIT 100)"""
 SQL = {
+    "debounced_queries": f"""WITH e AS (SELECT cast(user_id AS VARCHAR) AS key, cast(event_id AS VARCHAR) AS text, epoch_us(ts) AS t, event_type, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS later FROM events)
+      SELECT key, text, t + {WAIT_MINUTES * 60_000_000} AS sent, 'wait' AS cause FROM e WHERE event_type IN ('view', 'click') AND (later IS NULL OR later >= t + {WAIT_MINUTES * 60_000_000})
+      UNION ALL SELECT key, text, t AS sent, 'enter' AS cause FROM e WHERE event_type = 'purchase'""",
     "stored_latest": "SELECT user_id, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id",
     "place_history": """WITH RECURSIVE m AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, event_id AS place,
         CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 WHEN 'error' THEN 3 WHEN 'signup' THEN 4 ELSE 0 END AS kind FROM events),
