@@ -5,22 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import running
+
 #: Zoom limits; fixed values.
 LEAST, MOST = 0.05, 12.0
 
 
 def place(pages: DataFrame, doc: str, gap: float = 14.0, padding: float = 16.0, scale: float = 1.0, columns: int = 1, first_alone: bool = False) -> DataFrame:
     """(doc, index, row, left, top, width, height): pages (doc, index, width, height) in rows of `columns`, rows as high as
-    their highest page, pages centred both ways. Rows are aggregated first, so a document's window runs over its rows."""
+    their highest page, pages centred both ways. Rows are aggregated first, and what lies above a row is a running sum in
+    buckets, so no window runs over a document."""
     i = F.col("index")
     row = F.floor(i / columns) if not first_alone else F.when(i == 0, F.lit(0)).otherwise(F.floor((i - 1) / columns) + 1)
     sized = pages.select(doc, "index", row.cast("long").alias("row"), (F.col("width") * scale).alias("width"), (F.col("height") * scale).alias("height"))
     rows = sized.groupBy(doc, "row").agg(F.max("height").alias("row_height"), F.max("width").alias("widest"), (F.sum("width") + gap * (F.count(F.lit(1)) - 1)).alias("natural"))
-    down = Window.partitionBy(doc).orderBy("row")
-    tops = rows.select(
-        doc, "row", "row_height", "natural", F.max("widest").over(Window.partitionBy(doc)).alias("most"),
-        (padding + F.coalesce(F.sum(F.col("row_height") + gap).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).alias("row_top"),
-    )
+    tops = running(rows, [doc], "row", {"above": ("sum", F.col("row_height") + gap)}, wholes={"most": ("max", F.col("widest"))})
+    tops = tops.select(doc, "row", "row_height", "natural", "most", (padding + F.coalesce("above", F.lit(0.0))).alias("row_top"))
     across = Window.partitionBy(doc, "row").orderBy("index").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.col("width") + gap).over(across), F.lit(0.0))
     left = padding + F.greatest(F.lit(0.0), (F.col("most") - F.col("natural")) / 2) + before
@@ -56,7 +56,7 @@ def visible(boxes: DataFrame, views: DataFrame, doc: str, overscan: float = 0.0)
 
 def nearest(boxes: DataFrame, points: DataFrame, doc: str) -> DataFrame:
     """(doc, point, index): the page closest to each height (doc, point, y); the lower index wins ties. Pages around a point
-    meet it in its cell; the next top below and the last bottom above come from running minima, sorted once each."""
+    meet it in its cell; the next top below and the last bottom above are running minima in buckets over both."""
     sides = _sides(boxes, doc)
     asked = points.dropDuplicates([doc, "point"]).select(doc, "point", F.col("y").cast("double").alias("y"))
     inside = _celled(sides, F.col("top"), F.col("bottom")).join(asked.withColumn("cell", F.floor(F.col("y") / CELL)), [doc, "cell"]).where("top <= y and bottom >= y")
@@ -64,20 +64,20 @@ def nearest(boxes: DataFrame, points: DataFrame, doc: str) -> DataFrame:
     for side, sign in (("top", -1), ("bottom", 1)):
         ends = sides.select(doc, (F.col(side) * sign).alias("at"), F.lit(0).alias("probe"), F.struct((F.col(side) * -sign).alias("far"), "index").alias("best"))
         probes = asked.select(doc, (F.col("y") * sign).alias("at"), F.lit(1).alias("probe"), "point", "y")
-        w = Window.partitionBy(doc).orderBy("at", "probe").rowsBetween(Window.unboundedPreceding, 0)
-        seen = ends.unionByName(probes, allowMissingColumns=True).withColumn("best", F.min("best").over(w)).where("probe = 1 and best is not null")
-        found = found.unionByName(seen.select(doc, "point", (F.col("y") * sign + F.col("best.far")).alias("d"), F.col("best.index").alias("index")))
+        both = ends.unionByName(probes, allowMissingColumns=True)
+        seen = running(both, [doc], "at", {"near": ("min", F.col("best"))}, ("probe",), inclusive=True).where("probe = 1 and near is not null")
+        found = found.unionByName(seen.select(doc, "point", (F.col("y") * sign + F.col("near.far")).alias("d"), F.col("near.index").alias("index")))
     return found.groupBy(doc, "point").agg(F.min(F.struct("d", "index")).alias("n")).select(doc, "point", F.col("n.index").alias("index"))
 
 
 def at_offset(boxes: DataFrame, offsets: DataFrame, doc: str, padding: float = 16.0) -> DataFrame:
     """(doc, offset, index): the last page whose top is not below offset + padding, the first page before that. An as-of
-    match as a running maximum over both, sorted once."""
+    match as a running maximum in buckets over both."""
     both = boxes.select(doc, F.col("top").alias("at"), F.col("index").cast("long").alias("index"), F.lit(0).alias("probe"), F.lit(None).cast("double").alias("offset")).unionByName(
         offsets.select(doc, (F.col("offset") + padding).alias("at"), F.lit(None).cast("long").alias("index"), F.lit(1).alias("probe"), F.col("offset").cast("double").alias("offset"))
     )
-    w = Window.partitionBy(doc).orderBy("at", "probe").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("index", F.coalesce(F.max("index").over(w), F.lit(0))).where("probe = 1").select(doc, "offset", "index")
+    seen = running(both, [doc], "at", {"last": ("max", F.col("index"))}, ("probe",), inclusive=True)
+    return seen.where("probe = 1").select(doc, "offset", F.coalesce("last", F.lit(0)).alias("index"))
 
 
 def fit_scale(pages: DataFrame, doc: str, width: float, height: float, padding: float = 16.0) -> DataFrame:
@@ -108,9 +108,11 @@ def install_next(window: DataFrame, finished: DataFrame, doc: str, moving: bool
 
 
 def work_order(pages: DataFrame, doc: str, here: Column) -> DataFrame:
-    """pages with `ord`: the current one first, then ascending."""
-    w = Window.partitionBy(doc).orderBy(F.col("index") != here, "index")
-    return pages.withColumn("ord", F.row_number().over(w) - 1)
+    """pages with `ord`: the current one first, then ascending. Numbered in buckets: what comes before the current one moves up."""
+    marked = pages.withColumn("_here", (F.col("index") == here).cast("int"))
+    found = running(marked, [doc], "index", {"_n": ("sum", F.lit(1).cast("long"))}, wholes={"_any": ("max", F.col("_here"))})
+    n = F.coalesce("_n", F.lit(0))
+    return found.withColumn("ord", F.when(F.col("_here") == 1, 0).when(F.col("index") < here, n + F.col("_any")).otherwise(n).cast("int")).drop("_here", "_n", "_any")
 
 
 def ladder(levels: DataFrame, doc: str, close: float = 1e-3) -> DataFrame:

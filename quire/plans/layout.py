@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers
+from ..functions.workers import cut
 from ..operators import layout
+from ..operators.running import numbered
 from ..sources.documents import table
 
 
 def _pages(spark, d):
-    i = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return table(spark, d, "documents").select("source", i.cast("long").alias("index"), (F.lit(600.0) + F.pmod("n_chars", F.lit(3)) * 50).alias("width"), (F.lit(200.0) + F.pmod(F.col("n_chars") * 397, F.lit(1000))).alias("height"))
+    docs = table(spark, d, "documents").select("source", "doc_id", "n_chars")
+    return numbered(docs, ["source"], "doc_id", "index").select("source", "index", (F.lit(600.0) + F.pmod("n_chars", F.lit(3)) * 50).alias("width"), (F.lit(200.0) + F.pmod(F.col("n_chars") * 397, F.lit(1000))).alias("height"))
 
 
 def _boxes(spark, d):
     return layout.place(_pages(spark, d), "source", columns=2, first_alone=True)
 
 
-def _tops(spark, d):
+def _tops(boxes):
     """Views down each document, from above its first page to below its last."""
-    ends = _boxes(spark, d).groupBy("source").agg((F.floor(F.max(F.col("top") + F.col("height"))) + 1000).cast("int").alias("end"))
+    ends = boxes.groupBy("source").agg((F.floor(F.max(F.col("top") + F.col("height"))) + 1000).cast("int").alias("end"))
     return ends.select("source", F.explode(F.sequence(F.lit(-500), "end", F.lit(1370))).alias("view"))
 
 
@@ -30,16 +31,19 @@ def page_layout(spark, d):
 
 
 def visible_pages(spark, d):
-    views = _tops(spark, d).select("source", "view", F.col("view").cast("double").alias("top"), F.lit(900.0).alias("height"))
-    return layout.visible(_boxes(spark, d), views, "source")
+    boxes = cut(_boxes(spark, d))  # laid out once, for the views and for what they meet
+    views = _tops(boxes).select("source", "view", F.col("view").cast("double").alias("top"), F.lit(900.0).alias("height"))
+    return layout.visible(boxes, views, "source")
 
 
 def nearest_page(spark, d):
-    return layout.nearest(_boxes(spark, d), _tops(spark, d).select("source", F.col("view").alias("point"), F.col("view").cast("double").alias("y")), "source")
+    boxes = cut(_boxes(spark, d))
+    return layout.nearest(boxes, _tops(boxes).select("source", F.col("view").alias("point"), F.col("view").cast("double").alias("y")), "source")
 
 
 def offset_page(spark, d):
-    return layout.at_offset(_boxes(spark, d), _tops(spark, d).select("source", F.col("view").cast("double").alias("offset")), "source")
+    boxes = cut(_boxes(spark, d))
+    return layout.at_offset(boxes, _tops(boxes).select("source", F.col("view").cast("double").alias("offset")), "source")
 
 
 def fit_scales(spark, d):
@@ -49,8 +53,8 @@ def fit_scales(spark, d):
 def priority_order(spark, d):
     first, last = F.lit(10), F.lit(14)
     marked = _pages(spark, d).withColumn("priority", layout.priority(F.col("index"), first, last, F.lit(1)).cast("long"))
-    w = Window.partitionBy("source").orderBy("priority", "index")
-    return marked.select("source", "index", "priority", F.row_number().over(w).alias("n"))
+    ranked = numbered(marked, ["source"], "priority", "n", ("index",))
+    return ranked.select("source", "index", "priority", (F.col("n") + 1).cast("int").alias("n"))
 
 
 def install_order(spark, d):
