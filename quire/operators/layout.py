@@ -9,6 +9,8 @@ from .running import running
 
 #: Zoom limits; fixed values.
 LEAST, MOST = 0.05, 12.0
+#: Rows or pages of a bucket, in which a document is numbered and summed up.
+ROWS = 4096
 
 
 def place(pages: DataFrame, doc: str, gap: float = 14.0, padding: float = 16.0, scale: float = 1.0, columns: int = 1, first_alone: bool = False) -> DataFrame:
@@ -19,7 +21,7 @@ def place(pages: DataFrame, doc: str, gap: float = 14.0, padding: float = 16.0,
     row = F.floor(i / columns) if not first_alone else F.when(i == 0, F.lit(0)).otherwise(F.floor((i - 1) / columns) + 1)
     sized = pages.select(doc, "index", row.cast("long").alias("row"), (F.col("width") * scale).alias("width"), (F.col("height") * scale).alias("height"))
     rows = sized.groupBy(doc, "row").agg(F.max("height").alias("row_height"), F.max("width").alias("widest"), (F.sum("width") + gap * (F.count(F.lit(1)) - 1)).alias("natural"))
-    tops = running(rows, [doc], "row", {"above": ("sum", F.col("row_height") + gap)}, wholes={"most": ("max", F.col("widest"))})
+    tops = running(rows, [doc], "row", {"above": ("sum", F.col("row_height") + gap)}, wholes={"most": ("max", F.col("widest"))}, width=ROWS)
     tops = tops.select(doc, "row", "row_height", "natural", "most", (padding + F.coalesce("above", F.lit(0.0))).alias("row_top"))
     across = Window.partitionBy(doc, "row").orderBy("index").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.col("width") + gap).over(across), F.lit(0.0))
@@ -65,7 +67,7 @@ def nearest(boxes: DataFrame, points: DataFrame, doc: str) -> DataFrame:
         ends = sides.select(doc, (F.col(side) * sign).alias("at"), F.lit(0).alias("probe"), F.struct((F.col(side) * -sign).alias("far"), "index").alias("best"))
         probes = asked.select(doc, (F.col("y") * sign).alias("at"), F.lit(1).alias("probe"), "point", "y")
         both = ends.unionByName(probes, allowMissingColumns=True)
-        seen = running(both, [doc], "at", {"near": ("min", F.col("best"))}, ("probe",), inclusive=True).where("probe = 1 and near is not null")
+        seen = running(both, [doc], "at", {"near": ("min", F.col("best"))}, ("probe",), inclusive=True, width=ROWS * CELL).where("probe = 1 and near is not null")
         found = found.unionByName(seen.select(doc, "point", (F.col("y") * sign + F.col("near.far")).alias("d"), F.col("near.index").alias("index")))
     return found.groupBy(doc, "point").agg(F.min(F.struct("d", "index")).alias("n")).select(doc, "point", F.col("n.index").alias("index"))
 
@@ -76,7 +78,7 @@ def at_offset(boxes: DataFrame, offsets: DataFrame, doc: str, padding: float = 1
     both = boxes.select(doc, F.col("top").alias("at"), F.col("index").cast("long").alias("index"), F.lit(0).alias("probe"), F.lit(None).cast("double").alias("offset")).unionByName(
         offsets.select(doc, (F.col("offset") + padding).alias("at"), F.lit(None).cast("long").alias("index"), F.lit(1).alias("probe"), F.col("offset").cast("double").alias("offset"))
     )
-    seen = running(both, [doc], "at", {"last": ("max", F.col("index"))}, ("probe",), inclusive=True)
+    seen = running(both, [doc], "at", {"last": ("max", F.col("index"))}, ("probe",), inclusive=True, width=ROWS * CELL)
     return seen.where("probe = 1").select(doc, "offset", F.coalesce("last", F.lit(0)).alias("index"))
 
 
@@ -110,7 +112,7 @@ def install_next(window: DataFrame, finished: DataFrame, doc: str, moving: bool
 def work_order(pages: DataFrame, doc: str, here: Column) -> DataFrame:
     """pages with `ord`: the current one first, then ascending. Numbered in buckets: what comes before the current one moves up."""
     marked = pages.withColumn("_here", (F.col("index") == here).cast("int"))
-    found = running(marked, [doc], "index", {"_n": ("sum", F.lit(1).cast("long"))}, wholes={"_any": ("max", F.col("_here"))})
+    found = running(marked, [doc], "index", {"_n": ("sum", F.lit(1).cast("long"))}, wholes={"_any": ("max", F.col("_here"))}, width=ROWS)
     n = F.coalesce("_n", F.lit(0))
     return found.withColumn("ord", F.when(F.col("_here") == 1, 0).when(F.col("index") < here, n + F.col("_any")).otherwise(n).cast("int")).drop("_here", "_n", "_any")
 

@@ -13,7 +13,7 @@ from ..sources.documents import table
 
 def _pages(spark, d):
     docs = table(spark, d, "documents").select("source", "doc_id", "n_chars")
-    return numbered(docs, ["source"], "doc_id", "index").select("source", "index", (F.lit(600.0) + F.pmod("n_chars", F.lit(3)) * 50).alias("width"), (F.lit(200.0) + F.pmod(F.col("n_chars") * 397, F.lit(1000))).alias("height"))
+    return numbered(docs, ["source"], "doc_id", "index", width=1 << 20).select("source", "index", (F.lit(600.0) + F.pmod("n_chars", F.lit(3)) * 50).alias("width"), (F.lit(200.0) + F.pmod(F.col("n_chars") * 397, F.lit(1000))).alias("height"))
 
 
 def _boxes(spark, d):
@@ -53,7 +53,7 @@ def fit_scales(spark, d):
 def priority_order(spark, d):
     first, last = F.lit(10), F.lit(14)
     marked = _pages(spark, d).withColumn("priority", layout.priority(F.col("index"), first, last, F.lit(1)).cast("long"))
-    ranked = numbered(marked, ["source"], "priority", "n", ("index",))
+    ranked = numbered(marked, ["source"], "priority", "n", ("index",), width=layout.ROWS)
     return ranked.select("source", "index", "priority", (F.col("n") + 1).cast("int").alias("n"))
 
 

@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 from quire.operators import layout, running
 
 
-@pytest.mark.parametrize("buckets", [1, 3, 1024])
+@pytest.mark.parametrize(("buckets", "width"), [(1, None), (3, None), (1024, None), (1, 2.5), (1, 1e9)])
 @pytest.mark.parametrize("inclusive", [False, True])
-def test_running(spark, monkeypatch, buckets, inclusive):
+def test_running(spark, monkeypatch, buckets, width, inclusive):
     monkeypatch.setattr(running, "BUCKETS", buckets)
     draw = random.Random(buckets)
     rows = [(draw.choice([None, "a", "a", "a", "b"]), draw.choice([None, float("nan"), *map(float, range(-5, 30))]), k, draw.choice([None, 1, 2, 7])) for k in range(200)]
     df = spark.createDataFrame(rows, "k string, o double, n long, v long").repartition(5)
-    number = running.numbered(df, ["k"], "o", "i", ("n",))
-    made = running.running(df, ["k"], "o", {"s": ("sum", F.col("v")), "lo": ("min", F.struct("v", "n")), "hi": ("max", F.col("v"))}, ("n",), inclusive, {"top": ("max", F.col("n"))})
+    number = running.numbered(df, ["k"], "o", "i", ("n",), width)
+    made = running.running(df, ["k"], "o", {"s": ("sum", F.col("v")), "lo": ("min", F.struct("v", "n")), "hi": ("max", F.col("v"))}, ("n",), inclusive, {"top": ("max", F.col("n"))}, width)
     got = {r["n"]: (r["s"], r["lo"] and tuple(r["lo"]), r["hi"], r["top"]) for r in made.collect()}
     where = {r["n"]: r["i"] for r in number.collect()}
     # a null order comes first; NaN shares its bucket and comes behind it
