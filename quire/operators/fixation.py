@@ -4,8 +4,9 @@ The length table and the dictionaries are parameters. BOUNDS is the documented d
 at most BOUNDS[i + 1] letters keeps all but i + 1; past the last bound it keeps all but as many as there are bounds. The
 bounds from 12 to 42 are a choice; tests pin the others.
 
-Words are marked in Python, many texts at a time: a ligature counts as its letters, a mark may carry over a run's border and
-depends on the words on both sides, and Spark's functions of arrays would copy a text for every character folded in.
+Segments are marked in Python, many texts at a time: a ligature counts as its letters, a mark may carry over a run's border and
+depends on the words on both sides, and Spark's functions of arrays would copy a text for every character folded in. How many
+letters are fixed when all words may fade is an expression of the JVM (`fixed_letters`).
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 from itertools import groupby
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -143,14 +144,31 @@ def segment_rows(rows: DataFrame, key: str, text: str = "text", scope: Scope = S
     return ship(source).mapInArrow(run, f"{key} {kind}, n int, fixation boolean, text string, chars int")
 
 
-def counts(rows: DataFrame, key: str, text: str = "text", scope: Scope = Scope(), bounds: tuple[int, ...] = BOUNDS) -> DataFrame:
-    """(key, fixed, chars) of each whole text; a null text counts as empty."""
+def fixed_letters(text: Column, bounds: tuple[int, ...] = BOUNDS) -> Column:
+    """How many characters of a text are fixed when all words may fade, as `marks` says for the scope all: an expression of the
+    JVM. A word's length counts a ligature's letters, of which one fixed letter fixes the ligature; a word without a letter
+    has none."""
+    words = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+    def kept_of(n: Column) -> Column:
+        return F.greatest(F.lit(0), n - sum(((n > b).cast("int") for b in bounds), F.lit(0)))
+
+    def spelled(word: Column) -> Column:
+        letters = tx.spell_ligatures(word)
+        before = lambda i: F.length(tx.spell_ligatures(F.substring(word, F.lit(1), i)))
+        keep = kept_of(F.length(letters))
+        return F.aggregate(F.sequence(F.lit(0), F.length(word) - 1), F.lit(0), lambda a, i: a + (before(i) < keep).cast("int"))
+
+    def fixed(word: Column) -> Column:
+        plain = F.when(word.rlike(f"[{''.join(tx.LIGATURES)}]"), spelled(word)).otherwise(kept_of(F.length(word)))
+        return F.when(word.rlike(r"\p{L}"), plain).otherwise(0)
+
+    return F.coalesce(F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + fixed(w)), F.lit(0).cast("long"))
 
-    @F.pandas_udf("long")
-    def of(texts):
-        return texts.map(lambda t: sum(marks(t or "", scope, bounds)))
 
-    return ship(rows).select(key, of(F.col(text)).alias("fixed"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("chars"))
+def counts(rows: DataFrame, keys: list[str], text: str = "text", bounds: tuple[int, ...] = BOUNDS) -> DataFrame:
+    """(keys, fixed, chars) of each whole text, all words of which may fade; a null text counts as empty."""
+    return rows.select(*keys, fixed_letters(F.col(text), bounds).alias("fixed"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("chars"))
 
 
 def with_joined_segments(runs: DataFrame, keys: list[str], scope: Scope = Scope(), bounds: tuple[int, ...] = BOUNDS) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.arrays import let
 
 
 def styled(items: DataFrame, page: list[str], seq: str = "seq", line: str = "line", style: str = "style") -> DataFrame:
@@ -59,6 +60,36 @@ def joins(chars: DataFrame, pairs: DataFrame, page: list[str]) -> DataFrame:
     return both.select(*page, "from", "to", F.coalesce((F.col("to") > F.col("from")) & (F.col("b1") == F.col("b0")) & (F.col("t1") == F.col("t0")), F.lit(False)).alias("joins"))
 
 
+#: A stretch without blanks, or one blank or line feed.
+PIECE = f"[^\\n{tx.PAGE_BLANK[1:-1]}]+|[\\n{tx.PAGE_BLANK[1:-1]}]"
+
+
+def stretches(text: Column) -> Column:
+    """For each character of a text but its line feeds the number of the stretch that it lies in; null for a space. Stretches end
+    at spaces and line feeds."""
+    pieces = F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
+    none = F.array().cast("array<int>")
+
+    def numbers(piece: Column, n: Column) -> Column:
+        one = F.when(piece == "\n", none).when(is_space(piece), F.array(F.lit(None).cast("int"))).otherwise(F.array(n))
+        return F.when(F.length(piece) > 1, F.array_repeat(n, F.length(piece))).otherwise(one)
+
+    return F.flatten(F.transform(pieces, numbers))
+
+
+def text_joins(rows: DataFrame, keys: list[str], text: str, pairs: Column) -> DataFrame:
+    """(keys, pairs): an array of (from, to), places in the text counted without line feeds, with `joins`: both there, to after
+    from, and no space or line change from one to the other. All in the text's row, without an exchange, in time linear in
+    text and pairs; null if the text or its pairs are null."""
+    held = let(stretches(F.col(text)), lambda at: F.transform(pairs, lambda p: F.struct(p["from"].alias("from"), p["to"].alias("to"), _together(at, p).alias("joins"))))
+    return rows.select(*keys, F.when(F.col(text).isNotNull(), held).alias("pairs"))
+
+
+def _together(at: Column, p: Column) -> Column:
+    there = (p["from"] >= 0) & (p["to"] > p["from"])
+    return F.coalesce(there & (F.get(at, p["from"].cast("int")) == F.get(at, p["to"].cast("int"))), F.lit(False))
+
+
 def broken_runs(items: DataFrame, page: list[str]) -> DataFrame:
     """items (page, seq, entry, paint, matrix, markup, letters, faded) with run_no and group_no: a run ends where entry, paint
     or matrix changes or markup came between; in a run, items of several letters stand alone, others group by fading."""

@@ -36,13 +36,11 @@ def script_safety(spark, d):
 
 
 def fixation_summary(spark, d):
-    rows = fixation.with_segments(table(spark, d, "conversations").select("conv_id", "turn", "text"))
-    fixed = F.aggregate("segments", F.lit(0), lambda a, s: a + F.when(s["fixation"], s["chars"]).otherwise(0))
-    return rows.select("conv_id", "turn", fixed.cast("long").alias("fixed"), F.aggregate("segments", F.lit(0), lambda a, s: a + s["chars"]).cast("long").alias("chars"))
+    return fixation.counts(table(spark, d, "conversations"), ["conv_id", "turn"])
 
 
 def fixation_summary_documents(spark, d):
-    return fixation.counts(table(spark, d, "documents"), "doc_id")
+    return fixation.counts(table(spark, d, "documents"), ["doc_id"])
 
 
 def fixation_segments(spark, d):

@@ -79,10 +79,13 @@ def _marks(chars, keys):
     return spans.space_marks(chars, keys).groupBy(*keys, "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("targets"))
 
 
-def _joins(chars, keys):
-    pairs = chars.select(*keys, F.col("seq").alias("from"), (F.col("seq") + 3).alias("to"))
-    found = spans.joins(chars, pairs, keys)
-    return found.groupBy(*keys).agg(F.count_if("joins").alias("n"), F.coalesce(F.sum(F.when(F.col("joins"), F.col("from"))), F.lit(0)).alias("places"))
+def _joins(rows, keys):
+    """How many characters of each text join the third one after them, and the sum of their places."""
+    n = F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("from"), (i + 3).alias("to")))
+    found = spans.text_joins(rows.where(n > 0), keys, "text", pairs)
+    joined = F.filter("pairs", lambda p: p["joins"])
+    return found.select(*keys, F.size(joined).cast("long").alias("n"), F.aggregate(joined, F.lit(0).cast("long"), lambda a, p: a + p["from"]).alias("places"))
 
 
 def space_marks(spark, d):
@@ -90,7 +93,7 @@ def space_marks(spark, d):
 
 
 def char_joins(spark, d):
-    return _joins(_chars(spark, d), ["conv_id", "turn"])
+    return _joins(table(spark, d, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"])
 
 
 def space_marks_documents(spark, d):
@@ -98,7 +101,7 @@ def space_marks_documents(spark, d):
 
 
 def char_joins_documents(spark, d):
-    return _joins(_document_chars(spark, d), ["doc_id"])
+    return _joins(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"])
 
 
 QUERIES = [rule_filter_lines, rule_match_counts, pattern_lists, title_patterns, rule_adoption, content_boxes, padded_boxes, styled_spans, space_marks, char_joins, space_marks_documents, char_joins_documents]
