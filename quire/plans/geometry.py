@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import fixation, matrices, rasters, spatial
-from ..sources.documents import ADVANCE, LEADING, LINES_PER_PAGE, MARGIN, grid_spans, table
+from ..sources.documents import ADVANCE, LEADING, LINES_PER_PAGE, MARGIN, grid_spans, run_rows, table
 
 CELL = 8.0
 
@@ -47,6 +47,14 @@ def fixation_segments(spark, d):
     return fixation.segment_rows(table(spark, d, "documents"), "doc_id", scope=fixation.Scope("short"))
 
 
+def run_words(spark, d):
+    """Words across the runs of pages: a run that begins with a small letter carries the run before it on."""
+    runs = run_rows(table(spark, d, "pages")).withColumn("joins", F.col("text").rlike("^[a-z]"))
+    marked = fixation.with_joined_segments(runs, ["page_id"])
+    fixed = F.aggregate(F.flatten("parts"), F.lit(0).cast("long"), lambda a, s: a + F.when(s["fixation"], s["chars"]).otherwise(0))
+    return marked.select("page_id", "first", F.size("parts").alias("runs"), fixed.alias("fixed"))
+
+
 def nested_transforms(spark, d):
     """Clicks and purchases open a group that turns and moves, views close one, errors and sign-ups draw."""
     n, kind = F.col("event_id"), F.col("event_type")
@@ -60,7 +68,7 @@ def ink_coverage(spark, d):
     return rasters.coverage(grid_spans(table(spark, d, "documents")), ["doc_id", "page_no"], CELL)
 
 
-QUERIES = [nested_transforms, ink_coverage, eps_neighbours, eps_unique, eps_conflicts, script_safety, fixation_summary, fixation_summary_documents, fixation_segments]
+QUERIES = [run_words, nested_transforms, ink_coverage, eps_neighbours, eps_unique, eps_conflicts, script_safety, fixation_summary, fixation_summary_documents, fixation_segments]
 NEAR = "near AS (SELECT s_suppkey AS probe, c_custkey AS point, c_mktsegment AS code FROM supplier JOIN customer ON abs(s_acctbal / 100 - c_acctbal / 100) <= 0.05 AND abs(s_nationkey * 0.04::DOUBLE - c_nationkey * 0.04::DOUBLE) <= 0.05)"
 TOP = "stack[len(stack)]"
 SQL = {
