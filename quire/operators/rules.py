@@ -7,10 +7,14 @@ which stays in generated code; larger sets are joined as a table.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.workers import ship
+from .folds import folded
+
 FOLD_UP_TO = 64
 #: Rules broadcast at a time; a larger table goes in parts.
 BROADCAST_RULES = 1024
@@ -38,6 +42,17 @@ def validate(pattern: str) -> str | None:
     return None
 
 
+def reasons(rows: DataFrame, pattern: str) -> DataFrame:
+    """rows with `reason`: why a pattern can't be used, null where it can or is null. Patterns are compiled in Python workers, in
+    batches, so one that Spark would refuse ends no query."""
+
+    @F.pandas_udf("string")
+    def of(patterns):
+        return patterns.map(lambda p: None if p is None else validate(p))
+
+    return ship(rows).withColumn("reason", of(F.col(pattern)))
+
+
 def java(pattern: str) -> str:
     """A pattern whose classes are Unicode's and whose last `$` means the end of the text only."""
     body = re.sub(r"(?<!\\)((?:\\\\)*)\$$", r"\1\\z", pattern)
@@ -137,6 +152,27 @@ def add_custom(rules: list[dict], pattern: str, label: str | None = None) -> tup
     return [*rules, {"id": f"custom-{n}", "label": label or text, "pattern": text}], None
 
 
+def custom_rules(actions: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """(key, n, id, reason) for each action of a key, n from 0: the rule that it added or removed, or why it did nothing.
+
+    actions: key, order, action, pattern, id. `add` takes a pattern, `remove` an id; others and null do nothing. A key has
+    MAX_CUSTOM rules at most, which is all that a task holds; ids are the least free custom-n."""
+
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        held: list[dict] = []
+        for n, (action, pattern, own) in enumerate(rows):
+            made, reason = None, None
+            if action == "add":
+                before = {r["id"] for r in held}
+                held, reason = add_custom(held, pattern or "")
+                made = next((r["id"] for r in held if r["id"] not in before), None)
+            elif action == "remove" and any(r["id"] == own for r in held):
+                held, made = [r for r in held if r["id"] != own], own
+            yield n, made, reason
+
+    return folded(actions, key, order, ["action", "pattern", "id"], fold, "n long, id string, reason string")
+
+
 def load_custom(items: list) -> list[dict]:
     """Rules from a stored list of unknown quality: strings and objects with a pattern stay, ids are numbered anew where
     they are missing, taken, or not of a custom rule."""

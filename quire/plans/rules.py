@@ -104,11 +104,38 @@ def char_joins_documents(spark, d):
     return _joins(table(spark, d, "documents").select("doc_id", "text"), ["doc_id"])
 
 
-QUERIES = [rule_filter_lines, rule_match_counts, pattern_lists, title_patterns, rule_adoption, content_boxes, padded_boxes, styled_spans, space_marks, char_joins, space_marks_documents, char_joins_documents]
+def _suffixed(spark, d):
+    """Brands as patterns, some of them spoilt."""
+    end = F.element_at(F.array(*(F.lit(x) for x in SPOILT)), (F.col("p_partkey") % len(SPOILT) + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", "p_size", F.concat("p_brand", end).alias("pattern"))
+
+
+SPOILT = ("", "(?=x)", "(a)\\1", "+?", "[a-z]$")
+
+
+def pattern_reasons(spark, d):
+    return rules.reasons(_suffixed(spark, d), "pattern").select("p_partkey", "pattern", F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+def custom_rules(spark, d):
+    """Rules added for each size of a part, in the order of the parts."""
+    actions = _suffixed(spark, d).select("p_size", "p_partkey", F.lit("add").alias("action"), "pattern", F.lit(None).cast("string").alias("id"))
+    found = rules.custom_rules(actions, "p_size", ["p_partkey"])
+    return found.select("p_size", "n", F.coalesce("id", F.lit("")).alias("id"), F.coalesce("reason", F.lit("")).alias("reason"))
+
+
+QUERIES = [pattern_reasons, custom_rules, rule_filter_lines, rule_match_counts, pattern_lists, title_patterns, rule_adoption, content_boxes, padded_boxes, styled_spans, space_marks, char_joins, space_marks_documents, char_joins_documents]
 CHARS = """lines AS (SELECT conv_id, turn, string_split(text, '\n') AS l FROM conversations),
 chars AS (SELECT conv_id, turn, unnest(flatten(list_transform(range(0, len(l)), lambda i: list_transform(range(0, length(l[i + 1])), lambda j: {'line': i, 'ch': l[i + 1][j + 1]})))) AS c, unnest(range(0, cast(list_sum(list_transform(l, lambda x: length(x))) AS BIGINT))) AS seq FROM lines),
 ch AS (SELECT conv_id, turn, seq, c.line AS line, c.ch IN (' ', '\t', chr(160)) AS sp FROM chars)"""
+SUFFIXED = r"""s AS (SELECT p_partkey, p_size, p_brand || ['', '(?=x)', '(a)\1', '+?', '[a-z]$'][p_partkey % 5 + 1] AS pattern,
+  CASE p_partkey % 5 WHEN 1 THEN 'look-around is not supported' WHEN 2 THEN 'back-references are not supported' ELSE '' END AS reason FROM part)"""
 SQL = {
+    "pattern_reasons": f"WITH {SUFFIXED} SELECT p_partkey, pattern, reason FROM s",
+    "custom_rules": f"""WITH {SUFFIXED}, f AS (SELECT *, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1 AS n, row_number() OVER (PARTITION BY p_size, pattern ORDER BY p_partkey) AS again FROM s),
+      g AS (SELECT *, sum(CASE WHEN reason = '' AND again = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY p_size ORDER BY n) AS k FROM f)
+      SELECT p_size, n, CASE WHEN reason = '' AND again = 1 AND k <= 50 THEN 'custom-' || k ELSE '' END AS id,
+        CASE WHEN reason <> '' THEN reason WHEN again = 1 AND k <= 50 THEN '' WHEN min(CASE WHEN again = 1 THEN k END) OVER (PARTITION BY p_size, pattern) <= 50 THEN 'the pattern is there already' ELSE 'there are too many rules' END AS reason FROM g""",
     "rule_filter_lines": f"WITH {LINES} SELECT doc_id, line, cast(length(text) AS INTEGER) AS n FROM line WHERE text <> '' AND NOT ({MATCH})",
     "rule_match_counts": f"WITH {LINES}, r(id, pattern) AS (VALUES {', '.join(f'({k!r}, {v!r})' for k, v in NAMED.items())}), m AS (SELECT id, doc_id FROM line JOIN r ON regexp_matches(text, pattern)) SELECT r.id, count(m.id) AS n_lines, count(DISTINCT doc_id) AS n_docs FROM r LEFT JOIN m ON r.id = m.id GROUP BY r.id",
     "pattern_lists": """WITH l AS (SELECT conv_id, turn, list_filter(list_transform(string_split(text, '\n'), lambda x: trim(x)), lambda x: x <> '') AS l FROM conversations),

@@ -152,3 +152,26 @@ def test_run_words_query(spark):
                 first = n
             want.setdefault((page, first), []).append(text)
     assert got == {k: (len(v), sum(fixation.marks("".join(v)))) for k, v in want.items()}
+
+
+def test_custom_rules_with_removals(spark):
+    from quire.operators import rules
+
+    draw = random.Random(6)
+    rows = [(k, n, draw.choice(["add", "add", "add", "remove", None]), draw.choice(["a", "b", "(", "c+", None, *(f"p{i}" for i in range(70))]), f"custom-{draw.randint(1, 60)}") for k in (None, 1, 2) for n in range(300)]
+    df = spark.createDataFrame(rows, "k int, n0 int, action string, pattern string, id string").repartition(3)
+    got = {(r["k"], r["n"]): (r["id"], r["reason"] is not None) for r in rules.custom_rules(df, "k", ["n0"]).collect()}
+    want = {}
+    for k in (None, 1, 2):
+        held = {}
+        for _, n, action, pattern, own in (r for r in rows if r[0] == k):
+            want[k, n] = (None, False)
+            if action == "add" and (pattern in (None, "(") or pattern in held.values() or len(held) == 50):
+                want[k, n] = (None, True)
+            elif action == "add":
+                free = min(set(range(1, 52)) - {int(i[7:]) for i in held})
+                held[f"custom-{free}"] = pattern
+                want[k, n] = (f"custom-{free}", False)
+            elif action == "remove" and held.pop(own, None) is not None:
+                want[k, n] = (own, False)
+    assert got == want
