@@ -1,8 +1,9 @@
 """How far the sources of each language lie apart, by mergeable radix tries.
 
-Every partition counts the terms of its documents in byte tries, one a language: edges carry runs of bytes, a leaf holds the
-number of documents with the term and a counter for each source. A trie that has grown to LEAVES counters is emptied by a
-traversal in the order of the bytes, which is UTF-8's order of the terms. Tries merge by prefix range: their traversals are
+Every partition counts the terms of its documents in byte tries, one a language, that branch where they have to: paths are
+compressed, for a leaf page holds the rests of its terms until it is large. A term's leaf holds the number of documents with it
+and a counter for each source. A trie that has grown to LEAVES counters is emptied by a traversal in the order of the bytes,
+which is UTF-8's order of the terms. Tries merge by prefix range: their traversals are
 dealt out by ranges of (language, term) and read in order, so that a task has all leaves of a term side by side and adds up
 their counters without holding more than a batch. What is left, the terms of enough documents with their counters, is written
 once; the sums over it give each group's N and each language's V. A second traversal of that table streams the pairs - a sum
@@ -45,84 +46,75 @@ GROUPS, CELLS = 50_000, 1 << 20
 FOLD = bytes(c if 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
-#: What is below a node without children; never written to.
-NOTHING: dict = {}
+#: Bytes by which a root branches, and terms of a leaf that make it branch.
+ROOT, BURST = 3, 4096
 
 
-#: Bytes by which a root branches.
-ROOT = 3
+class Leaf:
+    """What a trie knows of a term: the documents with it, and its count in each source."""
 
+    __slots__ = ("counts", "documents")
+
+    def __init__(self):
+        self.documents, self.counts = 0, {}
 
-class Node:
-    __slots__ = ("below", "counts", "documents", "label")
 
-    def __init__(self, label: bytes):
-        self.label, self.below, self.counts, self.documents = label, NOTHING, None, 0
+class Branch(dict):
+    """A node: what follows, by the next byte; the empty one is a term's end."""
 
 
 class Trie:
-    """A radix trie over bytes whose root branches by the first ROOT bytes at once; a term's node holds its documents and a
-    counter for each source."""
+    """A byte trie that branches where it has to: its root by the first ROOT bytes, and below them a leaf page holds the rests of
+    its terms, each with its counters, until it has more than BURST and branches by the next byte. size: counters held."""
 
     def __init__(self):
-        self.top: dict[bytes, Node] = {}
+        self.top: dict[bytes, dict] = {}
         self.size = 0
 
-    def node(self, term: bytes) -> Node:
-        """The term's node, made if it is not there."""
-        first = term[:ROOT]
-        here = self.top.get(first)
-        if here is None:
-            here = self.top[first] = Node(first)
-        at, n = len(first), len(term)
-        while at < n:
-            below = here.below.get(term[at])
-            if below is None:
-                made = Node(term[at:])
-                if here.below is NOTHING:
-                    here.below = {term[at]: made}
-                else:
-                    here.below[term[at]] = made
-                return made
-            label = below.label
-            if term.startswith(label, at):
-                here, at = below, at + len(label)
-                continue
-            same = 1
-            while at + same < n and same < len(label) and label[same] == term[at + same]:
-                same += 1
-            fork = Node(label[:same])
-            below.label = label[same:]
-            fork.below = {label[same]: below}
-            here.below[term[at]] = fork
-            here, at = fork, at + same
-        return here
+    def leaf(self, term: bytes) -> Leaf:
+        """The term's counters, made if they are not there."""
+        first, rest = term[:ROOT], term[ROOT:]
+        above, page = self.top, self.top.get(first)
+        if page is None:
+            page = above[first] = {}
+        while type(page) is Branch:
+            first, rest = rest[:1], rest[1:]
+            above, page = page, page.get(first)
+            if page is None:
+                page = above[first] = {}
+        found = page.get(rest)
+        if found is None:
+            found = page[rest] = Leaf()
+            if len(page) > BURST and rest:
+                above[first] = branch = Branch()
+                for end, own in page.items():
+                    branch.setdefault(end[:1], {})[end[1:]] = own
+        return found
 
     def add(self, term: bytes, source: str, n: int) -> None:
-        node = self.node(term)
-        if node.counts is None:
-            node.counts = {}
-        if source not in node.counts:
-            node.counts[source] = 0
+        counts = self.leaf(term).counts
+        if source not in counts:
+            counts[source] = 0
             self.size += 1
-        node.counts[source] += n
+        counts[source] += n
 
-    def leaves(self) -> Iterator[tuple[bytes, Node]]:
+    def leaves(self) -> Iterator[tuple[bytes, Leaf]]:
         """Terms in the order of their bytes."""
-        stack = [(b"", self.top[first]) for first in sorted(self.top, reverse=True)]
+        stack = [(first, self.top[first]) for first in sorted(self.top, reverse=True)]
         while stack:
-            before, node = stack.pop()
-            term = before + node.label
-            if node.counts is not None:
-                yield term, node
-            stack += [(term, node.below[b]) for b in sorted(node.below, reverse=True)]
+            before, page = stack.pop()
+            if type(page) is Branch:
+                stack += [(before + byte, page[byte]) for byte in sorted(page, reverse=True)]
+            else:
+                for rest in sorted(page):
+                    yield before + rest, page[rest]
 
     def merge(self, other: Trie) -> None:
         """Take over what another trie has counted."""
-        for term, node in other.leaves():
-            for source, n in node.counts.items():
+        for term, leaf in other.leaves():
+            for source, n in leaf.counts.items():
                 self.add(term, source, n)
-            self.node(term).documents += node.documents
+            self.leaf(term).documents += leaf.documents
 
 
 class Counting:
@@ -146,26 +138,20 @@ class Counting:
 
     def pour(self) -> None:
         """Each waiting term is looked up in its language's trie once, for all sources."""
-        own: dict[str, dict[bytes, Node]] = {}
         for lang, documents in self.documents.items():
-            node = self.tries.setdefault(lang, Trie()).node
-            places = own[lang] = {}
+            trie = self.tries.setdefault(lang, Trie())
+            places = {}
             for term, n in documents.items():
-                places[term] = here = node(term)
-                here.documents += n
-        for (lang, source), words in self.words.items():
-            places, made = own[lang], 0
-            for term, n in words.items():
-                counts = places[term].counts
-                if counts is None:
-                    places[term].counts = {source: n}
-                    made += 1
-                elif source in counts:
-                    counts[source] += n
-                else:
-                    counts[source] = n
-                    made += 1
-            self.tries[lang].size += made
+                places[term] = leaf = trie.leaf(term)
+                leaf.documents += n
+            for source in [s for x, s in self.words if x == lang]:
+                for term, n in self.words[lang, source].items():
+                    counts = places[term].counts
+                    if source in counts:
+                        counts[source] += n
+                    else:
+                        counts[source] = n
+                        trie.size += 1
         self.words, self.documents, self.waiting = {}, {}, 0
 
     @property
@@ -177,11 +163,11 @@ class Counting:
         self.pour()
         for lang in sorted(self.tries):
             terms, documents, sizes, sources, counts = [], [], [0], [], []
-            for term, node in self.tries[lang].leaves():
+            for term, leaf in self.tries[lang].leaves():
                 terms.append(term)
-                documents.append(node.documents)
-                sources += node.counts
-                counts += node.counts.values()
+                documents.append(leaf.documents)
+                sources += leaf.counts
+                counts += leaf.counts.values()
                 sizes.append(len(sources))
                 if len(terms) == 20_000:
                     yield _leaves(lang, terms, documents, sizes, sources, counts)
@@ -426,7 +412,7 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
 
 
 #: Parts that a group's candidates are thinned in before they are ranked together.
-PARTS = 32
+PARTS = 8
 
 
 def best(terms: DataFrame) -> DataFrame:

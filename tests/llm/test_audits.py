@@ -209,7 +209,7 @@ def brute_divergence(docs):
 @pytest.mark.parametrize("small", [False, True])
 def test_divergence_against_brute_force(spark, monkeypatch, small):
     if small:  # many tries, batches and blocks
-        for name, value in (("LEAVES", 40), ("WORDS", 10), ("GROUPS", 1), ("CELLS", 8)):
+        for name, value in (("LEAVES", 40), ("WORDS", 10), ("GROUPS", 1), ("CELLS", 8), ("BURST", 2)):
             monkeypatch.setattr(divergence, name, value)
     draw = random.Random(8)
     words = ["der", "die", "DER", "straße", "Straße", "ÄÖ", "äö", "a", "ab", "abc", "abd", "b", "日本", "日", "x-y", "z9z", "\x7f", "K", "the"] + [f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(100)]
@@ -235,14 +235,16 @@ def test_shares_of_large_counts():
         assert int(divergence.shares(np.array([count]), np.array([total]))[0]) == 1 + 10**9 * (count + 1) // total
 
 
-def test_tries_merge():
+@pytest.mark.parametrize("burst", [1, 3, 4096])
+def test_tries_merge(monkeypatch, burst):
+    monkeypatch.setattr(divergence, "BURST", burst)
     draw = random.Random(4)
     terms = ["".join(draw.choices("abé", k=draw.randint(0, 6))).encode() for _ in range(400)]
     both, a, b = divergence.Trie(), divergence.Trie(), divergence.Trie()
     for k, term in enumerate(terms):
         for trie in (both, (a, b)[k % 2]):
             trie.add(term, f"s{k % 3}", 1 + k % 5)
-            trie.node(term).documents += 1
+            trie.leaf(term).documents += 1
     a.merge(b)
     rows = lambda t: [(x, n.counts, n.documents) for x, n in t.leaves()]
     assert rows(a) == rows(both) and [x for x, *_ in rows(a)] == sorted(set(terms))
