@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from quire.operators import layout, running
 
 
-@pytest.mark.parametrize(("buckets", "width"), [(1, None), (3, None), (1024, None), (1, 2.5), (1, 1e9)])
-@pytest.mark.parametrize("inclusive", [False, True])
+@pytest.mark.parametrize(("buckets", "width", "inclusive"), [(3, None, True), (1024, None, False), (1, 2.5, True), (1, 1e9, False)])
 def test_running(spark, monkeypatch, buckets, width, inclusive):
     monkeypatch.setattr(running, "BUCKETS", buckets)
     draw = random.Random(buckets)
