@@ -1,8 +1,8 @@
 """Sharding by sampled splitters.
 
 Law: `bytes`, sizes near equal. Records have the key (hash of the text, id, tie), so equal texts are neighbours, and
-splitters lie between texts: a group of equal texts stays in one shard, unless it is so large that several quantiles fall
-into it (about a RANGES-th of a shard, or for heavy records a GROUP-th), and only then is it split, by id.
+splitters lie between texts: a group of equal texts stays in one shard, unless several quantiles fall into it and it is
+larger than a WHOLE-th of a shard (for heavy records a GROUP-th) or RANGE_ROWS rows, and only then is it split, by id.
 1. Every record is drawn into the sample with a probability proportional to its weight, half its share of the bytes and
    half its share of the rows; heavy records are drawn always. The expected sample is bounded by `sample`.
 2. Weighted quantiles of the sample are the splitters of the key space; records are assigned to ranges by binary search.
@@ -15,8 +15,8 @@ emptiest shard; there are fewer of them than shards times HEAVY.
 
 Defined results: a null text has size 1 and checksum 0 and sorts by the hash of the empty text; an empty table gives an
 empty result; repeated rows, null ids and ties are told apart by their place in the scan, which a checkpoint fixes;
-other columns are not read. What reaches the driver: the sample, the ranges' totals and the heavy records, all bounded
-by parameters. Shuffles: one of narrow rows by range, a range being a bounded share of the rows.
+other columns are not read. What reaches the driver: the heavy records, whose number parameters bound, and PER_RANGE sampled
+records and two totals for each range, of which there are shards * RANGES or one for every RANGE_ROWS rows, if that is more. Shuffles: one of narrow rows by range, a range being a bounded share of the rows.
 """
 
 from __future__ import annotations
@@ -44,22 +44,27 @@ PER_RANGE = 16
 OVERFULL = 2.5
 HEAVY = 64
 #: Heavy records of equal texts stay together up to this part of a shard.
-GROUP = 4
+GROUP = 2
+#: Groups of light records stay together up to this part of a shard, by their weight, and up to RANGE_ROWS rows.
+WHOLE = 16
 FIRST = -(1 << 63)
 
 Key = tuple[int, int, int]
 
 
-def splitters(sample: list[tuple[int, int, int, float]], n: int) -> list[Key]:
-    """n - 1 quantiles at most of weighted keys, moved to where their text begins unless several fall into one text."""
+def splitters(sample: list[tuple[int, int, int, float]], n: int, large: float = 0.0) -> list[Key]:
+    """n - 1 quantiles at most of weighted keys, moved to where their text begins unless several fall into one text that weighs
+    more than `large`."""
     if not sample:
         return []
     sample = sorted(sample)
     reach = np.cumsum([s[3] for s in sample])
     at = np.searchsorted(reach, reach[-1] * np.arange(1, n) / n)
     chosen = sorted({sample[min(int(i), len(sample) - 1)][:3] for i in at})
-    held = Counter(h for h, _, _ in chosen)
-    return sorted({k if held[k[0]] > 1 else (k[0], FIRST, FIRST) for k in chosen} | {(h, FIRST, FIRST) for h in held})
+    held, weight = Counter(h for h, _, _ in chosen), defaultdict(float)
+    for h, _, _, w in sample:
+        weight[h] += w
+    return sorted({k for k in chosen if held[k[0]] > 1 and weight[k[0]] > large} | {(h, FIRST, FIRST) for h in held})
 
 
 def range_of(bounds: np.ndarray, h: np.ndarray, i: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -135,7 +140,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     light = keyed.where(F.col("size") <= heavy_floor)
 
     n = max(shards * RANGES, rows // RANGE_ROWS)
-    bounds = splitters(draw(light, rows, size, n * PER_RANGE, 0), n)
+    large = min(1 / (shards * WHOLE), RANGE_ROWS / max(rows, 1))  # of a group, as a share of all
+    bounds = splitters(draw(light, rows, size, n * PER_RANGE, 0), n, large)
     totals: dict[int, tuple[int, int]] = {}
     for seed in itertools.count(1):
         ranged = assign(light, bounds)
@@ -143,8 +149,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
         full = [k for k, (a, b) in totals.items() if a > max(1, OVERFULL * rows / n) or b > max(heavy_floor, OVERFULL * size / n)]
         if not full:
             break
-        more = draw(ranged.where(F.col("rng").isin(full)), sum(totals[k][0] for k in full), sum(totals[k][1] for k in full), PER_RANGE * 4 * len(full), seed)
-        inner = splitters(more, 4 * len(full))
+        a, b = (sum(totals[k][i] for k in full) for i in (0, 1))
+        more = draw(ranged.where(F.col("rng").isin(full)), a, b, PER_RANGE * 4 * len(full), seed)
+        inner = splitters(more, 4 * len(full), large / (a / rows / 2 + b / max(size, 1) / 2))
         if not set(inner) - set(bounds):
             break
         bounds = sorted({*bounds, *inner})

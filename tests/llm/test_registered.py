@@ -56,3 +56,15 @@ def test_columns_types_and_rows(spark, name):
 
 def test_all_are_there():
     assert {n.partition("_")[0] for n in queries.queries()} - {"pipeline"} == {*COLUMNS}
+
+
+def test_equal_texts_share_a_shard(spark):
+    """On the small tables no group is so large that it must be split, and sizes stay near equal."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = queries.queries()["op1_shard"](spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "text"), "doc_id").collect()
+    by_text, sizes = {}, {}
+    for r in found:
+        by_text.setdefault(r["text"], set()).add(r["shard"])
+        sizes[r["shard"]] = sizes.get(r["shard"], 0) + r["size"]
+    assert len(by_text) < len(found) and all(len(s) == 1 for s in by_text.values())
+    assert max(sizes.values()) < 1.05 * min(sizes.values())
