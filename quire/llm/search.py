@@ -9,12 +9,14 @@ The global statistics (documents, words, document frequencies of the queries' te
 are handled in blocks of BLOCK_TERMS distinct-term entries, so what is collected and broadcast is bounded whatever the
 corpus holds; a block is searched first in a few shards, whose k-th best scores are lower bounds everywhere, then in the
 rest. For a query in a shard:
-1. its terms are ordered by their greatest contribution there; the pivot is the term at which the sum of these, from the
-   least on, reaches the k-th best score so far. A document that holds no term from the pivot on can't enter the result,
-   and a shard without a pivot is skipped whole;
-2. the postings from the pivot on are scored;
-3. to each document's sum the block maxima (blocks of RUN documents) of the terms before the pivot are added; only
-   where the k-th best score is still in reach, these terms are looked up and scored too.
+1. its terms are ordered by their greatest contribution there. For each block of RUN documents the terms' maxima in that block are
+summed up in this order; the block's pivot is the term at which the sum reaches the k-th best score so far. A document of the
+block that holds no term from the pivot on can't enter the result, and a block without a pivot is skipped whole. The share BEST_BLOCKS of the blocks whose sums are largest are scored first and whole;
+2. the postings from each block's pivot on are scored;
+3. to each document's sum its block's maxima of the terms before the pivot are added; only where the k-th best score is still
+in reach, these terms are looked up, or scored in the blocks concerned, whichever is less.
+A shard's documents are laid in the order of their most frequent terms, so that documents of one language or kind share blocks
+and a block's maxima say more.
 The shards' top k are merged exactly, as all use global statistics.
 
 Defined results: a query without terms, or whose terms no document holds, has no rows; documents without terms are never
@@ -41,6 +43,8 @@ SCALE = 1_000_000
 BLOCK_TERMS = 1_000_000
 #: RUN: documents of a block with maxima of its own.
 SHARD_BYTES, RUN = 1 << 25, 256
+#: Share of a shard's blocks that are scored whole before others are passed over.
+BEST_BLOCKS = 1 / 16
 #: Share of the shards that a block of queries is searched in first.
 SEEDS = 1 / 16
 #: A lookup of one posting costs about as much as scoring so many in a row.
@@ -68,7 +72,9 @@ def ranges(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def invert(shard: int, n: int, docs: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple:
-    """An index row of documents (id, terms, counts); n: all documents read for it, those without id or terms too."""
+    """An index row of documents (id, terms, counts), in the order of their most frequent terms; n: all documents read for it,
+    those without id or terms too."""
+    docs = sorted(docs, key=lambda d: int(d[1][np.argmax(d[2])]))
     sizes = np.array([len(t) for _, t, _ in docs], dtype=np.int64)
     term = np.concatenate([t for _, t, _ in docs]) if docs else np.empty(0, np.int64)
     count = np.concatenate([c for _, _, c in docs]) if docs else np.empty(0, np.int64)
@@ -103,15 +109,19 @@ class Shard:
         self.impact = np.rint(np.repeat(idf[self.term], sizes) * (count * (K1 + 1) / (count + K1 * (1 - B + B * length / average))) * SCALE)
         number = np.repeat(np.arange(len(own)), sizes)
         self.key = number * self.n + self.doc
-        # maxima by block of documents, for terms with more postings than there are blocks
-        self.blocks = self.n // RUN + 1
+        self.blocks = -(-self.n // RUN)
         self.block_of = np.arange(self.n) // RUN
         self.most = np.maximum.reduceat(self.impact, self.first[:-1]) if len(own) else np.empty(0)
+        # terms with more postings than there are blocks have a table: by block their maximum, and where their postings begin
         many = sizes > self.blocks
         self.row = np.where(many, np.cumsum(many) - 1, -1)
-        self.table = np.zeros((int(many.sum()), self.blocks))
         held = many[number]
-        np.maximum.at(self.table, (self.row[number[held]], self.doc[held] // RUN), self.impact[held])
+        cell = self.row[number[held]] * self.blocks + self.block_of[self.doc[held]]
+        self.table = np.zeros(int(many.sum()) * self.blocks)
+        np.maximum.at(self.table, cell, self.impact[held])
+        self.table = self.table.reshape(-1, self.blocks)
+        counts = np.bincount(cell, minlength=self.table.size).reshape(self.table.shape)
+        self.cut = np.c_[np.zeros(len(counts), np.int64), np.cumsum(counts, axis=1)] + self.first[:-1][many][:, None]
 
     def search(self, query: np.ndarray, weight: np.ndarray, floor: float, scores: np.ndarray, found: np.ndarray) -> int:
         """Update one query's best scores and ids, in place; returns how many postings were scored or looked up. No score
@@ -120,45 +130,59 @@ class Shard:
         held = at < len(self.term)
         held[held] = self.term[at[held]] == query[held]
         at, weight = at[held], weight[held]
-        if not len(at):
-            return 0
         floor = max(floor, scores[-1])
         most = weight * self.most[at]
-        order = np.argsort(most, kind="stable")
-        at, weight, most = at[order], weight[order], most[order]
         # sums of integers below 2**53 are exact; equal scores may still win a tie
-        pivot = int(np.searchsorted(np.cumsum(most), floor, side="left"))
-        if pivot == len(at):
+        if not len(at) or most.sum() < floor:
             return 0
-        begin, end = self.first[at], self.first[at + 1]
-        sizes = end - begin
-        posting = ranges(begin[pivot:], end[pivot:])
-        total = np.bincount(self.doc[posting], np.repeat(weight[pivot:], sizes[pivot:]) * self.impact[posting], minlength=self.n)
+        order = np.argsort(most, kind="stable")
+        at, weight = at[order], weight[order]
+        asked = Asked(self, at, weight)
+        reach = np.cumsum(asked.bound, axis=0)
+        # the blocks that promise most are scored whole, for a better bound
+        best = np.zeros(self.blocks, bool)
+        best[np.argsort(-reach[-1], kind="stable")[: int(self.blocks * BEST_BLOCKS)]] = True
+        posting, gain = asked.scored(np.broadcast_to(best, reach.shape))
+        first = len(posting)
+        total = np.bincount(self.doc[posting], gain, minlength=self.n)
         total[self.absent] = 0
-        seen = len(posting)
-        if pivot:
-            row = self.row[at[:pivot]]
-            tabled = row >= 0
-            reach = weight[:pivot][tabled] @ self.table[row[tabled]] + most[:pivot][~tabled].sum()
-            hit = np.flatnonzero((total > 0) & (total + reach[self.block_of] >= floor))
-            rest = int(sizes[:pivot].sum())
-            if len(hit) * pivot * LOOKUP < rest:
-                key = (at[:pivot, None] * self.n + hit).ravel()
+        hit = np.flatnonzero((total > 0) & (total >= floor))
+        self._keep(hit, total[hit], floor, scores, found)
+        floor = max(floor, scores[-1])
+        pivot = np.where(best, len(at), (reach < floor).sum(axis=0))  # all terms where a block is done or out of reach
+        posting, gain = asked.scored(np.arange(len(at))[:, None] >= pivot)
+        seen = first + len(posting)
+        if not len(posting):
+            return seen
+        total = np.bincount(self.doc[posting], gain, minlength=self.n)
+        total[self.absent] = 0
+        left = np.where(pivot > 0, np.take_along_axis(reach, np.maximum(pivot - 1, 0)[None], axis=0)[0], 0)
+        hit = np.flatnonzero((total > 0) & (total + left[self.block_of] >= floor))
+        if not len(hit):
+            return seen
+        # the terms before the pivot, for documents that are still in reach
+        own = self.block_of[hit]
+        before = (np.arange(len(at))[:, None] < pivot) & (asked.bound > 0)
+        in_block = np.bincount(own, minlength=self.blocks)
+        lookups = int(in_block @ before.sum(axis=0))
+        if lookups:
+            rest = before & (in_block > 0)
+            if lookups * LOOKUP < asked.sizes[rest].sum():
+                t, h = np.nonzero(before[:, own])
+                key = at[t] * self.n + hit[h]
                 place = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
                 there = self.key[place] == key
-                gain = np.where(there, self.impact[place], 0).reshape(pivot, len(hit))
-                own = total[hit] + weight[:pivot] @ gain
-                seen += len(key)
-            elif len(hit):
-                posting = ranges(begin[:pivot], end[:pivot])
-                total += np.bincount(self.doc[posting], np.repeat(weight[:pivot], sizes[:pivot]) * self.impact[posting], minlength=self.n)
-                own = total[hit]
-                seen += len(posting)
+                total += np.bincount(hit[h[there]], weight[t[there]] * self.impact[place[there]], minlength=self.n)
+                seen += lookups
             else:
-                return seen
-        else:
-            hit = np.flatnonzero(total)
-            own = total[hit]
+                posting, gain = asked.scored(rest)
+                total += np.bincount(self.doc[posting], gain, minlength=self.n)
+                seen += len(posting)
+        self._keep(hit, total[hit], floor, scores, found)
+        return seen
+
+    def _keep(self, hit: np.ndarray, own: np.ndarray, floor: float, scores: np.ndarray, found: np.ndarray) -> None:
+        """Let documents with their scores into the best, in place."""
         k = len(scores)
         if len(own) > k:
             floor = max(floor, np.partition(own, -k)[-k])
@@ -166,7 +190,39 @@ class Shard:
         s, d = np.r_[scores, own[good].astype(np.int64)], np.r_[found, self.ids[hit[good]]]
         order = np.lexsort((d, -s))[:k]
         scores[:], found[:] = s[order], d[order]
-        return seen
+
+
+class Asked:
+    """A query's terms in a shard, by term and block: what a document of the block can gain from the term at most, and how many
+    postings the term has there."""
+
+    def __init__(self, shard: Shard, at: np.ndarray, weight: np.ndarray):
+        self.shard, self.weight = shard, weight
+        self.dense = np.flatnonzero(shard.row[at] >= 0)
+        self.row = shard.row[at[self.dense]]
+        few = np.flatnonzero(shard.row[at] < 0)
+        begin, end = shard.first[at[few]], shard.first[at[few] + 1]
+        self.posting, self.of = ranges(begin, end), np.repeat(few, end - begin)
+        self.block = shard.block_of[shard.doc[self.posting]]
+        self.gain = weight[self.of] * shard.impact[self.posting]
+        self.bound = np.zeros((len(at), shard.blocks))
+        self.bound[self.dense] = weight[self.dense, None] * shard.table[self.row]
+        self.sizes = np.zeros(self.bound.shape, np.int64)
+        self.sizes[self.dense] = np.diff(shard.cut[self.row], axis=1)
+        if len(self.of):  # in the order of term and block
+            first = np.flatnonzero(np.r_[True, (self.of[1:] != self.of[:-1]) | (self.block[1:] != self.block[:-1])])
+            cell = self.of[first], self.block[first]
+            self.bound[cell] = np.maximum.reduceat(self.gain, first)
+            self.sizes[cell] = np.diff(np.r_[first, len(self.of)])
+
+    def scored(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The postings in the wanted cells (term, block), and what they add to their documents."""
+        d, b = np.nonzero(wanted[self.dense])
+        begin, end = self.shard.cut[self.row[d], b], self.shard.cut[self.row[d], b + 1]
+        posting = ranges(begin, end)
+        gain = np.repeat(self.weight[self.dense[d]], end - begin) * self.shard.impact[posting]
+        few = wanted[self.of, self.block]
+        return np.r_[posting, self.posting[few]], np.r_[gain, self.gain[few]]
 
 
 def _vectors(rows: DataFrame) -> DataFrame:
