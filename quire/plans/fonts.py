@@ -27,7 +27,7 @@ def _document_uses(spark, d):
 
 
 def _coded(each, seq):
-    code = F.conv(F.hex(F.encode("ch", "UTF-32")), 16, 10).cast("int")
+    code = F.ascii("ch")  # the code point
     return each.select("font_key", "page_no", seq.alias("seq"), code.alias("ucs"), F.pmod(code * 7, F.lit(211)).cast("int").alias("gid"))
 
 
