@@ -40,9 +40,9 @@ SECOND = 1_000_000
 #: Microseconds of a block; at least the span.
 BLOCK = 3600 * SECOND
 #: Types of events that enough clients have, at most.
-TYPES = 32
-#: Bytes of one tensor, clients whose bitmaps a task holds, and rows it handles together.
-TENSOR_BYTES, HELD, ROWS = 16 << 20, 30_000, 400_000
+TYPES = 16
+#: Bytes of one tensor, bytes of the bitmaps that a task holds, and rows it handles together.
+TENSOR_BYTES, HELD_BYTES, ROWS = 16 << 20, 16 << 20, 400_000
 NEVER = np.iinfo(np.int64).min // 2
 
 
@@ -199,7 +199,7 @@ def client_bits(events: DataFrame, types: list[str], gap: int, span: int) -> Dat
                 for name, b in zip(names.take(pa.array(keys)).to_pylist(), merged, strict=True):
                     old = held.get(name)
                     held[name] = b if old is None else old | b
-                if len(held) > HELD:
+                if len(held) * merged.shape[1] > HELD_BYTES:
                     yield flush()
         if held:
             yield flush()
@@ -241,17 +241,18 @@ def supports(bits: DataFrame, k: int) -> DataFrame:
     """(code, support, clients_crc) of each tuple with a supporter; code: its place in tuples(k)."""
     rows = bits.select("client", F.crc32(F.col("client").cast("string")).alias("crc"), "bits").repartition("client").sortWithinPartitions("client")
     n = k + k**2 + k**3 + k**4
+    step = max(1, min(2048, TENSOR_BYTES // (4 * n)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         support, total = np.zeros(n, np.int64), np.zeros(n, np.int64)
         last, open_bits, open_crc = None, None, 0
 
         def add(crc: np.ndarray, packed: np.ndarray) -> None:
-            for begin in range(0, len(crc), 2048):
-                own = np.unpackbits(packed[begin : begin + 2048], axis=1, count=n).astype(np.float32)
+            for begin in range(0, len(crc), step):
+                own = np.unpackbits(packed[begin : begin + step], axis=1, count=n).astype(np.float32)
                 support[:] += own.sum(axis=0, dtype=np.float64).astype(np.int64)
                 for shift in (0, 12, 24):  # sums of 12 bits of 2048 numbers are exact in single precision
-                    piece = ((crc[begin : begin + 2048] >> shift) & 0xFFF).astype(np.float32)
+                    piece = ((crc[begin : begin + step] >> shift) & 0xFFF).astype(np.float32)
                     total[:] += (piece @ own).astype(np.int64) << shift
 
         for batch in batches:
