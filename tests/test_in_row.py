@@ -35,6 +35,20 @@ def test_joins_equal_the_frame_of_characters(spark):
     assert {k: (v, want.get(k)) for k, v in got.items() if v != want.get(k)} == {} and got == want and sum(want.values()) > 50
 
 
+@pytest.mark.parametrize("name", ["space_marks", "space_marks_documents"])
+def test_space_marks_stay_in_the_row(spark, name):
+    found = plan(registry.queries()[name](spark, FOLDER))
+    assert "Exchange" not in found and "Python" not in found and "Arrow" not in found
+
+
+def test_mark_sums_equal_the_frame_of_characters(spark):
+    wide = [" \u3000\n\u1680x\n\ny \u2003z\u205f", "\n\nab", "a\n \nb", "a\r\nb", " " * 300_000, "a" + "\n" * 300_000 + "b"]
+    df = spark.createDataFrame(list(enumerate(texts(3) + wide)), "d long, text string")
+    marks = spans.space_marks(src.characters(df, ["d"]), ["d"]).groupBy("d", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("target").alias("targets"))
+    got = spans.mark_sums(df, ["d"], "text")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, marks.collect())) and got.schema["targets"].dataType == marks.schema["targets"].dataType
+
+
 def test_fixed_letters_equal_the_marks(spark):
     rows = list(enumerate(texts(2) + ["oﬃce ﬁ 12 eﬃﬃcientﬁ ab3ﬂ", "ﬁ" * 30]))
     df = spark.createDataFrame(rows, "d long, text string")
