@@ -19,8 +19,12 @@ def usable(code: Column) -> Column:
 
 
 def first_codes(uses: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, code, ord): the first usable code of each key, and where the key was first seen, usable or not."""
-    return uses.groupBy(*keys).agg(F.min(F.when(usable(F.col("ucs")), F.struct("seq", "ucs"))).alias("f"), F.min("seq").alias("ord")).select(*keys, F.col("f.ucs").alias("code"), "ord")
+    """(keys, code, ord): the first usable code of each key, and where the key was first seen, usable or not.
+
+    Uses are brought down to a row per key and code by the least seq, hashed where seq is a number; only these few rows are
+    compared as pairs, for which Spark has to sort."""
+    least = uses.groupBy(*keys, "ucs").agg(F.min("seq").alias("seq"))
+    return least.groupBy(*keys).agg(F.min(F.when(usable(F.col("ucs")), F.struct("seq", "ucs"))).alias("f"), F.min("seq").alias("ord")).select(*keys, F.col("f.ucs").alias("code"), "ord")
 
 
 def pairs(uses: DataFrame, font: str = "font_key") -> DataFrame:

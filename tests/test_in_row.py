@@ -65,3 +65,11 @@ def test_no_worker_and_no_exchange(spark, name):
 def test_document_counts_equal_python(spark):
     got = {r["doc_id"]: r["fixed"] for r in registry.queries()["fixation_summary_documents"](spark, FOLDER).collect()}
     assert got == {r["doc_id"]: sum(fixation.marks(r["text"] or "")) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+
+
+@pytest.mark.parametrize("name", ["first_code_wins_documents"])
+def test_characters_are_reduced_by_hashing(spark, name):
+    """Characters of documents come to few rows before anything sorts or collects them."""
+    found = plan(registry.queries()[name](spark, FOLDER))
+    steps = [line.strip(" :+-*()0123456789") for line in found.splitlines() if "Aggregate(" in line]
+    assert steps[-1].startswith("HashAggregate") and steps[-2].startswith("HashAggregate"), found
