@@ -57,8 +57,10 @@ def coverage(uses: DataFrame, known: DataFrame, font: str = "font_key") -> DataF
 
 
 def codes_of(uses: DataFrame, font: str = "font_key") -> DataFrame:
-    """(font, gid, codes): distinct codes, sorted."""
-    return uses.groupBy(font, "gid").agg(F.sort_array(F.collect_set("ucs")).alias("codes"))
+    """(font, gid, codes): distinct codes, sorted. Uses are made distinct by hashing; lists are collected of few rows. (Collected
+    as sets, Spark would leave the first step out and sort uses.)"""
+    seen = uses.select(font, "gid", "ucs").distinct()
+    return seen.groupBy(font, "gid").agg(F.sort_array(F.collect_list("ucs")).alias("codes"))
 
 
 def ranges(codes: DataFrame, font: str = "font_key") -> DataFrame:

@@ -67,9 +67,17 @@ def test_document_counts_equal_python(spark):
     assert got == {r["doc_id"]: sum(fixation.marks(r["text"] or "")) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
 
 
-@pytest.mark.parametrize("name", ["first_code_wins_documents"])
+@pytest.mark.parametrize("name", ["first_code_wins_documents", "glyph_codes_documents"])
 def test_characters_are_reduced_by_hashing(spark, name):
     """Characters of documents come to few rows before anything sorts or collects them."""
     found = plan(registry.queries()[name](spark, FOLDER))
     steps = [line.strip(" :+-*()0123456789") for line in found.splitlines() if "Aggregate(" in line]
     assert steps[-1].startswith("HashAggregate") and steps[-2].startswith("HashAggregate"), found
+
+
+def test_codes_of_equal_sets(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("a", 1, 5), ("a", 1, 3), ("a", 2, None), (None, 1, 9)], "font_key string, gid int, ucs int")
+    from quire.operators import fonts
+
+    got = {(r["font_key"], r["gid"]): r["codes"] for r in fonts.codes_of(df).collect()}
+    assert got == {("a", 1): [3, 5], ("a", 2): [], (None, 1): [9]}
