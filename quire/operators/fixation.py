@@ -12,9 +12,10 @@ letters are fixed when all words may fade is an expression of the JVM (`fixed_le
 from __future__ import annotations
 
 import bisect
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
-from itertools import groupby
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,52 +52,79 @@ def kept(length: int, bounds: tuple[int, ...] = BOUNDS) -> int:
     return max(0, length - bisect.bisect_left(bounds, length))
 
 
+#: A word: letters and digits of any script, as str.isalnum says; a ligature is a letter.
+WORD = re.compile(r"[^\W_]+")
+LIGATURE = re.compile(f"[{''.join(tx.LIGATURES)}]")
+
+
+def _fading(word: str, scope: Scope, bounds: tuple[int, ...]) -> tuple[bool, int]:
+    """Whether a word may fade, and how many of its characters are fixed; a ligature is fixed if its first letter is."""
+    letters = word if word.isascii() or not LIGATURE.search(word) else "".join(tx.LIGATURES.get(c, c) for c in word)
+    if not scope.may_fade(letters):
+        return False, len(word)
+    n = kept(len(letters), bounds) if letters.isalpha() or any(map(str.isalpha, letters)) else 0
+    if letters is not word:
+        at = [0, *accumulate(len(tx.LIGATURES.get(c, c)) for c in word)]
+        n = bisect.bisect_left(at, n, 0, len(word))
+    return True, n
+
+
+def cuts(text: str, scope: Scope = Scope(), bounds: tuple[int, ...] = BOUNDS) -> list[tuple[bool, int]]:
+    """Stretches of equal marks, each with its end. A word has a fixed beginning, a faded rest; what lies between words is fixed
+    if it is no blank and a word beside it may not fade, and without words all is, but under the scope all."""
+    narrow, out, at, before, last = scope.name != "all", [], 0, True, None
+
+    def put(fixed: bool, end: int) -> None:
+        nonlocal at, last
+        if end > at:
+            if fixed is last:
+                out[-1] = (fixed, end)
+            else:
+                out.append((fixed, end))
+            at, last = end, fixed
+
+    for m in WORD.finditer(text):
+        begin, end = m.span()
+        fades, n = _fading(m[0], scope, bounds)
+        if begin > at:
+            put(narrow and not (before and fades) and not text[at:begin].isspace(), begin)
+        put(True, begin + n)
+        put(False, end)
+        before = fades
+    if at < len(text):
+        put(narrow and (not at or not before and not text[at:].isspace()), len(text))
+    return out
+
+
 def marks(text: str, scope: Scope = Scope(), bounds: tuple[int, ...] = BOUNDS) -> list[bool]:
     """For each character, whether it is fixed; a ligature is fixed if any of its letters is."""
-    spelled = [(letter, i) for i, c in enumerate(text) for letter in tx.LIGATURES.get(c, c)]
-    fixed = [False] * len(spelled)
-    stretches, at = [], 0
-    for is_word, run in groupby(spelled, key=lambda s: s[0].isalnum()):
-        letters = "".join(c for c, _ in run)
-        stretches.append((is_word, at, at + len(letters), letters))
-        at += len(letters)
-    fades = {k: scope.may_fade(s[3]) for k, s in enumerate(stretches) if s[0]}
-    for k, (is_word, a, z, letters) in enumerate(stretches):
-        if is_word:
-            n = kept(z - a, bounds) if any(c.isalpha() for c in letters) else 0
-            fixed[a : a + (n if fades[k] else z - a)] = [True] * (n if fades[k] else z - a)
-        elif scope.name != "all" and (not fades or letters.strip() and not (fades.get(k - 1, True) and fades.get(k + 1, True))):
-            fixed[a:z] = [True] * (z - a)
-    if scope.name != "all" and not fades:
-        fixed = [True] * len(spelled)
-    out = [False] * len(text)
-    for (_, i), f in zip(spelled, fixed, strict=True):
-        out[i] = out[i] or f
+    out: list[bool] = []
+    for f, end in cuts(text, scope, bounds):
+        out += [f] * (end - len(out))
     return out
 
 
 def segments(text: str, scope: Scope = Scope(), bounds: tuple[int, ...] = BOUNDS) -> list[tuple[bool, str]]:
     """Stretches of equal marks; together they are the text."""
     out, at = [], 0
-    for f, run in groupby(marks(text, scope, bounds)):
-        n = len(list(run))
-        out.append((f, text[at : at + n]))
-        at += n
+    for f, end in cuts(text, scope, bounds):
+        out.append((f, text[at:end]))
+        at = end
     return out
 
 
 def across(texts: Iterable[str], scope: Scope = Scope(), bounds: tuple[int, ...] = BOUNDS) -> list[list[tuple[bool, str]]]:
     """Segments of runs that carry one text on, marked as one and cut back into the runs."""
     texts = list(texts)
-    whole, out, at = marks("".join(texts), scope, bounds), [], 0
+    whole = "".join(texts)
+    stretches, out, at, k = cuts(whole, scope, bounds), [], 0, 0
     for t in texts:
-        own, begin, done = whole[at : at + len(t)], 0, []
-        for f, run in groupby(own):
-            n = len(list(run))
-            done.append((f, t[begin : begin + n]))
-            begin += n
+        done, stop = [], at + len(t)
+        while at < stop:
+            f, end = stretches[k]
+            done.append((f, whole[at : min(end, stop)]))
+            at, k = min(end, stop), k + (end <= stop)
         out.append(done)
-        at += len(t)
     return out
 
 
@@ -128,14 +156,14 @@ def segment_rows(rows: DataFrame, key: str, text: str = "text", scope: Scope = S
             ids, at, n, fixed, parts = batch.column(0), [], [], [], []
 
             def made(ids=ids):
-                return pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(n, pa.int32()), pa.array(fixed, pa.bool_()), pa.array(parts, pa.string()), pa.array([len(p) for p in parts], pa.int32())], names=names)
+                return pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(n, pa.int32()), pa.array(fixed, pa.bool_()), pa.array(parts, pa.string()), pa.array(list(map(len, parts)), pa.int32())], names=names)
 
             for own in range(batch.num_rows):
-                for k, (f, part) in enumerate(segments(batch.column(1)[own].as_py() or "", scope, bounds)):
-                    at.append(own)
-                    n.append(k)
-                    fixed.append(f)
-                    parts.append(part)
+                found = segments(batch.column(1)[own].as_py() or "", scope, bounds)
+                at += [own] * len(found)
+                n += range(len(found))
+                fixed += [f for f, _ in found]
+                parts += [part for _, part in found]
                 if len(parts) >= SLICE:
                     yield made()
                     at, n, fixed, parts = [], [], [], []
