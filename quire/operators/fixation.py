@@ -208,8 +208,30 @@ def with_joined_segments(runs: DataFrame, keys: list[str], scope: Scope = Scope(
     island = F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(w)
     grouped = runs.withColumn("_island", island).groupBy(*keys, "_island").agg(F.min("run_no").alias("first"), F.array_sort(F.collect_list(F.struct("run_no", "text"))).alias("r"))
 
-    @F.pandas_udf(f"array<{SEGMENT}>")
-    def of(texts):
-        return texts.map(lambda ts: [[{"fixation": f, "text": s, "chars": len(s)} for f, s in own] for own in across(ts, scope, bounds)])
+    source = grouped.select(*keys, "first", F.col("r.text").alias("texts"))
+    kinds = ", ".join(f"{k} {source.schema[k].dataType.simpleString()}" for k in [*keys, "first"])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            begin, islands, cuts_at, fixed, parts = 0, [0], [0], [], []
+
+            def made(stop, batch=batch):
+                own = pa.StructArray.from_arrays([pa.array(fixed, pa.bool_()), pa.array(parts, pa.string()), pa.array(list(map(len, parts)), pa.int32())], names=["fixation", "text", "chars"])
+                nested = pa.ListArray.from_arrays(pa.array(islands, pa.int32()), pa.ListArray.from_arrays(pa.array(cuts_at, pa.int32()), own))
+                plain = batch.slice(begin, stop - begin)
+                return pa.RecordBatch.from_arrays([*plain.columns[:-1], nested], names=[*keys, "first", "parts"])
+
+            for n in range(batch.num_rows):
+                for own in across(batch.column("texts")[n].as_py(), scope, bounds):
+                    fixed += [f for f, _ in own]
+                    parts += [part for _, part in own]
+                    cuts_at.append(len(parts))
+                islands.append(len(cuts_at) - 1)
+                if len(parts) >= SLICE:
+                    yield made(n + 1)
+                    begin, islands, cuts_at, fixed, parts = n + 1, [0], [0], [], []
+            yield made(batch.num_rows)
 
-    return ship(grouped).select(*keys, "first", of(F.col("r.text")).alias("parts"))
+    return ship(source).mapInArrow(run, f"{kinds}, parts array<{SEGMENT}>")

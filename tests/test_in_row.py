@@ -130,3 +130,9 @@ def test_codes_of_equal_sets(spark):
 
     got = {(r["font_key"], r["gid"]): r["codes"] for r in fonts.codes_of(df).collect()}
     assert got == {("a", 1): [3, 5], ("a", 2): [], (None, 1): [9]}
+
+
+def test_words_across_runs_come_back_as_arrow(spark):
+    """Segments leave the worker as flat arrays, not as an object for each."""
+    found = plan(registry.queries()["run_words"](spark, FOLDER))
+    assert "MapInArrow" in found and "ArrowEvalPython" not in found
