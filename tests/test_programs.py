@@ -72,3 +72,12 @@ def test_frame(spark):
     got = sorted((r["doc"] or 0, r["gid"], r["name"], r["codes"]) for r in P.glyph_names(df, "doc").collect())
     assert got == [(0, 0, ".notdef", []), (0, 1, "n", []), (1, 0, ".notdef", []), (1, 1, "x", [65]), (1, 2, "fi", []), (2, 0, ".notdef", []), (2, 1, "x", []), (2, 2, "fi", [65])]
     assert P.glyph_names(df.limit(0), "doc").count() == 0
+
+
+def test_names_of_many_programs_share_batches(spark):
+    """The fixed names are made once, and the glyphs of a batch of programs go out together."""
+    found = P.glyph_names(P.made_programs(spark.range(300).selectExpr("id", "array('a', concat('g', id)) AS names").coalesce(1), "id", "names").coalesce(1), "id")
+    assert sorted(map(tuple, found.select("id", "gid", "name").collect())) == sorted((k, n, name) for k in range(300) for n, name in enumerate([".notdef", "a", f"g{k}"]))
+    assert P._standard_names() is P._standard_names() and list(P._standard_names()) == P.standard_strings()
+    plan = P.made_programs(spark.range(3).selectExpr("id", "array('a') AS names"), "id", "names")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(key" in plan
