@@ -20,6 +20,8 @@ from .folds import folded
 Matrix = tuple[float, ...]
 #: Blocks of a key at most, and rows of a block that it is not worth to cut.
 BLOCKS, ROWS = 10_000, 4096
+#: Numbers of the order in a block at most where a key's rows lie far apart; keys whose bounds are broadcast.
+MOST, FEW = 1 << 16, 1_000_000
 STACK = "array<array<double>>"
 
 
@@ -80,9 +82,14 @@ def composed(rows: DataFrame, key: str, order: str, kind: str = "kind", matrix:
     has a null or not six numbers, are left out."""
     six = (F.size(matrix) == 6) & F.forall(matrix, lambda x: x.isNotNull())
     sound = rows.where(F.col(order).isNotNull() & (F.col(kind).isin("close", "draw") | ((F.col(kind) == "open") & six)))
-    low, high = sound.agg(F.min(order), F.max(order)).first()
-    width = width if low is None else max(width, -(-(high - low + 1) // BLOCKS))
-    block = F.floor((F.col(order) - F.lit(low or 0)) / width).cast("long")
+    kept = cut(sound.groupBy(F.col(key).alias("_key")).agg(F.min(order).alias("_low"), F.max(order).alias("_high"), F.count(F.lit(1)).alias("_rows")))
+    low, high, keys = kept.agg(F.min("_low"), F.max("_high"), F.count(F.lit(1))).first()
+    least = width if low is None else max(width, -(-(high - low + 1) // BLOCKS))
+    # as wide as `width` of the key's own rows take, for a key may have few of the numbers; no block has more than MOST numbers for that
+    own_width = F.greatest(F.lit(least), F.least(F.lit(MOST), F.ceil((F.col("_high") - F.col("_low") + 1) * F.lit(float(width)) / F.col("_rows")))).cast("long")
+    kept = kept.select("_key", "_low", own_width.alias("_width"))
+    sound = sound.join(F.broadcast(kept) if keys <= FEW else kept, F.col(key).eqNullSafe(F.col("_key")))
+    block = F.floor((F.col(order) - F.col("_low")) / F.col("_width")).cast("long")
     own = F.struct(F.col(key).alias("k"), block.alias("b"))
     plain = sound.select(own.alias("own"), F.col(order).cast("long").alias("n"), F.col(kind).alias("kind"), F.transform(matrix, lambda x: x.cast("double")).alias("matrix"))
     sums = folded(plain, "own", ["n"], ["kind", "matrix"], summed, f"closed int, left {STACK}")

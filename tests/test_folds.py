@@ -6,9 +6,10 @@ import random
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from quire.operators import gradients, matrices, places, rasters
+from quire.operators import folds, gradients, matrices, places, rasters
 
 
 def walked(moves, limit):
@@ -131,3 +132,18 @@ def test_coverage_is_the_whole_rasters(spark, side):
     odd = [(3, float("nan"), 0.0, 1.0, 1.0), (3, None, 0.0, 1.0, 1.0), (3, 0.0, 0.0, float("inf"), 1.0)]
     df = spark.createDataFrame([*rows, *rows[:5], *odd], "page int, x double, y double, width double, height double")
     assert {r["page"]: (r["covered"], r["dilated"]) for r in rasters.coverage(df, ["page"], side=side).collect()} == want
+
+
+def test_blocks_hold_rows_enough(spark, monkeypatch):
+    """Keys whose rows lie far apart are not cut into a block for each row."""
+    df = spark.range(20_000).selectExpr("id % 100 AS k", "id AS n", "CASE WHEN id % 3 = 0 THEN 'open' WHEN id % 7 = 0 THEN 'close' ELSE 'draw' END AS kind", "array(1D, 0D, 0D, 1D, 1D, 0D) AS matrix")
+    blocks, folded = [], matrices.folded
+    monkeypatch.setattr(matrices, "folded", lambda rows, key, *a: blocks.append(rows.select(key).distinct().count()) or folded(rows, key, *a))
+    assert matrices.composed(df, "k", "n", width=64).count() > 0
+    assert blocks[0] <= 100 * (200 // 64 + 1)
+
+
+def test_keys_are_compared_in_arrow():
+    made = [({"a": {"b": 1}, "c": None}, True), ({"a": {"b": 1}, "c": None}, False), ({"a": {"b": None}, "c": None}, True), ({"a": None, "c": None}, True), (None, True), (None, False), ({"a": {"b": 1}, "c": "x"}, True), ({"a": {"b": 1}, "c": "y"}, True)]
+    column = pa.array([k for k, _ in made], pa.struct([("a", pa.struct([("b", pa.int64())])), ("c", pa.string())]))
+    assert folds._begins(column) == [b for _, b in made]
