@@ -118,6 +118,28 @@ def _together(at: Column, p: Column) -> Column:
     return F.coalesce(there & (F.get(at, p["from"].cast("int")) == F.get(at, p["to"].cast("int"))), F.lit(False))
 
 
+def join_sums(rows: DataFrame, keys: list[str], text: str, ahead: int) -> DataFrame:
+    """(keys, n, places): how many characters of a text `text_joins` joins with the one `ahead` places after them, and the sum of
+    their places, counted without line feeds. A stretch of L characters has its first L - ahead so joined, so a stretch costs one
+    step however long it is, and no pair is made. All in the text's row, without an exchange; null texts have nulls."""
+    plain = F.col(text)
+    for blank in BLANKS.replace(" ", ""):  # one blank for all: texts are then cut without a pattern
+        plain = F.replace(plain, F.lit(blank), F.lit(" "))
+    zero = F.lit(0).cast("long")
+    state = lambda at, n, places: F.struct(at.alias("at"), n.alias("n"), places.alias("places"))
+
+    def stretch(s: Column, size: Column) -> Column:
+        more = F.greatest(size - ahead, F.lit(0)).cast("long")
+        return state(s["at"] + size + 1, s["n"] + more, s["places"] + more * s["at"] + F.shiftright(more * (more - 1), 1))
+
+    def line(s: Column, own: Column) -> Column:
+        sizes = F.transform(F.split(own, " ", -1), lambda w: F.length(w))
+        return F.aggregate(sizes, s, stretch, lambda e: state(e["at"] - 1, e["n"], e["places"]))  # no blank after the last one
+
+    found = F.aggregate(F.split(plain, "\n", -1), state(zero, zero, zero), line)
+    return rows.select(*keys, found.alias("_found")).select(*keys, "_found.n", "_found.places")
+
+
 def broken_runs(items: DataFrame, page: list[str]) -> DataFrame:
     """items (page, seq, entry, paint, matrix, markup, letters, faded) with run_no and group_no: a run ends where entry, paint
     or matrix changes or markup came between; in a run, items of several letters stand alone, others group by fading."""

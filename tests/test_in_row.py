@@ -136,3 +136,20 @@ def test_words_across_runs_come_back_as_arrow(spark):
     """Segments leave the worker as flat arrays, not as an object for each."""
     found = plan(registry.queries()["run_words"](spark, FOLDER))
     assert "MapInArrow" in found and "ArrowEvalPython" not in found
+
+
+@pytest.mark.parametrize("ahead", [1, 3, 7])
+def test_join_sums_equal_the_joins_of_all_pairs(spark, ahead):
+    wide = [" 　\n xyzé𝒜 abcdefgh z ", "\n\nabcdef\n", "a\n \nb", "abcd\r\nbcde", "abcdefghij" * 20]
+    df = spark.createDataFrame(list(enumerate(texts(4) + wide)), "d long, text string")
+    n = F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    pairs = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(i.alias("from"), (i + ahead).alias("to")))
+    each = spans.text_joins(df, ["d"], "text", pairs).select("d", F.filter("pairs", lambda p: p["joins"])["from"].alias("at")).collect()
+    want = {r["d"]: (None, None) if r["at"] is None else (len(r["at"]), sum(r["at"])) for r in each}
+    assert {r["d"]: (r["n"], r["places"]) for r in spans.join_sums(df, ["d"], "text", ahead).collect()} == want and want[1] == (None, None)
+
+
+@pytest.mark.parametrize("name", ["char_joins", "char_joins_documents"])
+def test_joins_are_counted_by_stretches(spark, name):
+    """No pair is made for each character of a text."""
+    assert "sequence(" not in plan(registry.queries()[name](spark, FOLDER))
