@@ -1,66 +1,36 @@
 """Queries that are typed: each waits until nothing has been typed for a while, and a key may send or drop it.
 
-A stateful stream. Per key the state is one pending text and when it is due. What is typed replaces it and moves the time; `enter` sends
-it at once and stops the wait, `escape` drops it; when the time comes without either, a timer sends it. Timers run on event
-time, so a query is sent when the stream's watermark is past its time, whatever the wall clock says, and with the same
-checkpoint a later run knows what is pending."""
+A stream that remembers one pending text a key and when it is due. What is typed replaces it and moves the time; `enter` sends it at
+once and stops the wait, `escape` drops it; when the time comes without either, it is sent. Waits run on event time, so a query is
+sent when the stream's watermark - the latest time seen - has reached its time, whatever the wall clock says, and with the same
+folder a later run knows what is pending.
 
-from __future__ import annotations
+A batch's rows come behind what was pending before it, and whether a query is sent follows from its key's next row, so all of it is
+a window of Spark's: no worker is asked for a key, and the rows of a key are never held. Only what is not yet due is remembered."""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.workers import ship
 from .streams import found_or_empty, fresh_folder
 
-STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SENT = "key string, text string, sent long, cause string"
+#: What a batch has made: a folder each, in it what was sent and what still waits.
+MADE = f"{SENT}, waiting boolean"
+#: The latest time at the end of a batch, in microseconds.
+MARK = "batch long, latest long"
 
 
-class Typing(StatefulProcessor):
-    """One key's pending text. Rows of a batch are gone through in order of time and then of their number."""
-
-    def __init__(self, wait: int):
-        self.wait = wait  # microseconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.pending = handle.getValueState("pending", "text string, due long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held = self.pending.get() if self.pending.exists() else None
-        text, due = (held[0], held[1]) if held else (None, None)
-        for row in sorted(rows, key=lambda r: (r["at"], r["n"])):
-            if due is not None and due <= row["at"]:
-                yield Row(key=key[0], text=text, sent=due, cause="wait")
-                due = None
-            if row["kind"] == "type":
-                text, due = row["text"], row["at"] + self.wait
-            elif row["kind"] == "enter":
-                yield Row(key=key[0], text=row["text"], sent=row["at"], cause="enter")
-                due = None
-            elif row["kind"] == "escape":
-                due = None
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if due is None:
-            self.pending.clear()
-        else:
-            self.pending.update((text, due))
-            self.handle.registerTimer(-(-due // 1000))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.pending.exists():
-            text, due = self.pending.get()
-            self.pending.clear()
-            yield Row(key=key[0], text=text, sent=due, cause="wait")
-
-    def close(self) -> None:
-        pass
+def _settled(rows: DataFrame, latest: int | None) -> DataFrame:
+    """MADE of rows (key, text, kind, at, n, due, held): of each key what was held comes first, then its rows by time and number."""
+    following = F.lead("at").over(Window.partitionBy("key").orderBy(F.desc("held"), "at", "n"))
+    each = rows.withColumn("following", following).where("kind = 'enter' or kind = 'type' and (following is null or due <= following)")
+    entered = F.col("kind") == "enter"
+    return each.select(
+        "key", "text", F.when(entered, F.col("at")).otherwise(F.col("due")).alias("sent"), F.when(entered, "enter").otherwise("wait").alias("cause"),
+        (~entered & F.col("following").isNull() & (F.col("due") > F.lit(latest))).alias("waiting"),
+    )
 
 
 def sent_queries(spark: SparkSession, events: DataFrame, wait_ms: int, folder: str | None = None) -> tuple[DataFrame, str]:
@@ -69,23 +39,49 @@ def sent_queries(spark: SparkSession, events: DataFrame, wait_ms: int, folder: s
 
     events: a stream of (key string, at timestamp, n long, kind, text); kinds are type, enter and escape, others and null do
     nothing. n orders events of equal time. Rows without key or time are left out; a row that is older than the watermark, the
-    latest time of an earlier batch, comes too late and is dropped. A batch's rows of a key are sorted in memory."""
+    latest time of an earlier batch, comes too late and is dropped. A batch that runs again after a loss replaces what it made."""
     root = folder or fresh_folder(spark)
-    ship(spark.range(0))
-    rows = events.where("key is not null and at is not null").select("key", F.col("at").cast("timestamp").alias("time"), "n", "kind", "text")
-    rows = rows.withColumn("at", F.unix_micros("time")).withWatermark("time", "0 seconds")
-    made = rows.groupBy("key").transformWithState(statefulProcessor=Typing(wait_ms * 1000), outputStructType=SENT, outputMode="append", timeMode="EventTime")
-    before = spark.conf.get(STORE, None)
-    spark.conf.set(STORE, ROCKS)
-    try:
-        query = made.writeStream.format("parquet").option("path", f"{root}/sent").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
-        query.awaitTermination()
-    finally:
-        spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
-    return found_or_empty(spark, lambda: spark.read.schema(SENT).parquet(f"{root}/sent"), SENT), root
+    rows = events.where("key is not null and at is not null").select("key", F.unix_micros(F.col("at").cast("timestamp")).alias("at"), "n", "kind", "text")
+
+    def one(batch: DataFrame, number: int) -> None:
+        own = batch.sparkSession
+        before = _mark(own, root, number - 1)
+        known = None if before is None else before[1]
+        latest = max((t for t in (known, batch.agg(F.max("at")).first()[0]) if t is not None), default=None)
+        fresh = batch.where(F.col("kind").isin("type", "enter", "escape"))
+        if known is not None:
+            fresh = fresh.where(F.col("at") >= known)
+        fresh = fresh.select("key", "text", "kind", "at", "n", (F.col("at") + wait_ms * 1000).alias("due"), F.lit(False).alias("held"))
+        if before is not None:
+            nothing = F.lit(None).cast("long")
+            fresh = fresh.unionByName(_waiting(own, root, number - 1).select("key", "text", F.lit("type").alias("kind"), nothing.alias("at"), nothing.alias("n"), F.col("sent").alias("due"), F.lit(True).alias("held")))
+        _settled(fresh, latest).write.mode("overwrite").partitionBy("waiting").parquet(f"{root}/made/batch={number}")
+        own.createDataFrame([(number, latest)], MARK).coalesce(1).write.mode("overwrite").parquet(f"{root}/marks/{number}")
+        if number > 1:  # nobody goes back behind the batch before
+            own.createDataFrame([], SENT).write.mode("overwrite").parquet(f"{root}/made/batch={number - 2}/waiting=true")
+
+    query = rows.writeStream.foreachBatch(one).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return found_or_empty(spark, lambda: _made(spark, root, False), SENT), root
+
+
+def _made(spark: SparkSession, root: str, waiting: bool, part: str = "") -> DataFrame:
+    every = spark.read.schema(f"{MADE}, batch long").option("basePath", f"{root}/made").parquet(f"{root}/made{part}")
+    return every.where(F.col("waiting") == waiting).drop("waiting", "batch")
+
+
+def _mark(spark: SparkSession, root: str, number: int | str) -> tuple[int, int | None] | None:
+    """The number of a batch and the latest time at its end; `*` for the last one."""
+    marks = found_or_empty(spark, lambda: spark.read.schema(MARK).parquet(f"{root}/marks/{number}"), MARK)
+    last = marks.agg(F.max(F.struct("batch", "latest")).alias("m")).first()["m"]
+    return None if last is None else (last["batch"], last["latest"])
+
+
+def _waiting(spark: SparkSession, root: str, number: int) -> DataFrame:
+    return _made(spark, root, True, f"/batch={number}")
 
 
 def pending(spark: SparkSession, folder: str) -> DataFrame:
     """(key, text, sent, cause) of what a drained stream has pending, as the wait would send it."""
-    held = spark.read.format("statestore").option("stateVarName", "pending").load(f"{folder}/state")
-    return held.select(F.col("key.key").alias("key"), F.col("value.text").alias("text"), F.col("value.due").alias("sent"), F.lit("wait").alias("cause"))
+    last = _mark(spark, folder, "*")
+    return spark.createDataFrame([], SENT) if last is None else _waiting(spark, folder, last[0])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -63,3 +64,24 @@ def test_nothing_and_rows_without_key_or_time(spark, tmp_path):
     put(spark, str(tmp_path / "in"), 0, [(None, START, 1, "type", "x"), ("a", None, 1, "type", "x"), ("a", START, 1, None, "x")])
     found, root = debounce.sent_queries(spark, spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in/part=*"), 160, str(tmp_path / "r"))
     assert found.count() == 0 and debounce.pending(spark, root).count() == 0
+
+
+def test_no_worker_is_asked_for_a_key(spark, tmp_path):
+    """Queries come from a window of Spark's, in few seconds however many keys there are; a worker's answers for each key took many."""
+    events = spark.range(200_000).selectExpr("cast(id % 100000 AS string) AS key", "timestamp_seconds(id) AS at", "id AS n", "CASE WHEN id < 100000 THEN 'type' ELSE 'enter' END AS kind", "cast(id AS string) AS text")
+    events.write.parquet(str(tmp_path / "in/part=0"))
+    began = time.time()
+    found, root = debounce.sent_queries(spark, spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in/part=*"), 200_000_000, str(tmp_path / "r"))
+    assert {(r["cause"], r["count"]) for r in found.groupBy("cause").count().collect()} == {("enter", 100_000)} and debounce.pending(spark, root).count() == 0
+    assert time.time() - began < 20
+
+
+def test_rows_of_the_watermarks_own_time_are_not_late(spark, tmp_path):
+    """A row as old as the latest one of an earlier batch counts, an older one does not; what waits outlives batches that don't touch it."""
+    second = lambda s: START + timedelta(seconds=s)
+    parts = [[("a", second(10), 0, "type", "x"), ("b", second(10), 1, "type", "w")], [("a", second(10), 2, "enter", "y"), ("a", second(9), 3, "enter", "late")], [(None, second(11), 4, "type", "z")], [("c", second(15), 5, None, "z")]]
+    for k, part in enumerate(parts):
+        put(spark, str(tmp_path / "in"), k, part)
+        found, root = debounce.sent_queries(spark, spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in/part=*"), 4000, str(tmp_path / "r"))
+        assert [r["text"] for r in debounce.pending(spark, root).orderBy("text").collect()] == [["w", "x"], ["w"], ["w"], []][k]
+    assert sorted((r["text"], r["cause"]) for r in found.collect()) == [("w", "wait"), ("y", "enter")]
