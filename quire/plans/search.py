@@ -6,7 +6,7 @@ from ..functions import text as tx
 from ..operators import search
 from ..sources.corpus import read_corpus
 from ..sources.documents import page_runs, run_rows, table
-from ..sources.page_files import write_pages
+from ..sources.page_files import listed_pages, write_pages
 from ..streaming.growing import GrowingIndex
 from ..streaming.streams import fresh_folder
 from pyspark.sql import functions as F
@@ -78,8 +78,8 @@ def page_text_files(spark, d):
     folder = fresh_folder(spark)
     texts = page_runs(table(spark, d, "pages")).select("page_id", F.array_join("runs", "\n").alias("text"))
     write_pages(texts, "page_id", "text", f"{folder}/pages")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(f"{folder}/pages")
-    files.select(F.concat(F.regexp_extract("path", r"([^/]*)\.txt$", 1), F.lit("\t"), "path").alias("value")).write.text(f"{folder}/list")
+    files = listed_pages(spark, f"{folder}/pages").where("size > 0")
+    files.select(F.concat("name", F.lit("\t"), "uri").alias("value")).write.text(f"{folder}/list")
     found = read_corpus(spark, f"{folder}/list", f"{folder}/cache", "")
     return found.select(F.col("name").cast("long").alias("page_id"), F.length("content").cast("long").alias("bytes"), F.md5("content").alias("digest"))
 

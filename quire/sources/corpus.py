@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -27,6 +28,9 @@ from .stores import is_file, located, put_whole
 FORMAT = "cached_corpus"
 #: Bytes of the list that a task goes through.
 RANGE = 1 << 16
+#: Rows, and bytes of content, that a task hands over at once.
+ROWS, HELD = 1000, 1 << 22
+COLUMNS = {"name": pa.string(), "uri": pa.string(), "content": pa.binary(), "cached": pa.bool_(), "problem": pa.string()}
 
 
 class Lines(InputPartition):
@@ -72,7 +76,18 @@ class CorpusReader(DataSourceReader):
         shown = sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and f.size and f.base_name[0] not in "._")
         return [Lines(path, a, min(a + self.range, size)) for path, size in shown for a in range(0, size, self.range)] or [Lines("", 0, 0)]
 
-    def read(self, partition: Lines) -> Iterator[tuple]:
+    def read(self, partition: Lines) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for row in self._rows(partition):
+            rows.append(row)
+            held += len(row[2] or b"")
+            if len(rows) == ROWS or held >= HELD:
+                yield _batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield _batch(rows)
+
+    def _rows(self, partition: Lines) -> Iterator[tuple]:
         if not partition.path:
             return
         cache, root = located(self.cache)
@@ -97,6 +112,10 @@ class CorpusReader(DataSourceReader):
             yield name, uri, content, False, None
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), COLUMNS.values(), strict=True)], names=list(COLUMNS))
+
+
 class CachedCorpus(DataSource):
     @classmethod
     def name(cls) -> str:

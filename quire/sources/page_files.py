@@ -16,6 +16,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -109,3 +110,25 @@ def write_pages(pages: DataFrame, key: str, text: str, path: str, mode: str = "a
     """A file for each row of pages, named by its key."""
     register(pages.sparkSession)
     pages.select(pages[key].cast("string").alias("key"), pages[text].alias("text")).write.format(FORMAT).mode(mode).save(path)
+
+
+def listed_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(name, uri, size) of the files that `write_pages` has left in a folder; name is the quoted key. The driver lists the folders of
+    the sink's tasks alone, and tasks list the files in them; nothing is opened."""
+    from pyarrow import fs
+
+    store, root = located(path)
+    folders = [(f.base_name,) for f in store.get_file_info(fs.FileSelector(root)) if f.type == fs.FileType.Directory and f.base_name != UNDONE]
+    top, width = path.rstrip("/"), 10_000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = located(top)
+        for folder in (f for b in batches for f in b.column(0).to_pylist()):
+            found = [f for f in store.get_file_info(fs.FileSelector(f"{root}/{folder}")) if f.type == fs.FileType.File and f.base_name.endswith(".txt")]
+            for at in range(0, len(found), width):
+                part = found[at : at + width]
+                names = [f.base_name for f in part]
+                yield pa.RecordBatch.from_pydict({"name": [n.removesuffix(".txt") for n in names], "uri": [f"{top}/{folder}/{n}" for n in names], "size": pa.array([f.size for f in part], pa.int64())})
+
+    dealt = spark.createDataFrame(folders, "folder string").repartition(max(1, min(len(folders), 4 * spark.sparkContext.defaultParallelism)))
+    return ship(dealt).mapInArrow(run, "name string, uri string, size long")

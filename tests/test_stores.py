@@ -102,3 +102,17 @@ def test_racing_readers_leave_one_whole_file(tmp_path):
     for t in threads:
         t.join()
     assert Path(place).read_bytes() in contents and [p.name for p in tmp_path.iterdir()] == ["one"]
+
+
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_pages_are_listed_in_tasks(spark, tmp_path, scheme):
+    """Written pages come back under their names in as many parts as the sink's tasks at most; empty ones can be told by their size."""
+    df = spark.range(0, 3000, 1, 3).select(F.col("id").alias("page"), F.when(F.col("id") % 100 != 7, F.concat(F.lit("page "), "id")).alias("text"))
+    page_files.write_pages(df, "page", "text", f"{scheme}{tmp_path}/out")
+    found = page_files.listed_pages(spark, f"{scheme}{tmp_path}/out")
+    assert found.rdd.getNumPartitions() <= 3
+    got = {r["name"]: r for r in found.collect()}
+    assert len(got) == 3000 and {n for n, r in got.items() if not r["size"]} == {str(k) for k in range(7, 3000, 100)}
+    assert all(Path(located(r["uri"])[1]).stat().st_size == r["size"] for r in got.values())
+    page_files.write_pages(df.limit(0), "page", "text", f"{scheme}{tmp_path}/none")
+    assert page_files.listed_pages(spark, f"{scheme}{tmp_path}/none").count() == 0
