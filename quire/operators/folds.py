@@ -1,7 +1,7 @@
 """Folds over the sorted rows of a key, for what depends on each row before and has no form as a join or a window.
 
 Rows are dealt out by key and sorted; a task reads them as a stream and holds the state of one key alone, never its rows. A key is
-one task's work, so callers make keys small where they can: a block, a tile."""
+one task's work, so callers make keys small where they can: a block."""
 
 from __future__ import annotations
 

@@ -147,3 +147,12 @@ def test_keys_are_compared_in_arrow():
     made = [({"a": {"b": 1}, "c": None}, True), ({"a": {"b": 1}, "c": None}, False), ({"a": {"b": None}, "c": None}, True), ({"a": None, "c": None}, True), (None, True), (None, False), ({"a": {"b": 1}, "c": "x"}, True), ({"a": {"b": 1}, "c": "y"}, True)]
     column = pa.array([k for k, _ in made], pa.struct([("a", pa.struct([("b", pa.int64())])), ("c", pa.string())]))
     assert folds._begins(column) == [b for _, b in made]
+
+
+def test_coverage_is_hashed(spark):
+    """Boxes are united by hashing in Spark: no worker paints, no rows are sorted; many equal boxes come to one strip before the exchange."""
+    df = spark.createDataFrame([(1, 0.0, 0.0, 200.0, 3.0)] * 50 + [(2, -70.0, -1.0, 1.0, 300.0), (2, 1e12, 5.0, 1.0, 1.0)], "page int, x double, y double, width double, height double")
+    found = rasters.coverage(df, ["page"])
+    made = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in made and "Sort" not in made and made.count("Exchange") == 2
+    assert {r["page"]: (r["covered"], r["dilated"]) for r in found.collect()} == {1: (600, 202 * 5), 2: (301, 3 * 302 + 9)}
