@@ -8,13 +8,14 @@ One pass over the documents inverts shards of SHARD_BYTES of text and writes the
 The global statistics (documents, words, document frequencies of the queries' terms) are sums over the shards. Queries
 are handled in blocks of BLOCK_TERMS distinct-term entries, so what is collected and broadcast is bounded whatever the
 corpus holds; a block is searched first in a few shards, whose k-th best scores are lower bounds everywhere, then in the
-rest. For a query in a shard:
-1. its terms are ordered by their greatest contribution there. For each block of RUN documents the terms' maxima in that block are
-summed up in this order; the block's pivot is the term at which the sum reaches the k-th best score so far. A document of the
-block that holds no term from the pivot on can't enter the result, and a block without a pivot is skipped whole. The share BEST_BLOCKS of the blocks whose sums are largest are scored first and whole;
-2. the postings from each block's pivot on are scored;
-3. to each document's sum its block's maxima of the terms before the pivot are added; only where the k-th best score is still
-in reach, these terms are looked up, or scored in the blocks concerned, whichever is less.
+rest. In a shard many queries are handled side by side; a query whose terms' greatest contributions there don't reach its k-th best
+score so far is passed over. For the others:
+1. the postings of the rare terms are scored;
+2. to each document's sum the maxima of the common terms (held by one document in COMMON, or more) in its block of RUN documents are
+added. A document whose bound reaches the k-th best score is a pivot, and a block without a pivot is skipped whole;
+3. what the common terms add is looked up for a few pivots of a block; for more of them it is a product of the block's impacts and the
+queries' weights in single precision, whose error is bounded;
+4. documents that may reach the k-th best score, whatever that error, are scored exactly.
 A shard's documents are laid in the order of their most frequent terms, so that documents of one language or kind share blocks
 and a block's maxima say more.
 The shards' top k are merged exactly, as all use global statistics.
@@ -32,23 +33,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, mapped, slices, string_list, word_hashes
+from .common import cut, mapped, slices, word_hashes
 
 K, K1, B = 10, 1.2, 0.75
 SCALE = 1_000_000
 BLOCK_TERMS = 1_000_000
 #: RUN: documents of a block with maxima of its own.
 SHARD_BYTES, RUN = 1 << 25, 256
-#: Share of a shard's blocks that are scored whole before others are passed over.
-BEST_BLOCKS = 1 / 16
+#: A term that one document in so many of a shard holds is common there; CELLS bounds the matrix of the common terms.
+COMMON, CELLS = 32, 1 << 24
 #: Share of the shards that a block of queries is searched in first.
 SEEDS = 1 / 16
-#: A lookup of one posting costs about as much as scoring so many in a row.
-LOOKUP = 8
+#: Queries are handled together while their postings and sums are about so many.
+BATCH = 1 << 21
+#: Up to one document in so many of a block are looked up one by one.
+FEW = 32
 
 #: Stands for a null id in a shard.
 NO_ID = np.iinfo(np.int64).min
@@ -56,10 +60,39 @@ NO_ID = np.iinfo(np.int64).min
 INDEX = "shard long, n long, length long, ids binary, lengths binary, terms binary, firsts binary, docs binary, counts binary, wide boolean"
 
 
-def terms(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct terms of a text, as sorted 64-bit hashes, and their counts."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    return np.unique(np.array(word_hashes(words), dtype=np.int64), return_counts=True)
+#: A word of up to LETTERS bytes hashes to the sum of a random number for each place and byte; longer ones by word_hashes.
+#: So many bytes are hashed at a time.
+LETTERS, STEP = 64, 1 << 18
+_NUMBERS = np.random.PCG64(7).random_raw(LETTERS * 256)
+_LOWER = np.frombuffer(bytes(range(256)).lower(), dtype=np.uint8)
+_BLANK = np.isin(np.arange(256), list(b" \t\n\r\f\v"))
+
+
+def bags(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each text the distinct terms, as sorted 64-bit hashes below 2**63, and their counts; null reads as the empty text."""
+    texts = texts.fill_null("").cast(pa.large_binary())
+    edge = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[edge[0] : edge[-1]]
+    edge = edge - edge[0]
+    data, blank = _LOWER[data], _BLANK[data]
+    apart = np.zeros(len(data) + 1, bool)  # whether a byte and the one before it are of different texts
+    apart[edge] = True
+    begin = np.flatnonzero(~blank & (apart[:-1] | np.r_[True, blank[:-1]]))
+    end = np.flatnonzero(~blank & (apart[1:] | np.r_[blank[1:], True])) + 1
+    hashes, i = np.empty(len(begin), np.int64), 0
+    while i < len(begin):
+        j = max(i + 1, int(np.searchsorted(begin, begin[i] + STEP)))
+        own = slice(begin[i], min(end[j - 1], begin[i] + STEP + LETTERS))  # only words of more than LETTERS bytes can be cut
+        place = np.arange(own.start, own.stop) - np.repeat(begin[i:j], np.diff(begin[i:j], append=own.stop))
+        number = _NUMBERS[np.minimum(place, LETTERS - 1) * 256 + data[own]]
+        number[blank[own]] = 0
+        hashes[i:j] = np.add.reduceat(number, begin[i:j] - own.start) >> np.uint64(1)
+        i = j
+    long = np.flatnonzero(end - begin > LETTERS)
+    if len(long):
+        hashes[long] = word_hashes([data[b:e].tobytes() for b, e in zip(begin[long].tolist(), end[long].tolist(), strict=True)])
+    cut = np.searchsorted(begin, edge).tolist()
+    return [np.unique(hashes[b:e], return_counts=True) for b, e in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def ranges(begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -90,8 +123,19 @@ def invert(shard: int, n: int, docs: list[tuple[int, np.ndarray, np.ndarray]]) -
     return (shard, n, *(a.tobytes() for a in arrays), wide)
 
 
+class Asked:
+    """A block of queries side by side: their entries (query, term, weight), terms as places in the vocabulary."""
+
+    def __init__(self, own: list[tuple[int, np.ndarray, np.ndarray]], vocabulary: np.ndarray):
+        self.ids = np.array([i for i, _, _ in own], dtype=np.int64)
+        self.of = np.repeat(np.arange(len(own)), [len(t) for _, t, _ in own])
+        self.term = np.searchsorted(vocabulary, np.concatenate([t for _, t, _ in own]))
+        self.weight = np.concatenate([c for _, _, c in own]).astype(np.float64)
+
+
 class Shard:
-    """An index row, as far as the terms of a query block go."""
+    """An index row, as far as the terms of a query block go. Terms that a document in COMMON holds, or more, are common: their
+    impacts are a matrix by document, with its maxima by block; the others are rare and keep their postings."""
 
     def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, average: float, row: dict):
         small = np.uint32 if row["wide"] else np.uint16
@@ -99,88 +143,110 @@ class Shard:
         at = np.minimum(np.searchsorted(vocabulary, term), len(vocabulary) - 1)
         own = np.flatnonzero(vocabulary[at] == term)
         self.absent = np.flatnonzero(self.ids == NO_ID)  # counted, never found
-        self.n, self.term = len(self.ids), at[own]  # the numbers in the vocabulary of the terms held, ascending
-        sizes = first[own + 1] - first[own]
+        n, self.number = len(self.ids), np.full(len(vocabulary), -1)  # the numbers of the terms held, by place in the vocabulary
+        self.number[at[own]] = np.arange(len(own))
+        self.sizes = first[own + 1] - first[own]
         posting = ranges(first[own], first[own + 1])
-        self.first = np.r_[0, np.cumsum(sizes)]
-        self.doc = np.frombuffer(row["docs"], dtype=small)[posting].astype(np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.doc = np.frombuffer(row["docs"], dtype=small)[posting].astype(np.int32)
         count = np.frombuffer(row["counts"], dtype=small)[posting].astype(np.float64)
-        length = lengths[self.doc].astype(np.float64)
-        self.impact = np.rint(np.repeat(idf[self.term], sizes) * (count * (K1 + 1) / (count + K1 * (1 - B + B * length / average))) * SCALE)
-        number = np.repeat(np.arange(len(own)), sizes)
-        self.key = number * self.n + self.doc
-        self.blocks = -(-self.n // RUN)
-        self.block_of = np.arange(self.n) // RUN
-        self.most = np.maximum.reduceat(self.impact, self.first[:-1]) if len(own) else np.empty(0)
-        # terms with more postings than there are blocks have a table: by block their maximum, and where their postings begin
-        many = sizes > self.blocks
-        self.row = np.where(many, np.cumsum(many) - 1, -1)
-        held = many[number]
-        cell = self.row[number[held]] * self.blocks + self.block_of[self.doc[held]]
-        self.table = np.zeros(int(many.sum()) * self.blocks)
-        np.maximum.at(self.table, cell, self.impact[held])
-        self.table = self.table.reshape(-1, self.blocks)
-        counts = np.bincount(cell, minlength=self.table.size).reshape(self.table.shape)
-        self.cut = np.c_[np.zeros(len(counts), np.int64), np.cumsum(counts, axis=1)] + self.first[:-1][many][:, None]
-
-    def search(self, query: np.ndarray, weight: np.ndarray, floor: float, scores: np.ndarray, found: np.ndarray) -> int:
-        """Update one query's best scores and ids, in place; returns how many postings were scored or looked up. No score
-        below `floor` is wanted."""
-        at = np.searchsorted(self.term, query)
-        held = at < len(self.term)
-        held[held] = self.term[at[held]] == query[held]
-        at, weight = at[held], weight[held]
-        floor = max(floor, scores[-1])
-        most = weight * self.most[at]
+        length = K1 * (1 - B + B * lengths.astype(np.float64) / average)
+        self.impact = np.rint(np.repeat(idf[at[own]], self.sizes) * (count * (K1 + 1) / (count + length[self.doc])) * SCALE)
+        self.most = np.maximum.reduceat(self.impact, self.first) if len(own) else np.empty(0)
+        self.blocks = -(-n // RUN)
+        self.width = self.blocks * RUN
+        common = np.flatnonzero(self.sizes * COMMON >= self.width)
+        common = common[np.argsort(-self.sizes[common], kind="stable")[: CELLS // max(self.width, 1)]]
+        self.column = np.full(len(own), -1)
+        self.column[common] = np.arange(len(common))
+        posting = ranges(self.first[common], self.first[common] + self.sizes[common])
+        column = np.repeat(np.arange(len(common)), self.sizes[common])
+        self.matrix = np.zeros((self.width, len(common)), np.int32)
+        self.matrix[self.doc[posting], column] = self.impact[posting]
+        self.table = self.matrix.reshape(self.blocks, RUN, len(common)).max(axis=1).T.astype(np.float64)
+        self.held = np.bincount(column * self.blocks + self.doc[posting] // RUN, minlength=self.table.size).reshape(self.table.shape).astype(np.float64)
+        # a sum of so many products in single precision is off by no more than this share, in any order
+        self.slack = (len(common) + 8) * 2.0**-23
+
+    def search(self, asked: Asked, floors: np.ndarray, scores: np.ndarray, found: np.ndarray) -> int:
+        """Update the queries' best scores and ids, in place; returns how many postings were scored. No score below a query's
+        floor is wanted."""
+        floor = np.maximum(floors, scores[:, -1])
+        at = self.number[asked.term]
+        there = at >= 0
+        at, of, weight = at[there], asked.of[there], asked.weight[there]
         # sums of integers below 2**53 are exact; equal scores may still win a tie
-        if not len(at) or most.sum() < floor:
-            return 0
-        order = np.argsort(most, kind="stable")
-        at, weight = at[order], weight[order]
-        asked = Asked(self, at, weight)
-        reach = np.cumsum(asked.bound, axis=0)
-        # the blocks that promise most are scored whole, for a better bound
-        best = np.zeros(self.blocks, bool)
-        best[np.argsort(-reach[-1], kind="stable")[: int(self.blocks * BEST_BLOCKS)]] = True
-        posting, gain = asked.scored(np.broadcast_to(best, reach.shape))
-        first = len(posting)
-        total = np.bincount(self.doc[posting], gain, minlength=self.n)
-        total[self.absent] = 0
-        hit = np.flatnonzero((total > 0) & (total >= floor))
-        self._keep(hit, total[hit], floor, scores, found)
-        floor = max(floor, scores[-1])
-        pivot = np.where(best, len(at), (reach < floor).sum(axis=0))  # all terms where a block is done or out of reach
-        posting, gain = asked.scored(np.arange(len(at))[:, None] >= pivot)
-        seen = first + len(posting)
-        if not len(posting):
-            return seen
-        total = np.bincount(self.doc[posting], gain, minlength=self.n)
-        total[self.absent] = 0
-        left = np.where(pivot > 0, np.take_along_axis(reach, np.maximum(pivot - 1, 0)[None], axis=0)[0], 0)
-        hit = np.flatnonzero((total > 0) & (total + left[self.block_of] >= floor))
-        if not len(hit):
-            return seen
-        # the terms before the pivot, for documents that are still in reach
-        own = self.block_of[hit]
-        before = (np.arange(len(at))[:, None] < pivot) & (asked.bound > 0)
-        in_block = np.bincount(own, minlength=self.blocks)
-        lookups = int(in_block @ before.sum(axis=0))
-        if lookups:
-            rest = before & (in_block > 0)
-            if lookups * LOOKUP < asked.sizes[rest].sum():
-                t, h = np.nonzero(before[:, own])
-                key = at[t] * self.n + hit[h]
-                place = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-                there = self.key[place] == key
-                total += np.bincount(hit[h[there]], weight[t[there]] * self.impact[place[there]], minlength=self.n)
-                seen += lookups
-            else:
-                posting, gain = asked.scored(rest)
-                total += np.bincount(self.doc[posting], gain, minlength=self.n)
-                seen += len(posting)
-        self._keep(hit, total[hit], floor, scores, found)
+        most = np.bincount(of, weight * self.most[at], minlength=len(floor))
+        live = (most > 0) & (most >= floor)
+        queries = np.flatnonzero(live)
+        there = live[of]
+        at, of, weight = at[there], (np.cumsum(live) - 1)[of[there]], weight[there]
+        rare = self.column[at] < 0
+        work = np.cumsum(np.bincount(of[rare], self.sizes[at[rare]], minlength=len(queries)) + self.width)
+        entry = np.searchsorted(of, np.arange(len(queries) + 1))
+        begin, seen = 0, 0
+        while begin < len(queries):
+            end = max(begin + 1, int(np.searchsorted(work, (work[begin - 1] if begin else 0) + BATCH, side="right")))
+            e = slice(entry[begin], entry[end])
+            seen += self._some(queries[begin:end], at[e], of[e] - begin, weight[e], rare[e], floor, scores, found)
+            begin = end
+        return seen
+
+    def _some(self, queries: np.ndarray, at: np.ndarray, of: np.ndarray, weight: np.ndarray, rare: np.ndarray, floor: np.ndarray, scores: np.ndarray, found: np.ndarray) -> int:
+        n, k, least = len(queries), scores.shape[1], floor[queries]
+        # the rare terms' postings
+        first, sizes = self.first[at[rare]], self.sizes[at[rare]]
+        posting = ranges(first, first + sizes)
+        cell = np.repeat(of[rare] * self.width, sizes) + self.doc[posting]
+        total = np.bincount(cell, np.repeat(weight[rare], sizes) * self.impact[posting], minlength=n * self.width).astype(np.float64, copy=False).reshape(n, self.width)
+        total[:, self.absent] = 0
+        # pivots are documents whose sum so far and their block's maxima of the common terms reach the floor
+        of, column, weight = of[~rare], self.column[at[~rare]], weight[~rare]
+        weights = np.zeros((n, self.matrix.shape[1]))
+        weights[of, column] = weight
+        left = weights @ self.table
+        reach = (total.reshape(n, self.blocks, RUN) + left[:, :, None]).reshape(n, self.width)
+        pivot = (reach >= least[:, None]) & (reach > 0)
+        pivot[:, self.absent] = False
+        pivots = np.count_nonzero(pivot.reshape(n, self.blocks, RUN), axis=2)
+        # about what the common terms add to pivots: a few in a block are looked up, for more the block is multiplied out
+        entry = np.searchsorted(of, np.arange(n + 1))
+        about, single = np.zeros(total.shape, np.float32), weights.astype(np.float32)
+        many = (pivots > RUN // FEW) & (left > 0)
+        few = (pivots > 0) & ~many & (left > 0)
+        q, d = np.nonzero(pivot & np.repeat(few, RUN, axis=1))
+        about[q, d] = self._common(q, d, entry, column, weight)
+        seen = len(posting) + int(np.diff(entry)[q].sum()) + int((((weights > 0).astype(np.float64) @ self.held) * many).sum())
+        for b in np.flatnonzero(many.any(axis=0)):
+            q, docs = np.flatnonzero(many[:, b]), slice(b * RUN, (b + 1) * RUN)
+            about[q, docs] = single[q] @ self.matrix[docs].astype(np.float32).T
+        near = total + about
+        q, d = np.nonzero(pivot & (near > 0) & (near >= (least * (1 - self.slack))[:, None]))
+        near = near[q, d]
+        edge = np.searchsorted(q, np.arange(n + 1))
+        wanted = np.ones(len(q), bool)
+        for i in np.flatnonzero(np.diff(edge) > k):
+            own = near[edge[i] : edge[i + 1]]
+            wanted[edge[i] : edge[i + 1]] = own >= np.partition(own, -k)[-k] * (1 - 2 * self.slack)
+        # exactly, for documents that are still in reach
+        q, d = q[wanted], d[wanted]
+        score = total[q, d] + self._common(q, d, entry, column, weight)
+        edge = np.searchsorted(q, np.arange(n + 1))
+        for i in np.flatnonzero(np.diff(edge)):
+            e = slice(edge[i], edge[i + 1])
+            self._keep(d[e], score[e], least[i], scores[queries[i]], found[queries[i]])
         return seen
 
+    def _common(self, q: np.ndarray, d: np.ndarray, entry: np.ndarray, column: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """What the common terms of the queries q add to the documents d, exactly; a query's terms begin at its entry."""
+        sizes = entry[q + 1] - entry[q]
+        out, step = np.zeros(len(q)), max(1, BATCH // max(1, int(sizes.max(initial=0))))
+        for b in range(0, len(q), step):
+            e, own = slice(b, b + step), sizes[b : b + step]
+            at, of = ranges(entry[q[e]], entry[q[e] + 1]), np.repeat(np.arange(len(own)), own)
+            out[e] = np.bincount(of, weight[at] * self.matrix[d[e][of], column[at]], minlength=len(own))
+        return out
+
     def _keep(self, hit: np.ndarray, own: np.ndarray, floor: float, scores: np.ndarray, found: np.ndarray) -> None:
         """Let documents with their scores into the best, in place."""
         k = len(scores)
@@ -192,46 +258,13 @@ class Shard:
         scores[:], found[:] = s[order], d[order]
 
 
-class Asked:
-    """A query's terms in a shard, by term and block: what a document of the block can gain from the term at most, and how many
-    postings the term has there."""
-
-    def __init__(self, shard: Shard, at: np.ndarray, weight: np.ndarray):
-        self.shard, self.weight = shard, weight
-        self.dense = np.flatnonzero(shard.row[at] >= 0)
-        self.row = shard.row[at[self.dense]]
-        few = np.flatnonzero(shard.row[at] < 0)
-        begin, end = shard.first[at[few]], shard.first[at[few] + 1]
-        self.posting, self.of = ranges(begin, end), np.repeat(few, end - begin)
-        self.block = shard.block_of[shard.doc[self.posting]]
-        self.gain = weight[self.of] * shard.impact[self.posting]
-        self.bound = np.zeros((len(at), shard.blocks))
-        self.bound[self.dense] = weight[self.dense, None] * shard.table[self.row]
-        self.sizes = np.zeros(self.bound.shape, np.int64)
-        self.sizes[self.dense] = np.diff(shard.cut[self.row], axis=1)
-        if len(self.of):  # in the order of term and block
-            first = np.flatnonzero(np.r_[True, (self.of[1:] != self.of[:-1]) | (self.block[1:] != self.block[:-1])])
-            cell = self.of[first], self.block[first]
-            self.bound[cell] = np.maximum.reduceat(self.gain, first)
-            self.sizes[cell] = np.diff(np.r_[first, len(self.of)])
-
-    def scored(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The postings in the wanted cells (term, block), and what they add to their documents."""
-        d, b = np.nonzero(wanted[self.dense])
-        begin, end = self.shard.cut[self.row[d], b], self.shard.cut[self.row[d], b + 1]
-        posting = ranges(begin, end)
-        gain = np.repeat(self.weight[self.dense[d]], end - begin) * self.shard.impact[posting]
-        few = wanted[self.of, self.block]
-        return np.r_[posting, self.posting[few]], np.r_[gain, self.gain[few]]
-
-
 def _vectors(rows: DataFrame) -> DataFrame:
     """(id, terms, counts, n) of rows (id, text); terms and counts as 64-bit integers in binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                made = [terms(t) for t in string_list(batch.column("text"))]
+                made = bags(batch.column("text"))
                 cols = [pa.array([t.tobytes() for t, _ in made], pa.binary()), pa.array([c.astype(np.int64).tobytes() for _, c in made], pa.binary()), pa.array([len(t) for t, _ in made], pa.int64())]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), *cols], names=["id", "terms", "counts", "n"])
 
@@ -257,9 +290,9 @@ def index(source: DataFrame) -> DataFrame:
 
         for whole in batches:
             for batch in slices(whole, "text"):
-                for d, t in zip(batch.column("id").to_pylist(), string_list(batch.column("text")), strict=True):
-                    h, c = terms(t)
-                    n, size, length = n + 1, size + len(t), length + int(c.sum())
+                sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+                for d, t, (h, c) in zip(batch.column("id").to_pylist(), sizes, bags(batch.column("text")), strict=True):
+                    n, size, length = n + 1, size + t, length + int(c.sum())
                     if len(h):
                         held.append((NO_ID if d is None else d, h, c))
                 if size >= SHARD_BYTES:
@@ -273,7 +306,7 @@ def index(source: DataFrame) -> DataFrame:
 def search(docs: DataFrame, queries: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text", tally=None) -> DataFrame:
     """Rows (query_id, rank, id, score) of the k best docs for each row of queries (same columns as docs); ids are integers.
 
-    tally: an accumulator that gets the number of postings scored or looked up."""
+    tally: an accumulator that gets the number of postings scored."""
     spark = docs.sparkSession
     for frame in (docs, queries):
         if frame.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
@@ -313,25 +346,24 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, id_col: str = "doc_i
         df = np.zeros(len(vocabulary))
         df[sums["term"].to_numpy()] = sums["n"].to_numpy()
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        asks = [(i, np.searchsorted(vocabulary, t), c.astype(np.float64)) for i, t, c in own]
-        ask = spark.sparkContext.broadcast((vocabulary, idf, asks))
+        asked_here = Asked(own, vocabulary)
+        ask = spark.sparkContext.broadcast((vocabulary, idf, asked_here))
 
         def find(floors):
             def run(batches: Iterator[pa.RecordBatch], ask=ask) -> Iterator[pa.RecordBatch]:
                 vocabulary, idf, asks = ask.value
-                least = floors.value if floors is not None else np.zeros(len(asks))
-                scores = np.zeros((len(asks), k), dtype=np.int64)
-                found = np.full((len(asks), k), none)
+                least = floors.value if floors is not None else np.zeros(len(asks.ids))
+                scores = np.zeros((len(asks.ids), k), dtype=np.int64)
+                found = np.full((len(asks.ids), k), none)
                 seen = 0
                 for batch in batches:
                     for at in range(batch.num_rows):
                         shard = Shard(vocabulary, idf, average, batch.slice(at, 1).to_pylist()[0])
-                        for q, (_, query, weight) in enumerate(asks):
-                            seen += shard.search(query, weight, least[q], scores[q], found[q])
+                        seen += shard.search(asks, least, scores, found)
                 if tally is not None:
                     tally.add(seen)
                 q, r = np.nonzero(scores)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array([a for a, _, _ in asks], dtype=np.int64)[q]), pa.array(found[q, r]), pa.array(scores[q, r])], names=["query_id", "id", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(asks.ids[q]), pa.array(found[q, r]), pa.array(scores[q, r])], names=["query_id", "id", "s"])
 
             return run
 
@@ -339,7 +371,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, id_col: str = "doc_i
         seeds = cut(mapped(shards.where(first), find(None), schema))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "id"))
         kth = {r["query_id"]: r["s"] for r in seeds.withColumn("r", rank).where(F.col("r") == k).collect()}  # a row per query of the block
-        floors = spark.sparkContext.broadcast(np.array([kth.get(i, 0) for i, _, _ in asks], dtype=np.float64))
+        floors = spark.sparkContext.broadcast(np.array([kth.get(i, 0) for i in asked_here.ids.tolist()], dtype=np.float64))
         got = seeds.unionByName(mapped(shards.where(~first), find(floors), schema))
         out = got if out is None else out.unionByName(got)
     if out is None:

@@ -4,9 +4,11 @@ import collections
 import hashlib
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -250,6 +252,60 @@ def test_search_against_brute_force(spark, monkeypatch):
     assert search.search(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("common", "few"), [(32, 32), (2, 1), (10**9, 10**9)])
+def test_search_in_a_shard(monkeypatch, common, few):
+    """Common and rare terms, copies and null ids against scoring everything; calls grow with blocks, not with queries and terms."""
+    monkeypatch.setattr(search, "RUN", 16)
+    monkeypatch.setattr(search, "COMMON", common)
+    monkeypatch.setattr(search, "FEW", few)
+    rng = np.random.default_rng(5)
+    bags = [np.unique(np.r_[rng.zipf(1.3, rng.integers(1, 60)) % 3000, rng.integers(0, 30, 20)], return_counts=True) for _ in range(1500)]
+    bags[5] = bags[700] = bags[1400] = bags[0]
+    ids = [search.NO_ID if d % 97 == 5 else int(d) for d in rng.permutation(1500)]
+    row = dict(zip([c.split()[0] for c in search.INDEX.split(", ") if c != "length long"], search.invert(0, 1500, [(i, *b) for i, b in zip(ids, bags, strict=True)]), strict=True))
+    own = [(q, *bags[q]) for q in range(0, 1500, 5)]
+    vocabulary = np.unique(np.concatenate([t for _, t, _ in own]))
+    idf = rng.uniform(0.001, 9, len(vocabulary))
+    average = np.mean([c.sum() for _, c in bags])
+    asked, shard = search.Asked(own, vocabulary), search.Shard(vocabulary, idf, average, row)
+    impact = np.zeros((1500, len(vocabulary)))
+    for d, (t, c) in enumerate(bags):
+        at = np.searchsorted(vocabulary, t).clip(max=len(vocabulary) - 1)
+        held = vocabulary[at] == t
+        f = c[held].astype(np.float64)
+        impact[d, at[held]] = np.rint(idf[at[held]] * (f * 2.2 / (f + 1.2 * (0.25 + 0.75 * c.sum() / average))) * search.SCALE)
+    want = []
+    for _, t, c in own:
+        total = impact[:, np.searchsorted(vocabulary, t)] @ c
+        want.append(sorted((-int(x), i) for x, i in zip(total, ids, strict=True) if x > 0 and i != search.NO_ID)[:7])
+    scores, found = np.zeros((len(own), 7), np.int64), np.full((len(own), 7), np.iinfo(np.int64).max)
+    everything = shard.search(asked, np.zeros(len(own)), scores, found)
+    assert [[(-int(s), int(d)) for s, d in zip(*x, strict=True)] for x in zip(scores, found, strict=True)] == want
+    # with the last scores as floors the same rows come back; where nothing is in reach, queries cost no calls of their own
+    again, back, calls = np.zeros_like(scores), np.full_like(found, np.iinfo(np.int64).max), []
+    assert shard.search(asked, scores[:, -1].astype(np.float64), again, back) <= everything
+    assert (again == scores).all() and (back == found).all()
+    sys.setprofile(lambda _, event, __: calls.append(event))
+    shard.search(asked, scores[:, 0] * 1.01 + 2, again.copy(), back.copy())
+    sys.setprofile(None)
+    assert len(calls) < 10 * len(own)
+
+
+def test_search_hashes_words_of_many_texts(monkeypatch):
+    monkeypatch.setattr(search, "STEP", 7)
+    rng = random.Random(4)
+    letters = " \t\n\x0b\x0c\rabABz\u00c4\u00e4\u00a0\x1c\x85"
+    texts = [None, "", " ", "q" * 64 + " " + "q" * 65 + " Q" + "q" * 64, *("".join(rng.choice(letters) for _ in range(rng.choice([1, 5, 90]))) for _ in range(200)), "", "z"]
+    kept = {}
+    for first in (0, 1, 50):
+        for t, (h, c) in zip(texts[first:], search.bags(pa.array(texts).slice(first)), strict=True):
+            bag = collections.Counter((t or "").encode().lower().split())
+            assert (np.diff(h) > 0).all() and sorted(c.tolist()) == sorted(bag.values())
+            for w in bag:
+                kept.setdefault(w, set(h.tolist())).intersection_update(h.tolist())
+    assert all(kept.values())
+
+
 @pytest.mark.parametrize("run", [2, 256])
 def test_search_prunes_without_loss(spark, monkeypatch, run):
     """Repeated query rows, null ids, equal scores, several query blocks and pruned shards against scoring everything."""
