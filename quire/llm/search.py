@@ -155,13 +155,13 @@ class Shard:
         self.most = np.maximum.reduceat(self.impact, self.first) if len(own) else np.empty(0)
         self.blocks = -(-n // RUN)
         self.width = self.blocks * RUN
-        common = np.flatnonzero(self.sizes * COMMON >= self.width)
+        common = np.flatnonzero((self.sizes * COMMON >= self.width) & (self.most < 1 << 24))  # exact in single precision
         common = common[np.argsort(-self.sizes[common], kind="stable")[: CELLS // max(self.width, 1)]]
         self.column = np.full(len(own), -1)
         self.column[common] = np.arange(len(common))
         posting = ranges(self.first[common], self.first[common] + self.sizes[common])
         column = np.repeat(np.arange(len(common)), self.sizes[common])
-        self.matrix = np.zeros((self.width, len(common)), np.int32)
+        self.matrix = np.zeros((self.width, len(common)), np.float32)
         self.matrix[self.doc[posting], column] = self.impact[posting]
         self.table = self.matrix.reshape(self.blocks, RUN, len(common)).max(axis=1).T.astype(np.float64)
         self.held = np.bincount(column * self.blocks + self.doc[posting] // RUN, minlength=self.table.size).reshape(self.table.shape).astype(np.float64)
@@ -214,15 +214,16 @@ class Shard:
         about, single = np.zeros(total.shape, np.float32), weights.astype(np.float32)
         many = (pivots > RUN // FEW) & (left > 0)
         few = (pivots > 0) & ~many & (left > 0)
-        q, d = np.nonzero(pivot & np.repeat(few, RUN, axis=1))
+        q, d = np.divmod(np.flatnonzero(pivot.reshape(n, self.blocks, RUN) & few[:, :, None]), max(self.width, 1))
         about[q, d] = self._common(q, d, entry, column, weight)
         seen = len(posting) + int(np.diff(entry)[q].sum()) + int((((weights > 0).astype(np.float64) @ self.held) * many).sum())
         for b in np.flatnonzero(many.any(axis=0)):
             q, docs = np.flatnonzero(many[:, b]), slice(b * RUN, (b + 1) * RUN)
-            about[q, docs] = single[q] @ self.matrix[docs].astype(np.float32).T
+            about[q, docs] = (self.matrix[docs] @ single[q].T).T
         near = total + about
-        q, d = np.nonzero(pivot & (near > 0) & (near >= (least * (1 - self.slack))[:, None]))
-        near = near[q, d]
+        pivot &= (near > 0) & (near >= (least * (1 - self.slack))[:, None])
+        cell = np.flatnonzero(pivot)
+        near, (q, d) = near.ravel()[cell], np.divmod(cell, max(self.width, 1))
         edge = np.searchsorted(q, np.arange(n + 1))
         wanted = np.ones(len(q), bool)
         for i in np.flatnonzero(np.diff(edge) > k):
@@ -244,7 +245,7 @@ class Shard:
         for b in range(0, len(q), step):
             e, own = slice(b, b + step), sizes[b : b + step]
             at, of = ranges(entry[q[e]], entry[q[e] + 1]), np.repeat(np.arange(len(own)), own)
-            out[e] = np.bincount(of, weight[at] * self.matrix[d[e][of], column[at]], minlength=len(own))
+            out[e] = np.bincount(of, weight[at] * self.matrix[d[e][of], column[at]].astype(np.float64), minlength=len(own))
         return out
 
     def _keep(self, hit: np.ndarray, own: np.ndarray, floor: float, scores: np.ndarray, found: np.ndarray) -> None:

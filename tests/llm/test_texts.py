@@ -291,6 +291,13 @@ def test_search_in_a_shard(monkeypatch, common, few):
     assert len(calls) < 10 * len(own)
 
 
+def test_search_goes_past_shards_without_terms(spark):
+    texts = spark.createDataFrame([(0, "a b"), (1, "b c"), (2, "c")], "doc_id long, text string").coalesce(1)
+    none = spark.createDataFrame([(100, None), (101, ""), (102, " \n")], "doc_id long, text string").coalesce(1)
+    got = search.search(texts.unionByName(none), texts.unionByName(none).where("doc_id % 100 = 0"), 5).collect()
+    assert [(r["query_id"], r["rank"], r["doc_id"]) for r in sorted(got)] == [(0, 1, 0), (0, 2, 1)]
+
+
 def test_search_hashes_words_of_many_texts(monkeypatch):
     monkeypatch.setattr(search, "STEP", 7)
     rng = random.Random(4)
